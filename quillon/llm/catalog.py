@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, minhash, packing, quality, substring, toxicity
+from . import bpe, chat, embed, linededup, minhash, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -61,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
@@ -71,6 +76,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL
+), u AS MATERIALIZED (
+  SELECT line, min(struct_pack(d := doc_id, k := k)) AS first, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line
+), near AS MATERIALIZED (
+  SELECT DISTINCT a.line FROM u a JOIN u b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first AND levenshtein(a.line, b.line) <= 1
+), marked AS (
+  SELECT l.doc_id, l.k, l.line, u.first IS NOT NULL AND struct_pack(d := l.doc_id, k := l.k) <> u.first AS exact, near.line IS NOT NULL AS near
+  FROM l LEFT JOIN u ON u.line = l.line LEFT JOIN near ON near.line = l.line
+), byd AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
+    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT exact AND NOT near), '') AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN byd USING (doc_id)
+""",
     "op4_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

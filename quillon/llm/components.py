@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``kept``, but as a compressed table of which later reads take the columns they need.  The folder
+    goes when the application ends."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    jvm, folder = spark.sparkContext._jvm, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(folder)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(folder)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in ``links`` (a, b; both long).
 
