@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, linededup, minhash, packing, quality, substring, toxicity
+from . import bpe, chat, embed, linededup, lm, minhash, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return lm.score_documents(table(spark, sf_dir, "documents"), crc % 10 == 0)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_chat_format": op5_chat_format,
