@@ -206,3 +206,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # A hot digest's rows stay where they are when the classes are few; else AQE splits them.
     rows = signed.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group, all columns: that of the smallest doc_id (one of them, if rows
+    repeat it).  Rows without doc_id stay."""
+    stay = near_duplicates(docs, size, percent).where("kept").select("doc_id")
+    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
