@@ -15,23 +15,21 @@ checksum.  Very long documents take as many windows as they need.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .text import doc_texts, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
-KEPT_WORDS, KEPT_BYTES = 400_000, 64
 SHARD_DOCUMENTS = 50_000
 
 
@@ -85,29 +83,28 @@ def best_fit(lengths: Iterator[int], size: int) -> Iterator[tuple[int, int]]:
             tree.add(room - length, sequence)
 
 
+def byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
+    """Token bytes to id, of a byte-level BPE file whose ids are in order of their merges.
+
+    Its tokens are written with one visible character for each byte: bytes that are printable in
+    Latin-1 stand for themselves, the others, in order, for the characters from 256 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in visible]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    file = json.loads(tokenizer_json)
+    special = {x["content"] for x in file.get("added_tokens", [])}
+    return {bytes(map(byte_of.__getitem__, token)): i for token, i in file["model"]["vocab"].items() if token not in special}
+
+
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes.  The tokenizer works on one match of its split
-    pattern at a time, so ids of a match are kept for its next occurrence."""
+    """Token ids of a text as little-endian 32-bit bytes: those that the tokenizers library gives for the same
+    file, special tokens' strings in a text being ordinary text."""
 
     def __init__(self, tokenizer_json: str, pattern: str) -> None:
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split, self.known = regex.compile(pattern).findall, {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        pieces = [self.split(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        for words in pieces:
-            yield b"".join(map(self.known.__getitem__, words))
-        for word in new:
-            if len(word) > KEPT_BYTES:
-                del self.known[word]
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=byte_ranks(tokenizer_json), special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def cut(docs: DataFrame, tokenizer_json: str, pattern: str, size: int, end_id: int = 0) -> DataFrame:
@@ -119,8 +116,8 @@ def cut(docs: DataFrame, tokenizer_json: str, pattern: str, size: int, end_id: i
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of([(t or b"").decode() for t in texts]), strict=True):
-                    ids += end
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                    ids = ids_of((text or b"").decode()) + end
                     n = len(ids) // 4
                     for start in range(0, n, size):
                         piece = ids[4 * start : 4 * (start + size)]
