@@ -20,10 +20,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from .text import doc_texts, slices
+from .text import doc_texts, slices, splitter
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pre-tokens that a task keeps, and the longest one that it keeps.
@@ -151,7 +150,7 @@ class Encoder:
     """Encodes runs of texts; one for each task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.merges, self.split = ranks, Merges(ranks), regex.compile(pattern).findall
+        self.ranks, self.merges, self.split = ranks, Merges(ranks), splitter(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:

@@ -4,18 +4,18 @@
    ``bands * rows`` bins; empty bins copy the bin that a fixed random sequence leads to.
    Documents with equal sets (one digest) become one representative.
 2. Signatures are cut into bands; representatives that share a band's values share a bucket.
-   Each bucket ties its members to its least one: as many candidates as members.
-3. Candidates are confirmed on the full shingle sets and joined into components.
-4. Buckets that still hold several components are gone through once more: a task compares
-   the signatures of members of different components and passes on the pairs whose
-   estimate does not rule a link out; these are confirmed on full sets too.  So every pair that
-   shares a bucket is linked, already connected, or refuted: stars lose nothing.  Large buckets are
-   cut into blocks, and pairs of blocks are compared apart.
+   Each bucket ties its members to its least one: as many candidate edges as members.  The
+   components of these stars are clusters: whoever shares a bucket is in one.
+3. The full shingle sets of a cluster meet in one task, or, if it is large, in one task for each
+   pair of its blocks.  There the exact intersections of all its sets are counted as a matrix
+   product over the shingles that two or more of them hold, so no pair that shares a bucket
+   goes unconfirmed; what leaves the task is each set's least group member, never pairs.
+4. These are joined into components.
 
 Words are lower-cased in A-Z.  A text with fewer words than a shingle has one, all its words;
 null, empty and blank texts have none and link with nothing.  Repeated rows share a
 digest and so a component.  Rows without doc_id are returned with null component and not
-kept.  Very long texts are one set like any other.
+kept.  Very long texts are one set like any other; blocks are bounded by shingles too.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .components import components, kept
 from .text import U64, Words, doc_texts, mix, slices
 
-BANDS, ROWS, BLOCK_ROWS = 30, 5, 1_000
-#: A pair's estimate is a mean of BANDS * ROWS agreements; it may fall this far below the limit.
-ALLOWANCE = 0.2
+BANDS, ROWS = 30, 5
+#: A block's expected documents and shingles; up to how many clustered ids are sent to the documents.
+BLOCK_ROWS, BLOCK_SHINGLES, SENT_IDS = 500, 1_000_000, 200_000
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -76,7 +76,7 @@ class OnePermutation:
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest, signature (32 bits a bin), band keys; the last three null for empty sets."""
+    """doc_id, n_shingles, digest, band keys; the last two null for empty sets."""
 
     def run(batches):
         sign = OnePermutation(bands * rows)
@@ -85,102 +85,87 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 sets = shingle_sets(texts, size)
-                digests, signed, keys = [], [], []
+                digests, keys = [], []
                 for s in sets:
                     if not len(s):
                         digests.append(None)
-                        signed.append(None)
                         keys.append(None)
                         continue
                     v = sign(s)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    signed.append(v.astype("<u4").tobytes())
                     with np.errstate(over="ignore"):
                         keys.append(mix((v.reshape(bands, rows) * powers).sum(1) + salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "signature", "keys"],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "digest", "keys"],
                 )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, keys array<long>")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections (the diagonal is not filled)."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    two = times[column] == 2
+    a, b = row[two][0::2], row[two][1::2]
+    np.add.at(out, (a, b), 1)
+    np.add.at(out, (b, a), 1)
+    more = times[column] > 2
+    row, (_, column) = row[more], np.unique(column[more], return_inverse=True)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        i, j = np.searchsorted(column, (begin, begin + 2048))
+        held = np.zeros((n, min(2048, int(column[-1]) + 1 - begin)), np.float32)
+        held[row[i:j], column[i:j] - begin] = 1
+        out += held @ held.T
+    return out
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose full sets reach the limit."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def grouped(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Least id that each row of a symmetric link matrix reaches."""
+    least = ids.copy()
+    while True:
+        after = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(1))
+        after = np.minimum(after, least)
+        if (after == least).all():
+            return least
+        least = after
 
-    def run(batches):
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "s"])
 
-    sets = doc_texts(docs).join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, s array<long>")
-    sides = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links that connect all representatives whose full sets reach the limit within a cluster.
+    clusters: rep, cluster, n (shingles)."""
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = clusters.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    placed = kept(placed)
+    if placed.count() <= SENT_IDS:  # else both sides are shuffled
+        placed = F.broadcast(placed)
 
-    def judge(batches):
+    def run(batches):
         for batch in batches:
-            a, b = batch.column("sa"), batch.column("sb")
-            good = []
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return sides.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
-
-
-def unsettled_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one bucket but different components that their signatures do not refute.
-    members: key, rep, component, signature."""
-    least = percent / 100 - ALLOWANCE
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    rows = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "rep", "component", "signature"
-    )
-    unit = ["key", "lower", "upper"]
-    dealt = met.repartition(*unit).sortWithinPartitions(*unit)
-
-    def compare(rep, component, block, signature, one_block) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(signature), "<u4").reshape(len(rep), -1)
-        left, right = [], []
-        for i in range(len(rep) - 1):
-            other = component[i + 1 :] != component[i]
-            if not one_block:
-                other &= block[i + 1 :] != block[i]
-            j = np.flatnonzero(other) + i + 1
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(1) >= least]
-                left.append(np.full(len(j), rep[i]))
-                right.append(rep[j])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return join(left), join(right)
+            for part, texts in slices(batch, "text"):
+                sets = [s.tobytes() for s in shingle_sets(texts, size)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "blocks", "block")), part.column("doc_id"), pa.array(sets, pa.binary())], ["cluster", "blocks", "block", "rep", "s"])
 
-    def run(batches):
-        held, name = [], None
+    rows = doc_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(placed, "doc_id").dropDuplicates(["doc_id"])
+    sets = rows.select("doc_id", "text", "cluster", "blocks", "block").mapInArrow(run, "cluster long, blocks int, block int, rep long, s binary")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "rep", "s")
 
-        def done():
-            t = pa.Table.from_batches(held)
-            a, b = compare(*(t.column(c).to_numpy() for c in ("rep", "component", "block")), t.column("signature").to_pylist(), name[1] == name[2])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+    def compare(table):
+        rep = table.column("rep").to_numpy()
+        found = [np.frombuffer(x, U64) for x in table.column("s").to_pylist()]
+        both, n = shared_counts(found), np.array([len(x) for x in found], np.float64)
+        linked = 100 * both.astype(np.float64) >= percent * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, False)
+        least = grouped(linked, rep)
+        some = least < rep
+        return pa.table([pa.array(least[some], pa.int64()), pa.array(rep[some], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            names = [tuple(r) for r in zip(*(batch.column(c).to_pylist() for c in unit), strict=True)]
-            begin = 0
-            for i in range(len(names) + 1):
-                if i == len(names) or names[i] != names[begin]:
-                    if name is not None and names[begin] != name:
-                        yield done()
-                        held = []
-                    name = names[begin]
-                    held.append(batch.slice(begin, i - begin))
-                    begin = i
-        if held:
-            yield done()
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return met.groupBy("cluster", "lower", "upper").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -189,21 +174,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = signed.where("digest is not null and doc_id is not null")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # one row for each distinct set
-    one = named.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("rep"), "signature", "keys")
-    banded = one.select("rep", F.explode("keys").alias("key"))
+    one = named.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"])
+    banded = one.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).repartition("key")  # counted and joined in one shuffle
     buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    members = kept(banded.join(buckets, "key"))
-    stars = kept(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    links = kept(confirmed(docs, stars, size, percent))
-    first = components(links).withColumnRenamed("node", "rep")
-    placed = members.select("key", "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    unsettled = placed.join(mixed, "key").join(one.select("rep", "signature"), "rep")
-    rest = kept(unsettled_pairs(unsettled, percent).join(stars, ["a", "b"], "left_anti"))
-    all_links = links.unionByName(confirmed(docs, rest, size, percent))
-    joined = components(all_links).select(F.col("node").alias("rep"), "component")
+    stars = banded.join(buckets, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    sizes = named.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"))
+    clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
+    joined = components(confirmed(docs, clusters, size, percent)).select(F.col("node").alias("rep"), "component")
     by_set = reps.join(joined, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    # A hot digest's rows stay where they are when the classes are few; else AQE splits them.
     rows = signed.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -7,11 +7,13 @@ words can be cut from the bytes.  ``bytes.split()`` cuts at exactly these six.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8: its powers repeat as late as they can
@@ -119,6 +121,23 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
         return out
 
 
+#: Latin letters below U+0250 without signs between them, and the other characters for which Python's own
+#: classes agree with those of the patterns of byte-level tokenizers.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\t-\r -~{_LATIN}]*").fullmatch
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Matches of a pattern with \\p{L} and \\p{N}; texts of Latin letters and ASCII take the standard library's
+    engine, which is faster and finds the same."""
+    full = regex.compile(pattern).findall
+    plain = pattern.replace(r"\p{L}\p{N}]", f"{_LATIN}0-9]").replace(r"\p{L}", f"[{_LATIN}]").replace(r"\p{N}", "[0-9]")
+    if "\\p" in plain:
+        return full
+    fast = re.compile(plain).findall
+    return lambda text: fast(text) if _PLAIN(text) else full(text)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cuts a batch into runs of rows with about ``most`` bytes of text (one row at least), with
     the column's values as bytes."""
