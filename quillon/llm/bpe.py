@@ -93,24 +93,40 @@ class Replay:
                 heapq.heappush(self.queue, name)
             self.places[name].append(left[a:b])
 
-    def around(self, i: np.ndarray, product: int) -> tuple[np.ndarray, ...]:
-        """Were the pairs at i merged: the tokens before and after, and the ranks of the new pairs."""
+    def neighbours(self, i: np.ndarray, product: int) -> tuple[np.ndarray, np.ndarray]:
+        """Were the pairs at i merged: the ranks of the new pairs before and after each."""
         before, after = self.left[i], self.right[self.right[i]]
         new = np.full(len(i), product)
-        return (
-            before,
-            after,
-            np.where(before >= 0, self.merges.rank(self.token[before], new), NONE),
-            np.where(after >= 0, self.merges.rank(new, self.token[after]), NONE),
-        )
-
-    def apply(self, rank: int, i: np.ndarray, around: tuple[np.ndarray, ...]) -> None:
-        before, after, to_left, to_right = around
+        return np.where(before >= 0, self.merges.rank(self.token[before], new), NONE), np.where(after >= 0, self.merges.rank(new, self.token[after]), NONE)
+
+    def apply(self, rank: int, i: np.ndarray) -> None:
+        """Merges pairs that have no token in common."""
         gone = self.right[i]
-        self.token[i], self.token[gone], self.right[i] = rank, -1, after
+        self.token[i], self.token[gone] = rank, -1
+        self.right[i] = after = self.right[gone]
         self.left[after[after >= 0]] = i[after >= 0]
-        self.note(before, to_left)
-        self.note(i, to_right)
+        before = self.left[i]
+        new = np.full(len(i), rank)
+        self.note(before, np.where(before >= 0, self.merges.rank(self.token[before], new), NONE))
+        self.note(i, np.where(after >= 0, self.merges.rank(new, self.token[after]), NONE))
+
+    def next_merges(self, rank: int, i: np.ndarray) -> np.ndarray:
+        """Of the pairs at i (sorted), those that may be merged at once.
+
+        Within a word the leftmost goes first, so of pairs that overlap every second one is merged.
+        Where a new pair would come before this rank, only the word's first is, and the others wait."""
+        word, place = self.word[i], np.arange(len(i))
+        same = np.append(False, word[1:] == word[:-1])
+        if not same.any():
+            return i
+        lower = np.minimum(*self.neighbours(i, rank)) <= rank
+        lower |= self.merges.rank(np.array([rank]), np.array([rank])) <= rank
+        waits = np.isin(word, word[lower]) if lower.any() else np.zeros(len(i), bool)
+        overlaps = same & np.append(False, self.right[i[:-1]] == i[1:])
+        begin = np.maximum.accumulate(np.where(overlaps, 0, place))
+        if (later := waits & same).any():
+            self.note(i[later], np.full(later.sum(), rank))
+        return i[np.where(waits, ~same, (place - begin) % 2 == 0)]
 
     def run(self) -> list[list[int]]:
         while self.queue:
@@ -120,22 +136,8 @@ class Replay:
             if len(i) > 1:
                 i = i[np.append(True, i[1:] != i[:-1])]
             i = i[self.merges.rank(self.token[i], self.token[self.right[i]]) == rank]  # else a neighbour was merged meanwhile
-            if not len(i):
-                continue
-            around = self.around(i, rank)
-            if len(i) > 1:
-                same = self.word[i[1:]] == self.word[i[:-1]]
-                if same.any():
-                    # Within a word the leftmost goes first: neighbours wait, and so do all others
-                    # if a merge makes room for an earlier one.
-                    lower = np.minimum(around[2], around[3]) <= rank
-                    touching = same & ((self.right[i[:-1]] == i[1:]) | (self.right[self.right[i[:-1]]] == i[1:]))
-                    if touching.any() or (lower[:-1] & same).any() or (lower[1:] & same).any():
-                        now = np.append(True, ~same)
-                        self.note(i[~now], np.full((~now).sum(), rank))
-                        i = i[now]
-                        around = tuple(x[now] for x in around)
-            self.apply(rank, i, around)
+            if len(i):
+                self.apply(rank, self.next_merges(rank, i) if len(i) > 1 else i)
         alive = np.flatnonzero(self.token >= 0)
         ids, ends = self.token[alive].tolist(), np.searchsorted(alive, np.append(self.first[1:], len(self.token))).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
