@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import kept
-from .text import U64, Words, mix, rolled, slices
+from .text import U64, Words, mix, rolled, slices, small_batches
 
 KEYS = ["d", "h"]
 
@@ -62,6 +62,7 @@ def stretches(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Text with a key that equal rows share."""
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h"), "text")
 
 

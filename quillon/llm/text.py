@@ -138,7 +138,11 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: fast(text) if _PLAIN(text) else full(text)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+#: Bytes of text that a task holds as arrays at a time, and of an Arrow batch between Spark and Python.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cuts a batch into runs of rows with about ``most`` bytes of text (one row at least), with
     the column's values as bytes."""
     values = batch.column(column)
@@ -153,8 +157,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     if begin < batch.num_rows:
         part = batch.slice(begin)
         yield part, part.column(column).cast(pa.large_binary()).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark) -> None:
+    """Bounds Arrow batches by bytes: rows alone say little about the size of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def doc_texts(docs):
     """doc_id and text alone: other columns, whatever their names, never reach an operator."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text")
