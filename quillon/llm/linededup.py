@@ -42,8 +42,8 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, first, line, n (its length)."""
-    groups = occurrences(docs, min_chars).groupBy("id").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("line").alias("line"))
+    """id, first and last place, line, n (its length)."""
+    groups = occurrences(docs, min_chars).groupBy("id").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last"), F.first("line").alias("line"))
     return groups.withColumn("n", F.length("line"))
 
 
@@ -148,7 +148,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     earlier one, and of those that are only near to one."""
     lines = written(distinct_lines(docs, min_chars))
     near = kept(near_lines(lines, max_edits)).withColumn("near", F.lit(True))
-    first = lines.select("id", "first").join(near, "id", "left")
+    # Written, so that adaptive execution can split the places of a very common line in the join below.
+    first = kept(lines.select("id", "first", "last").join(near, "id", "left").where("first <> last or near").drop("last"))
     places = occurrences(docs, min_chars).select(*PLACE, "id").distinct().join(first, "id")
     not_first = F.struct(*PLACE) != F.col("first")
     gone = places.where(not_first | F.col("near")).select("d", "h", "k", not_first.alias("copy"))
