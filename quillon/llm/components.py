@@ -34,6 +34,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Edges that a task of the rounds below takes.
+TASK_EDGES = 250_000
+
+
+def _sum(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in ``links`` (a, b; both long).
 
@@ -47,19 +63,23 @@ def components(links: DataFrame) -> DataFrame:
     """
     same = F.expr("u ^ 0L").alias("w")
     edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), (F.col("a") == F.col("b")).alias("loop"), "a", "b").where("a is not null and b is not null and not loop").select("u", "v").distinct())
-    before = None
-    while True:
+    now, before = _sum(edges), None
+    while now != before:
+        tasks = 1 + now[0] // TASK_EDGES
+
+        def dealt(df, tasks=tasks):
+            """Tasks by the number of edges: late rounds have few."""
+            return df.coalesce(tasks)
+
+        edges = dealt(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = dealt(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least.select(same, "m"), F.col("u") == F.col("w")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's tie to its own minimum is kept when that is smaller than the node
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = dealt(dealt(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v")))).distinct())
+        down = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down.select(same, "m"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = kept(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        edges = kept(dealt(dealt(small.unionByName(down.select("u", F.col("m").alias("v")))).distinct()))
+        before, now = now, _sum(edges)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import kept, written
+from .components import discard, kept, written
 
 MIN_CHARS, MAX_EDITS, HOT_LINES = 20, 1, 64
 PLACE = ("d", "h", "k")
@@ -150,6 +150,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     near = kept(near_lines(lines, max_edits)).withColumn("near", F.lit(True))
     # Written, so that adaptive execution can split the places of a very common line in the join below.
     first = kept(lines.select("id", "first", "last").join(near, "id", "left").where("first <> last or near").drop("last"))
+    discard(lines)
     places = occurrences(docs, min_chars).select(*PLACE, "id").distinct().join(first, "id")
     not_first = F.struct(*PLACE) != F.col("first")
     gone = places.where(not_first | F.col("near")).select("d", "h", "k", not_first.alias("copy"))
