@@ -5,8 +5,8 @@
    Every vector goes to its best cell, and to each other cell whose centre is nearly as close
    (``margin``): for a pair at the least cosine t the difference vector has length
    sqrt(2 - 2t), and its share along the line between two centres has a spread of
-   length / sqrt(dimensions); the margin is four such spreads, so that a pair
-   has a cell in common but for about one in ten thousand of the worst pairs.
+   length * sqrt(2) / sqrt(dimensions); the margin is SPREADS of these.  Of pairs at the limit itself
+   about one in a thousand has no cell in common (measured in the tests), of closer ones fewer.
 3. A cell's rows are cut into blocks of bounded size and each pair of blocks is a unit of work:
    one matrix product in double precision.  A pair that meets in several cells counts in the
    first of them.  A unit returns, for each vector, the number of its links and the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components, kept
 
-SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS, MOST_CELLS = 20_000, 2_000, 1_000, 1_024
+SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SPREADS = 20_000, 500, 1_000, 2_048, 1.5
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -59,9 +59,10 @@ def groups(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector can be compared, as array<double>."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return v.where("v is not null and vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)")
+    """Rows whose vector can be compared: as array<float> if it is one, else as array<double>."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v"))
+    return v.where("v is not null and vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(double(x)) < double('inf')) and exists(v, x -> x <> 0)")
 
 
 def distinct_links(distinct: DataFrame, least_cosine: float) -> DataFrame:
@@ -82,7 +83,8 @@ def _links_of_width(distinct: DataFrame, width: int, rows: int, least_cosine: fl
     cells = int(np.clip(rows // CELL_ROWS, 1, MOST_CELLS))
     points = unit(np.array(sample.v.tolist(), float).reshape(len(sample), width)) if len(sample) else np.ones((1, width))
     shared = spark.sparkContext.broadcast(spherical_kmeans(points, cells))  # MOST_CELLS rows at most
-    margin = 4 * np.sqrt(2 - 2 * least_cosine) / np.sqrt(width) * np.sqrt(2)
+    margin = SPREADS * np.sqrt(2 - 2 * least_cosine) / np.sqrt(width) * np.sqrt(2)
+    kind = dict(distinct.dtypes)["v"]
 
     def member(x: np.ndarray) -> np.ndarray:
         near = x @ shared.value.T
@@ -94,7 +96,8 @@ def _links_of_width(distinct: DataFrame, width: int, rows: int, least_cosine: fl
             row, cell = np.nonzero(member(x))
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *(batch.column(c).take(pa.array(row)) for c in ("rep", "n", "v"))], ["cell", "rep", "n", "v"])
 
-    placed = kept(distinct.select("rep", "n", "v").mapInArrow(assign, "cell int, rep long, n long, v array<double>"))
+    # Assigned twice, for the sizes and for the rows: cheaper than to write every copy of a vector.
+    placed = distinct.select("rep", "n", "v").mapInArrow(assign, f"cell int, rep long, n long, v {kind}")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))  # a row for each cell: MOST_CELLS at most
     rows_in = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A block meets itself and every block of its cell: unit of work (cell, lower, upper).
