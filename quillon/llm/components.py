@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffle files freed that nothing needs since a result was kept: Spark's cleaner frees them only
+    after the driver's garbage collection, which a long operator may not see for half an hour."""
+    for _ in range(2):  # the first round frees what holds the plans, the second the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a ``written`` table that nothing reads any more."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import kept
+from .components import kept, release
 from .text import U64, Words, mix, rolled, slices, small_batches
 
 KEYS = ["d", "h"]
@@ -88,11 +88,19 @@ def _first_level(rows: DataFrame, length: int, size: int) -> DataFrame:
     return rows.mapInArrow(run, "d long, h long, run long")
 
 
+def _often(dealt: DataFrame, weight: str | None = None) -> DataFrame:
+    """The runs of ``dealt`` (by run) that occur twice or more.  The largest values are never null; asked for, they
+    let this aggregate and the join with it read one and the same shuffle."""
+    rest = [c for c in dealt.columns if c not in ("run", weight)]
+    counted = dealt.groupBy("run").agg((F.sum(weight) if weight else F.count("*")).alias("times"), *(F.max(c).alias(c) for c in rest))
+    return counted.where(" or ".join(["times > 1", *(f"{c} is null" for c in rest)])).select("run")
+
+
 def _repeated(runs: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """For each ``by``: the array of its runs that occur twice or more."""
-    dealt = runs.repartition("run")  # counted and joined in one shuffle
-    often = dealt.groupBy("run").agg((F.sum(weight) if weight else F.count("*")).alias("times")).where("times > 1").select("run")
-    return dealt.join(often, "run").groupBy(*by).agg(F.collect_set("run").alias("runs"))
+    # None is null; said here, no filter is pushed to one side of the join alone, and the shuffle is shared.
+    dealt = runs.where(" and ".join(f"{c} is not null" for c in runs.columns)).repartition("run")
+    return dealt.join(_often(dealt, weight), "run").groupBy(*by).agg(F.collect_set("run").alias("runs"))
 
 
 def _cut_documents(rows: DataFrame, hits: DataFrame, length: int, size: int) -> DataFrame:
@@ -121,18 +129,18 @@ def _cut_documents(rows: DataFrame, hits: DataFrame, length: int, size: int) ->
 
 
 def _level(distinct: DataFrame, length: int, size: int) -> DataFrame:
-    """sid, n, run: the chosen runs of the distinct stretches."""
+    """s, n, run: the chosen runs of the distinct stretches."""
 
     def run(batches):
         for batch in batches:
-            for sid, n, raw in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "words")), strict=True):
+            for s, n, raw in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "words")), strict=True):
                 hashes = np.frombuffer(raw, U64)
                 value, place = chosen(hashes, np.arange(len(hashes) - size + 1), length, size)
                 new = np.append(True, place[1:] != place[:-1])
                 value = value[new].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(value), pa.binary()), pa.array(np.full(len(value), n)), pa.array(value)], ["sid", "n", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s)), pa.array(np.full(len(value), n)), pa.array(value)], ["s", "n", "run"])
 
-    return distinct.mapInArrow(run, "sid binary, n long, run long")
+    return distinct.select("s", "n", "words").mapInArrow(run, "s long, n long, run long")
 
 
 def _cut_stretches(distinct: DataFrame, hits: DataFrame, length: int, size: int) -> DataFrame:
@@ -151,28 +159,27 @@ def _cut_stretches(distinct: DataFrame, hits: DataFrame, length: int, size: int)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["old", "at", "sid", "words"])
 
-    return distinct.join(hits, "sid").select("sid", "words", "runs").mapInArrow(run, "old binary, at long, sid binary, words binary")
+    return distinct.join(hits, "s").select("sid", "words", "runs").mapInArrow(run, "old binary, at long, sid binary, words binary")
 
 
 def _last_level(distinct: DataFrame, size: int) -> DataFrame:
-    """sid, spans: the words of each stretch that repeated windows cover."""
+    """s, spans: the words of each stretch that repeated windows cover."""
 
     def run(batches):
         for batch in batches:
-            for sid, n, raw in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "words")), strict=True):
+            for s, n, raw in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "words")), strict=True):
                 value = mix(rolled(np.frombuffer(raw, U64), size)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(value), pa.binary()), pa.array(np.full(len(value), n)), pa.array(np.arange(len(value))), pa.array(value)], ["sid", "n", "at", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s)), pa.array(np.full(len(value), n)), pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], ["s", "n", "at", "run"])
 
-    rows = distinct.mapInArrow(run, "sid binary, n long, at long, run long").repartition("run")
-    often = rows.groupBy("run").agg(F.sum("n").alias("times")).where("times > 1").select("run")
-    found = rows.join(often, "run").groupBy("sid").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    rows = distinct.select("s", "n", "words").mapInArrow(run, "s long, n long, at int, run long").repartition("run")
+    found = rows.join(_often(rows, "n"), "run").groupBy("s").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
     def join_up(batches):
         for batch in batches:
             spans = [[x for ab in stretches(np.asarray(at.values), size) for x in ab] for at in batch.column("at")]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(spans, pa.list_(pa.int64()))], ["sid", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(spans, pa.list_(pa.int64()))], ["s", "spans"])
 
-    return found.mapInArrow(join_up, "sid binary, spans array<long>")
+    return found.mapInArrow(join_up, "s long, spans array<long>")
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
@@ -184,19 +191,29 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     places = cut.select(*KEYS, "first", "sid")
     alive = cut.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("n"))
     for length in steps[1:-1]:
-        alive = kept(alive)
-        part = kept(_cut_stretches(alive, _repeated(_level(alive, length, size), ["sid"], "n"), length, size))
+        alive = _numbered(alive)
+        part = kept(_cut_stretches(alive, _repeated(_level(alive, length, size), ["s"], "n"), length, size))
         counts = alive.select(F.col("sid").alias("old"), "n")
         places = places.withColumnRenamed("sid", "old").join(part.select("old", "at", "sid"), "old").select(*KEYS, (F.col("first") + F.col("at")).alias("first"), "sid")
         alive = part.join(counts, "old").groupBy("sid").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
-    found = _last_level(kept(alive), size)
+    alive = _numbered(alive)
+    found = alive.select("s", "sid").join(kept(_last_level(alive, size)), "s").select("sid", "spans")
+    release(docs.sparkSession)
     placed = places.join(found, "sid").select(*KEYS, F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
     return placed.groupBy(*KEYS).agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
+def _numbered(stretches_: DataFrame) -> DataFrame:
+    """Kept, with a short id ``s``: the kept partitions do not change, so neither do the ids."""
+    out = kept(stretches_)
+    release(stretches_.sparkSession)
+    return out.withColumn("s", F.monotonically_increasing_id())
+
+
 def with_spans(docs: DataFrame, size: int) -> DataFrame:
     """All rows and columns of ``docs`` in a struct, with the spans to remove (null: none)."""
     spans = kept(repeated_spans(docs, size))
+    release(docs.sparkSession)
     row = docs.select(F.struct("*").alias("row"))
     keys = row.withColumns({"d": F.coalesce(F.col("row.doc_id"), F.lit(-(2**63))), "h": F.xxhash64("row.text")})
     return keys.join(spans, KEYS, "left").select("row", "spans")
