@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import discard, kept, written
+from .components import discard, kept, release, written
 
 MIN_CHARS, MAX_EDITS, HOT_LINES = 20, 1, 64
 PLACE = ("d", "h", "k")
@@ -147,10 +147,12 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     """d, h, exact, near: for each text that loses lines, the numbers of its lines that equal an
     earlier one, and of those that are only near to one."""
     lines = written(distinct_lines(docs, min_chars))
+    release(docs.sparkSession)
     near = kept(near_lines(lines, max_edits)).withColumn("near", F.lit(True))
     # Written, so that adaptive execution can split the places of a very common line in the join below.
     first = kept(lines.select("id", "first", "last").join(near, "id", "left").where("first <> last or near").drop("last"))
     discard(lines)
+    release(docs.sparkSession)
     places = occurrences(docs, min_chars).select(*PLACE, "id").distinct().join(first, "id")
     not_first = F.struct(*PLACE) != F.col("first")
     gone = places.where(not_first | F.col("near")).select("d", "h", "k", not_first.alias("copy"))
@@ -161,7 +163,8 @@ def with_removed(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
     """row (struct of all columns), lines, and gone (exact + near; null: none)."""
     gone = removed_lines(docs.select("doc_id", "text"), min_chars, max_edits)
     row = docs.select(F.struct("*").alias("row")).withColumns({"d": F.coalesce(F.col("row.doc_id"), F.lit(-(2**63))), "h": F.xxhash64("row.text")})
-    return row.join(gone, ["d", "h"], "left").select("row", "exact", "near")
+    # Line numbers alone are hashed, so the texts need no sort.
+    return row.join(gone.hint("shuffle_hash"), ["d", "h"], "left").select("row", "exact", "near")
 
 
 def _kept_text() -> Column:
