@@ -131,11 +131,12 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """id of each distinct line that has an earlier line within the limit."""
     pairs, hot = near_pairs(lines, edits)
     pairs = kept(pairs)
+    release(lines.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # The lines of candidates: few ids (counted) are sent to the lines, else both are shuffled.
     few = pairs.count() <= 200_000
-    texts = kept(lines.join(F.broadcast(ends) if few else ends, "id", "left_semi").select("id", "first", F.split("line", "").alias("c")))
-    side = lambda name: texts.select(F.col("id").alias(name), F.col("first").alias(f"f{name}"), F.col("c").alias(f"c{name}"))
+    texts = kept(lines.join(F.broadcast(ends) if few else ends, "id", "left_semi").select("id", "first", "line"))
+    side = lambda name: texts.select(F.col("id").alias(name), F.col("first").alias(f"f{name}"), F.split("line", "").alias(f"c{name}"))
     linked = pairs.join(side("a"), "a").join(side("b"), "b").where(within("ca", "cb", edits))
     found = linked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
     if edits == 1 and not hot.isEmpty():

@@ -186,28 +186,30 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """d, h, spans (flat array of first word, word after the last): what each document loses."""
     rows = keyed(docs).where("text is not null")
     steps = levels(size)
-    hits = _repeated(_first_level(rows, steps[0], size), KEYS)
-    cut = kept(_cut_documents(rows, hits, steps[0], size))
-    places = cut.select(*KEYS, "first", "sid")
-    alive = cut.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("n"))
+    cut = kept(_cut_documents(rows, _repeated(_first_level(rows, steps[0], size), KEYS), steps[0], size))
+    places = kept(cut.select(*KEYS, "first", "sid"))
+    alive = kept(cut.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("n")))
+    del cut
+    release(docs.sparkSession)
     for length in steps[1:-1]:
-        alive = _numbered(alive)
-        part = kept(_cut_stretches(alive, _repeated(_level(alive, length, size), ["s"], "n"), length, size))
-        counts = alive.select(F.col("sid").alias("old"), "n")
-        places = places.withColumnRenamed("sid", "old").join(part.select("old", "at", "sid"), "old").select(*KEYS, (F.col("first") + F.col("at")).alias("first"), "sid")
-        alive = part.join(counts, "old").groupBy("sid").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
-    alive = _numbered(alive)
-    found = alive.select("s", "sid").join(kept(_last_level(alive, size)), "s").select("sid", "spans")
+        named = _numbered(alive)
+        part = kept(_cut_stretches(named, _repeated(_level(named, length, size), ["s"], "n"), length, size))
+        counts = named.select(F.col("sid").alias("old"), "n")
+        places = kept(places.withColumnRenamed("sid", "old").join(part.select("old", "at", "sid"), "old").select(*KEYS, (F.col("first") + F.col("at")).alias("first"), "sid"))
+        alive = kept(part.join(counts, "old").groupBy("sid").agg(F.first("words").alias("words"), F.sum("n").alias("n")))
+        del part, counts, named
+        release(docs.sparkSession)
+    named = _numbered(alive)
+    found = kept(named.select("s", "sid").join(_last_level(named, size), "s").select("sid", "spans"))
+    del named, alive
     release(docs.sparkSession)
     placed = places.join(found, "sid").select(*KEYS, F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
     return placed.groupBy(*KEYS).agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def _numbered(stretches_: DataFrame) -> DataFrame:
-    """Kept, with a short id ``s``: the kept partitions do not change, so neither do the ids."""
-    out = kept(stretches_)
-    release(stretches_.sparkSession)
-    return out.withColumn("s", F.monotonically_increasing_id())
+def _numbered(kept_rows: DataFrame) -> DataFrame:
+    """With a short id ``s``: kept partitions do not change, so neither do the ids."""
+    return kept_rows.withColumn("s", F.monotonically_increasing_id())
 
 
 def with_spans(docs: DataFrame, size: int) -> DataFrame:
