@@ -115,13 +115,13 @@ def hot_near(lines: DataFrame, hot: DataFrame) -> DataFrame:
     index = [F.struct(k.alias("key"), rest.alias("rest"), F.lit(0).alias("longer")) for k, rest in index_keys(line, n, 1)]
     longer = [F.struct(k.alias("key"), rest.alias("rest"), F.lit(1).alias("longer")) for k, rest, d in probe_keys(line, n, 1) if d == 1]
     rows = lines.select("id", "first", F.inline(F.filter(F.array(*index, *longer), lambda x: x["key"].isNotNull()))).join(hot, "key")
-    at = F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("at")
-    cut = rows.where(F.length("rest") > 0).select("key", "id", "first", "longer", "rest", at).withColumn("left", F.expr("concat(substring(rest, 1, at - 1), substring(rest, at + 1))"))
-    # Same length: one place differs.  Longer by one: the rest without one place is the shorter's.
-    same = cut.where("longer = 0").select("id", "first", F.md5(F.concat_ws("\x00", "key", "at", "left")).alias("g"), F.lit(0).alias("side"))
-    gone = cut.where("longer = 1").select("id", "first", F.md5(F.concat_ws("\x00", "key", "left")).alias("g"), F.lit(1).alias("side"))
-    whole = rows.where("longer = 0").select("id", "first", F.md5(F.concat_ws("\x00", "key", "rest")).alias("g"), F.lit(2).alias("side"))
-    every = same.unionByName(gone).unionByName(whole)
+    # Side 0, the same length: one place differs.  Side 1, longer by one: the rest without one place is a
+    # shorter line's whole rest, side 2 (place 0).  Sides 1 and 2 are grouped together.
+    rows = rows.where("length(rest) >= longer").withColumn("at", F.explode(F.sequence("longer", F.length("rest"))))
+    side = F.when(F.col("longer") == 1, 1).when(F.col("at") == 0, 2).otherwise(0)
+    left = F.expr("if(at = 0, rest, concat(substring(rest, 1, at - 1), substring(rest, at + 1)))")
+    place = F.when(side == 0, F.col("at").cast("string"))
+    every = rows.select("id", "first", side.alias("side"), F.unhex(F.md5(F.concat_ws("\x00", "key", place, left))).alias("g"))
     least = every.groupBy("g").agg(*(F.min(F.when(F.col("side") == s, F.col("first"))).alias(f"f{s}") for s in range(3)))
     joined = every.join(least, "g")
     return joined.where("(side = 0 and f0 < first) or (side = 1 and f2 < first) or (side = 2 and f1 < first)").select("id").distinct()
