@@ -145,7 +145,7 @@ def support_arrow(geometry: DataFrame, scaled: DataFrame, bank: DataFrame, featu
         stats = [statistic(own, rest, i, j, n)] + [statistic(profile_of(z[o], i, j), rest, i, j, n) for o in orders]
         return pa.table({"k": table.column("k")[:1], "affinity": [[s[0] for s in stats]], "coverage": [[s[1] for s in stats]]})
 
-    got = long.groupBy("k").applyInArrow(run, "k int, affinity array<double>, coverage array<double>").orderBy("k").collect()
+    got = long.repartition(width, "k").groupBy("k").applyInArrow(run, "k int, affinity array<double>, coverage array<double>").orderBy("k").collect()
     aff, cov = np.array([r.affinity for r in got]), np.array([r.coverage for r in got])
     return calibrate(aff[:, 0], cov[:, 0], aff[:, 1:], cov[:, 1:], power)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,35 @@ from ..sources.matrix import Matrix, array_columns, matrix
 from . import oracle
 
 WIDTH, PAIRS, DRAWS = oracle.DIMS, 2_000, 20
-FEATURES = tuple(f"f{k}" for k in range(WIDTH))
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+@dataclass(frozen=True)
+class Size:
+    """How many components of the vectors, pairs of rows and draws of the null a query takes."""
+
+    width: int = WIDTH
+    pairs: int = PAIRS
+    draws: int = DRAWS
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return tuple(f"f{k}" for k in range(self.width))
+
+
+#: What the SQL states.
+SLICE = Size()
+
+
+def whole(spark: SparkSession, sf_dir: str) -> Size:
+    """All components, and the selector's own numbers of pairs and draws."""
+    width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    return Size(width, GeometrySelector.max_pairs, GeometrySelector.n_permutations)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -31,6 +54,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def embedded(sql: str | None = None) -> Callable[[Query], Query]:
+    """A query over embeddings takes its Size last.  One with SQL is registered at the SQL's size and, as
+    NAME_whole, over the whole table; one without SQL over the whole table only.  null_statistics and
+    effective_support are not among them: the relational engine makes draws * pairs rows of all
+    components, and effective_support_arrow has the same numbers."""
+
+    def register(f: Query) -> Query:
+        name = f"{f.__name__}_whole" if sql else f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, whole(spark, sf_dir))
+        return query(sql)(f) if sql else f
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,21 +80,25 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(r6(c).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first dimensions of embeddings as columns; labels stay away."""
-    return array_columns(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", WIDTH)
+def vectors(spark: SparkSession, sf_dir: str, size: Size) -> DataFrame:
+    """The components of embeddings as columns; labels stay away."""
+    return array_columns(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", size.width)
+
 
+def source(spark: SparkSession, sf_dir: str, size: Size) -> Matrix:
+    return matrix(vectors(spark, sf_dir, size), "vec_id", size.features)
 
-def source(spark: SparkSession, sf_dir: str) -> Matrix:
-    return matrix(vectors(spark, sf_dir), "vec_id", FEATURES)
 
+def selector(size: Size, **more) -> GeometrySelector:
+    return GeometrySelector(**{"n_features": 2, "n_permutations": size.draws, "max_pairs": size.pairs} | more)
 
-def selector(**more) -> GeometrySelector:
-    return GeometrySelector(**{"n_features": 2, "n_permutations": DRAWS, "max_pairs": PAIRS} | more)
 
+def geometry(spark: SparkSession, sf_dir: str, size: Size):
+    return selector(size).geometry(source(spark, sf_dir, size))
 
-def geometry(spark: SparkSession, sf_dir: str):
-    return selector().geometry(source(spark, sf_dir))
+
+def fitted(spark: SparkSession, sf_dir: str, size: Size, **more):
+    return selector(size, **more).fit(vectors(spark, sf_dir, size), "vec_id", size.features)
 
 
 def wide(expression: str) -> str:
@@ -67,10 +108,10 @@ def wide(expression: str) -> str:
 # Scaling
 
 
-@query(f"WITH {oracle.matrix()}, {oracle.robust()} SELECT vec_id, {wide('round(f{k}, 6) AS f{k}')} FROM z")
-def scale_robust(spark, sf_dir):
-    x = source(spark, sf_dir)
-    return rounded(scaling.robust(x.data, FEATURES).apply(x.data).select("vec_id", *FEATURES), *FEATURES)
+@embedded(f"WITH {oracle.matrix()}, {oracle.robust()} SELECT vec_id, {wide('round(f{k}, 6) AS f{k}')} FROM z")
+def scale_robust(spark, sf_dir, size=SLICE):
+    x = source(spark, sf_dir, size)
+    return rounded(scaling.robust(x.data, size.features).apply(x.data).select("vec_id", *size.features), *size.features)
 
 
 @query("""SELECT p_partkey, round((p_size - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END, 6) AS p_size, round((p_retailprice - b) / CASE WHEN t > 1e-12 THEN t ELSE 1 END, 6) AS p_retailprice
@@ -105,50 +146,50 @@ def pairs_all(spark, sf_dir):
     return pairs.all_pairs(spark, table(spark, sf_dir, "supplier").count())
 
 
-@query(f"WITH {oracle.matrix()}, {oracle.balanced('vec_id', PAIRS)} SELECT pair_id, i, j FROM pairs")
-def pairs_balanced(spark, sf_dir):
-    x = source(spark, sf_dir)
-    return pairs.balanced_pairs(x.data.select("vec_id", "pos"), x.rows, PAIRS, 0)
+@embedded(f"WITH {oracle.matrix()}, {oracle.balanced('vec_id', PAIRS)} SELECT pair_id, i, j FROM pairs")
+def pairs_balanced(spark, sf_dir, size=SLICE):
+    x = source(spark, sf_dir, size)
+    return pairs.balanced_pairs(x.data.select("vec_id", "pos"), x.rows, size.pairs, 0)
 
 
-@query()
-def pairs_random(spark, sf_dir):
-    x = source(spark, sf_dir)
-    return pairs.random_pairs(spark, x.rows, PAIRS, 0)
+@embedded()
+def pairs_random(spark, sf_dir, size):
+    x = source(spark, sf_dir, size)
+    return pairs.random_pairs(spark, x.rows, size.pairs, 0)
 
 
-@query(f"WITH {oracle.base(PAIRS)} SELECT pair_id, i, j, {wide('round(f{k}, 6) AS f{k}')} FROM g")
-def pair_geometry(spark, sf_dir):
-    return rounded(geometry(spark, sf_dir).profiles.select("pair_id", "i", "j", *FEATURES), *FEATURES)
+@embedded(f"WITH {oracle.base(PAIRS)} SELECT pair_id, i, j, {wide('round(f{k}, 6) AS f{k}')} FROM g")
+def pair_geometry(spark, sf_dir, size=SLICE):
+    return rounded(geometry(spark, sf_dir, size).profiles.select("pair_id", "i", "j", *size.features), *size.features)
 
 
-@query(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()}, {oracle.observed()} SELECT feature, round(aff.v, 6) AS affinity, round(cov.v, 6) AS coverage FROM aff JOIN cov USING (feature)")
-def affinity_coverage(spark, sf_dir):
-    g = geometry(spark, sf_dir)
-    rest = supports.rest_profiles(g.profiles, FEATURES)
-    aff = supports.unpivoted(supports.affinities(g.profiles, rest, FEATURES), FEATURES, "affinity")
-    cov = supports.unpivoted(supports.coverages(g.profiles, FEATURES, g.source.rows), FEATURES, "coverage")
+@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()}, {oracle.observed()} SELECT feature, round(aff.v, 6) AS affinity, round(cov.v, 6) AS coverage FROM aff JOIN cov USING (feature)")
+def affinity_coverage(spark, sf_dir, size=SLICE):
+    g = geometry(spark, sf_dir, size)
+    rest = supports.rest_profiles(g.profiles, size.features)
+    aff = supports.unpivoted(supports.affinities(g.profiles, rest, size.features), size.features, "affinity")
+    cov = supports.unpivoted(supports.coverages(g.profiles, size.features, g.source.rows), size.features, "coverage")
     return rounded(aff.join(cov, "feature"), "affinity", "coverage")
 
 
-@query(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()} SELECT pair_id, {wide('round(r{k} * 1000, 6) AS f{k}')} FROM rest")
-def leave_one_out(spark, sf_dir):
-    rest = supports.rest_profiles(geometry(spark, sf_dir).profiles, FEATURES)
-    return rest.select("pair_id", *(r6(F.col(c) * 1000).alias(c) for c in FEATURES))
+@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()} SELECT pair_id, {wide('round(r{k} * 1000, 6) AS f{k}')} FROM rest")
+def leave_one_out(spark, sf_dir, size=SLICE):
+    rest = supports.rest_profiles(geometry(spark, sf_dir, size).profiles, size.features)
+    return rest.select("pair_id", *(r6(F.col(c) * 1000).alias(c) for c in size.features))
 
 
-@query(f"WITH {oracle.matrix()}, {oracle.bank(DRAWS)} SELECT CAST(b AS INT) AS b, pos, src FROM bank")
-def permutation_bank(spark, sf_dir):
-    x = source(spark, sf_dir)
-    return pairs.permutation_bank(x.data.select("vec_id", "pos"), DRAWS, 0)
+@embedded(f"WITH {oracle.matrix()}, {oracle.bank(DRAWS)} SELECT CAST(b AS INT) AS b, pos, src FROM bank")
+def permutation_bank(spark, sf_dir, size=SLICE):
+    x = source(spark, sf_dir, size)
+    return pairs.permutation_bank(x.data.select("vec_id", "pos"), size.draws, 0)
 
 
 @query(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()}, {oracle.bank(DRAWS)}, {oracle.null()} SELECT CAST(b AS INT) AS b, feature, round(naff.v, 6) AS affinity, round(ncov.v, 6) AS coverage FROM naff JOIN ncov USING (b, feature)")
-def null_statistics(spark, sf_dir):
-    g = geometry(spark, sf_dir)
-    bank = pairs.permutation_bank(g.source.data.select("vec_id", "pos"), DRAWS, 0)
-    rest = supports.rest_profiles(g.profiles, FEATURES)
-    return rounded(supports.null_statistics(bank, g.pairs, g.scaled, rest, FEATURES, g.source.rows), "affinity", "coverage")
+def null_statistics(spark, sf_dir, size=SLICE):
+    g = geometry(spark, sf_dir, size)
+    bank = pairs.permutation_bank(g.source.data.select("vec_id", "pos"), size.draws, 0)
+    rest = supports.rest_profiles(g.profiles, size.features)
+    return rounded(supports.null_statistics(bank, g.pairs, g.scaled, rest, size.features, g.source.rows), "affinity", "coverage")
 
 
 SUPPORT = "feature, round(aff, 6) AS affinity, round(cov, 6) AS coverage, round(med, 6) AS null_median, round(scale, 6) AS null_scale, round(zr, 4) AS robust_z, round(eff, 4) AS effective_support, round(p, 6) AS adjusted_p"
@@ -162,70 +203,70 @@ def support_frame(spark, model) -> DataFrame:
 
 
 @query(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
-def effective_support(spark, sf_dir):
+def effective_support(spark, sf_dir, size=SLICE):
     """The relational engine."""
-    return support_frame(spark, selector(engine="relational").fit(vectors(spark, sf_dir), "vec_id", FEATURES))
+    return support_frame(spark, fitted(spark, sf_dir, size, engine="relational"))
 
 
-@query(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
-def effective_support_arrow(spark, sf_dir):
+@embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
+def effective_support_arrow(spark, sf_dir, size=SLICE):
     """The Arrow engine: the same numbers."""
-    return support_frame(spark, selector(engine="arrow").fit(vectors(spark, sf_dir), "vec_id", FEATURES))
+    return support_frame(spark, fitted(spark, sf_dir, size, engine="arrow"))
 
 
-@query(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT round(t, 4) AS threshold FROM thr")
-def max_null_threshold(spark, sf_dir):
-    return spark.createDataFrame([(float(selector().fit(vectors(spark, sf_dir), "vec_id", FEATURES).threshold),)], "threshold double").select(F.round("threshold", 4).alias("threshold"))
+@embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT round(t, 4) AS threshold FROM thr")
+def max_null_threshold(spark, sf_dir, size=SLICE):
+    return spark.createDataFrame([(float(fitted(spark, sf_dir, size).threshold),)], "threshold double").select(F.round("threshold", 4).alias("threshold"))
 
 
 # Selection
 
 
-@query(f"WITH {oracle.base(PAIRS)}, {oracle.unit_gram()} SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(c, 6) AS c FROM h")
-def unit_gram(spark, sf_dir):
-    h = geometry(spark, sf_dir).unit_gram
-    return spark.createDataFrame([(a, b, float(h[a, b])) for a in range(WIDTH) for b in range(WIDTH)], "a int, b int, c double").withColumn("c", r6("c"))
+@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.unit_gram()} SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(c, 6) AS c FROM h")
+def unit_gram(spark, sf_dir, size=SLICE):
+    h = geometry(spark, sf_dir, size).unit_gram
+    return spark.createDataFrame([(a, b, float(h[a, b])) for a in range(size.width) for b in range(size.width)], "a int, b int, c double").withColumn("c", r6("c"))
 
 
-@query(f"""WITH {oracle.base(PAIRS)}, {oracle.unit_gram()}
+@embedded(f"""WITH {oracle.base(PAIRS)}, {oracle.unit_gram()}
 SELECT CAST(h.b AS INT) AS feature, round(greatest(0, least(1, (d.c - pow(greatest(h.c / q.c, 0), 2) * q.c) / (d.c + 1e-12))), 6) AS residual
 FROM h JOIN h d ON d.a = h.b AND d.b = h.b JOIN h q ON q.a = 0 AND q.b = 0 WHERE h.a = 0 AND h.b <> 0""")
-def residual_one(spark, sf_dir):
+def residual_one(spark, sf_dir, size=SLICE):
     """What the first feature's profile leaves unexplained of each other one."""
-    rest = list(range(1, WIDTH))
-    found = residual.residuals(geometry(spark, sf_dir).unit_gram, [0], rest)
+    rest = list(range(1, size.width))
+    found = residual.residuals(geometry(spark, sf_dir, size).unit_gram, [0], rest)
     return spark.createDataFrame([(j, float(r)) for j, r in zip(rest, found, strict=True)], "feature int, residual double").withColumn("residual", r6("residual"))
 
 
-@query(f"""WITH {oracle.full(PAIRS, DRAWS)}, {oracle.unit_gram()}, {oracle.greedy_two()}
+@embedded(f"""WITH {oracle.full(PAIRS, DRAWS)}, {oracle.unit_gram()}, {oracle.greedy_two()}
 SELECT 1 AS step, j AS feature_index, round(r, 6) AS residual_novelty, round(s, 4) AS selection_score FROM s1 UNION ALL SELECT 2, j, round(r, 6), round(s, 4) FROM s2""")
-def select_two(spark, sf_dir):
-    path = selector().fit(vectors(spark, sf_dir), "vec_id", FEATURES).path_frame(spark)
+def select_two(spark, sf_dir, size=SLICE):
+    path = fitted(spark, sf_dir, size).path_frame(spark)
     return path.select("step", "feature_index", r6("residual_novelty").alias("residual_novelty"), F.round("selection_score", 4).alias("selection_score"))
 
 
-@query(f"""WITH {oracle.full(PAIRS, DRAWS)}, {oracle.unit_gram()}, {oracle.greedy_two()},
+@embedded(f"""WITH {oracle.full(PAIRS, DRAWS)}, {oracle.unit_gram()}, {oracle.greedy_two()},
 path AS (SELECT 1 AS step, j, r, s FROM s1 UNION ALL SELECT 2, j, r, s FROM s2)
 SELECT feature, step IS NOT NULL AS selected, CAST(row_number() OVER (ORDER BY coalesce(step, 99), eff DESC, e.j) AS INT) AS rank, round(zr, 4) AS support_z, round(cov, 6) AS sample_coverage,
   round(eff, 4) AS effective_support, round(p, 6) AS max_null_adjusted_p, round(r, 6) AS residual_novelty_at_selection, round(coalesce(s, 0), 4) AS selection_score
 FROM e LEFT JOIN path ON path.j = e.j JOIN adj USING (feature)""")
-def feature_report(spark, sf_dir):
+def feature_report(spark, sf_dir, size=SLICE):
     """The flagship query: a fit from scaling to the report of all features."""
-    report = selector().fit(vectors(spark, sf_dir), "vec_id", FEATURES).report(spark).drop("conservative_step_p")
+    report = fitted(spark, sf_dir, size).report(spark).drop("conservative_step_p")
     return rounded(report, "sample_coverage", "max_null_adjusted_p", "residual_novelty_at_selection").withColumns({c: F.round(c, 4) for c in ("support_z", "effective_support", "selection_score")})
 
 
-@query()
-def select_auto(spark, sf_dir):
-    return selector(n_features="auto").fit(vectors(spark, sf_dir), "vec_id", FEATURES).path_frame(spark)
+@embedded()
+def select_auto(spark, sf_dir, size):
+    return fitted(spark, sf_dir, size, n_features="auto").path_frame(spark)
 
 
-@query()
-def substitution_groups(spark, sf_dir):
+@embedded()
+def substitution_groups(spark, sf_dir, size):
     """Structural groups over the dimensions and noisy copies of two of them."""
     noise = F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000 * 0.01
-    df = vectors(spark, sf_dir).withColumns({"copy0": F.col("f0") + noise, "copy1": F.col("f1") - noise})
-    model = selector(n_features=3).fit(df, "vec_id", [*FEATURES, "copy0", "copy1"])
+    df = vectors(spark, sf_dir, size).withColumns({"copy0": F.col("f0") + noise, "copy1": F.col("f1") - noise})
+    model = selector(size, n_features=3).fit(df, "vec_id", [*size.features, "copy0", "copy1"])
     rows = evidence.structural_groups(model.geometry.unit_gram, model.selected, model.features)
     return spark.createDataFrame([tuple(r.values()) for r in rows], "group_id string, selection_step int, representative string, members string, n_members int, is_singleton boolean, mean_similarity double, min_similarity double")
 
@@ -253,29 +294,29 @@ d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v,
 e AS MATERIALIZED (SELECT a, b, d2 FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 5)"""
 
 
-@query(f"WITH {KNN} SELECT a, b, round(d2, 6) AS d2 FROM e")
-def knn_edges(spark, sf_dir):
-    return rounded(neighbours.nearest(vectors(spark, sf_dir), "vec_id", FEATURES, 5), "d2")
+@embedded(f"WITH {KNN} SELECT a, b, round(d2, 6) AS d2 FROM e")
+def knn_edges(spark, sf_dir, size=SLICE):
+    return rounded(neighbours.nearest(vectors(spark, sf_dir, size), "vec_id", size.features, 5), "d2")
 
 
-@query(f"""WITH {KNN}, t AS (SELECT median(d2) AS t FROM e WHERE d2 > 0),
+@embedded(f"""WITH {KNN}, t AS (SELECT median(d2) AS t FROM e WHERE d2 > 0),
 w AS MATERIALIZED (SELECT a, b, max(exp(-d2 / t)) AS w FROM (SELECT a, b, d2 FROM e UNION ALL SELECT b, a, d2 FROM e), t GROUP BY a, b),
 dg AS (SELECT a, sum(w) AS d FROM w GROUP BY a), f AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 8)) AS k FROM x),
 mu AS (SELECT k, sum(d * x) / sum(d) AS m FROM f JOIN dg ON dg.a = vec_id GROUP BY k), ms AS (SELECT k, sum(d * (x - m) * (x - m)) AS den FROM f JOIN dg ON dg.a = vec_id JOIN mu USING (k) GROUP BY k),
 cut AS (SELECT u.k, 0.5 * sum(w * (u.x - v.x) * (u.x - v.x)) AS num FROM w JOIN f u ON u.vec_id = a JOIN f v ON v.vec_id = b AND v.k = u.k GROUP BY u.k)
 SELECT 'f' || k AS feature, round(num / greatest(den, 1e-12), 6) AS score FROM cut JOIN ms USING (k)""")
-def laplacian_score(spark, sf_dir):
-    df = vectors(spark, sf_dir)
-    graph = neighbours.heat_graph(neighbours.nearest(df, "vec_id", FEATURES, 5))
-    return rounded(neighbours.laplacian_scores(graph, df, "vec_id", FEATURES), "score")
+def laplacian_score(spark, sf_dir, size=SLICE):
+    df = vectors(spark, sf_dir, size)
+    graph = neighbours.heat_graph(neighbours.nearest(df, "vec_id", size.features, 5))
+    return rounded(neighbours.laplacian_scores(graph, df, "vec_id", size.features), "score")
 
 
-@query(f"""WITH {KNN}, d4 AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM x a JOIN x b ON a.vec_id <> b.vec_id),
+@embedded(f"""WITH {KNN}, d4 AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM x a JOIN x b ON a.vec_id <> b.vec_id),
 e4 AS (SELECT a, b FROM d4 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 5)
 SELECT round(count(e4.a) / CAST(count(*) AS DOUBLE), 6) AS preservation FROM e LEFT JOIN e4 USING (a, b)""")
-def knn_preservation(spark, sf_dir):
-    df = vectors(spark, sf_dir)
-    return rounded(neighbours.preserved(neighbours.nearest(df, "vec_id", FEATURES, 5), neighbours.nearest(df, "vec_id", FEATURES[:4], 5), 5), "preservation")
+def knn_preservation(spark, sf_dir, size=SLICE):
+    df = vectors(spark, sf_dir, size)
+    return rounded(neighbours.preserved(neighbours.nearest(df, "vec_id", size.features, 5), neighbours.nearest(df, "vec_id", size.features[: size.width // 2], 5), 5), "preservation")
 
 
 # Statistics: data sets are nations, methods market segments, the metric account balances
