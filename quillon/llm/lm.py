@@ -5,9 +5,9 @@
    softmax of its own; every other word belongs to a class by its last two bytes, in
    which its corpus count gives its share.  So a probability is a product: of the class, given
    the state, and of the word, given the class.
-3. Each training document gives one window to truncated backpropagation, taken at a place that
-   its id decides.  Every partition trains a copy of the model on its windows; copies are
-   averaged (weighted by windows) between rounds.
+3. Training documents are read from begin to end, each in one of the rounds.  Every partition
+   trains a copy of the model on its documents, BATCH of them at a time; the state is carried from
+   window to window, where gradients are cut.  Copies are averaged (weighted by tokens) between rounds.
 4. Scoring reads documents from begin to end in batches of similar length; the state is
    carried from window to window.  The counts of the KNOWN most frequent words are broadcast (a
    fixed number); those of all others are joined by word.
@@ -22,6 +22,7 @@ Very long texts are scored whole; a batch holds ids, not texts.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -97,11 +98,14 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, list[np.ndarray]]:
+def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
     """Summed negative log-likelihood of targets (steps, batch; -1: none) and its gradients, by
-    backpropagation through these steps from a zero state."""
+    backpropagation through these steps from ``state`` (batch, HIDDEN; None: zero), which becomes
+    that after the last step."""
     steps, batch = inputs.shape
     h, hid, n = HIDDEN, np.zeros((steps + 1, batch, HIDDEN), np.float32), HEAD // CLASS
+    if state is not None:
+        hid[0] = state
     e = m.embed[inputs]
     x = e @ m.inward + m.bias
     gates = np.zeros((steps, 3, batch, h), np.float32)
@@ -113,6 +117,8 @@ def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, l
         c = np.tanh(x[t, :, 2 * h :] + r * rec[t])
         gates[t] = z, r, c
         hid[t + 1] = c + z * (hid[t] - c)
+    if state is not None:
+        state[:] = hid[-1]
     g = Gru(*(np.zeros_like(a) for a in m.arrays()))
     flat_h, flat_t = hid[1:].reshape(-1, h), targets.ravel()
     live = np.flatnonzero(flat_t >= 0)
@@ -318,52 +324,64 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return words, mass
 
 
-def windows(docs: DataFrame, shared) -> DataFrame:
-    """hash, ids: for each document the WINDOW + 1 symbols at a place that its hash decides, fewer
-    at its begin (where START stands before) and its end."""
+def sequences(docs: DataFrame, shared) -> DataFrame:
+    """hash, ids: START and all symbols of each document."""
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                out = []
-                for h, text in zip(part.column("hash").to_pylist(), texts, strict=True):
-                    words = words_of(text)
-                    at = abs(h) % max(1, len(words) - WINDOW // 2)
-                    symbols = shared.value.symbols(words[max(0, at - 1) : at + WINDOW])[1].tolist()
-                    out.append(symbols if at else [START, *symbols])
+                out = [np.append(np.int32(START), shared.value.symbols(words_of(text))[1]) for text in texts]
                 yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(out, pa.list_(pa.int32()))], ["hash", "ids"])
 
     return docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(run, "hash long, ids array<int>")
 
 
+def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Consecutive windows of ``rows`` documents at a time: a block (WINDOW + 1 or fewer steps, live lanes; -1: none),
+    the numbers of its lanes, and which of them begin a document.  A lane whose document ends takes the next."""
+    docs, held, at = iter(docs), [None] * rows, [0] * rows
+    while True:
+        fresh = [False] * rows
+        for k in range(rows):
+            if held[k] is not None and at[k] >= len(held[k]) - 1:
+                held[k] = None
+            if held[k] is None:
+                held[k], at[k], fresh[k] = next(docs, None), 0, True
+        live = [k for k in range(rows) if held[k] is not None]
+        if not live:
+            return
+        pieces = [held[k][at[k] : at[k] + WINDOW + 1] for k in live]
+        block = np.full((max(map(len, pieces)), len(live)), -1)
+        for i, piece in enumerate(pieces):
+            block[: len(piece), i] = piece
+        for k in live:
+            at[k] += WINDOW
+        yield block, np.array(live), np.array(fresh)[live]
+
+
 def train(seen: DataFrame, m: Gru, rounds: int = ROUNDS) -> Gru:
-    """Rounds of local training and averaging over a table of windows."""
+    """Rounds of local training and averaging over a table of sequences; each round reads its share of them whole."""
     context = seen.sparkSession.sparkContext
     for r in range(rounds):
         shared = context.broadcast(m.flat())  # its size is fixed by the constants above
 
         def run(batches, shared=shared, m=m):
             own = m.filled(shared.value)
-            adam, n = Adam(own, RATE), 0
-
-            def learn(ids):
-                nonlocal n
-                block = np.full((WINDOW + 1, len(ids)), -1)
-                for k, x in enumerate(ids):
-                    block[: len(x), k] = x[: WINDOW + 1]
-                targets = block[1:]
-                _, grads = gradients(own, np.maximum(block[:-1], 0), targets)
-                adam.step(grads, 1 / max(1, (targets >= 0).sum()) * 4)
-                n += len(ids)
-
-            held: list = []
-            for batch in batches:
-                held += batch.column("ids").to_pylist()
-                while len(held) >= BATCH:
-                    learn(held[:BATCH])
-                    held = held[BATCH:]
-            if held:
-                learn(held)
+            adam, n, states = Adam(own, RATE), 0, np.zeros((BATCH, HIDDEN), np.float32)
+
+            def texts():
+                for batch in batches:
+                    ids = batch.column("ids")
+                    yield from np.split(ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())[:-1])
+
+            for block, live, fresh in lanes(texts()):
+                states[live[fresh]] = 0
+                state, targets = states[live], block[1:]
+                _, grads = gradients(own, np.maximum(block[:-1], 0), targets, state)
+                states[live] = state
+                seen_here = int((targets >= 0).sum())
+                adam.step(grads, 1 / seen_here * 4)
+                n += seen_here
             if n:
                 flat = own.flat().astype(float) * n
                 cuts = range(0, len(flat), 4096)
@@ -388,7 +406,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     counts = written(token_counts(training))
     words, mass = vocabulary(counts)
     shared = context.broadcast(words)  # KNOWN tokens
-    model = context.broadcast(train(kept(windows(training, shared)), Gru.fresh(mass)))
+    model = context.broadcast(train(kept(sequences(training, shared)), Gru.fresh(mass)))
 
     def run(batches):
         words, scorer, norm = shared.value, Scorer(model.value), shared.value.base_norm()

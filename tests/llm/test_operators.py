@@ -123,6 +123,43 @@ def test_lm_state_is_carried():
     assert alone == pytest.approx(whole, rel=1e-4)
 
 
+def test_lm_reads_every_token_in_order():
+    rng = np.random.default_rng(3)
+    docs = [np.append(lm.START, rng.integers(0, lm.START, n)) for n in (1, 32, 33, 64, 65, 1000, 7, 2, 31)]
+    got, tasks = [], [None] * 3
+    for block, live, fresh in lm.lanes(docs, 3):
+        for i, k in enumerate(live):
+            piece = block[:, i][block[:, i] >= 0]
+            if fresh[i]:
+                tasks[k] = [piece]
+                got.append(tasks[k])
+            else:
+                assert piece[0] == tasks[k][-1][-1]
+                tasks[k].append(piece[1:])
+    assert sorted(tuple(np.concatenate(x)) for x in got) == sorted(map(tuple, docs))
+
+
+def test_lm_training_carries_the_state():
+    rng = np.random.default_rng(5)
+    m = lm.Gru.fresh(rng.random(lm.START) * 9)
+    d = np.append(lm.START, rng.integers(0, lm.START, 80))
+    state, loss = np.zeros((1, lm.HIDDEN), np.float32), 0.0
+    for block, _, _ in lm.lanes([d]):
+        loss += lm.gradients(m, block[:-1], block[1:], state)[0]
+    assert loss == pytest.approx(lm.gradients(m, d[:-1, None], d[1:, None])[0], rel=1e-5)
+
+
+def test_lm_learns_from_whole_documents(spark):
+    """Every symbol of one long text moves its weights, not those of one window alone."""
+    words = [f"w{i}".encode() for i in range(300)]
+    docs = spark.createDataFrame([(1, b" ".join(words).decode())], "doc_id long, text string")
+    found, mass = lm.vocabulary(lm.token_counts(docs))
+    m = lm.Gru.fresh(mass)
+    trained = lm.train(lm.sequences(docs, spark.sparkContext.broadcast(found)), m)
+    moved = np.abs(trained.embed - m.embed).max(1) > 0
+    assert moved[found.symbols(words)[1]].all() and moved[lm.START]
+
+
 def test_line_dedup_odd_cases(spark):
     found = {r.doc_id: r for r in linededup.digest(odd_docs(spark)).collect()}
     want = brute.line_verdicts(odd_rows())
