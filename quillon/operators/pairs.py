@@ -91,13 +91,12 @@ def geometry(pairs: DataFrame, scaled: DataFrame, features: Sequence[str]) -> Da
 def permutation_bank(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     """b, pos, src: for each of ``draws`` one random order of all rows, shared by all features.
 
-    A window for each b: n rows in a task, in as many tasks as there are draws."""
-    from pyspark.sql import Window
-
+    One range sort of all draws; a draw's places begin at b * n."""
     key = next(c for c in rows.columns if c != "pos")
-    every = rows.select(key, "pos").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    order = Window.partitionBy("b").orderBy(shuffled_by_draw(seed, key), key)
-    return every.select("b", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("pos").alias("src"))
+    n = rows.count()
+    every = rows.select(key, F.col("pos").alias("src")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    numbered = positions(every.withColumn("_h", shuffled_by_draw(seed, key)), "b", "_h", key)
+    return numbered.select("b", (F.col("pos") - F.col("b") * F.lit(n)).cast("long").alias("pos"), "src")
 
 
 def shuffled_by_draw(seed: int, key: str) -> Column:

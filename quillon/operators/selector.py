@@ -102,7 +102,8 @@ class GeometrySelector:
 
     n_features: a number, or "auto" to stop below the null threshold.  support_mode: "calibrated",
     "calibrated_no_coverage", "raw_affinity" or "raw_affinity_coverage" (the raw ones have no
-    threshold and need a number).  engine: "relational", "arrow" or "auto"."""
+    threshold and need a number).  engine: "relational", "arrow" or "auto"; the last two take the
+    relational one where what the Arrow engine collects doesn't fit."""
 
     n_features: int | str = "auto"
     n_permutations: int = 200
@@ -150,7 +151,7 @@ class GeometrySelector:
     def supports(self, g: Geometry) -> supports.Support:
         bank = pairing.permutation_bank(g.source.data.select(g.source.key, "pos"), self.n_permutations, self.seed)
         power = 0.0 if self.support_mode == "calibrated_no_coverage" else self.coverage_power
-        arrow = self.engine == "arrow" or self.engine == "auto" and supports.fits_arrow(g.source.rows, g.n_pairs, self.n_permutations)
+        arrow = self.engine != "relational" and supports.fits_arrow(g.source.rows, g.n_pairs, self.n_permutations)
         if arrow:
             found = supports.support_arrow(g.profiles, g.scaled, bank, g.source.features, g.source.rows, power)
         else:

@@ -119,7 +119,8 @@ def support_relational(geometry: DataFrame, pairs: DataFrame, scaled: DataFrame,
 
 
 def fits_arrow(n: int, pairs: int, draws: int) -> bool:
-    return 4 * n * draws + 24 * pairs <= BROADCAST_BYTES
+    """Do bank (20 bytes a row on the driver, 4 when sent) and pairs fit?"""
+    return 20 * n * draws + 24 * pairs <= BROADCAST_BYTES
 
 
 def support_arrow(geometry: DataFrame, scaled: DataFrame, bank: DataFrame, features: Sequence[str], n: int, power: float) -> Support:

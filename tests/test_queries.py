@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quillon.functions import special
-from quillon.operators import evidence, governance, pairs, ranks, residual
+from quillon.operators import evidence, governance, pairs, ranks, residual, support
 from quillon.operators.selector import GeometrySelector, ParameterError
 from quillon.plans import catalog
 from quillon.sources.matrix import MatrixError, matrix
@@ -73,6 +73,18 @@ def test_engines_agree(spark):
     assert a.support.null_effective == pytest.approx(b.support.null_effective, rel=1e-8, abs=1e-8)
 
 
+def test_arrow_engine_is_left_where_it_does_not_fit(spark, monkeypatch):
+    """The limit holds for engine='arrow' too, and counts what the driver collects; the bank has no window by draw."""
+    assert not support.fits_arrow(1_000_000, 2_000, 20) and not support.fits_arrow(500_000, 2_000, 20)
+    monkeypatch.setattr(support, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(support, "support_arrow", None)
+    a, b = (GeometrySelector(n_features=2, n_permutations=5, max_pairs=100, engine=e).fit(signal(spark), "id") for e in ("relational", "arrow"))
+    assert a.selected == b.selected
+    x = matrix(signal(spark), "id")
+    plan = pairs.permutation_bank(x.data.select("id", "pos"), 5, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "partitionBy" not in plan and "row_number" not in plan
+
+
 def test_parameters_and_matrices(spark):
     for bad in ({"n_features": 0}, {"alpha": 1.0}, {"n_permutations": 3}, {"support_mode": "raw_affinity", "n_features": "auto"}):
         with pytest.raises(ParameterError):
