@@ -5,7 +5,8 @@ too far and noise does not shrink enough; how far prose shrinks depends on its l
 each length class has limits of its own.  Rules on word counts stand before the bands.
 
 Null and empty texts have no words and fail.  A repeated row gets the same verdict each
-time.  A very long text is judged whole, then chunk by chunk.
+time.  A very long text is judged whole, then chunk by chunk; the last chunk ends with the text,
+so that every byte stands in one.  A text of one chunk or less is judged whole only.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .text import Words, doc_texts, slices
 
 SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
 base_failed boolean, kept boolean, ratio double, worst_low double, worst_high double"""
+KINDS = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 3
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,10 @@ class Bands:
 
 
 def ratios(text: bytes, bands: Bands, press) -> tuple[float, list[float]]:
-    """Of the whole and of each full chunk."""
-    whole = len(press(text)) / len(text)
-    n = len(text) // bands.chunk
-    return whole, [len(press(text[i * bands.chunk : (i + 1) * bands.chunk])) / bands.chunk for i in range(n)] if n > 1 else []
+    """Of the whole and of each chunk."""
+    n, size = len(text), bands.chunk
+    starts = [*range(0, n - size + 1, size), *([n - size] if n % size else [])] if n > size else []
+    return len(press(text)) / n, [len(press(text[a : a + size])) / size for a in starts]
 
 
 def judge(text: bytes, bands: Bands, press) -> tuple[bool, float | None, float | None, float | None]:
@@ -117,7 +119,8 @@ def quality_report(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 columns = verdicts(texts, bands)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *map(pa.array, columns.values())], ["doc_id", *columns])
+                values = [part.column("doc_id").to_pylist(), *columns.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, KINDS, strict=True)], ["doc_id", *columns])
 
     return doc_texts(docs).mapInArrow(run, SCHEMA)
 
