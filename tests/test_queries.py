@@ -1,6 +1,7 @@
 """Every registered query against SQL or, where SQL can't express it, against a plain check."""
 
 import importlib.util
+import shutil
 import subprocess
 import sys
 
@@ -37,6 +38,18 @@ def test_nothing_else_imports_llm():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.util.find_spec("__spark_entry__").origin.rpartition("/")[0])
 
 
+def test_entry_without_llm(tmp_path):
+    """With the llm folders and corpus_pipeline.py, or the folders alone, taken away the rest still works."""
+    top = importlib.util.find_spec("__spark_entry__").origin.rpartition("/")[0]
+    shutil.copy(f"{top}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{top}/quillon", tmp_path / "quillon", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; assert 'holm' in e.queries() and 'op1_bpe' not in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+    if importlib.util.find_spec("corpus_pipeline"):
+        shutil.copy(f"{top}/corpus_pipeline.py", tmp_path)
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
 def test_balanced_pairs_are_balanced(spark):
     for n, target in ((7, 10), (10, 23), (101, 500)):
         found = [(r.left, r.right) for r in pairs.balanced_slots(spark, n, target).orderBy("seq").collect()]
