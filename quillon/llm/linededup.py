@@ -10,9 +10,12 @@ A line goes if an earlier line of the corpus (by doc_id, text hash, place) is wi
    its own that a match could use.
 3. Candidates are verified by a banded bit-parallel automaton: a bit row over the
    2 * max_edits + 1 diagonals for each number of errors, moved along one code point at a time.
-4. A segment that more than HOT_LINES lines share (a template with one changing number) is not
-   paired off.  With max_edits = 1 the one edit lies in the rest of the line: rests that agree
-   but for one place are grouped, and the first place in each group is all that is needed.
+4. A segment that more than HOT_LINES lines share (a template with one changing number) is taken out
+   before pairs are made.  What is left of its lines when the segment is cut out is cut into
+   max_edits + 1 segments in turn, and so on, until few lines share a segment or max_edits code
+   points are left.  Lines that differ in so few places only are all within the limit, so each is a
+   candidate with the first of them alone.  Each round halves what is left (for one edit), so the
+   bytes of all rounds are a small multiple of those of the lines, however long.
 
 Null and empty texts have no lines to lose.  Repeated rows: rows equal in doc_id and text
 cannot be told apart and each keeps what the first keeps; with other doc_ids the smaller
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .components import discard, kept, release, written
 
-MIN_CHARS, MAX_EDITS, HOT_LINES = 20, 1, 64
+MIN_CHARS, MAX_EDITS, HOT_LINES = 20, 1, 16
+#: Up to how many keys or ids are broadcast.
+SENT_IDS = 200_000
 PLACE = ("d", "h", "k")
 
 
@@ -52,20 +57,11 @@ def _start(length: Column, segment: int, segments: int) -> Column:
     return F.floor(length * segment / F.lit(segments)).cast("int")
 
 
-def index_keys(line: Column, n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(key, rest of the line) of each segment."""
-    out, s = [], edits + 1
-    for i in range(s):
-        a, b = _start(n, i, s), _start(n, i + 1, s)
-        out.append((F.xxhash64(n, F.lit(i), F.substring(line, a + 1, b - a)), F.concat(F.substring(line, F.lit(1), a), F.substring(line, b + 1, n - b))))
-    return out
-
-
-def probe_keys(line: Column, n: Column, edits: int) -> list[tuple[Column, Column, int]]:
-    """(key, rest, difference in length) for each substring that may equal a segment of a line that is
-    shorter by that difference.
+def cuts(line: Column, n: Column, edits: int) -> list[tuple[int, int, int, Column, Column, Column]]:
+    """(d, segment, shift, fits, piece, rest) for each substring of a line that may equal a segment of a line shorter
+    by d: the segment's own place if d and shift are 0.
 
-    Segment i moved by x needs abs(x) edits on its left and abs(difference - x) on its right.  Of the
+    Segment i moved by x needs abs(x) edits on its left and abs(d - x) on its right.  Of the
     whole segments the one is sought that has at most i edits on its left and edits - i on its
     right; there always is one."""
     out, s = [], edits + 1
@@ -75,11 +71,19 @@ def probe_keys(line: Column, n: Column, edits: int) -> list[tuple[Column, Column
             a, b = _start(length, i, s), _start(length, i + 1, s)
             for x in range(-edits, edits + 1):
                 if abs(x) <= i and abs(d - x) <= edits - i:
-                    key = F.xxhash64(length, F.lit(i), F.substring(line, a + x + 1, b - a))
-                    out.append((F.when((a + x >= 0) & (b + x <= n), key), F.concat(F.substring(line, F.lit(1), a + x), F.substring(line, b + x + 1, n - b - x)), d))
+                    out.append((d, i, x, (a + x >= 0) & (b + x <= n) & (b > a), F.substring(line, a + x + 1, b - a), F.concat(F.substring(line, F.lit(1), a + x), F.substring(line, b + x + 1, n - b - x))))
     return out
 
 
+def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    return [F.xxhash64(n, F.lit(i), piece) for d, i, x, _, piece, _ in cuts(line, n, edits) if d == x == 0]
+
+
+def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """Null where a substring would leave the line."""
+    return [F.when(fits, F.xxhash64(n - d, F.lit(i), piece)) for d, i, _, fits, piece, _ in cuts(line, n, edits)]
+
+
 def within(ca: str, cb: str, edits: int) -> Column:
     """Is the edit distance of two columns of characters (array<string>, not empty) at most ``edits``?
 
@@ -98,50 +102,81 @@ def within(ca: str, cb: str, edits: int) -> Column:
     return F.expr(f"case when abs({shift}) > {edits} then false else (shiftright({last}, {shift} + {edits}) & 1) = 1 end")
 
 
-def near_pairs(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b: ids) from keys that few lines share, and the keys that many share."""
-    index = lines.select("id", "n", F.explode(F.array(*(k for k, _ in index_keys(F.col("line"), F.col("n"), edits)))).alias("key"))
-    probe = lines.select("id", "n", F.explode(F.array_compact(F.array(*(k for k, _, _ in probe_keys(F.col("line"), F.col("n"), edits))))).alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("lines"))
-    hot = sizes.where(F.col("lines") > HOT_LINES).select("key") if edits == 1 else sizes.where("false").select("key")
-    hot = kept(hot)
-    pairs = probe.alias("p").join(index.alias("i"), "key").where("p.n > i.n or p.id > i.id").select(F.col("p.id").alias("a"), F.col("i.id").alias("b"), "key")
-    return pairs.join(hot, "key", "left_anti").select("a", "b").distinct(), hot
-
-
-def hot_near(lines: DataFrame, hot: DataFrame) -> DataFrame:
-    """id of each line of a hot key that is one edit from an earlier one."""
-    line, n = F.col("line"), F.col("n")
-    index = [F.struct(k.alias("key"), rest.alias("rest"), F.lit(0).alias("longer")) for k, rest in index_keys(line, n, 1)]
-    longer = [F.struct(k.alias("key"), rest.alias("rest"), F.lit(1).alias("longer")) for k, rest, d in probe_keys(line, n, 1) if d == 1]
-    rows = lines.select("id", "first", F.inline(F.filter(F.array(*index, *longer), lambda x: x["key"].isNotNull()))).join(hot, "key")
-    # Side 0, the same length: one place differs.  Side 1, longer by one: the rest without one place is a
-    # shorter line's whole rest, side 2 (place 0).  Sides 1 and 2 are grouped together.
-    rows = rows.where("length(rest) >= longer").withColumn("at", F.explode(F.sequence("longer", F.length("rest"))))
-    side = F.when(F.col("longer") == 1, 1).when(F.col("at") == 0, 2).otherwise(0)
-    left = F.expr("if(at = 0, rest, concat(substring(rest, 1, at - 1), substring(rest, at + 1)))")
-    place = F.when(side == 0, F.col("at").cast("string"))
-    every = rows.select("id", "first", side.alias("side"), F.unhex(F.md5(F.concat_ws("\x00", "key", place, left))).alias("g"))
-    least = every.groupBy("g").agg(*(F.min(F.when(F.col("side") == s, F.col("first"))).alias(f"f{s}") for s in range(3)))
-    joined = every.join(least, "g")
-    return joined.where("(side = 0 and f0 < first) or (side = 1 and f2 < first) or (side = 2 and f1 < first)").select("id").distinct()
+def _hot(own: DataFrame) -> tuple[DataFrame, int]:
+    """The keys that many lines of the index share, and how many they are."""
+    hot = kept(own.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > HOT_LINES).select("key"))
+    return hot, hot.count()
+
+
+def _sent(keys: DataFrame, n: int) -> DataFrame:
+    """Few keys (counted) are sent to the rows, else both are shuffled."""
+    return F.broadcast(keys) if n <= SENT_IDS else keys
+
+
+def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
+    """Candidates: a, b (ids)."""
+    n = F.col("n")
+    index = lines.select("id", "n", F.explode(F.array(*index_keys(F.col("line"), n, edits))).alias("key"))
+    probe = lines.select("id", "n", F.explode(F.array_compact(F.array(*probe_keys(F.col("line"), n, edits)))).alias("key"))
+    hot, many = _hot(index)
+    cold = index.join(_sent(hot, many), "key", "left_anti") if many else index
+    pairs = probe.alias("p").join(cold.alias("i"), "key").where("p.n > i.n or p.id > i.id").select(F.col("p.id").alias("a"), F.col("i.id").alias("b"))
+    if not many:
+        return pairs.distinct()
+    coded = lines.select("id", "first", "line", "n", F.posexplode(F.array(*probe_keys(F.col("line"), n, edits))).alias("code", "key")).where("key is not null")
+    rows, parts = coded.join(_sent(hot, many), "key"), [pairs]
+    choice = lambda value, otherwise: F.coalesce(*(F.when(F.col("code") == k, value(c)) for k, c in enumerate(cuts(F.col("line"), n, edits))), F.lit(otherwise))
+    rows = rows.select("id", "first", "key", choice(lambda c: c[5], "").alias("rest"), choice(lambda c: F.lit(c[0]), 0).alias("d"), choice(lambda c: F.lit(c[0] == c[2] == 0), False).alias("own"))
+    while many:
+        rows = kept(rows)
+        left = F.length("rest") - F.col("d")
+        parts.append(_last_pairs(rows.where(left <= edits), edits))
+        deeper = kept(_cut_again(rows.where(left > edits), edits))
+        own = deeper.where("own")
+        hot, many = _hot(own)
+        parts.append(_paired(deeper, own.join(_sent(hot, many), "key", "left_anti") if many else own))
+        rows = deeper.join(_sent(hot, many), "key")
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    return pairs.distinct()
+
+
+def _paired(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """A row of the first with one of the second of the same key."""
+    return rows.alias("p").join(own.alias("i"), "key").where("p.id <> i.id and (p.d > 0 or not p.own or p.id > i.id)").select(F.col("p.id").alias("a"), F.col("i.id").alias("b"))
+
+
+def _cut_again(rows: DataFrame, edits: int) -> DataFrame:
+    """The same rows with a segment of the rest in the key, once for each segment."""
+    rest, options = F.col("rest"), []
+    for d, i, x, fits, piece, left in cuts(rest, F.length("rest"), edits):
+        new = F.struct(F.xxhash64("key", F.length("rest") - d, F.lit(i), piece).alias("key"), left.alias("rest"), (F.col("own") & F.lit(x == 0)).alias("own"))
+        options.append(F.when((F.col("d") == d) & fits, new))
+    return rows.select("id", "first", "d", F.inline(F.array_compact(F.array(*options))))
+
+
+def _last_pairs(rows: DataFrame, edits: int) -> DataFrame:
+    """Of rows with ``edits`` code points left or fewer: each line of the index with the first of its key, and each
+    longer or shifted line with those of the index that have one of its code points (one edit) or
+    with all of them (more edits: the count grows with the lines that differ in so few places only)."""
+    own, other = rows.where("own"), rows.where("not own")
+    first = own.groupBy("key").agg(F.min(F.struct("first", "id")).alias("least")).select("key", F.col("least.id").alias("b"))
+    stars = own.join(first, "key").where("id <> b").select(F.col("id").alias("a"), "b")
+    if edits == 1:
+        chars = lambda df: df.select("id", "d", "own", F.explode(F.array_distinct(F.split("rest", ""))).alias("c"), "key").select("id", "d", "own", F.xxhash64("key", "c").alias("key"))
+        own, other = chars(own), chars(other)
+    return stars.unionByName(_paired(other, own))
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """id of each distinct line that has an earlier line within the limit."""
-    pairs, hot = near_pairs(lines, edits)
-    pairs = kept(pairs)
+    pairs = kept(near_pairs(lines, edits))
     release(lines.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # The lines of candidates: few ids (counted) are sent to the lines, else both are shuffled.
-    few = pairs.count() <= 200_000
-    texts = kept(lines.join(F.broadcast(ends) if few else ends, "id", "left_semi").select("id", "first", "line"))
+    texts = kept(lines.join(_sent(ends, pairs.count()), "id", "left_semi").select("id", "first", "line"))
     side = lambda name: texts.select(F.col("id").alias(name), F.col("first").alias(f"f{name}"), F.split("line", "").alias(f"c{name}"))
     linked = pairs.join(side("a"), "a").join(side("b"), "b").where(within("ca", "cb", edits))
-    found = linked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id"))
-    if edits == 1 and not hot.isEmpty():
-        found = found.unionByName(hot_near(lines, hot))
-    return found.distinct()
+    return linked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:

@@ -1,10 +1,10 @@
 """Odd cases of single operators, beside those of test_operators.py."""
 
-import public_tokenizers as P
+import numpy as np
 import pytest
 import zstandard
 
-from quillon.llm import quality
+from quillon.llm import linededup, quality
 from tests.llm import brute
 from tests.llm.fixtures import empty_docs, odd_docs, odd_rows
 
@@ -50,3 +50,18 @@ def test_quality_verdicts(spark):
     assert sorted(((r.doc_id, r.text) for r in stay.collect()), key=repr) == sorted(((i, t) for i, t in [*rows, (None, rows[11][1]), (1, rows[0][1])] if plain_verdict(t)), key=repr)
     assert stay.columns == odd_docs(spark).columns
     assert quality.quality_filter(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_line_dedup_of_templates(spark, monkeypatch, edits):
+    """Lines that share all but a few characters: keys stay hot over many rounds."""
+    monkeypatch.setattr(linededup, "HOT_LINES", 2)
+    rng = np.random.default_rng(edits)
+    rows = []
+    for i in range(160):
+        number = "".join(rng.choice(list("0123"), rng.integers(3, 6)))
+        rows.append((i, f"the order with number {number} was shipped today" if i % 3 else f"ends with a number, that is to say {number}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: x[:3] for i, x in brute.line_verdicts(rows, edits=edits).items()}
+    assert {r.doc_id: tuple(r)[1:4] for r in linededup.digest(docs, max_edits=edits).collect()} == want
+    assert 20 < sum(x[2] for x in want.values())
