@@ -7,9 +7,12 @@ least hash: equal windows choose the same run, so the few chosen runs decide exa
 whether a window can still be a repeat, and a twentieth of all positions is shuffled.
 After the first level candidates are stretches of word hashes without their documents; equal
 stretches become one with a count, so a group of copies costs as much as one of them.  The
-last level compares every window of the surviving stretches.
+last level compares every window of the surviving stretches.  What is repeated within a text or a
+stretch is found there and sent once, and counts are summed before they are sent, so that a very
+common run is no large group; the join with the runs found can be split by adaptive execution.
 
-Windows are compared by 64-bit hashes; n candidate windows give about n*n/2**65 false repeats.
+The last level compares 96 bits of a window (two independent hashes); n candidate windows give about
+n*n/2**97 false repeats.
 Null, empty and short texts have no window and keep all their words.  Repeated rows are
 places of their own: both lose what they share, as do rows with one doc_id or none.  In a very
 long text only its surviving stretches are shuffled, besides one copy of the text for each join.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import kept, release
+from .components import discard, written
 from .text import U64, Words, mix, rolled, slices, small_batches
 
 KEYS = ["d", "h"]
@@ -71,8 +74,15 @@ def _starts(words: Words, size: int) -> np.ndarray:
     return np.flatnonzero(words.doc[:n] == words.doc[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
+def _distinct(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each (group, value), and 1 or 2: once, or more often."""
+    order = np.lexsort((value, group))
+    first = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (np.diff(value[order]) != 0)))
+    return order[first], np.minimum(np.diff(np.append(first, len(order))), 2)
+
+
 def _first_level(rows: DataFrame, length: int, size: int) -> DataFrame:
-    """d, h, run: the chosen runs of all documents."""
+    """d, h, run, n: the chosen runs of all documents, each once; n is 2 if it occurs there more often."""
 
     def run(batches):
         for batch in batches:
@@ -82,25 +92,22 @@ def _first_level(rows: DataFrame, length: int, size: int) -> DataFrame:
                 if len(starts):
                     value, place = chosen(words.hashes(), starts, length, size)
                     new = np.append(True, place[1:] != place[:-1])
-                    row = pa.array(words.doc[place[new]])
-                    yield pa.RecordBatch.from_arrays([part.column("d").take(row), part.column("h").take(row), pa.array(value[new].view(np.int64))], [*KEYS, "run"])
+                    value, doc = value[new].view(np.int64), words.doc[place[new]]
+                    at, n = _distinct(doc, value)
+                    row = pa.array(doc[at])
+                    yield pa.RecordBatch.from_arrays([part.column("d").take(row), part.column("h").take(row), pa.array(value[at]), pa.array(n, pa.int32())], [*KEYS, "run", "n"])
 
-    return rows.mapInArrow(run, "d long, h long, run long")
+    return rows.mapInArrow(run, "d long, h long, run long, n int")
 
 
-def _often(dealt: DataFrame, weight: str | None = None) -> DataFrame:
-    """The runs of ``dealt`` (by run) that occur twice or more.  The largest values are never null; asked for, they
-    let this aggregate and the join with it read one and the same shuffle."""
-    rest = [c for c in dealt.columns if c not in ("run", weight)]
-    counted = dealt.groupBy("run").agg((F.sum(weight) if weight else F.count("*")).alias("times"), *(F.max(c).alias(c) for c in rest))
-    return counted.where(" or ".join(["times > 1", *(f"{c} is null" for c in rest)])).select("run")
+def _often(runs: DataFrame, *keys: str) -> DataFrame:
+    """The runs that occur twice or more."""
+    return runs.groupBy(*keys).agg(F.sum("n").alias("times")).where("times > 1").select(*keys)
 
 
-def _repeated(runs: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+def _repeated(runs: DataFrame, by: list[str]) -> DataFrame:
     """For each ``by``: the array of its runs that occur twice or more."""
-    # None is null; said here, no filter is pushed to one side of the join alone, and the shuffle is shared.
-    dealt = runs.where(" and ".join(f"{c} is not null" for c in runs.columns)).repartition("run")
-    return dealt.join(_often(dealt, weight), "run").groupBy(*by).agg(F.collect_set("run").alias("runs"))
+    return runs.join(_often(runs, "run"), "run").groupBy(*by).agg(F.collect_list("run").alias("runs"))
 
 
 def _cut_documents(rows: DataFrame, hits: DataFrame, length: int, size: int) -> DataFrame:
@@ -125,22 +132,21 @@ def _cut_documents(rows: DataFrame, hits: DataFrame, length: int, size: int) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], [*KEYS, "first", "sid", "words"])
 
-    return rows.join(hits, KEYS).mapInArrow(run, "d long, h long, first long, sid binary, words binary")
+    return rows.join(hits.hint("shuffle_hash"), KEYS).mapInArrow(run, "d long, h long, first long, sid binary, words binary")
 
 
 def _level(distinct: DataFrame, length: int, size: int) -> DataFrame:
-    """s, n, run: the chosen runs of the distinct stretches."""
+    """s, run, n: the chosen runs of the distinct stretches, each once; n is 2 if it occurs more often."""
 
     def run(batches):
         for batch in batches:
             for s, n, raw in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "words")), strict=True):
                 hashes = np.frombuffer(raw, U64)
                 value, place = chosen(hashes, np.arange(len(hashes) - size + 1), length, size)
-                new = np.append(True, place[1:] != place[:-1])
-                value = value[new].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s)), pa.array(np.full(len(value), n)), pa.array(value)], ["s", "n", "run"])
+                value, times = np.unique(value[np.append(True, place[1:] != place[:-1])].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s)), pa.array(value), pa.array(np.minimum(times * n, 2), pa.int32())], ["s", "run", "n"])
 
-    return distinct.select("s", "n", "words").mapInArrow(run, "s long, n long, run long")
+    return distinct.select("s", "n", "words").mapInArrow(run, "s long, run long, n int")
 
 
 def _cut_stretches(distinct: DataFrame, hits: DataFrame, length: int, size: int) -> DataFrame:
@@ -162,63 +168,100 @@ def _cut_stretches(distinct: DataFrame, hits: DataFrame, length: int, size: int)
     return distinct.join(hits, "s").select("sid", "words", "runs").mapInArrow(run, "old binary, at long, sid binary, words binary")
 
 
+def _windows(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of every window."""
+    hashes = np.frombuffer(raw, U64)
+    return mix(rolled(hashes, size)).view(np.int64), (mix(rolled(mix(hashes ^ U64(0x5851F42D4C957F2D)), size)) >> U64(32)).astype(np.uint32).view(np.int32)
+
+
 def _last_level(distinct: DataFrame, size: int) -> DataFrame:
-    """s, spans: the words of each stretch that repeated windows cover."""
+    """s, spans: the words of each stretch that repeated windows cover, in one row or more.
 
-    def run(batches):
+    A stretch that occurs twice is covered whole, and so are windows that a stretch holds twice; only the other
+    windows ask whether they occur elsewhere."""
+
+    def count(batches):
         for batch in batches:
+            for n, raw in zip(*(batch.column(c).to_pylist() for c in ("n", "words")), strict=True):
+                value, check = _windows(raw, size)
+                at, times = _distinct(check, value)
+                yield pa.RecordBatch.from_arrays([pa.array(value[at]), pa.array(check[at]), pa.array(np.minimum(times * n, 2), pa.int32())], ["run", "check", "n"])
+
+    def known(batches):
+        for batch in batches:
+            names, spans = [], []
             for s, n, raw in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "words")), strict=True):
-                value = mix(rolled(np.frombuffer(raw, U64), size)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), s)), pa.array(np.full(len(value), n)), pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], ["s", "n", "at", "run"])
+                if n > 1:
+                    found = [(0, len(raw) // 8)]
+                else:
+                    value, check = _windows(raw, size)
+                    at, times = _distinct(check, value)
+                    lone = np.zeros(len(value), bool)
+                    lone[at[times == 1]] = True
+                    found = stretches(np.flatnonzero(~lone), size)
+                if found:
+                    names.append(s)
+                    spans.append([x for ab in found for x in ab])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["s", "spans"])
+
+    def ask(batches):
+        for batch in batches:
+            for s, raw in zip(*(batch.column(c).to_pylist() for c in ("s", "words")), strict=True):
+                value, check = _windows(raw, size)
+                at, times = _distinct(check, value)
+                at = np.sort(at[times == 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(at, pa.int32()), pa.array(value[at]), pa.array(check[at])], ["s", "at", "run", "check"])
 
-    rows = distinct.select("s", "n", "words").mapInArrow(run, "s long, n long, at int, run long").repartition("run")
-    found = rows.join(_often(rows, "n"), "run").groupBy("s").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    counted = distinct.select("n", "words").mapInArrow(count, "run long, check int, n int")
+    asking = distinct.where("n = 1").select("s", "words").mapInArrow(ask, "s long, at int, run long, check int")
+    found = asking.join(_often(counted, "run", "check"), ["run", "check"]).groupBy("s").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
     def join_up(batches):
         for batch in batches:
             spans = [[x for ab in stretches(np.asarray(at.values), size) for x in ab] for at in batch.column("at")]
             yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(spans, pa.list_(pa.int64()))], ["s", "spans"])
 
-    return found.mapInArrow(join_up, "s long, spans array<long>")
+    kind = "s long, spans array<long>"
+    return found.mapInArrow(join_up, kind).unionByName(distinct.select("s", "n", "words").mapInArrow(known, kind))
+
+
+def _numbered(stretched: DataFrame) -> DataFrame:
+    """sid, words, n, and a short id ``s``, written once."""
+    return written(stretched.withColumn("s", F.monotonically_increasing_id()))
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """d, h, spans (flat array of first word, word after the last): what each document loses."""
     rows = keyed(docs).where("text is not null")
     steps = levels(size)
-    cut = kept(_cut_documents(rows, _repeated(_first_level(rows, steps[0], size), KEYS), steps[0], size))
-    places = kept(cut.select(*KEYS, "first", "sid"))
-    alive = kept(cut.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("n")))
-    del cut
-    release(docs.sparkSession)
+    runs = written(_first_level(rows, steps[0], size))
+    cut = written(_cut_documents(rows, _repeated(runs, KEYS), steps[0], size))
+    discard(runs)
+    alive = _numbered(cut.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("n")))
+    places = written(cut.select(*KEYS, "first", "sid"))
+    discard(cut)
     for length in steps[1:-1]:
-        named = _numbered(alive)
-        part = kept(_cut_stretches(named, _repeated(_level(named, length, size), ["s"], "n"), length, size))
-        counts = named.select(F.col("sid").alias("old"), "n")
-        places = kept(places.withColumnRenamed("sid", "old").join(part.select("old", "at", "sid"), "old").select(*KEYS, (F.col("first") + F.col("at")).alias("first"), "sid"))
-        alive = kept(part.join(counts, "old").groupBy("sid").agg(F.first("words").alias("words"), F.sum("n").alias("n")))
-        del part, counts, named
-        release(docs.sparkSession)
-    named = _numbered(alive)
-    found = kept(named.select("s", "sid").join(_last_level(named, size), "s").select("sid", "spans"))
-    del named, alive
-    release(docs.sparkSession)
+        runs = written(_level(alive, length, size))
+        part = written(_cut_stretches(alive, _repeated(runs, ["s"]), length, size))
+        discard(runs)
+        moved = written(places.withColumnRenamed("sid", "old").join(part.select("old", "at", "sid"), "old").select(*KEYS, (F.col("first") + F.col("at")).alias("first"), "sid"))
+        counts = alive.select(F.col("sid").alias("old"), "n")
+        fewer = _numbered(part.join(counts, "old").groupBy("sid").agg(F.first("words").alias("words"), F.sum("n").alias("n")))
+        for table in (part, places, alive):
+            discard(table)
+        places, alive = moved, fewer
+    found = written(alive.select("s", "sid").join(_last_level(alive, size), "s").select("sid", "spans"))
+    discard(alive)
     placed = places.join(found, "sid").select(*KEYS, F.transform("spans", lambda x: x + F.col("first")).alias("spans"))
     return placed.groupBy(*KEYS).agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def _numbered(kept_rows: DataFrame) -> DataFrame:
-    """With a short id ``s``: kept partitions do not change, so neither do the ids."""
-    return kept_rows.withColumn("s", F.monotonically_increasing_id())
-
-
 def with_spans(docs: DataFrame, size: int) -> DataFrame:
     """All rows and columns of ``docs`` in a struct, with the spans to remove (null: none)."""
-    spans = kept(repeated_spans(docs, size))
-    release(docs.sparkSession)
+    spans = written(repeated_spans(docs, size))
     row = docs.select(F.struct("*").alias("row"))
     keys = row.withColumns({"d": F.coalesce(F.col("row.doc_id"), F.lit(-(2**63))), "h": F.xxhash64("row.text")})
-    return keys.join(spans, KEYS, "left").select("row", "spans")
+    return keys.join(spans.hint("shuffle_hash"), KEYS, "left").select("row", "spans")
 
 
 def keep_words(text: bytes | None, spans: list[int] | None) -> tuple[int, list[bytes]]:
