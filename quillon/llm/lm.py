@@ -7,10 +7,11 @@
    the state, and of the word, given the class.
 3. Training documents are read from begin to end, each in one of the rounds.  Every partition
    trains a copy of the model on its documents, BATCH of them at a time; the state is carried from
-   window to window, where gradients are cut.  Copies are averaged (weighted by tokens) between rounds.
+   window to window, where gradients are cut.  Copies are averaged (weighted by tokens, summed in a
+   tree of tasks) between rounds.
 4. Scoring reads documents from begin to end in batches of similar length; the state is
-   carried from window to window.  The counts of the KNOWN most frequent words are broadcast (a
-   fixed number); those of all others are joined by word.
+   carried from window to window.  The counts of the most frequent words (KNOWN at most) are
+   broadcast; those of all others are joined by word.
 
 Words are lower-cased in A-Z; each text ends with a token of its own, so null and empty texts
 have that one.  A token with count c among training tokens has the base log10 of
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import kept, written
+from .components import written
 from .text import doc_texts, slices
 
 KNOWN, HEAD, CLASS, TAILS, HIDDEN = 1 << 18, 2048, 64, 32, 16
-WINDOW, BATCH, ROUNDS, RATE = 32, 32, 3, 0.01
+WINDOW, BATCH, ROUNDS, RATE = 32, 128, 3, 0.01
+#: Copies of the model that a task of the tree adds up.
+FAN_IN = 32
 END = b"\n"  # no word holds it
 START = HEAD + TAILS
 SCORE_BATCH, SCORE_WINDOW = 256, 32
@@ -89,80 +92,132 @@ class Gru:
         return Gru(*out)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def sigmoid_in_place(x: np.ndarray) -> None:
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def by_symbol(targets: np.ndarray) -> np.ndarray:
+    """Places of the targets (-1: none), in order of their symbols: a class is one run of them."""
+    live = np.flatnonzero(targets >= 0)
+    return live[np.argsort(targets[live].astype(np.int16), kind="stable")]
+
+
+def run_starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+
+class Outputs:
+    """The class-factored softmax over states and their symbols, both in order of the symbols.
+
+    States have a last column of ones, and weights the biases as their last row.  Sums over a softmax come
+    from the product that its gradient needs anyway, and the one-hot parts from gathered rows: so of the
+    (token, word) arrays only the exponentials are made.  Logits are bounded by the weights and need no shift."""
+
+    def __init__(self, m: Gru) -> None:
+        self.m, self.n, kind = m, HEAD // CLASS, m.embed.dtype
+        ones = lambda w: np.concatenate([np.swapaxes(w, -1, -2), np.ones((*w.shape[:-2], w.shape[-1], 1), kind)], -1)
+        self.classes, self.words = np.concatenate([m.to_class, m.class_bias[None]]), np.concatenate([m.to_word, m.word_bias[:, None]], 1)
+        self.class_back, self.word_back = ones(m.to_class), ones(m.to_word)
+        self.class_rows, self.word_rows = np.ascontiguousarray(self.classes.T), np.swapaxes(self.words, 1, 2).reshape(HEAD, -1)
+
+    def __call__(self, hs: np.ndarray, ts: np.ndarray, g: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-likelihood of each symbol; with ``g``, which gets the weights' gradients, also those of the states."""
+        h, n = hs.shape[1] - 1, self.n
+        classes = np.where(ts < HEAD, ts // CLASS, ts - HEAD + n)
+        e = hs @ self.classes
+        np.exp(e, out=e)
+        own = self.class_rows[classes]
+        back = e @ (self.class_back if g else self.class_back[:, h:])
+        total = back[:, -1:]
+        logs = np.einsum("ij,ij->i", hs, own) - np.log(total[:, 0])
+        top = int(np.searchsorted(ts, HEAD))
+        cuts = np.searchsorted(ts[:top], np.arange(0, HEAD + 1, CLASS)).tolist()
+        word_own = self.word_rows[ts[:top]]
+        word_back = np.empty((top, h + 1 if g else 1), hs.dtype)
+        to_word = np.zeros_like(self.words) if g else None
+        for k in range(n):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                part = hs[a:b]
+                f = part @ self.words[k]
+                np.exp(f, out=f)
+                np.matmul(f, self.word_back[k] if g else self.word_back[k][:, h:], out=word_back[a:b])
+                if g:
+                    np.matmul((part / word_back[a:b, h:]).T, f, out=to_word[k])
+        logs[:top] += np.einsum("ij,ij->i", hs[:top], word_own) - np.log(word_back[:, -1])
+        if not g or not len(ts):
+            return logs, None if not g else np.zeros((0, h), hs.dtype)
+        first = run_starts(ts)
+        sums, symbols = np.add.reduceat(hs, first, axis=0), ts[first]
+        to_class, of_class = (hs / total).T @ e, classes[first]
+        begins = run_starts(of_class)
+        to_class[:, of_class[begins]] -= np.add.reduceat(sums, begins, axis=0).T
+        head = symbols < HEAD
+        to_word[symbols[head] // CLASS, :, symbols[head] % CLASS] -= sums[head]
+        g.to_class[:], g.class_bias[:], g.to_word[:], g.word_bias[:] = to_class[:h], to_class[h], to_word[:, :h], to_word[:, h]
+        states = back[:, :h] / total - own[:, :h]
+        states[:top] += word_back[:, :h] / word_back[:, h:] - word_own[:, :h]
+        return logs, states
 
 
 def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
     """Summed negative log-likelihood of targets (steps, batch; -1: none) and its gradients, by
     backpropagation through these steps from ``state`` (batch, HIDDEN; None: zero), which becomes
     that after the last step."""
-    steps, batch = inputs.shape
-    h, hid, n = HIDDEN, np.zeros((steps + 1, batch, HIDDEN), np.float32), HEAD // CLASS
+    (steps, batch), h, kind = inputs.shape, HIDDEN, m.embed.dtype
+    hid = np.zeros((steps + 1, batch, h), kind)
     if state is not None:
         hid[0] = state
-    e = m.embed[inputs]
-    x = e @ m.inward + m.bias
-    gates = np.zeros((steps, 3, batch, h), np.float32)
-    rec = np.zeros((steps, batch, h), np.float32)
+    x = (m.embed @ m.inward + m.bias)[inputs]
+    gates, c, rec, gap = (np.empty((steps, batch, w), kind) for w in (2 * h, h, h, h))
     for t in range(steps):
         u = hid[t] @ m.across
-        z, r = sigmoid(x[t, :, :h] + u[:, :h]), sigmoid(x[t, :, h : 2 * h] + u[:, h : 2 * h])
+        np.add(x[t, :, : 2 * h], u[:, : 2 * h], out=gates[t])
+        sigmoid_in_place(gates[t])
         rec[t] = u[:, 2 * h :]
-        c = np.tanh(x[t, :, 2 * h :] + r * rec[t])
-        gates[t] = z, r, c
-        hid[t + 1] = c + z * (hid[t] - c)
+        np.multiply(gates[t, :, h:], rec[t], out=c[t])
+        c[t] += x[t, :, 2 * h :]
+        np.tanh(c[t], out=c[t])
+        np.subtract(hid[t], c[t], out=gap[t])
+        np.multiply(gates[t, :, :h], gap[t], out=hid[t + 1])
+        hid[t + 1] += c[t]
     if state is not None:
         state[:] = hid[-1]
     g = Gru(*(np.zeros_like(a) for a in m.arrays()))
-    flat_h, flat_t = hid[1:].reshape(-1, h), targets.ravel()
-    live = np.flatnonzero(flat_t >= 0)
-    hs, ts = flat_h[live], flat_t[live]
-    classes = np.where(ts < HEAD, ts // CLASS, ts - HEAD + n)
-    lp = log_softmax(hs @ m.to_class + m.class_bias)
-    rows = np.arange(len(ts))
-    loss = -lp[rows, classes].sum()
-    d = np.exp(lp)
-    d[rows, classes] -= 1
-    g.to_class[:], g.class_bias[:] = hs.T @ d, d.sum(0)
-    dh = d @ m.to_class.T
-    word = np.flatnonzero(ts < HEAD)
-    order = word[np.argsort(classes[word], kind="stable")]
-    cuts = np.searchsorted(classes[order], np.arange(n + 1))
-    for k in range(n):
-        at = order[cuts[k] : cuts[k + 1]]
-        if len(at):
-            lw = log_softmax(hs[at] @ m.to_word[k] + m.word_bias[k])
-            own = np.arange(len(at)), ts[at] % CLASS
-            loss -= lw[own].sum()
-            d = np.exp(lw)
-            d[own] -= 1
-            g.to_word[k], g.word_bias[k] = hs[at].T @ d, d.sum(0)
-            dh[at] += d @ m.to_word[k].T
-    out = np.zeros_like(flat_h)
-    out[live] = dh
+    flat = targets.ravel()
+    live = by_symbol(flat)
+    hs = np.ones((len(live), h + 1), kind)
+    hs[:, :h] = hid[1:].reshape(-1, h)[live]
+    logs, found = Outputs(m)(hs, flat[live], g)
+    out = np.zeros((steps * batch, h), kind)
+    out[live] = found
     out = out.reshape(steps, batch, h)
-    dx, carry = np.zeros_like(x), np.zeros((batch, h), np.float32)
+    z, r = gates[:, :, :h], gates[:, :, h:]
+    to_c, to_z, to_r = (1 - z) * (1 - c * c), gap * z * (1 - z), rec * r * (1 - r)
+    dx, du = np.empty_like(x), np.empty_like(x)
+    carry, back = np.zeros((batch, h), kind), np.ascontiguousarray(m.across.T)
     for t in range(steps - 1, -1, -1):
-        dh_t = out[t] + carry
-        z, r, c = gates[t]
-        dc = dh_t * (1 - z) * (1 - c * c)
-        dz = dh_t * (hid[t] - c) * z * (1 - z)
-        dr = dc * rec[t] * r * (1 - r)
-        du = np.concatenate([dz, dr, dc * r], 1)
-        dx[t] = np.concatenate([dz, dr, dc], 1)
-        g.across += hid[t].T @ du
-        carry = dh_t * z + du @ m.across.T
-    flat_dx = dx.reshape(-1, 3 * h)
-    g.bias[:] = flat_dx.sum(0)
-    g.inward[:] = e.reshape(-1, h).T @ flat_dx
-    np.add.at(g.embed, inputs.ravel(), flat_dx @ m.inward.T)
-    return float(loss), g.arrays()
+        o, d = out[t], dx[t]
+        o += carry
+        np.multiply(o, to_c[t], out=d[:, 2 * h :])
+        np.multiply(o, to_z[t], out=d[:, :h])
+        np.multiply(d[:, 2 * h :], to_r[t], out=d[:, h : 2 * h])
+        du[t, :, : 2 * h] = d[:, : 2 * h]
+        np.multiply(d[:, 2 * h :], r[t], out=du[t, :, 2 * h :])
+        carry = du[t] @ back
+        o *= z[t]
+        carry += o
+    g.across[:] = hid[:-1].reshape(-1, h).T @ du.reshape(-1, 3 * h)
+    seen = inputs.ravel()
+    order = np.argsort(seen.astype(np.int16), kind="stable")
+    first = run_starts(seen[order])
+    sums, symbols = np.add.reduceat(dx.reshape(-1, 3 * h)[order], first, axis=0), seen[order[first]]
+    g.bias[:], g.inward[:] = sums.sum(0), m.embed[symbols].T @ sums
+    g.embed[symbols] = sums @ m.inward.T
+    return -float(logs.sum()), g.arrays()
 
 
 class Adam:
@@ -171,20 +226,29 @@ class Adam:
         self.first, self.second = ([np.zeros_like(a) for a in m.arrays()] for _ in range(2))
 
     def step(self, grads: list[np.ndarray], scale: float) -> None:
+        """Uses up ``grads``."""
         self.t += 1
         size = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for a, g, first, second in zip(self.m.arrays(), grads, self.first, self.second, strict=True):
-            g = np.clip(g * scale, -1, 1)
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            a -= size * first / (np.sqrt(second) + 1e-6)
+            g *= scale
+            np.clip(g, -1, 1, out=g)
+            first *= 0.9
+            first += 0.1 * g
+            g *= g
+            second *= 0.99
+            second += 0.01 * g
+            np.sqrt(second, out=g)
+            g += 1e-6
+            np.divide(first, g, out=g)
+            g *= size
+            a -= g
 
 
 class Scorer:
     """Natural-log probabilities of whole symbol sequences under a trained model."""
 
     def __init__(self, m: Gru) -> None:
-        self.m, self.input = m, m.embed @ m.inward + m.bias  # a row for each symbol
+        self.m, self.input, self.outputs = m, m.embed @ m.inward + m.bias, Outputs(m)  # input: a row for each symbol
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(docs))
@@ -207,37 +271,29 @@ class Scorer:
                 piece = docs[k][begin : begin + steps]
                 target[: len(piece), k] = piece
             state, before = state[:alive], before[:alive]
-            hidden = np.empty((steps, alive, h), np.float32)
+            hidden = np.ones((steps, alive, h + 1), np.float32)
             inputs = np.concatenate([before[None], target[:-1]])
             x = self.input[inputs]  # a finished row reads some symbol; its states are not used
             for t in range(steps):
                 u = state @ m.across
-                u[:, : 2 * h] += x[t, :, : 2 * h]
-                zr = sigmoid(u[:, : 2 * h])
-                c = np.tanh(x[t, :, 2 * h :] + zr[:, h:] * u[:, 2 * h :])
-                state = c + zr[:, :h] * (state - c)
-                hidden[t] = state
+                gates = u[:, : 2 * h]
+                gates += x[t, :, : 2 * h]
+                sigmoid_in_place(gates)
+                c = u[:, 2 * h :]
+                c *= gates[:, h:]
+                c += x[t, :, 2 * h :]
+                np.tanh(c, out=c)
+                state = state - c
+                state *= gates[:, :h]
+                state += c
+                hidden[t, :, :h] = state
             before = target[-1]
             flat = target.ravel()
-            live = np.flatnonzero(flat >= 0)
-            found = self._outputs(hidden.reshape(-1, h)[live], flat[live])
+            live = by_symbol(flat)
+            found, _ = self.outputs(hidden.reshape(-1, h + 1)[live], flat[live])
             sums[:alive] += np.bincount(live % alive, found, alive)
         return sums
 
-    def _outputs(self, hs: np.ndarray, ts: np.ndarray) -> np.ndarray:
-        m, n = self.m, HEAD // CLASS
-        classes = np.where(ts < HEAD, ts // CLASS, ts - HEAD + n)
-        logits = hs @ m.to_class + m.class_bias  # bounded by the weights: no shift is needed
-        out = (logits[np.arange(len(ts)), classes] - np.log(np.exp(logits).sum(1))).astype(float)
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(n + 1))
-        for k in range(n):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                logits = hs[at] @ m.to_word[k] + m.word_bias[k]
-                out[at] += logits[np.arange(len(at)), ts[at] % CLASS] - np.log(np.exp(logits).sum(1))
-        return out
-
 
 @dataclass
 class Vocabulary:
@@ -297,10 +353,23 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def least_known(counts: DataFrame, most: int | None = None) -> int:
+    """A count that at most ``most`` (KNOWN) tokens reach, from a histogram in steps of a sixteenth of a doubling: a
+    few hundred rows, whatever the corpus.  Tokens of the step that would exceed it stay with the rest."""
+    bins = counts.groupBy(F.floor(16 * F.log2("c")).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
+    left, least = KNOWN if most is None else most, 2**62
+    for r in sorted(bins.collect(), key=lambda r: -r.bin):
+        if r.n > left:
+            break
+        left, least = left - r.n, r.least
+    return least
+
+
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """With the training count of each symbol."""
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()  # KNOWN rows
-    tokens, c = [bytes(t) for t in top.column("token").to_pylist()], top.column("c").to_numpy()
+    top = counts.where(F.col("c") >= least_known(counts)).toArrow()  # KNOWN rows at most
+    top = sorted(zip(map(bytes, top.column("token").to_pylist()), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    tokens, c = [t for t, _ in top], np.array([n for _, n in top], np.int64)
     head = set(tokens[:HEAD])
 
     def tails(batches):
@@ -324,16 +393,38 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return words, mass
 
 
-def sequences(docs: DataFrame, shared) -> DataFrame:
-    """hash, ids: START and all symbols of each document."""
+def symbolised(docs: DataFrame, shared, rounds: int = ROUNDS) -> DataFrame:
+    """r (a number for each row), round (-1: held out), doc_id, n_tokens, n_rare, base and rest (known words' share of the
+    scores), rare and times (unknown words), ids (symbols of the whole text, with its end), written by round."""
 
     def run(batches):
+        words, norm = shared.value, shared.value.base_norm()
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                out = [np.append(np.int32(START), shared.value.symbols(words_of(text))[1]) for text in texts]
-                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(out, pa.list_(pa.int32()))], ["hash", "ids"])
+                out = []
+                for text, number, doc_id in zip(texts, part.column("round").to_pylist(), part.column("doc_id").to_pylist(), strict=True):
+                    tokens = words_of(text)
+                    place, symbol = words.symbols(tokens)
+                    logs, unknown = words.log_counts[place], place < 0
+                    logs[unknown] = 0.0
+                    in_tail = symbol >= HEAD
+                    found = Counter(tokens[i] for i in np.flatnonzero(unknown).tolist())
+                    rest = float(logs[in_tail].sum() - words.tail_norm[symbol[in_tail] - HEAD].sum())
+                    out.append((number, doc_id, len(tokens), int(unknown.sum()), float(logs.sum()) - len(tokens) * norm, rest, list(found), list(found.values()), symbol))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ROW.split())
+
+    number = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))).cast("int")
+    rows = docs.select(number.alias("round"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(run, "round int, doc_id long, n_tokens long, n_rare long, base double, rest double, rare array<binary>, times array<int>, ids array<int>")
+    return written(found.withColumn("r", F.monotonically_increasing_id()), "round")
+
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text").mapInArrow(run, "hash long, ids array<int>")
+ROW = "round doc_id n_tokens n_rare base rest rare times ids"
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
 
 
 def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -360,38 +451,44 @@ def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.nd
 
 
 def train(seen: DataFrame, m: Gru, rounds: int = ROUNDS) -> Gru:
-    """Rounds of local training and averaging over a table of sequences; each round reads its share of them whole."""
+    """Rounds of local training and averaging over a table of symbols (round, ids); each round reads its share whole."""
     context = seen.sparkSession.sparkContext
+    names, kind = ["part", "x", "n"], "part int, x array<double>, n long"
     for r in range(rounds):
         shared = context.broadcast(m.flat())  # its size is fixed by the constants above
 
         def run(batches, shared=shared, m=m):
             own = m.filled(shared.value)
             adam, n, states = Adam(own, RATE), 0, np.zeros((BATCH, HIDDEN), np.float32)
-
-            def texts():
-                for batch in batches:
-                    ids = batch.column("ids")
-                    yield from np.split(ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())[:-1])
-
-            for block, live, fresh in lanes(texts()):
+            texts = (np.append(np.int32(START), ids) for batch in batches for ids in lists(batch.column("ids")))
+            for block, live, fresh in lanes(texts):
                 states[live[fresh]] = 0
                 state, targets = states[live], block[1:]
                 _, grads = gradients(own, np.maximum(block[:-1], 0), targets, state)
                 states[live] = state
                 seen_here = int((targets >= 0).sum())
-                adam.step(grads, 1 / seen_here * 4)
+                adam.step(grads, 4 / seen_here)
                 n += seen_here
             if n:
                 flat = own.flat().astype(float) * n
                 cuts = range(0, len(flat), 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[i : i + 4096] for i in cuts], pa.list_(pa.float64())), pa.array([n] * len(cuts), pa.int64())], ["part", "x", "n"])
-
-        def add(table):
-            return pa.table({"part": table.column("part")[:1], "x": pa.array([np.stack(table.column("x").to_numpy()).sum(0)], pa.list_(pa.float64())), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
-
-        copies = seen.where((F.pmod(F.shiftrightunsigned("hash", 7), F.lit(rounds)) == r) & (F.size("ids") > 1)).select("ids").mapInArrow(run, "part int, x array<double>, n long")
-        parts = copies.groupBy("part").applyInArrow(add, "part int, x array<double>, n long").orderBy("part").collect()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[i : i + 4096] for i in cuts], pa.list_(pa.float64())), pa.array([n] * len(cuts), pa.int64())], names)
+
+        def add(batches):
+            sums: dict[int, tuple[np.ndarray, int]] = {}
+            for batch in batches:
+                for part, x, n in zip(batch.column("part").to_pylist(), lists(batch.column("x")), batch.column("n").to_pylist(), strict=True):
+                    before = sums.get(part, (0.0, 0))
+                    sums[part] = before[0] + x, before[1] + n
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x for x, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.int64())], names)
+
+        share = seen.where(F.col("round") == r).select("ids")
+        copies, tasks = share.mapInArrow(run, kind), share.rdd.getNumPartitions()
+        while tasks > 1:  # a tree: a task adds up a bounded number of copies
+            tasks = -(-tasks // FAN_IN)
+            copies = copies.repartition(tasks).mapInArrow(add, kind)
+        parts = sorted(copies.collect(), key=lambda p: p.part)  # one copy
         if parts:
             m = m.filled(np.concatenate([np.array(p.x) / p.n for p in parts]))
     return m
@@ -401,46 +498,25 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows for which the
     column ``held_out`` is not true teach the model."""
     context = docs.sparkSession.sparkContext
-    docs = doc_texts(docs).withColumn("held_out", held_out)
-    training = docs.where(~F.col("held_out"))
-    counts = written(token_counts(training))
+    docs = doc_texts(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    counts = written(token_counts(docs.where(~F.col("held_out"))))
     words, mass = vocabulary(counts)
-    shared = context.broadcast(words)  # KNOWN tokens
-    model = context.broadcast(train(kept(sequences(training, shared)), Gru.fresh(mass)))
+    rows = symbolised(docs, context.broadcast(words))  # KNOWN tokens at most
+    model = context.broadcast(train(rows, Gru.fresh(mass)))
 
     def run(batches):
-        words, scorer, norm = shared.value, Scorer(model.value), shared.value.base_norm()
+        scorer = Scorer(model.value)
         for batch in batches:
-            for part, texts in slices(batch, "text", 4 << 20):
-                symbols, n_tokens, n_rare, base, rest, rare, times = [], [], [], [], [], [], []
-                for text in texts:
-                    tokens = words_of(text)
-                    place, symbol = words.symbols(tokens)
-                    logs, unknown = words.log_counts[place], place < 0
-                    logs[unknown] = 0.0
-                    in_tail = symbol[symbol >= HEAD] - HEAD
-                    symbols.append(symbol)
-                    n_tokens.append(len(tokens))
-                    n_rare.append(int(unknown.sum()))
-                    base.append(float(logs.sum()) - len(tokens) * norm)
-                    rest.append(float(logs[symbol >= HEAD].sum() - words.tail_norm[in_tail].sum()))
-                    found = Counter(tokens[i] for i in np.flatnonzero(unknown).tolist())
-                    rare.append(list(found))
-                    times.append(list(found.values()))
-                scores = scorer.score(symbols) / np.log(10) + np.array(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_rare, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    ["doc_id", "held_out", "n_tokens", "n_rare", "base", "score", "rare", "times"],
-                )
-
-    scored = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_rare long, base double, score double, rare array<binary>, times array<int>")
-    rows = written(scored.withColumn("r", F.monotonically_increasing_id()))
+            scores = scorer.score(lists(batch.column("ids"))) / np.log(10) + batch.column("rest").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("r", "doc_id", "round", "n_tokens", "n_rare", "base")), pa.array(scores)], ["r", "doc_id", "round", "n_tokens", "n_rare", "base", "score"])
+
+    scored = rows.select("r", "doc_id", "round", "n_tokens", "n_rare", "base", "rest", "ids").mapInArrow(run, "r long, doc_id long, round int, n_tokens long, n_rare long, base double, score double")
     each = rows.select("r", F.inline(F.arrays_zip("rare", "times"))).select("r", F.col("rare").alias("token"), "times")
     joined = each.join(counts, "token", "left").select("r", "times", "c")
     sums = joined.groupBy("r").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
     zero = F.lit(0.0)
-    return rows.drop("rare", "times").join(sums, "r", "left").select(
-        "doc_id", "held_out", "n_tokens",
+    return scored.join(sums, "r", "left").select(
+        "doc_id", (F.col("round") < 0).alias("held_out"), "n_tokens",
         (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(words.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", zero)).alias("base_score"),

@@ -152,14 +152,28 @@ def test_lm_training_carries_the_state():
 def test_lm_learns_from_whole_documents(spark):
     """Every symbol of one long text moves its weights, not those of one window alone."""
     words = [f"w{i}".encode() for i in range(300)]
-    docs = spark.createDataFrame([(1, b" ".join(words).decode())], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, b" ".join(words).decode(), False)], "doc_id long, text string, held_out boolean")
     found, mass = lm.vocabulary(lm.token_counts(docs))
     m = lm.Gru.fresh(mass)
-    trained = lm.train(lm.sequences(docs, spark.sparkContext.broadcast(found)), m)
+    trained = lm.train(lm.symbolised(docs, spark.sparkContext.broadcast(found)), m)
     moved = np.abs(trained.embed - m.embed).max(1) > 0
     assert moved[found.symbols(words)[1]].all() and moved[lm.START]
 
 
+def test_lm_known_words_are_bounded(spark):
+    counts = spark.createDataFrame([(bytes([i]), c) for i, c in enumerate([100, 50, 50, 7, 7, 7, 1, 1])], "token binary, c long")
+    assert [lm.least_known(counts, n) for n in (0, 1, 2, 3, 5, 6, 8)] == [2**62, 100, 100, 50, 50, 7, 1]
+
+
+def test_lm_copies_are_summed_in_a_tree(spark, monkeypatch):
+    """However many partitions train, the average is the same up to rounding."""
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    rows = spark.createDataFrame([(0, [1, 2, 3, 4]), (0, [5, 6]), (1, [7]), (0, [1, 2, 3, 4]), (0, [5, 6])], "round int, ids array<int>")
+    m = lm.Gru.fresh(np.ones(lm.START))
+    a, b = (lm.train(rows.repartition(n), m, 1) for n in (5, 5))
+    assert a.flat() == pytest.approx(b.flat(), abs=1e-5) and np.abs(a.flat() - m.flat()).max() > 0.001
+
+
 def test_line_dedup_odd_cases(spark):
     found = {r.doc_id: r for r in linededup.digest(odd_docs(spark)).collect()}
     want = brute.line_verdicts(odd_rows())
