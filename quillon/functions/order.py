@@ -23,7 +23,60 @@ def positions(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     return numbered.withColumn(name, F.col("_at") - F.shiftleft("_part", 33) + F.col("_before")).drop("_at", "_part", "_before")
 
 
-def average_rank(value: Column, window) -> Column:
-    """1-based rank with ties averaged. ``window``: partitioned, not ordered."""
-    ordered = window.orderBy(value)
-    return F.rank().over(ordered) + (F.count("*").over(window.partitionBy(value) if window is Window else window) - 1) / 2
+#: Up to so many values an exact aggregate is taken; beyond, the values are narrowed down first.
+FEW_VALUES, BAND, BINS = 1_000_000, 10_000, 4_096
+
+
+def value_at(df: DataFrame, column: str, place: int) -> float:
+    """The value at a 0-based place of a column's finite, not null values in order: each pass counts them in BINS bins of the
+    interval that must hold it, until the interval has BAND values or one."""
+    x = df.select(F.col(column).cast("double").alias("x"))
+    got = x.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    n, low, high = got.n, got.low, got.high
+    while n > BAND and high > low:
+        width = (high - low) / BINS
+        if not low + width > low:
+            break
+        inside = x.where((F.col("x") >= low) & (F.col("x") <= high))
+        bins = inside.groupBy(F.least(F.floor((F.col("x") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: r.bin):  # BINS rows at most
+            if place < r.n:
+                n, low, high = r.n, r.low, r.high
+                break
+            place -= r.n
+    values = x.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count("*").alias("n"))
+    for r in values.orderBy("x").toLocalIterator():  # BAND values at most, or one
+        if place < r.n:
+            return r.x
+        place -= r.n
+    raise ValueError("the place is behind the last value")
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """Interpolated linearly between the two nearest values; None without values.  No task holds all of them."""
+    n = df.agg(F.count(column)).first()[0]
+    if not n:
+        return None
+    if n <= FEW_VALUES:
+        return df.agg(F.percentile(F.col(column).cast("double"), F.lit(q))).first()[0]
+    at = q * (n - 1)
+    low = value_at(df, column, int(at))
+    return low if at == int(at) else low + (value_at(df, column, int(at) + 1) - low) * (at - int(at))
+
+
+def median(df: DataFrame, column: str) -> float | None:
+    return quantile(df, column, 0.5)
+
+
+def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """With the 1-based rank of each value, ties sharing their mean: values are counted, and the counts before each one come
+    from a range sort with the offsets of the partitions before."""
+    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    ordered = counts.orderBy(column).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftrightunsigned("_at", 33)
+    own = Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("_part", part)
+    sizes = placed.groupBy("_part").agg(F.sum("_n").alias("_t"))  # a row for each partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    ranks = placed.withColumn("_b", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(F.broadcast(offsets), "_part")
+    return df.join(ranks.select(column, (F.col("_b") + F.col("_o") + (F.col("_n") + 1) / 2).alias(name)), column)

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import order
 from ..functions.order import positions
-from . import residual
 
 EPS = 1e-12
 
@@ -28,21 +28,25 @@ def balanced_gap(df: DataFrame, column: str, key: str, least_share: float = 0.1,
     Sorted positions come from a range sort; gaps and their neighbours from shifted joins on the position, so no
     task holds all rows.  A gap's ratio is its width over the median of the positive gaps within w places on
     either side (floored at a quarter of the median positive gap); the least ratio over the windows
-    counts, weighted by 4q(1 - q) for the share q below the gap."""
-    rows = positions(df.select(key, F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x) and abs(x) < double('inf')"), "x", key)
-    n = rows.count()
-    if n < 12:
-        return df.sparkSession.createDataFrame([(0.0,)], "evidence double")
+    counts, weighted by 4q(1 - q) for the share q below the gap.  Fewer than 12 rows, or a null, NaN or infinite value
+    anywhere, give 0."""
+    zero = df.sparkSession.createDataFrame([(0.0,)], "evidence double")
+    x = df.select(key, F.col(column).cast("double").alias("x"))
+    got = x.agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf"))).alias("bad")).first()
+    n = got.n
+    if n < 12 or got.bad:
+        return zero
+    rows = positions(x, "x", key)
     after = rows.select((F.col("pos") - 1).alias("pos"), F.col("x").alias("next"))
     gaps = rows.join(after, "pos").select("pos", (F.col("next") - F.col("x")).alias("gap")).persist()
-    positive = gaps.where("gap > 0").agg(F.median("gap").alias("m")).first().m
+    positive = order.median(gaps.where(F.col("gap") > EPS), "gap")
     if positive is None:
         gaps.unpersist()
-        return df.sparkSession.createDataFrame([(0.0,)], "evidence double")
+        return zero
     floor = max(0.25 * positive, EPS)
     widest = max(windows)
-    low, high = int(np.ceil(least_share * n)), int(np.floor((1 - least_share) * n))
-    cuts = gaps.where((F.col("pos") + 1 >= low) & (F.col("pos") + 1 <= high))
+    low, high = max(1, int(np.ceil(least_share * n))), min(n - 1, int(np.floor((1 - least_share) * n)))
+    cuts = gaps.where((F.col("pos") + 1 >= low) & (F.col("pos") + 1 <= high) & (F.col("gap") > EPS))
     near = gaps.where(F.col("gap") > EPS).select(F.col("pos").alias("at"), F.col("gap").alias("other"))
     shifts = cuts.select("pos", "gap", F.explode(F.sequence(F.lit(-widest), F.lit(widest))).alias("s")).where("s <> 0")
     met = shifts.withColumn("at", F.col("pos") + F.col("s")).join(near, "at")
@@ -58,46 +62,17 @@ def balanced_gap(df: DataFrame, column: str, key: str, least_share: float = 0.1,
 
 
 def rank01(values: Sequence[float]) -> np.ndarray:
-    """Average ranks scaled to 0..1; a single value has 1."""
+    """Average ranks scaled to 0..1; a single value has 0.  One entry for each feature."""
     x = np.asarray(values, float)
-    if len(x) == 1:
-        return np.ones(1)
-    order = np.argsort(x, kind="stable")
-    ranks = np.empty(len(x))
-    _, inverse, times = np.unique(x[order], return_inverse=True, return_counts=True)
-    first = np.cumsum(times) - times
-    ranks[order] = first[inverse] + (times[inverse] - 1) / 2
-    return ranks / (len(x) - 1)
+    _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(times) - times)[inverse] + (times[inverse] - 1) / 2
+    return ranks / max(len(x) - 1, 1)
 
 
 def fused(effective: Sequence[float], evidence: Sequence[float], weight: float) -> np.ndarray:
     return (1 - weight) * rank01(effective) + weight * rank01(evidence)
 
 
-def substitution_groups(h: np.ndarray, selected: Sequence[int], features: Sequence[str], limit: float = 0.85) -> list[dict]:
-    """For each unselected feature the selected one that it can best stand in for, if it can at all."""
-    out = []
-    for j in range(len(features)):
-        if j not in selected and selected:
-            similar = [residual.substitution(h, selected, r, j) for r in selected]
-            best = int(np.argmax(similar))
-            if similar[best] >= limit:
-                out.append({"representative": features[selected[best]], "member": features[j], "similarity": similar[best]})
-    return out
-
-
-def structural_groups(h: np.ndarray, selected: Sequence[int], features: Sequence[str], limit: float = 0.85) -> list[dict]:
-    """SG01, SG02, ... in order of selection, with members and their similarities."""
-    found = substitution_groups(h, selected, features, limit)
-    out = []
-    for step, r in enumerate(selected, 1):
-        own = [g for g in found if g["representative"] == features[r]]
-        similar = [g["similarity"] for g in own]
-        out.append({"group_id": f"SG{step:02d}", "selection_step": step, "representative": features[r], "members": " | ".join([features[r], *(g["member"] for g in own)]), "n_members": 1 + len(own),
-                    "is_singleton": not own, "mean_similarity": sum(similar) / len(similar) if own else None, "min_similarity": min(similar, default=None)})
-    return out
-
-
 def substitution_labels(selected: Sequence[int], groups: dict[int, Sequence[int]]) -> set[int]:
     """Group numbers of the selected features; features without a group are labelled by themselves."""
     of = {j: g for g, r in enumerate(sorted(groups)) for j in (r, *groups[r])}
@@ -114,14 +89,21 @@ def jaccard(a, b) -> float:
 
 
 def group_coverage(selected: Sequence[int], groups: Sequence[Sequence[int]]) -> float | None:
+    """Share of the groups that are hit; none without groups."""
     return sum(bool(set(selected) & set(g)) for g in groups) / len(groups) if groups else None
 
 
-def redundancy_rate(selected: Sequence[int], groups: Sequence[Sequence[int]]) -> float:
+def redundancy_rate(selected: Sequence[int], groups: Sequence[Sequence[int]], over: str = "hits") -> float | None:
+    """Hits beyond the first of each group, over all hits or (over="selected") over the selected features."""
+    if not groups:
+        return None
     hits = [len(set(selected) & set(g)) for g in groups]
-    return sum(max(0, h - 1) for h in hits) / max(sum(hits), 1)
+    return sum(max(0, h - 1) for h in hits) / max(sum(hits) if over == "hits" else len(set(selected)), 1)
 
 
-def relevant_precision(selected: Sequence[int], groups: Sequence[Sequence[int]]) -> float:
+def relevant_precision(selected: Sequence[int], groups: Sequence[Sequence[int]]) -> float | None:
+    """0 for an empty selection."""
+    if not groups:
+        return None
     truth = {j for g in groups for j in g}
     return len(set(selected) & truth) / len(set(selected)) if selected else 0.0

@@ -27,21 +27,18 @@ def implementation_kind(source: Column) -> Column:
 def audit(records: DataFrame) -> DataFrame:
     """With ``status``, ``eligible`` and ``reasons``.
 
-    FAIL: a step used the target, or the raw features are gone.  Else REVIEW: provenance or source_uri is missing,
-    or a flag is null.  Else PASS.  A missing flag column is false, a missing raw_feature_space_preserved true, a
-    missing provenance_complete false."""
-    has = lambda c, default: F.col(c) if c in records.columns else F.lit(default)
+    FAIL: a step used the target, or the raw features are gone.  Else REVIEW: provenance or source_uri is missing.
+    Else PASS.  A null flag is false, so a null raw_feature_space_preserved fails; without its column a flag is false,
+    raw_feature_space_preserved true and provenance_complete false."""
+    has = lambda c, default: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in records.columns else F.lit(default)
     used = [has(c, False) for c in USED_LABELS]
-    raw, complete = has("raw_feature_space_preserved", True), F.coalesce(has("provenance_complete", False), F.lit(False))
-    uri = F.trim(F.coalesce(has("source_uri", ""), F.lit("")))
-    unknown = F.greatest(*(u.isNull() for u in used), raw.isNull())
+    raw, complete = has("raw_feature_space_preserved", True), has("provenance_complete", False)
+    uri = F.trim(F.coalesce(F.col("source_uri") if "source_uri" in records.columns else F.lit(""), F.lit("")))
     reasons = [
         *(F.when(u, F.lit(f"{c} is set")) for c, u in zip(USED_LABELS, used, strict=True)),
         F.when(~raw, F.lit("raw features are not preserved")),
         F.when(~complete, F.lit("provenance is incomplete")),
         F.when(uri == "", F.lit("source_uri is missing")),
-        F.when(unknown, F.lit("a flag is unknown")),
     ]
-    failed = F.coalesce(F.greatest(*(F.coalesce(u, F.lit(False)) for u in used), ~F.coalesce(raw, F.lit(True))), F.lit(False))
-    status = F.when(failed, "FAIL").when(~complete | (uri == "") | unknown, "REVIEW").otherwise("PASS")
+    status = F.when(F.greatest(*used, ~raw), "FAIL").when(~complete | (uri == ""), "REVIEW").otherwise("PASS")
     return records.withColumns({"status": status, "eligible": status == "PASS", "reasons": F.array_compact(F.array(*reasons))})

@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2_000
+from . import scaling
+
+EPS = 1e-12
+BLOCK_ROWS, ASKED = 2_000, 500
 
 
 def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
@@ -30,11 +33,19 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFra
         order = np.argsort(qb)
         qb, b = qb[order], b[order]
         out = []
-        for i in range(len(qa)):
-            d = ((b - a[i]) ** 2).sum(1)
-            best = np.argsort(d, kind="stable")[: k + 1]
-            best = best[qb[best] != qa[i]][:k]
-            out.append(pa.table([pa.array(np.full(len(best), qa[i])), pa.array(qb[best]), pa.array(d[best])], names=["a", "b", "d2"]))
+        for begin in range(0, len(qa), ASKED):
+            own, x = qa[begin : begin + ASKED], a[begin : begin + ASKED]
+            # The product says which may be among the nearest (its error is far below the slack), the differences which are.
+            near = (x * x).sum(1)[:, None] + (b * b).sum(1) - 2 * (x @ b.T)
+            near[own[:, None] == qb] = np.inf
+            reach = np.partition(near, min(k, len(qb)) - 1, axis=1)[:, min(k, len(qb)) - 1] if len(qb) else np.zeros(0)
+            row, col = np.nonzero((near <= (reach + 1e-9 * (1 + np.abs(reach)))[:, None]) & np.isfinite(near))
+            d = ((x[row] - b[col]) ** 2).sum(1)
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < k
+            out.append(pa.table([pa.array(own[row[best]]), pa.array(qb[col[best]]), pa.array(d[best])], names=["a", "b", "d2"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["a", "b", "d2"])
 
     found = left.unionByName(right).groupBy("x", "y").applyInArrow(compare, "a long, b long, d2 double")
@@ -43,11 +54,12 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFra
 
 
 def heat_graph(edges: DataFrame, t: float | None = None) -> DataFrame:
-    """a, b, w in both directions: exp(-d2 / t) of an edge that either end has; t: median of the positive d2."""
+    """a, b, w in both directions: exp(-d2 / t) of an edge that either end has; t: median of the positive d2.  Columns are
+    expected to be standardised."""
     if t is None:
         t = edges.where("d2 > 0").agg(F.median("d2").alias("t")).first().t or 1.0
     both = edges.select("a", "b", "d2").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d2"))
-    return both.groupBy("a", "b").agg(F.max(F.exp(-F.col("d2") / F.lit(t))).alias("w"))
+    return both.groupBy("a", "b").agg(F.max(F.exp(-F.col("d2") / F.lit(max(t, EPS)))).alias("w"))
 
 
 def laplacian_scores(graph: DataFrame, df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
@@ -59,9 +71,9 @@ def laplacian_scores(graph: DataFrame, df: DataFrame, key: str, features: Sequen
     weighted = degree.join(x, "a")
     sums = [F.sum("d").alias("total"), *(F.sum(F.col("d") * F.col(f"x{i}")).alias(f"s{i}") for i in range(len(features)))]
     means = weighted.agg(*sums).first()
-    centred = [F.sum(F.col("d") * (F.col(f"x{i}") - F.lit(means[f"s{i}"] / means.total)) * (F.col(f"x{i}") - F.lit(means[f"s{i}"] / means.total))).alias(f"d{i}") for i in range(len(features))]
+    centred = [F.sum(F.col("d") * (F.col(f"x{i}") - F.lit(means[f"s{i}"] / (means.total + EPS))) * (F.col(f"x{i}") - F.lit(means[f"s{i}"] / (means.total + EPS)))).alias(f"d{i}") for i in range(len(features))]
     mass = weighted.agg(*centred).first()
-    return df.sparkSession.createDataFrame([(c, cut[f"l{i}"] / max(mass[f"d{i}"], 1e-12)) for i, c in enumerate(features)], "feature string, score double")
+    return df.sparkSession.createDataFrame([(c, cut[f"l{i}"] / (mass[f"d{i}"] + EPS)) for i, c in enumerate(features)], "feature string, score double")
 
 
 def preserved(full: DataFrame, part: DataFrame, k: int) -> DataFrame:
@@ -69,3 +81,16 @@ def preserved(full: DataFrame, part: DataFrame, k: int) -> DataFrame:
     kept = full.join(part.select("a", "b"), ["a", "b"], "left_semi")
     total = full.agg(F.count("*").alias("n"))
     return kept.agg(F.count("*").alias("k")).join(total).select((F.col("k") / F.col("n")).alias("preservation"))  # one row each
+
+
+def preservation(df: DataFrame, key: str, features: Sequence[str], selected: Sequence[str], k: int = 10) -> DataFrame:
+    """preservation of the selected columns, both spaces standardised: null without selected columns or with fewer than
+    three rows, 1 if all are selected."""
+    spark = df.sparkSession
+    if set(selected) == set(features):
+        return spark.createDataFrame([(1.0,)], "preservation double")
+    n = df.count()
+    if not selected or n < 3:
+        return spark.createDataFrame([(None,)], "preservation double")
+    z, k = scaling.mean_sd(df, features).apply(df), min(k, n - 1)
+    return preserved(nearest(z, key, features, k), nearest(z, key, selected, k), k)

@@ -46,11 +46,12 @@ def friedman(ranks: DataFrame) -> dict:
     return {"n": n, "k": k, "chi2": chi2, "p": None if chi2 is None else special.chi2_sf(chi2, k - 1)}
 
 
-def signed_ranks(scores: DataFrame, reference: str) -> DataFrame:
+def signed_ranks(scores: DataFrame, reference: str, higher_is_better: bool = True) -> DataFrame:
     """method, n (differences that are not zero), zeros, plus, minus, statistic, rank_biserial, ties of the
-    reference against each other method."""
+    reference against each other method, with means and the median of the differences (positive: the reference is better)."""
     base = scores.where(F.col("method") == reference).select("dataset", F.col("score").alias("base"))
-    diff = scores.where(F.col("method") != reference).join(base, "dataset").select("method", (F.col("base") - F.col("score")).alias("d"))
+    better = F.col("base") - F.col("score") if higher_is_better else F.col("score") - F.col("base")
+    diff = scores.where(F.col("method") != reference).join(base, "dataset").select("method", "base", "score", better.alias("d"))
     live = diff.where("d <> 0").withColumn("a", F.abs("d"))
     tied = F.count("*").over(Window.partitionBy("method", "a"))
     live = live.withColumn("t", tied).withColumn("r", F.rank().over(Window.partitionBy("method").orderBy("a")) + (tied - 1) / 2)
@@ -61,8 +62,11 @@ def signed_ranks(scores: DataFrame, reference: str) -> DataFrame:
         F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(zero)).alias("minus"),
         F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"),
     )
-    every = diff.groupBy("method").agg(F.count_if(F.col("d") == 0).alias("zeros"))
-    rows = every.join(sums, "method", "left").na.fill(0)
+    every = diff.groupBy("method").agg(
+        F.count_if(F.col("d") == 0).alias("zeros"), F.count("*").alias("n_datasets"), F.max(F.abs("d")).alias("largest"),
+        F.avg("base").alias("mean_reference"), F.avg("score").alias("mean_competitor"), F.avg("d").alias("mean_difference"), F.percentile("d", F.lit(0.5)).alias("median_difference"),
+    )
+    rows = every.join(sums, "method", "left").na.fill(0, ["n", "plus", "minus", "ties"])
     return rows.withColumn("statistic", F.least("plus", "minus")).withColumn("rank_biserial", F.when(F.col("n") > 0, (F.col("plus") - F.col("minus")) / (F.col("plus") + F.col("minus"))).otherwise(zero))
 
 
@@ -82,11 +86,18 @@ def holm_frame(rows: DataFrame, p: str = "p") -> DataFrame:
     return stepped.withColumn("p_holm", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def compare_methods(rows: DataFrame, dataset: str, method: str, metric: str, reference: str, higher_is_better: bool = True) -> dict:
-    """omnibus, mean_ranks, posthoc (a row for each other method, Holm-adjusted), dataset_scores, dataset_ranks."""
+def compare_methods(rows: DataFrame, dataset: str, method: str, metric: str, reference: str, higher_is_better: bool = True, alpha: float = 0.05) -> dict:
+    """omnibus, mean_ranks, posthoc (a row for each other method, Holm-adjusted, the smallest p first), dataset_scores,
+    dataset_ranks.  Differences that are all within 1e-8 of zero have statistic 0 and p 1."""
     scores = complete(dataset_scores(rows, dataset, method, metric)).persist()
     ranks = ranked(scores, higher_is_better)
-    found = signed_ranks(scores, reference).orderBy("method").collect()
-    p = [1.0 if not r.n else special.wilcoxon_p(r.statistic, r.n, r.ties, not r.zeros and not r.ties and r.n <= 50) for r in found]
-    posthoc = [{"method": r.method, "n": r.n, "statistic": r.statistic, "rank_biserial": r.rank_biserial, "p": a, "p_holm": b} for r, a, b in zip(found, p, holm(p), strict=True)]
+    posthoc = []
+    for r in signed_ranks(scores, reference, higher_is_better).orderBy("method").collect():  # a row for each method
+        same = r.largest <= 1e-8 or not r.n
+        p = 1.0 if same else special.wilcoxon_p(r.statistic, r.n, r.ties, not r.zeros and not r.ties and r.n <= 50)
+        names = ("n", "n_datasets", "mean_reference", "mean_competitor", "mean_difference", "median_difference", "rank_biserial")
+        posthoc.append({"method": r.method, **{c: r[c] for c in names}, "statistic": 0.0 if same else r.statistic, "p": p})
+    for row, p in zip(posthoc, holm([r["p"] for r in posthoc]), strict=True):
+        row |= {"p_holm": p, "significant_holm": p < alpha}
+    posthoc.sort(key=lambda r: (r["p_holm"], r["method"]))
     return {"omnibus": friedman(ranks), "mean_ranks": ranks.groupBy("method").agg(F.avg("rank").alias("mean_rank")), "posthoc": posthoc, "dataset_scores": scores, "dataset_ranks": ranks}

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, governance, neighbours, pairs, prepare, ranks, residual, scaling
+from ..operators import evidence, governance, groups, neighbours, pairs, prepare, ranks, residual, scaling
 from ..operators import support as supports
 from ..operators.selector import GeometrySelector
 from ..sources.matrix import Matrix, array_columns, matrix
 from . import oracle
 
-WIDTH, PAIRS, DRAWS = oracle.DIMS, 2_000, 20
+#: Components of embeddings in the SQL; pairs and draws of queries that permute, and pairs of those that don't.
+WIDTH, PAIRS, DRAWS, MANY_PAIRS = oracle.DIMS, 8_000, 20, GeometrySelector.max_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,9 +24,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 @dataclass(frozen=True)
 class Size:
-    """How many components of the vectors, pairs of rows and draws of the null a query takes."""
+    """Components of the vectors (all that the table has), pairs of rows and draws of the null of a query."""
 
-    width: int = WIDTH
+    width: int
     pairs: int = PAIRS
     draws: int = DRAWS
 
@@ -34,16 +35,6 @@ class Size:
         return tuple(f"f{k}" for k in range(self.width))
 
 
-#: What the SQL states.
-SLICE = Size()
-
-
-def whole(spark: SparkSession, sf_dir: str) -> Size:
-    """All components, and the selector's own numbers of pairs and draws."""
-    width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
-    return Size(width, GeometrySelector.max_pairs, GeometrySelector.n_permutations)
-
-
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -54,16 +45,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def embedded(sql: str | None = None) -> Callable[[Query], Query]:
-    """A query over embeddings takes its Size last.  One with SQL is registered at the SQL's size and, as
-    NAME_whole, over the whole table; one without SQL over the whole table only.  null_statistics and
-    effective_support are not among them: the relational engine makes draws * pairs rows of all
-    components, and effective_support_arrow has the same numbers."""
+def embedded(sql: str | None = None, pairs: int = PAIRS, whole: bool = False) -> Callable[[Query], Query]:
+    """A query over all rows and components of embeddings takes its Size last.  ``whole``: also registered as
+    NAME_whole, with the selector's default numbers of pairs and draws, for which SQL is too slow."""
 
     def register(f: Query) -> Query:
-        name = f"{f.__name__}_whole" if sql else f.__name__
-        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, whole(spark, sf_dir))
-        return query(sql)(f) if sql else f
+        def sized(pairs: int, draws: int) -> Query:
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+                return f(spark, sf_dir, Size(width, pairs, draws))
+
+            run.__name__ = f.__name__
+            return run
+
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = sized(GeometrySelector.max_pairs, GeometrySelector.n_permutations)
+        return query(sql)(sized(pairs, DRAWS))
 
     return register
 
@@ -109,7 +106,7 @@ def wide(expression: str) -> str:
 
 
 @embedded(f"WITH {oracle.matrix()}, {oracle.robust()} SELECT vec_id, {wide('round(f{k}, 6) AS f{k}')} FROM z")
-def scale_robust(spark, sf_dir, size=SLICE):
+def scale_robust(spark, sf_dir, size):
     x = source(spark, sf_dir, size)
     return rounded(scaling.robust(x.data, size.features).apply(x.data).select("vec_id", *size.features), *size.features)
 
@@ -146,25 +143,25 @@ def pairs_all(spark, sf_dir):
     return pairs.all_pairs(spark, table(spark, sf_dir, "supplier").count())
 
 
-@embedded(f"WITH {oracle.matrix()}, {oracle.balanced('vec_id', PAIRS)} SELECT pair_id, i, j FROM pairs")
-def pairs_balanced(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.matrix()}, {oracle.balanced('vec_id', MANY_PAIRS)} SELECT pair_id, i, j FROM pairs", MANY_PAIRS)
+def pairs_balanced(spark, sf_dir, size):
     x = source(spark, sf_dir, size)
     return pairs.balanced_pairs(x.data.select("vec_id", "pos"), x.rows, size.pairs, 0)
 
 
-@embedded()
+@embedded(pairs=MANY_PAIRS)
 def pairs_random(spark, sf_dir, size):
     x = source(spark, sf_dir, size)
     return pairs.random_pairs(spark, x.rows, size.pairs, 0)
 
 
-@embedded(f"WITH {oracle.base(PAIRS)} SELECT pair_id, i, j, {wide('round(f{k}, 6) AS f{k}')} FROM g")
-def pair_geometry(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.base(MANY_PAIRS)} SELECT pair_id, i, j, {wide('round(f{k}, 6) AS f{k}')} FROM g", MANY_PAIRS)
+def pair_geometry(spark, sf_dir, size):
     return rounded(geometry(spark, sf_dir, size).profiles.select("pair_id", "i", "j", *size.features), *size.features)
 
 
-@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()}, {oracle.observed()} SELECT feature, round(aff.v, 6) AS affinity, round(cov.v, 6) AS coverage FROM aff JOIN cov USING (feature)")
-def affinity_coverage(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.base(MANY_PAIRS)}, {oracle.profiles()}, {oracle.observed()} SELECT feature, round(aff.v, 6) AS affinity, round(cov.v, 6) AS coverage FROM aff JOIN cov USING (feature)", MANY_PAIRS)
+def affinity_coverage(spark, sf_dir, size):
     g = geometry(spark, sf_dir, size)
     rest = supports.rest_profiles(g.profiles, size.features)
     aff = supports.unpivoted(supports.affinities(g.profiles, rest, size.features), size.features, "affinity")
@@ -172,20 +169,20 @@ def affinity_coverage(spark, sf_dir, size=SLICE):
     return rounded(aff.join(cov, "feature"), "affinity", "coverage")
 
 
-@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()} SELECT pair_id, {wide('round(r{k} * 1000, 6) AS f{k}')} FROM rest")
-def leave_one_out(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.base(MANY_PAIRS)}, {oracle.profiles()} SELECT pair_id, {wide('round(r{k} * 1000, 6) AS f{k}')} FROM rest", MANY_PAIRS)
+def leave_one_out(spark, sf_dir, size):
     rest = supports.rest_profiles(geometry(spark, sf_dir, size).profiles, size.features)
     return rest.select("pair_id", *(r6(F.col(c) * 1000).alias(c) for c in size.features))
 
 
 @embedded(f"WITH {oracle.matrix()}, {oracle.bank(DRAWS)} SELECT CAST(b AS INT) AS b, pos, src FROM bank")
-def permutation_bank(spark, sf_dir, size=SLICE):
+def permutation_bank(spark, sf_dir, size):
     x = source(spark, sf_dir, size)
     return pairs.permutation_bank(x.data.select("vec_id", "pos"), size.draws, 0)
 
 
-@query(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()}, {oracle.bank(DRAWS)}, {oracle.null()} SELECT CAST(b AS INT) AS b, feature, round(naff.v, 6) AS affinity, round(ncov.v, 6) AS coverage FROM naff JOIN ncov USING (b, feature)")
-def null_statistics(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.profiles()}, {oracle.bank(DRAWS)}, {oracle.null()} SELECT CAST(b AS INT) AS b, feature, round(naff.v, 6) AS affinity, round(ncov.v, 6) AS coverage FROM naff JOIN ncov USING (b, feature)")
+def null_statistics(spark, sf_dir, size):
     g = geometry(spark, sf_dir, size)
     bank = pairs.permutation_bank(g.source.data.select("vec_id", "pos"), size.draws, 0)
     rest = supports.rest_profiles(g.profiles, size.features)
@@ -202,36 +199,36 @@ def support_frame(spark, model) -> DataFrame:
     return rounded(df, "affinity", "coverage", "null_median", "null_scale", "adjusted_p").withColumns({c: F.round(c, 4) for c in ("robust_z", "effective_support")})
 
 
-@query(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
-def effective_support(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
+def effective_support(spark, sf_dir, size):
     """The relational engine."""
     return support_frame(spark, fitted(spark, sf_dir, size, engine="relational"))
 
 
-@embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
-def effective_support_arrow(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)", whole=True)
+def effective_support_arrow(spark, sf_dir, size):
     """The Arrow engine: the same numbers."""
     return support_frame(spark, fitted(spark, sf_dir, size, engine="arrow"))
 
 
 @embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT round(t, 4) AS threshold FROM thr")
-def max_null_threshold(spark, sf_dir, size=SLICE):
+def max_null_threshold(spark, sf_dir, size):
     return spark.createDataFrame([(float(fitted(spark, sf_dir, size).threshold),)], "threshold double").select(F.round("threshold", 4).alias("threshold"))
 
 
 # Selection
 
 
-@embedded(f"WITH {oracle.base(PAIRS)}, {oracle.unit_gram()} SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(c, 6) AS c FROM h")
-def unit_gram(spark, sf_dir, size=SLICE):
+@embedded(f"WITH {oracle.base(MANY_PAIRS)}, {oracle.unit_gram()} SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(c, 6) AS c FROM h", MANY_PAIRS)
+def unit_gram(spark, sf_dir, size):
     h = geometry(spark, sf_dir, size).unit_gram
     return spark.createDataFrame([(a, b, float(h[a, b])) for a in range(size.width) for b in range(size.width)], "a int, b int, c double").withColumn("c", r6("c"))
 
 
-@embedded(f"""WITH {oracle.base(PAIRS)}, {oracle.unit_gram()}
+@embedded(f"""WITH {oracle.base(MANY_PAIRS)}, {oracle.unit_gram()}
 SELECT CAST(h.b AS INT) AS feature, round(greatest(0, least(1, (d.c - pow(greatest(h.c / q.c, 0), 2) * q.c) / (d.c + 1e-12))), 6) AS residual
-FROM h JOIN h d ON d.a = h.b AND d.b = h.b JOIN h q ON q.a = 0 AND q.b = 0 WHERE h.a = 0 AND h.b <> 0""")
-def residual_one(spark, sf_dir, size=SLICE):
+FROM h JOIN h d ON d.a = h.b AND d.b = h.b JOIN h q ON q.a = 0 AND q.b = 0 WHERE h.a = 0 AND h.b <> 0""", MANY_PAIRS)
+def residual_one(spark, sf_dir, size):
     """What the first feature's profile leaves unexplained of each other one."""
     rest = list(range(1, size.width))
     found = residual.residuals(geometry(spark, sf_dir, size).unit_gram, [0], rest)
@@ -240,7 +237,7 @@ def residual_one(spark, sf_dir, size=SLICE):
 
 @embedded(f"""WITH {oracle.full(PAIRS, DRAWS)}, {oracle.unit_gram()}, {oracle.greedy_two()}
 SELECT 1 AS step, j AS feature_index, round(r, 6) AS residual_novelty, round(s, 4) AS selection_score FROM s1 UNION ALL SELECT 2, j, round(r, 6), round(s, 4) FROM s2""")
-def select_two(spark, sf_dir, size=SLICE):
+def select_two(spark, sf_dir, size):
     path = fitted(spark, sf_dir, size).path_frame(spark)
     return path.select("step", "feature_index", r6("residual_novelty").alias("residual_novelty"), F.round("selection_score", 4).alias("selection_score"))
 
@@ -249,8 +246,8 @@ def select_two(spark, sf_dir, size=SLICE):
 path AS (SELECT 1 AS step, j, r, s FROM s1 UNION ALL SELECT 2, j, r, s FROM s2)
 SELECT feature, step IS NOT NULL AS selected, CAST(row_number() OVER (ORDER BY coalesce(step, 99), eff DESC, e.j) AS INT) AS rank, round(zr, 4) AS support_z, round(cov, 6) AS sample_coverage,
   round(eff, 4) AS effective_support, round(p, 6) AS max_null_adjusted_p, round(r, 6) AS residual_novelty_at_selection, round(coalesce(s, 0), 4) AS selection_score
-FROM e LEFT JOIN path ON path.j = e.j JOIN adj USING (feature)""")
-def feature_report(spark, sf_dir, size=SLICE):
+FROM e LEFT JOIN path ON path.j = e.j JOIN adj USING (feature)""", whole=True)
+def feature_report(spark, sf_dir, size):
     """The flagship query: a fit from scaling to the report of all features."""
     report = fitted(spark, sf_dir, size).report(spark).drop("conservative_step_p")
     return rounded(report, "sample_coverage", "max_null_adjusted_p", "residual_novelty_at_selection").withColumns({c: F.round(c, 4) for c in ("support_z", "effective_support", "selection_score")})
@@ -267,8 +264,7 @@ def substitution_groups(spark, sf_dir, size):
     noise = F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000 * 0.01
     df = vectors(spark, sf_dir, size).withColumns({"copy0": F.col("f0") + noise, "copy1": F.col("f1") - noise})
     model = selector(size, n_features=3).fit(df, "vec_id", [*size.features, "copy0", "copy1"])
-    rows = evidence.structural_groups(model.geometry.unit_gram, model.selected, model.features)
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "group_id string, selection_step int, representative string, members string, n_members int, is_singleton boolean, mean_similarity double, min_similarity double")
+    return groups.StructuralGroups(model).report(spark)
 
 
 # Evidence and graphs
@@ -289,34 +285,48 @@ def balanced_gap(spark, sf_dir):
     return rounded(evidence.balanced_gap(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey"), "evidence")
 
 
-KNN = """x AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:8] AS v FROM embeddings),
+# Columns are standardised by mean and population deviation first, as all graphs of rows are.
+KNN = """xl AS MATERIALIZED (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS e, unnest(range(0, len(embedding))) AS k FROM embeddings),
+ml AS MATERIALIZED (SELECT k, avg(e) AS m, CASE WHEN stddev_pop(e) > 1e-12 THEN stddev_pop(e) ELSE 1 END AS s FROM xl GROUP BY k),
+f AS MATERIALIZED (SELECT vec_id, k, (e - m) / s AS x FROM xl JOIN ml USING (k)),
+x AS MATERIALIZED (SELECT vec_id, list(x ORDER BY k) AS v FROM f GROUP BY vec_id),
 d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM x a JOIN x b ON a.vec_id <> b.vec_id),
-e AS MATERIALIZED (SELECT a, b, d2 FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 5)"""
+e AS MATERIALIZED (SELECT a, b, d2 FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= {k})"""
+HEAT = """t AS (SELECT coalesce(median(d2), 1) AS t FROM e WHERE d2 > 0),
+w AS MATERIALIZED (SELECT a, b, max(exp(-d2 / greatest(t, 1e-12))) AS w FROM (SELECT a, b, d2 FROM e UNION ALL SELECT b, a, d2 FROM e), t GROUP BY a, b)"""
+
+
+def standardised(spark, sf_dir, size) -> DataFrame:
+    df = vectors(spark, sf_dir, size)
+    return scaling.mean_sd(df, size.features).apply(df)
 
 
-@embedded(f"WITH {KNN} SELECT a, b, round(d2, 6) AS d2 FROM e")
-def knn_edges(spark, sf_dir, size=SLICE):
-    return rounded(neighbours.nearest(vectors(spark, sf_dir, size), "vec_id", size.features, 5), "d2")
+@embedded(f"WITH {KNN.format(k=5)} SELECT a, b, round(d2, 6) AS d2 FROM e")
+def knn_edges(spark, sf_dir, size):
+    return rounded(neighbours.nearest(standardised(spark, sf_dir, size), "vec_id", size.features, 5), "d2")
 
 
-@embedded(f"""WITH {KNN}, t AS (SELECT median(d2) AS t FROM e WHERE d2 > 0),
-w AS MATERIALIZED (SELECT a, b, max(exp(-d2 / t)) AS w FROM (SELECT a, b, d2 FROM e UNION ALL SELECT b, a, d2 FROM e), t GROUP BY a, b),
-dg AS (SELECT a, sum(w) AS d FROM w GROUP BY a), f AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 8)) AS k FROM x),
-mu AS (SELECT k, sum(d * x) / sum(d) AS m FROM f JOIN dg ON dg.a = vec_id GROUP BY k), ms AS (SELECT k, sum(d * (x - m) * (x - m)) AS den FROM f JOIN dg ON dg.a = vec_id JOIN mu USING (k) GROUP BY k),
+@embedded(f"WITH {KNN.format(k=7)}, {HEAT} SELECT a, b, round(w, 6) AS w FROM w")
+def heat_graph(spark, sf_dir, size):
+    return rounded(neighbours.heat_graph(neighbours.nearest(standardised(spark, sf_dir, size), "vec_id", size.features, 7)), "w")
+
+
+@embedded(f"""WITH {KNN.format(k=5)}, {HEAT}, dg AS (SELECT a, sum(w) AS d FROM w GROUP BY a),
+mu AS (SELECT k, sum(d * x) / (sum(d) + 1e-12) AS m FROM f JOIN dg ON dg.a = vec_id GROUP BY k), ms AS (SELECT k, sum(d * (x - m) * (x - m)) AS den FROM f JOIN dg ON dg.a = vec_id JOIN mu USING (k) GROUP BY k),
 cut AS (SELECT u.k, 0.5 * sum(w * (u.x - v.x) * (u.x - v.x)) AS num FROM w JOIN f u ON u.vec_id = a JOIN f v ON v.vec_id = b AND v.k = u.k GROUP BY u.k)
-SELECT 'f' || k AS feature, round(num / greatest(den, 1e-12), 6) AS score FROM cut JOIN ms USING (k)""")
-def laplacian_score(spark, sf_dir, size=SLICE):
-    df = vectors(spark, sf_dir, size)
+SELECT 'f' || k AS feature, round(num / (den + 1e-12), 6) AS score FROM cut JOIN ms USING (k)""")
+def laplacian_score(spark, sf_dir, size):
+    df = standardised(spark, sf_dir, size)
     graph = neighbours.heat_graph(neighbours.nearest(df, "vec_id", size.features, 5))
     return rounded(neighbours.laplacian_scores(graph, df, "vec_id", size.features), "score")
 
 
-@embedded(f"""WITH {KNN}, d4 AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v[1:4], b.v[1:4]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM x a JOIN x b ON a.vec_id <> b.vec_id),
-e4 AS (SELECT a, b FROM d4 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 5)
+@embedded(f"""WITH {KNN.format(k=10)}, d4 AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v[1:32], b.v[1:32]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM x a JOIN x b ON a.vec_id <> b.vec_id),
+e4 AS (SELECT a, b FROM d4 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) <= 10)
 SELECT round(count(e4.a) / CAST(count(*) AS DOUBLE), 6) AS preservation FROM e LEFT JOIN e4 USING (a, b)""")
-def knn_preservation(spark, sf_dir, size=SLICE):
-    df = vectors(spark, sf_dir, size)
-    return rounded(neighbours.preserved(neighbours.nearest(df, "vec_id", size.features, 5), neighbours.nearest(df, "vec_id", size.features[: size.width // 2], 5), 5), "preservation")
+def knn_preservation(spark, sf_dir, size):
+    """Of the first half of the components."""
+    return rounded(neighbours.preservation(vectors(spark, sf_dir, size), "vec_id", size.features, size.features[: size.width // 2]), "preservation")
 
 
 # Statistics: data sets are nations, methods market segments, the metric account balances

@@ -3,7 +3,7 @@ expressions; a query joins the ones it needs."""
 
 from __future__ import annotations
 
-DIMS = 8
+DIMS = 64
 
 
 def matrix(width: int = DIMS, table: str = "embeddings") -> str:
@@ -98,8 +98,9 @@ adj AS MATERIALIZED (SELECT feature, (1 + (SELECT count(*) FROM mx WHERE mx.eff
 
 def unit_gram(width: int = DIMS) -> str:
     """h: a, b (feature numbers), c."""
-    terms = " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b, sum(f{a} * f{b}) AS c FROM g" for a in range(width) for b in range(width))
-    return f"""gm AS MATERIALIZED ({terms}), nr AS MATERIALIZED (SELECT a, sqrt(c) + 1e-12 AS s FROM gm WHERE a = b),
+    values = ", ".join(f"f{k}" for k in range(width))
+    return f"""gl2 AS MATERIALIZED (SELECT pair_id, unnest(range(0, {width})) AS a, unnest([{values}]) AS v FROM g),
+gm AS MATERIALIZED (SELECT u.a, w.a AS b, sum(u.v * w.v) AS c FROM gl2 u JOIN gl2 w USING (pair_id) GROUP BY u.a, w.a), nr AS MATERIALIZED (SELECT a, sqrt(c) + 1e-12 AS s FROM gm WHERE a = b),
 h AS MATERIALIZED (SELECT gm.a, gm.b, c / u.s / w.s AS c FROM gm JOIN nr u ON u.a = gm.a JOIN nr w ON w.a = gm.b)"""
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,15 +67,6 @@ def read_csv(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> Dat
     return df
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """A two-dimensional NPY file, as row_id and x0, x1, ...; the file is read on the driver."""
-    x = np.load(path, allow_pickle=False)
-    if x.ndim != 2:
-        raise MatrixError("a two-dimensional array is needed")
-    names = [f"x{i}" for i in range(x.shape[1])]
-    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, " + ", ".join(f"{c} double" for c in names))
-
-
 def array_columns(df: DataFrame, column: str, width: int, prefix: str = "f") -> DataFrame:
     """An array column as ``width`` columns beside the others."""
     return df.select(*(c for c in df.columns if c != column), *(F.col(column)[i].cast("double").alias(f"{prefix}{i}") for i in range(width)))
@@ -86,11 +75,3 @@ def array_columns(df: DataFrame, column: str, width: int, prefix: str = "f") ->
 def write_selected(df: DataFrame, selected: Sequence[str], path: str, kind: str = "parquet") -> None:
     """The selected columns, in the order of the table."""
     df.select([c for c in df.columns if c in set(selected)]).write.mode("overwrite").option("header", True).format(kind).save(path)
-
-
-def write_json(report: dict, path: str) -> str:
-    """Sorted keys, UTF-8; returns the text."""
-    text = json.dumps(report, sort_keys=True, indent=2, ensure_ascii=False)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text + "\n")
-    return text
