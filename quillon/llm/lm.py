@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -163,26 +164,34 @@ class Outputs:
         return logs, states
 
 
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """(3, ..., HIDDEN): the parts for update, reset and candidate, each in one piece."""
+    return np.ascontiguousarray(np.moveaxis(weights.reshape(*weights.shape[:-1], 3, -1), -2, 0))
+
+
 def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
     """Summed negative log-likelihood of targets (steps, batch; -1: none) and its gradients, by
     backpropagation through these steps from ``state`` (batch, HIDDEN; None: zero), which becomes
-    that after the last step."""
+    that after the last step.  An input START begins a document: the state before it is zero."""
     (steps, batch), h, kind = inputs.shape, HIDDEN, m.embed.dtype
     hid = np.zeros((steps + 1, batch, h), kind)
     if state is not None:
         hid[0] = state
-    x = (m.embed @ m.inward + m.bias)[inputs]
-    gates, c, rec, gap = (np.empty((steps, batch, w), kind) for w in (2 * h, h, h, h))
+    fresh = [np.flatnonzero(row) for row in inputs == START]
+    x, across = by_gate(m.embed @ m.inward + m.bias)[:, inputs], by_gate(m.across)
+    gates, c, rec, gap = np.empty((steps, 2, batch, h), kind), *(np.empty((steps, batch, h), kind) for _ in range(3))
     for t in range(steps):
-        u = hid[t] @ m.across
-        np.add(x[t, :, : 2 * h], u[:, : 2 * h], out=gates[t])
+        if len(fresh[t]):
+            hid[t, fresh[t]] = 0  # the step before had no target there
+        u = np.matmul(hid[t], across)
+        np.add(x[:2, t], u[:2], out=gates[t])
         sigmoid_in_place(gates[t])
-        rec[t] = u[:, 2 * h :]
-        np.multiply(gates[t, :, h:], rec[t], out=c[t])
-        c[t] += x[t, :, 2 * h :]
+        rec[t] = u[2]
+        np.multiply(gates[t, 1], rec[t], out=c[t])
+        c[t] += x[2, t]
         np.tanh(c[t], out=c[t])
         np.subtract(hid[t], c[t], out=gap[t])
-        np.multiply(gates[t, :, :h], gap[t], out=hid[t + 1])
+        np.multiply(gates[t, 0], gap[t], out=hid[t + 1])
         hid[t + 1] += c[t]
     if state is not None:
         state[:] = hid[-1]
@@ -195,28 +204,38 @@ def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray
     out = np.zeros((steps * batch, h), kind)
     out[live] = found
     out = out.reshape(steps, batch, h)
-    z, r = gates[:, :, :h], gates[:, :, h:]
+    z, r = gates[:, 0], gates[:, 1]
     to_c, to_z, to_r = (1 - z) * (1 - c * c), gap * z * (1 - z), rec * r * (1 - r)
-    dx, du = np.empty_like(x), np.empty_like(x)
-    carry, back = np.zeros((batch, h), kind), np.ascontiguousarray(m.across.T)
+    dx, last = np.empty((3, steps, batch, h), kind), np.empty((steps, batch, h), kind)
+    carry, back = np.zeros((batch, h), kind), np.ascontiguousarray(np.swapaxes(across, 1, 2))
     for t in range(steps - 1, -1, -1):
-        o, d = out[t], dx[t]
+        o = out[t]
         o += carry
-        np.multiply(o, to_c[t], out=d[:, 2 * h :])
-        np.multiply(o, to_z[t], out=d[:, :h])
-        np.multiply(d[:, 2 * h :], to_r[t], out=d[:, h : 2 * h])
-        du[t, :, : 2 * h] = d[:, : 2 * h]
-        np.multiply(d[:, 2 * h :], r[t], out=du[t, :, 2 * h :])
-        carry = du[t] @ back
+        dz, dr, dc = dx[0, t], dx[1, t], dx[2, t]
+        np.multiply(o, to_c[t], out=dc)
+        np.multiply(o, to_z[t], out=dz)
+        np.multiply(dc, to_r[t], out=dr)
+        np.multiply(dc, r[t], out=last[t])
+        carry = dz @ back[0]
+        carry += dr @ back[1]
+        carry += last[t] @ back[2]
         o *= z[t]
         carry += o
-    g.across[:] = hid[:-1].reshape(-1, h).T @ du.reshape(-1, 3 * h)
+        if len(fresh[t]):
+            carry[fresh[t]] = 0
+    before = hid[:-1].reshape(-1, h).T
+    for k, d in enumerate((dx[0], dx[1], last)):
+        g.across[:, k * h : (k + 1) * h] = before @ d.reshape(-1, h)
     seen = inputs.ravel()
+    e = m.embed[seen].T
+    de = np.zeros((steps * batch, h), kind)
+    for k in range(3):
+        d, at = dx[k].reshape(-1, h), slice(k * h, (k + 1) * h)
+        g.bias[at], g.inward[:, at] = d.sum(0), e @ d
+        de += d @ m.inward[:, at].T
     order = np.argsort(seen.astype(np.int16), kind="stable")
     first = run_starts(seen[order])
-    sums, symbols = np.add.reduceat(dx.reshape(-1, 3 * h)[order], first, axis=0), seen[order[first]]
-    g.bias[:], g.inward[:] = sums.sum(0), m.embed[symbols].T @ sums
-    g.embed[symbols] = sums @ m.inward.T
+    g.embed[seen[order[first]]] = np.add.reduceat(de[order], first, axis=0)
     return -float(logs.sum()), g.arrays()
 
 
@@ -248,7 +267,7 @@ class Scorer:
     """Natural-log probabilities of whole symbol sequences under a trained model."""
 
     def __init__(self, m: Gru) -> None:
-        self.m, self.input, self.outputs = m, m.embed @ m.inward + m.bias, Outputs(m)  # input: a row for each symbol
+        self.input, self.across, self.outputs = by_gate(m.embed @ m.inward + m.bias), by_gate(m.across), Outputs(m)  # input: rows by symbol
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(docs))
@@ -260,7 +279,7 @@ class Scorer:
 
     def _batch(self, docs: list[np.ndarray]) -> np.ndarray:
         """Longest first, so that those still running are the first rows."""
-        m, h, sums = self.m, HIDDEN, np.zeros(len(docs))
+        h, sums = HIDDEN, np.zeros(len(docs))
         lengths = np.array([len(d) for d in docs])
         state, before = np.zeros((len(docs), h), np.float32), np.full(len(docs), START)
         for begin in range(0, lengths[0], SCORE_WINDOW):
@@ -273,18 +292,17 @@ class Scorer:
             state, before = state[:alive], before[:alive]
             hidden = np.ones((steps, alive, h + 1), np.float32)
             inputs = np.concatenate([before[None], target[:-1]])
-            x = self.input[inputs]  # a finished row reads some symbol; its states are not used
+            x = self.input[:, inputs]  # a finished row reads some symbol; its states are not used
             for t in range(steps):
-                u = state @ m.across
-                gates = u[:, : 2 * h]
-                gates += x[t, :, : 2 * h]
+                u = np.matmul(state, self.across)
+                gates, c = u[:2], u[2]
+                gates += x[:2, t]
                 sigmoid_in_place(gates)
-                c = u[:, 2 * h :]
-                c *= gates[:, h:]
-                c += x[t, :, 2 * h :]
+                c *= gates[1]
+                c += x[2, t]
                 np.tanh(c, out=c)
                 state = state - c
-                state *= gates[:, :h]
+                state *= gates[0]
                 state += c
                 hidden[t, :, :h] = state
             before = target[-1]
@@ -311,26 +329,13 @@ class Vocabulary:
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """place (-1: not known) and symbol of each word."""
-        place = np.fromiter(map(self.place.get, words, _MINUS), np.int32, len(words))
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
         symbol = self.symbol[place]
         for i in np.flatnonzero(place < 0).tolist():
             symbol[i] = HEAD + tail(words[i])
         return place, symbol
 
 
-class _Minus:
-    """An endless supply of -1 for map()."""
-
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_MINUS = _Minus()
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     """token binary, c: over all rows given."""
 
@@ -427,27 +432,35 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
 
 
-def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Consecutive windows of ``rows`` documents at a time: a block (WINDOW + 1 or fewer steps, live lanes; -1: none),
-    the numbers of its lanes, and which of them begin a document.  A lane whose document ends takes the next."""
-    docs, held, at = iter(docs), [None] * rows, [0] * rows
+def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Consecutive windows of ``rows`` streams of documents, each document with START before it: blocks (WINDOW + 1 or fewer
+    steps, live lanes; -1: none) and the numbers of their lanes.  A lane whose document ends goes on with the next, in the same
+    window; a window's last symbol is the first of the lane's next one."""
+    docs = iter(docs)
+    held: list[np.ndarray] = [np.zeros(0, np.int32)] * rows
+    more = True
     while True:
-        fresh = [False] * rows
         for k in range(rows):
-            if held[k] is not None and at[k] >= len(held[k]) - 1:
-                held[k] = None
-            if held[k] is None:
-                held[k], at[k], fresh[k] = next(docs, None), 0, True
-        live = [k for k in range(rows) if held[k] is not None]
+            if more and len(held[k]) <= WINDOW:
+                parts, size = [held[k]], len(held[k])
+                while size <= WINDOW:
+                    doc = next(docs, None)
+                    if doc is None:
+                        more = False
+                        break
+                    parts.append(doc)
+                    size += len(doc)
+                held[k] = np.concatenate(parts)
+        live = [k for k in range(rows) if len(held[k]) > 1]
         if not live:
             return
-        pieces = [held[k][at[k] : at[k] + WINDOW + 1] for k in live]
+        pieces = [held[k][: WINDOW + 1] for k in live]
         block = np.full((max(map(len, pieces)), len(live)), -1)
         for i, piece in enumerate(pieces):
             block[: len(piece), i] = piece
         for k in live:
-            at[k] += WINDOW
-        yield block, np.array(live), np.array(fresh)[live]
+            held[k] = held[k][WINDOW:]
+        yield block, np.array(live)
 
 
 def train(seen: DataFrame, m: Gru, rounds: int = ROUNDS) -> Gru:
@@ -461,9 +474,8 @@ def train(seen: DataFrame, m: Gru, rounds: int = ROUNDS) -> Gru:
             own = m.filled(shared.value)
             adam, n, states = Adam(own, RATE), 0, np.zeros((BATCH, HIDDEN), np.float32)
             texts = (np.append(np.int32(START), ids) for batch in batches for ids in lists(batch.column("ids")))
-            for block, live, fresh in lanes(texts):
-                states[live[fresh]] = 0
-                state, targets = states[live], block[1:]
+            for block, live in lanes(texts):
+                state, targets = states[live], np.where(block[1:] == START, -1, block[1:])
                 _, grads = gradients(own, np.maximum(block[:-1], 0), targets, state)
                 states[live] = state
                 seen_here = int((targets >= 0).sum())
