@@ -15,7 +15,8 @@
 
 Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, as do
 vectors of different lengths.  Repeated rows are vectors of their own, linked with each
-other.  Rows without vec_id link, but name no component.
+other, also where they share a vec_id; each row has the links of its own vector.  Rows without vec_id link and
+count, but name no component: one that is linked to such rows alone has no component_id.
 """
 
 from __future__ import annotations
@@ -58,11 +59,18 @@ def groups(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         least = after
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector can be compared: as array<float> if it is one, else as array<double>."""
+USABLE = "coalesce(v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(double(x)) < double('inf')) and exists(v, x -> x <> 0), false)"
+
+
+def typed(vectors: DataFrame) -> DataFrame:
+    """vec_id, and v as array<float> if it is one, else as array<double>."""
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
-    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("v"))
-    return v.where("v is not null and vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(double(x)) < double('inf')) and exists(v, x -> x <> 0)")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector can be compared."""
+    return typed(vectors).where(USABLE)
 
 
 def distinct_links(distinct: DataFrame, least_cosine: float) -> DataFrame:
@@ -127,19 +135,14 @@ def _links_of_width(distinct: DataFrame, width: int, rows: int, least_cosine: fl
 def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = usable(vectors)
-    distinct = kept(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    found = kept(distinct_links(distinct, least_cosine))
+    # Distinct vectors are numbered: ids may be shared or missing.  Only real ids are shown.
+    distinct = kept(rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
+    found = kept(distinct_links(distinct.drop("id"), least_cosine))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
-    by_vector = (
-        distinct.join(counted, "rep", "left")
-        .join(joined, "rep", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    of_rows = rows.join(by_vector, "v").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
-    return (
-        vectors.select("vec_id")
-        .join(of_rows, "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    )
+    by_rep = distinct.join(counted, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    real = by_rep.groupBy("component").agg(F.min("id").alias("component_id"))
+    by_vector = by_rep.join(real, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    of_rows = rows.join(by_vector, "v").select("vec_id", "n_links", "component_id")
+    every = of_rows.unionByName(typed(vectors).where(~F.expr(USABLE)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return every.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
