@@ -6,15 +6,19 @@
 2. Signatures are cut into bands; representatives that share a band's values share a bucket.
    Each bucket ties its members to its least one: as many candidate edges as members.  The
    components of these stars are clusters: whoever shares a bucket is in one.
-3. The full shingle sets of a cluster meet in one task, or, if it is large, in one task for each
-   pair of its blocks.  There the exact intersections of all its sets are counted as a matrix
-   product over the shingles that two or more of them hold, so no pair that shares a bucket
-   goes unconfirmed; what leaves the task is each set's least group member, never pairs.
-4. These are joined into components.
+3. The full shingle sets of a small cluster meet in one task.  There the exact intersections of all its sets are
+   counted as a matrix product over the shingles that two or more of them hold; what leaves
+   the task is each set's least group member, never pairs.
+4. In a large cluster the edges of the stars are confirmed first, as many as members.  Whoever is
+   linked to its star's centre needs no more comparisons with those that are too; only buckets
+   whose members are not all joined by then meet in blocks, so no pair that shares a bucket
+   goes unconfirmed.
+5. Confirmed links are joined into components.
 
 Words are lower-cased in A-Z.  A text with fewer words than a shingle has one, all its words;
 null, empty and blank texts have none and link with nothing.  Repeated rows share a
-digest and so a component.  Rows without doc_id are returned with null component and not
+digest and so a component.  Rows with one doc_id and different texts are sets of their own: each has
+the component of its own text.  Rows without doc_id are returned with null component and not
 kept.  Very long texts are one set like any other; blocks are bounded by shingles too.
 """
 
@@ -27,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, kept
-from .text import U64, Words, doc_texts, mix, slices
+from .components import components, kept, written
+from .text import U64, Words, doc_texts, mix, slices, small_batches
 
 BANDS, ROWS = 30, 5
 #: A block's expected documents and shingles; up to how many clustered ids are sent to the documents.
@@ -76,7 +80,7 @@ class OnePermutation:
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest, band keys; the last two null for empty sets."""
+    """doc_id, h (hash of the text), n_shingles, digest, band keys; the last two null for empty sets."""
 
     def run(batches):
         sign = OnePermutation(bands * rows)
@@ -96,11 +100,11 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
                     with np.errstate(over="ignore"):
                         keys.append(mix((v.reshape(bands, rows) * powers).sum(1) + salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "keys"],
+                    [part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "h", "n_shingles", "digest", "keys"],
                 )
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return doc_texts(docs).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, n_shingles long, digest binary, keys array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -136,24 +140,46 @@ def grouped(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         least = after
 
 
-def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links that connect all representatives whose full sets reach the limit within a cluster.
-    clusters: rep, cluster, n (shingles)."""
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    placed = kept(placed)
-    if placed.count() <= SENT_IDS:  # else both sides are shuffled
-        placed = F.broadcast(placed)
+def full_sets(docs: DataFrame, placed: DataFrame, size: int) -> DataFrame:
+    """rep, s (the shingles) of the representatives in ``placed`` (doc_id, digest, rep): of rows with one doc_id the one whose
+    set has that digest."""
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 sets = [s.tobytes() for s in shingle_sets(texts, size)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "blocks", "block")), part.column("doc_id"), pa.array(sets, pa.binary())], ["cluster", "blocks", "block", "rep", "s"])
+                own = [i for i, (s, d) in enumerate(zip(sets, part.column("digest").to_pylist(), strict=True)) if hashlib.blake2b(s, digest_size=16).digest() == d]
+                if own:
+                    yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(own)), pa.array([sets[i] for i in own], pa.binary())], ["rep", "s"])
 
-    rows = doc_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(placed, "doc_id").dropDuplicates(["doc_id"])
-    sets = rows.select("doc_id", "text", "cluster", "blocks", "block").mapInArrow(run, "cluster long, blocks int, block int, rep long, s binary")
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "rep", "s")
+    few = placed.count() <= SENT_IDS  # else both sides are shuffled
+    rows = doc_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(placed) if few else placed, "doc_id")
+    return written(rows.select("rep", "digest", "text").mapInArrow(run, "rep long, s binary").dropDuplicates(["rep"]))
+
+
+def confirmed_stars(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose full sets reach the limit: both sets of an edge meet in a row."""
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("s").alias(f"s{name}"))
+
+    def run(batches):
+        for batch in batches:
+            own = []
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    own.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(own, pa.int64()))
+
+    small_batches(sets.sparkSession)
+    met = stars.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def compared(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect all representatives of a group (groups: cluster, rep, blocks) whose full sets reach the limit."""
+    placed = groups.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = placed.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "rep", "s")
 
     def compare(table):
         rep = table.column("rep").to_numpy()
@@ -168,26 +194,60 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int) ->
     return met.groupBy("cluster", "lower", "upper").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _in_blocks(groups: DataFrame) -> DataFrame:
+    """groups (cluster, rep, n): with the number of blocks of each cluster."""
+    blocks = groups.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return groups.join(blocks, "cluster")
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, banded: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links that connect all representatives that share a bucket and whose full sets reach the limit.
+    reps: rep, doc_id, digest, n (shingles); banded: rep, key; stars: a, b, key."""
+    clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps, "rep")
+    groups = kept(_in_blocks(clusters))
+    sets = full_sets(docs, groups.select("doc_id", "digest", "rep"), size)
+    links = compared(sets, groups.where("blocks = 1").select("cluster", "rep", "blocks"), percent)
+    large = groups.where("blocks > 1").select("rep", "n")
+    if large.isEmpty():
+        return links
+    own = kept(stars.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
+    direct = kept(confirmed_stars(sets, own, percent))
+    joined = components(direct).select(F.col("node").alias("rep"), "component")
+    placed = banded.join(large, "rep").join(joined, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rest = _in_blocks(placed.join(mixed, "key").select(F.col("key").alias("cluster"), "rep", "n"))
+    return links.unionByName(direct).unionByName(compared(sets, rest.select("cluster", "rep", "blocks"), percent))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; ``by_text``: with h (hash of its text), digest of its set, and
+    ``first``: is it the set of the smallest doc_id of its component (of several with that id the one of the least digest)?"""
     signed = kept(signatures(docs, size))
     named = signed.where("digest is not null and doc_id is not null")
-    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # one row for each distinct set
-    one = named.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"])
-    banded = one.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).repartition("key")  # counted and joined in one shuffle
+    # One row for each distinct set, with a number of its own: a doc_id may stand on several.
+    sets = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    one = kept(sets.withColumn("rep", F.monotonically_increasing_id()))
+    banded = one.select("rep", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    stars = banded.join(buckets, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    sizes = named.groupBy(F.col("doc_id").alias("rep")).agg(F.max("n_shingles").alias("n"))
-    clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "rep")
-    joined = components(confirmed(docs, clusters, size, percent)).select(F.col("node").alias("rep"), "component")
-    by_set = reps.join(joined, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    stars = kept(banded.join(buckets, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), "key"))
+    shared = banded.join(buckets, "key").select("rep", "key")
+    joined = components(confirmed(docs, one.select("rep", "doc_id", "digest", "n"), shared, stars, size, percent)).select(F.col("node").alias("rep"), "component")
+    by_rep = one.select("rep", "digest", "doc_id").join(joined, "rep", "left").select("digest", "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = by_rep.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+    by_set = by_rep.join(least, "component").select("digest", F.col("least.doc_id").alias("component_id"), (F.col("digest") == F.col("least.digest")).alias("first"))
+    rows = signed.select("doc_id", "h", "n_shingles", "digest").join(by_set, "digest", "left")
+    more = ["h", "digest", F.coalesce("first", F.lit(True)).alias("first")] if by_text else []
+    out = rows.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"), *more)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group, all columns: that of the smallest doc_id (one of them, if rows
-    repeat it).  Rows without doc_id stay."""
-    stay = near_duplicates(docs, size, percent).where("kept").select("doc_id")
-    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each group, all columns: that of the smallest doc_id (of several texts with that id one, of
+    rows equal in doc_id and text any one).  Rows with one doc_id and texts of different groups stay each, as
+    do all rows without doc_id; of rows without words one stays for each doc_id."""
+    found = near_duplicates(docs, size, percent, by_text=True)
+    stay = found.where("kept and first").groupBy("doc_id", "digest").agg(F.min("h").alias("_h")).select("doc_id", "_h").distinct()
+    named = docs.where("doc_id is not null").withColumn("_h", F.xxhash64("text"))
+    # Two sets of an id may have one text's hash each; equal rows collapse after the join, which needs no sort of the texts.
+    left = named.join(stay.hint("shuffle_hash"), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
