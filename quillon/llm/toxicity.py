@@ -10,7 +10,8 @@ much as the labels say.
 
 Null and empty texts have no clause and score the prior.  Repeated rows score alike, and
 extra columns, languages, sources and ids never reach a score.  Without any labelled toxic
-text the lexicon is empty and every text scores the prior.  Whole texts are read, however long.
+text the lexicon is empty and every text scores the prior.  Labels other than 0 and 1 are no labels.  Whole texts are
+read, however long.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .text import doc_texts, slices
 
 OTHER, OFFENCE, TARGET, NEGATION, REPORT, THREAT = SYMBOLS = range(6)
+#: What machines write for an offence: denied, reported, both.
+DENIED, TOLD, DENIED_TOLD = 6, 7, 8
 # Second and third persons as targets, negations, verbs of reporting and of threats.
 TARGET_WORDS = "you your youre he she they them her him his du dich dir dein deine ihr euch sie er tu toi ton ta vous votre il elle ils usted tú te ti tus ellos ella".split()
 NEGATION_WORDS = "not no never isnt arent nor kein keine keinen nicht nie ne pas jamais ni nunca jamás".split()
@@ -40,41 +43,63 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer over SYMBOLS.  arcs: (state, symbol) to state, absent: stay.
-    final: what a clause gives that ends in a state."""
+    """A deterministic transducer.  arcs: (state, symbol) to (state, symbol written); where there is none the state stays and
+    the symbol is written as it is.  final: what a clause gives that ends in a state (a tuple)."""
 
     arcs: dict
-    final: dict
+    final: dict = field(default_factory=dict)
     start: object = 0
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), state)
+        return self.arcs.get((state, symbol), (state, symbol))
 
 
-def compose(*machines: Transducer) -> Transducer:
-    """All machines at once on the same input: states and outputs are tuples of theirs."""
-    start = tuple(m.start for m in machines)
+def compose(first: Transducer, second: Transducer, symbols: Iterable[int] = SYMBOLS) -> Transducer:
+    """One machine that does what ``second`` does with what ``first`` writes; final tuples are joined."""
+    start = (first.start, second.start)
     arcs, todo, seen = {}, [start], {start}
     while todo:
-        state = todo.pop()
-        for symbol in SYMBOLS:
-            after = tuple(m.step(s, symbol) for m, s in zip(machines, state, strict=True))
-            arcs[state, symbol] = after
-            if after not in seen:
-                seen.add(after)
-                todo.append(after)
-    return Transducer(arcs, {s: tuple(m.final.get(x, 0) for m, x in zip(machines, s, strict=True)) for s in seen}, start)
+        a, b = state = todo.pop()
+        for symbol in symbols:
+            after_a, between = first.step(a, symbol)
+            after_b, written = second.step(b, between)
+            arcs[state, symbol] = (after_a, after_b), written
+            if (after_a, after_b) not in seen:
+                seen.add((after_a, after_b))
+                todo.append((after_a, after_b))
+    return Transducer(arcs, {(a, b): first.final.get(a, ()) + second.final.get(b, ()) for a, b in seen}, start)
+
+
+def negation() -> Transducer:
+    """The first offence is denied if a negation stands before it."""
+    return Transducer({(0, NEGATION): ("n", NEGATION), (0, OFFENCE): ("end", OFFENCE), ("n", OFFENCE): ("end", DENIED)})
+
+
+def report() -> Transducer:
+    """The first offence, denied or not, is reported if a verb of reporting stands before it."""
+    return Transducer({(0, REPORT): ("r", REPORT), (0, OFFENCE): ("end", OFFENCE), (0, DENIED): ("end", DENIED), ("r", OFFENCE): ("end", TOLD), ("r", DENIED): ("end", DENIED_TOLD)})
+
+
+def insult() -> Transducer:
+    """final: offences (0, 1, 2: more), a target beside one, the first one denied, reported."""
+    states = [(n, t, d, r) for n in range(3) for t in range(2) for d in range(2) for r in range(2)]
+    marks = {OFFENCE: (0, 0), DENIED: (1, 0), TOLD: (0, 1), DENIED_TOLD: (1, 1)}
+    arcs = {}
+    for n, t, d, r in states:
+        arcs[(n, t, d, r), TARGET] = (n, 1, d, r), TARGET
+        for symbol, (denied, told) in marks.items():
+            arcs[(n, t, d, r), symbol] = (min(n + 1, 2), t, d | denied, r | told), symbol
+    return Transducer(arcs, {(n, t, d, r): (n, int(n > 0 and t), d, r) for n, t, d, r in states}, (0, 0, 0, 0))
+
+
+def threat() -> Transducer:
+    """final: a verb of threat with a target after it."""
+    return Transducer({(0, THREAT): ("v", THREAT), ("v", TARGET): ("threat", TARGET)}, {0: (0,), "v": (0,), "threat": (1,)})
 
 
 def grammar() -> Transducer:
-    """offences: none, one, more; target beside an offence; negation before the first offence;
-    report before the first offence; a verb of threat followed by its target."""
-    offences = Transducer({(0, OFFENCE): 1, (1, OFFENCE): 2}, {1: 1, 2: 2})
-    target = Transducer({(0, OFFENCE): "o", (0, TARGET): "t", ("o", TARGET): "both", ("t", OFFENCE): "both"}, {"both": 1})
-    negation = Transducer({(0, NEGATION): "n", (0, OFFENCE): "end", ("n", OFFENCE): "no"}, {"no": 1})
-    report = Transducer({(0, REPORT): "r", (0, OFFENCE): "end", ("r", OFFENCE): "told"}, {"told": 1})
-    threat = Transducer({(0, THREAT): "v", ("v", TARGET): "threat"}, {"threat": 1})
-    return compose(offences, target, negation, report, threat)
+    """final: offences, target, denied, reported, threat."""
+    return compose(compose(compose(negation(), report()), insult()), threat())
 
 
 @dataclass
@@ -125,7 +150,7 @@ class Scorer:
                     symbol, total = OFFENCE, total + w
                 else:
                     symbol = self.fixed.get(word, OTHER)
-                state = step[state, symbol]
+                state = step[state, symbol][0]
             kind = self.machine.final[state]
             if total or kind[-1]:
                 yield kind, total
@@ -157,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_stems: int = 4096, least_text
     too few toxic texts or too low odds are left out there, and at most ``most_stems`` (the highest
     odds) come to the driver."""
     model = Model()
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, marks.count()))
     rows = doc_texts(docs).join(marks.where((F.xxhash64("doc_id") / 2.0**64 + 0.5) < share), "doc_id")
     size = {int(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

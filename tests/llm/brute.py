@@ -101,3 +101,32 @@ def quality_counts(text):
     lines = [x for x in t.split("\n") if words(x)]
     repeat = sum(flag)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat, len(w) < 50 or 100 * repeat > 50 * len(w)
+
+
+def clause_class(symbols):
+    """Offences, target, denied, reported, threat of a clause of symbols (1 offence, 2 target, 3 negation, 4 report, 5 threat)."""
+    first = symbols.index(1) if 1 in symbols else None
+    before = symbols[:first] if first is not None else []
+    threats = [i for i, s in enumerate(symbols) if s == 5]
+    return (min(symbols.count(1), 2), int(first is not None and 2 in symbols), int(3 in before), int(4 in before), int(bool(threats) and 2 in symbols[threats[0] :]))
+
+
+def toxic_score(text, model, fixed):
+    """The score of a text under a model, without the operator's machine."""
+    import math
+
+    def weight(word):
+        found = [model.stems[word[:n]] for n in range(model.longest, model.shortest - 1, -1) if len(word) >= n and word[:n] in model.stems]
+        return found[0] if found else 0.0
+
+    total = []
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        line = re.findall(r"\w+", clause)
+        kind = clause_class([1 if weight(w) else fixed.get(w, 0) for w in line])
+        stems = sum(map(weight, line))
+        if stems:
+            total.append(min(stems, model.classes.get(kind, stems)))
+        elif kind[-1]:
+            total.append(model.classes.get(kind, model.threat))
+    x = model.prior + (max(total) + 0.25 * (sum(total) - max(total)) if total else 0)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))

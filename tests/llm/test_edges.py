@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from quillon.llm import linededup, quality
+from quillon.llm import embed, linededup, minhash, quality, toxicity
 from tests.llm import brute
 from tests.llm.fixtures import empty_docs, odd_docs, odd_rows
 
@@ -65,3 +65,42 @@ def test_line_dedup_of_templates(spark, monkeypatch, edits):
     want = {i: x[:3] for i, x in brute.line_verdicts(rows, edits=edits).items()}
     assert {r.doc_id: tuple(r)[1:4] for r in linededup.digest(docs, max_edits=edits).collect()} == want
     assert 20 < sum(x[2] for x in want.values())
+
+
+def test_embeddings_of_repeated_and_missing_ids(spark):
+    """Two vectors under one vec_id, and vectors without one, keep the links of their own."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.01]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (4, None), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, embed.near_duplicates(df, 0.95).collect()), key=repr)
+    want = [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 1, 1, False), (None, 1, None, False), (None, 1, None, False), (4, 0, 4, True), (None, 0, None, False)]
+    assert found == sorted(want, key=repr)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Two texts under one doc_id are judged each, and both stay if they are in different groups."""
+    rng = np.random.default_rng(3)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10_000, 80)) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (3, b), (4, c), (4, None), (4, ""), (None, a), (5, a.replace(" ", "  "))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    found = sorted(map(tuple, minhash.near_duplicates(docs.drop("digest"), 5, 80).select("doc_id", "component_id").collect()), key=repr)
+    assert found == sorted([(1, 1), (2, 1), (2, 2), (3, 2), (3, 2), (4, 4), (4, 4), (4, 4), (None, None), (5, 1)], key=repr)
+    stay = minhash.keep_one(docs, 5, 80)
+    got = sorted(((r.doc_id, r.text) for r in stay.collect()), key=repr)
+    assert [x for x in got if x[1]] == sorted([(1, a), (2, b), (4, c), (None, a)], key=repr) and len(got) == 5
+    assert stay.columns == docs.columns
+
+
+def test_toxicity_scores(spark):
+    """Scores of real and odd texts against a plain version of the grammar."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    fixed = {w: s for s, ws in ((2, toxicity.TARGET_WORDS), (3, toxicity.NEGATION_WORDS), (4, toxicity.REPORT_WORDS), (5, toxicity.THREAT_WORDS)) for w in ws}
+    stem = next(iter(model.stems), "")
+    extra = [(-1, f"they said you are not {stem}x. I will kill you! {stem}"), (-2, None), (-3, ""), (-4, f"you {stem}, {stem} {stem}"), (None, "quemar te")]
+    every = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    found = {r.doc_id: r.score for r in toxicity.score_documents(every, model).collect()}
+    rows = [(r.doc_id, r.text) for r in every.collect()]
+    assert len(found) == len(rows) and model.stems
+    for i, t in rows:
+        assert found[i] == pytest.approx(brute.toxic_score(t, model, fixed), rel=1e-9), i

@@ -126,27 +126,38 @@ def test_lm_state_is_carried():
 def test_lm_reads_every_token_in_order():
     rng = np.random.default_rng(3)
     docs = [np.append(lm.START, rng.integers(0, lm.START, n)) for n in (1, 32, 33, 64, 65, 1000, 7, 2, 31)]
-    got, tasks = [], [None] * 3
-    for block, live, fresh in lm.lanes(docs, 3):
+    streams = {}
+    for block, live in lm.lanes(docs, 3):
         for i, k in enumerate(live):
             piece = block[:, i][block[:, i] >= 0]
-            if fresh[i]:
-                tasks[k] = [piece]
-                got.append(tasks[k])
-            else:
-                assert piece[0] == tasks[k][-1][-1]
-                tasks[k].append(piece[1:])
-    assert sorted(tuple(np.concatenate(x)) for x in got) == sorted(map(tuple, docs))
+            before = streams.setdefault(k, [])
+            assert not before or before[-1][-1] == piece[0]
+            before.append(piece if not before else piece[1:])
+    whole = [np.concatenate(x) for x in streams.values()]
+    got = [tuple(d) for x in whole for d in np.split(x, np.flatnonzero(x == lm.START)) if len(d)]
+    assert sorted(got) == sorted(map(tuple, docs))
 
 
 def test_lm_training_carries_the_state():
+    """Over windows of a document, and not over to the next one in its lane."""
     rng = np.random.default_rng(5)
     m = lm.Gru.fresh(rng.random(lm.START) * 9)
-    d = np.append(lm.START, rng.integers(0, lm.START, 80))
+    docs = [np.append(lm.START, rng.integers(0, lm.START, n)) for n in (80, 5, 47)]
     state, loss = np.zeros((1, lm.HIDDEN), np.float32), 0.0
-    for block, _, _ in lm.lanes([d]):
-        loss += lm.gradients(m, block[:-1], block[1:], state)[0]
-    assert loss == pytest.approx(lm.gradients(m, d[:-1, None], d[1:, None])[0], rel=1e-5)
+    for block, _ in lm.lanes(docs, 1):
+        loss += lm.gradients(m, block[:-1], np.where(block[1:] == lm.START, -1, block[1:]), state)[0]
+    assert loss == pytest.approx(sum(lm.gradients(m, d[:-1, None], d[1:, None])[0] for d in docs), rel=1e-5)
+
+
+def test_lm_gradients_of_joined_documents():
+    rng = np.random.default_rng(6)
+    m = lm.Gru.fresh(rng.random(lm.START) * 9)
+    docs = [np.append(lm.START, rng.integers(0, lm.START, n)) for n in (9, 4)]
+    line = np.concatenate(docs)
+    _, joined = lm.gradients(m, line[:-1, None], np.where(line[1:] == lm.START, -1, line[1:])[:, None])
+    apart = [lm.gradients(m, d[:-1, None], d[1:, None])[1] for d in docs]
+    for got, a, b in zip(joined, *apart):
+        assert got == pytest.approx(a + b, abs=1e-4)
 
 
 def test_lm_learns_from_whole_documents(spark):
@@ -294,8 +305,8 @@ def test_minhash_blocks(spark, monkeypatch):
     want = brute.near_sets(dict(rows), 4, 80)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: tuple(r)[1:3] for r in minhash.near_duplicates(docs, 4, 80).collect()}
-    agree = sum(found[i] == want[i] for i in want)
-    assert agree >= 0.9 * len(want)
+    # The limit is met by pairs that share a bucket; here all of a component do, so nothing may differ.
+    assert found == want
 
 
 def test_substring_odd_cases(spark):
@@ -336,7 +347,7 @@ def test_toxicity_grammar(spark):
     def run(*symbols):
         state = machine.start
         for s in symbols:
-            state = machine.step(state, s)
+            state, _ = machine.step(state, s)
         return machine.final[state]
 
     assert run(toxicity.TARGET, toxicity.OFFENCE) == (1, 1, 0, 0, 0)
@@ -344,7 +355,11 @@ def test_toxicity_grammar(spark):
     assert run(toxicity.REPORT, toxicity.TARGET, toxicity.OFFENCE)[3] == 1
     assert run(toxicity.THREAT, toxicity.TARGET)[4] == 1
     assert run(toxicity.OFFENCE, toxicity.NEGATION)[2] == 0
-    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        line = rng.integers(0, 6, rng.integers(0, 9)).tolist()
+        assert run(*line) == brute.clause_class(line)
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 2), (5, -1)], "doc_id long, toxic int")
     for docs in (odd_docs(spark, [(None, "x")]), empty_docs(spark)):
         model = toxicity.learn(docs, labels)
         assert toxicity.score_documents(docs, model).count() == docs.count()
