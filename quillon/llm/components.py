@@ -1,67 +1,13 @@
-"""Connected components of links, and checkpoints, as Spark jobs."""
+"""Connected components of links, as Spark jobs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import discard, kept, written
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Takes the folder that the cluster names; only a local session that names none (as in tests) gets one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def freeing(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run inside go when each ends, not whenever the driver collects garbage."""
-    before = spark.conf.get(FREED, "false")
-    spark.conf.set(FREED, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(FREED, before)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, computed now and written to the shared checkpoint folder; a lost executor takes none along."""
-    checkpoint_folder(df.sparkSession)
-    with freeing(df.sparkSession):
-        return df.checkpoint()
-
-
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """As ``kept``, but as a compressed table (in a folder for each value of ``by``) of which later reads take the
-    columns and folders they need.  The folder goes when the application ends."""
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    jvm, folder = spark.sparkContext._jvm, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
-    with freeing(spark):
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(folder)
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+__all__ = ["components", "discard", "kept", "written"]
 
 #: Edges that a task of the rounds below takes.
 TASK_EDGES = 250_000
