@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each an operator of quillon.llm."""
+"""The corpus pipeline: five stages over ``documents``, each an operator of quillon.llm.
+
+Null and empty texts fail the quality rules and go; a stage that is given some keeps them (near-dedup one without words
+for each doc_id, packing as the id 0 alone).  Rows without doc_id stay through near-dedup.  Of repeated rows near-dedup keeps
+one; before it, line dedup takes the lines of all but the smallest doc_id.  An empty table passes every stage
+as an empty table.  Columns beside doc_id and text, whatever their names, are returned as they were, but for n_chars,
+which is counted anew where a stage shortens texts; packing returns pieces instead.
+"""
 
 from __future__ import annotations
 
