@@ -133,11 +133,11 @@ def spec(df: DataFrame, key: str, features: Sequence[str], k: int, gamma: float
     return top_k(features, scores, k)
 
 
-def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = 60, seed: int = 0, tolerance: float = 1e-9) -> tuple[np.ndarray, DataFrame]:
+def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = 30, seed: int = 0, tolerance: float = 1e-9) -> tuple[np.ndarray, DataFrame]:
     """Values and vectors (a, y: an array) of the ``count`` smallest eigenvalues of I - D^-1/2 W D^-1/2 of a graph (a, b, w).
 
-    Subspace iteration on 2I - L with a few spare vectors.  The vectors stay a table; a round is one join with the edges
-    and one product of the table with itself (count + spare numbers square) that orthogonalises and rotates it."""
+    Subspace iteration on 2I - L with a few spare vectors.  The vectors stay a table; a round is four joins with the edges
+    and a product of the table with itself (count + spare numbers square) that orthogonalises and rotates it."""
     spare = count + max(4, count)
     degree = graph.groupBy("a").agg(F.sum("w").alias("d"))
     scaled = graph.join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
@@ -147,8 +147,7 @@ def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = 60, seed: in
     before = np.full(count, np.inf)
     values = before
     for _ in range(rounds):
-        # (2I - L)y = y + Sy, twice in a round
-        for _ in range(2):
+        for _ in range(4):  # (2I - L)y = y + Sy
             sums = edges.join(y.select(F.col("a").alias("b"), "y"), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.col("y")[k]).alias(f"s{k}") for k in range(spare)))
             y = y.join(sums, "a", "left").select("a", F.array(*(F.col("y")[k] + F.coalesce(f"s{k}", F.lit(0.0)) for k in range(spare))).alias("y"))
         y = kept(y)
@@ -198,14 +197,14 @@ def eigengap(values: Sequence[float], least: int, most: int) -> int:
     return max(places, key=lambda k: (values[k] - values[k - 1], -k)) if len(places) else 2
 
 
-def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10) -> int:
+def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10, rounds: int = 30) -> int:
     """Estimated from the columns alone, so that no label count is needed."""
     n = df.count()
     upper = min(most, n - 2)
     if n < 4 or upper < 2:
         return 2
     z = scaling.mean_sd(df, features).apply(df)
-    values, _ = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), min(upper + 1, n - 1))
+    values, _ = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), min(upper + 1, n - 1), rounds)
     return eigengap(values.tolist(), min(max(least, 2), upper), upper)
 
 
@@ -225,15 +224,15 @@ def lasso(gram: np.ndarray, cross: np.ndarray, alpha: float, sweeps: int = 5000,
     return b
 
 
-def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int | None = None, n_neighbors: int = 5, alpha: float = 0.01, most: int = 10) -> Ranking:
+def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int | None = None, n_neighbors: int = 5, alpha: float = 0.01, most: int = 10, rounds: int = 30) -> Ranking:
     """Columns that explain the leading spectral coordinates sparsely: the largest absolute lasso weight over the
     coordinates.  ``clusters``: their number, or None for the eigengap's."""
     if clusters is not None and clusters < 2:
         raise ParameterError("clusters must be 2 or more")
     n, z = df.count(), scaling.mean_sd(df, features).apply(df).persist()
-    found = clusters or spectral_clusters(df, key, features, n_neighbors, 2, most)
+    found = clusters or spectral_clusters(df, key, features, n_neighbors, 2, most, rounds)
     width = min(max(found + 1, 2), n - 1)
-    _, y = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), width)
+    _, y = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), width, rounds)
     used = list(range(1, min(width, found + 1)))
     joined = z.join(y.withColumnRenamed("a", key), key).select(F.array(*features).alias("y"), F.concat(F.array(*features), F.array(*(F.col("y")[c] for c in used))).alias("z"))
     p = len(features)
