@@ -215,7 +215,8 @@ def confirmed(docs: DataFrame, reps: DataFrame, banded: DataFrame, stars: DataFr
     joined = components(direct).select(F.col("node").alias("rep"), "component")
     placed = banded.join(large, "rep").join(joined, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = _in_blocks(placed.join(mixed, "key").select(F.col("key").alias("cluster"), "rep", "n"))
+    # Once for each of its members, however many such buckets it is in.
+    rest = _in_blocks(groups.select("cluster", "rep", "n").join(placed.join(mixed, "key").select("rep").distinct(), "rep"))
     return links.unionByName(direct).unionByName(compared(sets, rest.select("cluster", "rep", "blocks"), percent))
 
 
