@@ -13,7 +13,8 @@ def shuffled(salt: str, seed: int, *keys) -> Column:
 
 def positions(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     """Dense positions 0.. in an order, without a window over all rows in one task: a range sort, then
-    each partition's offset from the sizes of those before it."""
+    each partition's offset from the sizes of those before it.  A partition that is lost is sorted again out of the same
+    ranges, so its numbers stay where ``order`` ends with a unique column."""
     ordered = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()  # what numbers the rows must not be computed twice
     part = F.shiftrightunsigned("_at", 33)
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition

@@ -42,6 +42,7 @@ class Geometry:
 
     def release(self) -> None:
         self.profiles.unpersist()
+        self.scaled.unpersist()
 
 
 @dataclass
