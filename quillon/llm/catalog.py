@@ -68,6 +68,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: its counts, without the verdict of the bands."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "quality_base_columns": quality_base_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -153,5 +159,18 @@ kept AS (
 )
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept k USING (doc_id)
+""",
+    "quality_base_columns": r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS t FROM w WHERE len(w) >= 3
+), rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 3) t(k) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)
 """,
 }
