@@ -9,7 +9,7 @@
 3. The full shingle sets of a small cluster meet in one task.  There the exact intersections of all its sets are
    counted as a matrix product over the shingles that two or more of them hold; what leaves
    the task is each set's least group member, never pairs.
-4. In a large cluster the edges of the stars are confirmed first, as many as members.  Whoever is
+4. In a large cluster one star edge of each member is confirmed first, to the least of its centres.  Whoever is
    linked to its star's centre needs no more comparisons with those that are too; only buckets
    whose members are not all joined by then meet in blocks, so no pair that shares a bucket
    goes unconfirmed.
@@ -210,7 +210,8 @@ def confirmed(docs: DataFrame, reps: DataFrame, banded: DataFrame, stars: DataFr
     large = groups.where("blocks > 1").select("rep", "n")
     if large.isEmpty():
         return links
-    own = kept(stars.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
+    # One edge for each member, to the least of its centres: two sets are sent for a member, whatever the cluster's size.
+    own = kept(stars.join(large.select(F.col("rep").alias("b")), "b", "left_semi").groupBy("b").agg(F.min("a").alias("a")))
     direct = kept(confirmed_stars(sets, own, percent))
     joined = components(direct).select(F.col("node").alias("rep"), "component")
     placed = banded.join(large, "rep").join(joined, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
