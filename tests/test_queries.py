@@ -23,7 +23,7 @@ def test_sql(spark, name):
 
 
 #: Held against brute force on small tables in test_whole.py and test_evaluation.py instead.
-SLOW = {"effective_support_arrow_whole", "feature_report_whole", "foldwise_downstream", "gap_selection", "select_auto"}
+SLOW = {"feature_report_whole", "foldwise_downstream", "gap_selection", "select_auto"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
