@@ -149,7 +149,10 @@ def pairs_balanced(spark, sf_dir, size):
     return pairs.balanced_pairs(x.data.select("vec_id", "pos"), x.rows, size.pairs, 0)
 
 
-@embedded(pairs=MANY_PAIRS)
+@embedded(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT id, CAST('0x' || substr(md5('a:0:' || id), 1, 12) AS BIGINT) % n AS a, CAST('0x' || substr(md5('b:0:' || id), 1, 12) AS BIGINT) % n AS b FROM range(0, {8 * MANY_PAIRS}) t(id), n),
+f AS (SELECT least(a, b) AS i, greatest(a, b) AS j, min(id) AS id FROM d WHERE a <> b GROUP BY 1, 2), r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pair_id, i, j FROM f)
+SELECT pair_id, i, j FROM r, n WHERE pair_id < {MANY_PAIRS} AND n * (n - 1) // 2 > {MANY_PAIRS}
+UNION ALL SELECT i * (2 * n - i - 1) // 2 + j - i - 1, i, j FROM n, range(0, (SELECT n FROM n)) x(i), range(0, (SELECT n FROM n)) y(j) WHERE i < j AND n * (n - 1) // 2 <= {MANY_PAIRS}""", MANY_PAIRS)
 def pairs_random(spark, sf_dir, size):
     x = source(spark, sf_dir, size)
     return pairs.random_pairs(spark, x.rows, size.pairs, 0)
@@ -375,10 +378,18 @@ def holm(spark, sf_dir):
     return ranks.holm_frame(p).select("test", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORES}, d AS (SELECT a.method, b.score - a.score AS d FROM c a JOIN c b ON b.dataset = a.dataset AND b.method = 'BUILDING' WHERE a.method <> 'BUILDING'),
+l AS (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+p AS (SELECT method, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS plus, coalesce(sum(r) FILTER (d < 0), 0) AS minus FROM l GROUP BY method),
+dp(k, s, ways) AS (SELECT 0, 0, CAST(1 AS DOUBLE) UNION ALL SELECT k + 1, s + t.x * (k + 1), sum(ways) FROM dp, (VALUES (0), (1)) t(x) WHERE k < (SELECT max(n) FROM p) GROUP BY k, s + t.x * (k + 1)),
+q AS (SELECT method, n, CAST(least(plus, minus) AS DOUBLE) AS statistic, (plus - minus) / (plus + minus) AS rb, least(1, 2 * (SELECT sum(ways) FROM dp WHERE dp.k = p.n AND dp.s <= least(plus, minus)) / pow(2, n)) AS p FROM p),
+h AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p) AS s FROM q)
+SELECT method, n, statistic, round(rb, 6) AS rank_biserial, round(p, 6) AS p, round(max(s) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM h""")
 def compare_methods(spark, sf_dir):
+    """The SQL counts sign patterns exactly: it holds while no difference is zero or tied."""
     rows = ranks.compare_methods(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_acctbal", "BUILDING")["posthoc"]
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "method string, n long, statistic double, rank_biserial double, p double, p_holm double")
+    names = ("method", "n", "statistic", "rank_biserial", "p", "p_holm")
+    return rounded(spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "method string, n long, statistic double, rank_biserial double, p double, p_holm double"), "rank_biserial", "p", "p_holm")
 
 
 # Preparation and governance
