@@ -178,8 +178,9 @@ def confirmed_stars(sets: DataFrame, stars: DataFrame, percent: int) -> DataFram
 
 def compared(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """a, b: links that connect all representatives of a group (groups: cluster, rep, blocks) whose full sets reach the limit."""
-    placed = groups.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = placed.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "rep", "s")
+    placed = kept(groups.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    placed = F.broadcast(placed) if placed.count() <= SENT_IDS else placed  # few rows are sent to the sets, else both are shuffled
+    met = sets.join(placed, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "rep", "s")
 
     def compare(table):
         rep = table.column("rep").to_numpy()
