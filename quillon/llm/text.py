@@ -17,8 +17,8 @@ import regex
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8: its powers repeat as late as they can
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,7 +70,7 @@ class Words:
         self.data = _LOWER[data] if lower else data
         ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
         space = np.ones(len(data) + 2, bool)
-        space[1:-1] = _SPACE[data]
+        space[1:-1] = SPACE[data]
         change = np.flatnonzero(space[1:] != space[:-1])
         self.start, self.stop = change[0::2], change[1::2]
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)]).astype(np.int64)
