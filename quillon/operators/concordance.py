@@ -88,7 +88,7 @@ def jackknife(g: Geometry, n_blocks: int = 5, power: float = 2.0, seed: int = 0)
 
 def gap_evidence(g: Geometry, least_share: float = 0.1, windows: Sequence[int] = (2, 4, 8)) -> np.ndarray:
     """Balanced-gap evidence of each scaled column."""
-    return np.array([evidence.balanced_gap(g.scaled, c, g.source.key, least_share, windows).first().evidence for c in g.source.features])
+    return evidence.balanced_gaps(g.z.select("pos", "v"), g.source.width, g.source.rows, least_share, windows)
 
 
 @dataclass
@@ -140,7 +140,7 @@ class FusedSelector:
             other = lower = jackknife(g, self.n_blocks, self.base.coverage_power, self.base.seed).lower
         structural = evidence.rank01(effective)
         fused = (1 - self.weight) * structural + self.weight * other
-        novelty = (lambda chosen, rest: residual.residuals(g.unit_gram, chosen, rest, model.info["residual_engine"])) if self.base.use_residual else None
+        novelty = (lambda chosen, rest: residual.residuals(g.gram, chosen, rest, model.info["residual_engine"])) if self.base.use_residual else None
         if self.kind == "concordance" and self.weight == 0:
             path = greedy_with_ties(effective, lower, novelty, self.base.residual_power, k, self.tie_tolerance)
         else:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import order
 from ..functions.order import positions
+from ..functions.tables import kept
 
 EPS = 1e-12
 
@@ -61,6 +63,65 @@ def balanced_gap(df: DataFrame, column: str, key: str, least_share: float = 0.1,
     return each.agg(F.coalesce(F.max(score), F.lit(0.0)).alias("evidence"))
 
 
+#: Sorted values of a column that a task takes at a time.
+GAP_ROWS = 50_000
+
+
+def gap_scores(place: np.ndarray, value: np.ndarray, own: np.ndarray, n: int, floor: float, cuts: tuple[int, int], windows: Sequence[int]) -> float:
+    """The best score of the cuts behind the sorted values that are ``own``; the others are their neighbours."""
+    gap, at = np.diff(value), place[:-1]
+    usable = np.where((gap > EPS) & (np.diff(place) == 1), gap, np.nan)
+    here = np.flatnonzero(own[:-1] & ~np.isnan(usable) & (at + 1 >= cuts[0]) & (at + 1 <= cuts[1]))
+    if not len(here):
+        return 0.0
+    widest = max(windows)
+    padded = np.concatenate([np.full(widest, np.nan), usable, np.full(widest, np.nan)])
+    ratio = np.full(len(here), np.inf)
+    for w in windows:
+        near = np.sort(np.stack([padded[here + widest + s] for s in range(-w, w + 1) if s]), axis=0)  # NaN sorts last
+        count = (~np.isnan(near)).sum(0)
+        column = np.arange(len(here))
+        middle = (near[np.maximum(count - 1, 0) // 2, column] + near[np.minimum(count // 2, len(near) - 1), column]) / 2
+        ratio = np.where(count >= 2, np.minimum(ratio, usable[here] / np.maximum(middle, floor)), ratio)
+    q = (at[here] + 1) / n
+    return float(np.where(np.isinf(ratio), 0.0, 4 * q * (1 - q) * np.log1p(np.maximum(0.0, ratio - 1))).max())
+
+
+def balanced_gaps(rows: DataFrame, width: int, n: int, least_share: float = 0.1, windows: Sequence[int] = (2, 4, 8)) -> np.ndarray:
+    """``balanced_gap`` of all components of v at once (rows: pos, v; n of them, all finite).
+
+    One range sort of (component, value) numbers all values; a task then has a run of one component's values and the few
+    before and after it, so borders between tasks change nothing."""
+    if n < 12:
+        return np.zeros(width)
+    widest = max(windows) + 1
+    long = rows.select("pos", F.posexplode("v").alias("k", "x")).withColumnRenamed("pos", "row")
+    placed = positions(long, "k", "x", "row").select("k", "x", (F.col("pos") - F.col("k") * F.lit(n)).alias("pos"))
+    blocks = F.array_distinct(F.transform(F.array(F.greatest(F.col("pos") - widest, F.lit(0)), "pos", F.least(F.col("pos") + widest, F.lit(n - 1))), lambda p: F.floor(p / GAP_ROWS)))
+    dealt = kept(placed.withColumn("block", F.explode(blocks)))
+
+    def gaps(key, table):
+        ordered = table.sort_by("pos")
+        pos, x = ordered.column("pos").to_numpy(), ordered.column("x").to_numpy()
+        d, own = np.diff(x), (pos // GAP_ROWS == key[1].as_py())[:-1]
+        return pa.table({"k": pa.array(np.full(int((own & (d > EPS)).sum()), key[0].as_py(), np.int32)), "x": d[own & (d > EPS)]})
+
+    middle = order.quantiles(order.Indexed(dealt.groupBy("k", "block").applyInArrow(gaps, "k int, x double"), width), (0.5,))[:, 0]
+    floors = np.maximum(0.25 * np.nan_to_num(middle), EPS)
+    cuts = max(1, int(np.ceil(least_share * n))), min(n - 1, int(np.floor((1 - least_share) * n)))
+
+    def score(key, table):
+        ordered = table.sort_by("pos")
+        pos, x = ordered.column("pos").to_numpy(), ordered.column("x").to_numpy()
+        k, block = (v.as_py() for v in key)
+        return pa.table({"k": pa.array([k], pa.int32()), "best": [gap_scores(pos, x, pos // GAP_ROWS == block, n, floors[k], cuts, windows)]})
+
+    out = np.zeros(width)
+    for r in dealt.groupBy("k", "block").applyInArrow(score, "k int, best double").groupBy("k").agg(F.max("best").alias("best")).collect():  # a row for each component
+        out[r.k] = r.best
+    return out
+
+
 def rank01(values: Sequence[float]) -> np.ndarray:
     """Average ranks scaled to 0..1; a single value has 0.  One entry for each feature."""
     x = np.asarray(values, float)

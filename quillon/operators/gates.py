@@ -20,7 +20,7 @@ class PublicationGate:
     min_competitors: int = 3
     min_canonical_or_author_methods: int = 2
     max_method_failure_fraction: float = 0.20
-    candidate_method: str = "GSR-FS"
+    candidate_method: str = "geometry"
     require_source_integrity: bool = True
 
 
@@ -30,7 +30,7 @@ class SuperiorityGate:
     alpha: float = 0.05
     min_complete_datasets: int = 25
     min_significant_canonical_wins: int = 1
-    candidate_method: str = "GSR-FS"
+    candidate_method: str = "geometry"
     require_best_mean_rank: bool = True
     require_significant_omnibus: bool = True
 
@@ -50,8 +50,9 @@ def _columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"results have no columns {missing}")
 
 
-def publication_gate(df: DataFrame, config: PublicationGate = PublicationGate(), audits: DataFrame | None = None, label_audit: DataFrame | None = None, frozen: bool = True, locked: bool = True) -> dict:
-    """``audits``: dataset, eligible; ``label_audit``: method, all_trials_identical (see stability.audit_summary)."""
+def publication_gate(df: DataFrame | str, config: PublicationGate = PublicationGate(), audits: DataFrame | None = None, label_audit: DataFrame | None = None, frozen: bool = True, locked: bool = True) -> dict:
+    """df: results, or the path of a CSV file of them.  ``audits``: dataset, eligible; ``label_audit``: method, all_trials_identical (see stability.audit_summary)."""
+    df = results.results_of(df)
     _columns(df, "dataset", "method")
     df = df.withColumns({c: F.col(c).cast("string") for c in ("dataset", "method")})
     good = results.successful(df)
@@ -80,9 +81,10 @@ def publication_gate(df: DataFrame, config: PublicationGate = PublicationGate(),
     return _report(config, checks)
 
 
-def superiority_gate(df: DataFrame, config: SuperiorityGate = SuperiorityGate(), evidence: dict | None = None) -> dict:
+def superiority_gate(df: DataFrame | str, config: SuperiorityGate = SuperiorityGate(), evidence: dict | None = None) -> dict:
     """``evidence``: a report of the publication gate.  Only canonical or author-code competitors count as wins and losses;
     who is one is read from all rows, failed ones included."""
+    df = results.results_of(df)
     _columns(df, "dataset", "method", config.metric)
     found = ranks.compare_methods(df, "dataset", "method", config.metric, config.candidate_method, alpha=config.alpha)
     mean_ranks = sorted(found["mean_ranks"].collect(), key=lambda r: (r.mean_rank, r.method))

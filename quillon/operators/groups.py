@@ -21,7 +21,7 @@ representative_selection_score double, representative_effective_support double,
 representative_adjusted_p_value double, mean_member_cgs_similarity double, min_member_cgs_similarity double, output_feature string"""
 
 
-def similarities(h: np.ndarray, selected: Sequence[int]) -> dict[int, list[float]]:
+def similarities(h, selected: Sequence[int]) -> dict[int, list[float]]:
     """For each feature that is not selected, how well it can stand in for each selected one."""
     return {j: [residual.substitution(h, list(selected), r, j) for r in selected] for j in range(len(h)) if j not in selected}
 
@@ -41,7 +41,7 @@ class SubstitutionGroups:
         selected = self.model.selected
         self.groups = {r: [r] for r in selected}
         self.similarity = {r: 1.0 for r in selected}
-        for j, found in similarities(self.model.geometry.unit_gram, selected).items() if selected else ():
+        for j, found in similarities(self.model.geometry.gram, selected).items() if selected else ():
             best = int(np.argmax(found))
             if found[best] >= self.limit:
                 self.groups[selected[best]].append(j)
@@ -53,6 +53,10 @@ class SubstitutionGroups:
         names = self.model.features
         return {names[r]: [names[j] for j in members] for r, members in self.groups.items()}
 
+    def diagnostic(self) -> dict:
+        """For a JSON report.  (Names of entries are those of the format.)"""
+        return {"substitution_diagnostic": {"experimental": True, "threshold": self.limit, "groups": self.named(), "selection_changed_by_grouping": False}}
+
     def members(self, spark: SparkSession) -> DataFrame:
         """A row for each member of each group, the representative first, then by similarity."""
         names = self.model.features
@@ -100,6 +104,10 @@ class StructuralGroups(SubstitutionGroups):
             )
         return out
 
+    def diagnostic(self) -> dict:
+        marks = {"experimental": True, "interpretive_only": True, "creates_latent_features": False, "selection_changed_by_grouping": False}
+        return super().diagnostic() | {"structural_group_output": marks | {"summary": self.summary(), "groups": [asdict(g) for g in self.structural()]}}
+
     def report(self, spark: SparkSession) -> DataFrame:
         names = [x.split()[0] for x in STRUCTURAL_REPORT.replace("\n", " ").split(", ")]
         rows = [asdict(g) | {"members": " | ".join(g.members)} for g in self.structural()]
@@ -127,6 +135,6 @@ class StructuralGroups(SubstitutionGroups):
             "n_selected_representatives": len(self.model.selected),
             "representative_output_dimension": len(self.model.selected),
             "creates_latent_features": False,
-            "changes_frozen_gsr_selection": False,
+            "changes_selection": False,
             "substitution_threshold": float(self.limit),
         }

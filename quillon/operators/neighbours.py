@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import order
 from . import scaling
 
 EPS = 1e-12
@@ -30,8 +31,8 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFra
         asks = table.column("asks").to_numpy()
         ids, v = table.column("b").to_numpy(), np.stack(table.column("v").to_numpy())
         qa, qb, a, b = ids[asks], ids[~asks], v[asks], v[~asks]
-        order = np.argsort(qb)
-        qb, b = qb[order], b[order]
+        by_id = np.argsort(qb)
+        qb, b = qb[by_id], b[by_id]
         out = []
         for begin in range(0, len(qa), ASKED):
             own, x = qa[begin : begin + ASKED], a[begin : begin + ASKED]
@@ -41,23 +42,23 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFra
             reach = np.partition(near, min(k, len(qb)) - 1, axis=1)[:, min(k, len(qb)) - 1] if len(qb) else np.zeros(0)
             row, col = np.nonzero((near <= (reach + 1e-9 * (1 + np.abs(reach)))[:, None]) & np.isfinite(near))
             d = ((x[row] - b[col]) ** 2).sum(1)
-            order = np.lexsort((col, d, row))
-            row, col, d = row[order], col[order], d[order]
+            by_row = np.lexsort((col, d, row))
+            row, col, d = row[by_row], col[by_row], d[by_row]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             best = place < k
             out.append(pa.table([pa.array(own[row[best]]), pa.array(qb[col[best]]), pa.array(d[best])], names=["a", "b", "d2"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["a", "b", "d2"])
 
     found = left.unionByName(right).groupBy("x", "y").applyInArrow(compare, "a long, b long, d2 double")
-    order = Window.partitionBy("a").orderBy("d2", "b")
-    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    best = Window.partitionBy("a").orderBy("d2", "b")
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
 def heat_graph(edges: DataFrame, t: float | None = None) -> DataFrame:
     """a, b, w in both directions: exp(-d2 / t) of an edge that either end has; t: median of the positive d2.  Columns are
     expected to be standardised."""
     if t is None:
-        t = edges.where("d2 > 0").agg(F.median("d2").alias("t")).first().t or 1.0
+        t = float(np.nan_to_num(order.quantiles(order.Columns(edges.where("d2 > 0"), ["d2"]), (0.5,))[0, 0])) or 1.0
     both = edges.select("a", "b", "d2").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d2"))
     return both.groupBy("a", "b").agg(F.max(F.exp(-F.col("d2") / F.lit(max(t, EPS)))).alias("w"))
 

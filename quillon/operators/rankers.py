@@ -1,8 +1,7 @@
 """Rankers of features that need no fit of the geometry: variance, graph scores, spectra and rankings from outside.
 
 Each returns a ``Ranking``.  Sums over rows, edges and pairs of rows are Spark jobs; what reaches the
-driver has an entry for each feature.  Eigenvectors of a row graph are found by subspace iteration: a step is one join of
-the edges with the current vectors, and only matrices as wide as the vectors are solved on the driver.
+driver has an entry for each feature.  Eigenvectors of a row graph or kernel come from ``spectra``.
 """
 
 from __future__ import annotations
@@ -15,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.tables import kept
-from . import neighbours, scaling
+from . import neighbours, scaling, spectra
 from .selector import ParameterError
 
 EPS = 1e-12
@@ -84,38 +84,46 @@ def laplacian(df: DataFrame, key: str, features: Sequence[str], k: int, n_neighb
     return top_k(features, [score[c] for c in features], k, higher_is_better=False)
 
 
-def kernel_sums(df: DataFrame, key: str, features: Sequence[str], gamma: float) -> DataFrame:
-    """key, d (row sum of the kernel exp(-gamma * d2), itself included) and kx (kernel times columns, an array): rows meet in
-    blocks, and of a pair of blocks only these sums leave the task."""
-    blocks = max(1, -(-df.count() // neighbours.BLOCK_ROWS))
-    rows = df.select(F.col(key).alias("a"), F.array(*(F.col(c).cast("double") for c in features)).alias("v")).withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+def kernel_product(rows: DataFrame, gamma: float, width: int) -> DataFrame:
+    """a, s: the kernel exp(-gamma * d2) of all rows (a, v, y) times y, an array of ``width`` numbers: rows meet in blocks, and of a
+    pair of blocks only these sums leave the task."""
+    blocks = max(1, -(-rows.count() // neighbours.BLOCK_ROWS))
+    placed = rows.select("a", "v", "y").withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("a", "v", F.col("block").alias("x"), others.alias("y"), F.lit(True).alias("asks"))
-    right = rows.select("a", "v", others.alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"))
+    left = placed.select("a", "v", "y", F.col("block").alias("x"), others.alias("other"), F.lit(True).alias("asks"))
+    right = placed.select("a", "v", "y", others.alias("x"), F.col("block").alias("other"), F.lit(False).alias("asks"))
 
     def compare(table):
         asks = table.column("asks").to_numpy()
-        ids, v = table.column("a").to_numpy(), np.stack(table.column("v").to_numpy())
+        ids, v, y = table.column("a").to_numpy(), *(arrays.stacked(table.column(c).combine_chunks()) for c in ("v", "y"))
         a, b = v[asks], v[~asks]
         d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
-        w = np.exp(-gamma * d2)
-        sums = np.column_stack([w.sum(1), w @ b])
-        return pa.table({"a": pa.array(ids[asks]), "sums": pa.array(list(sums), pa.list_(pa.float64()))})
+        return pa.table([pa.array(ids[asks]), arrays.listed(np.exp(-gamma * d2) @ y[~asks])], names=["a", "s"])
+
+    parts = left.unionByName(right).groupBy("x", "other").applyInArrow(compare, "a long, s array<double>")
+    return parts.groupBy("a").agg(F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(width))).alias("s"))
 
-    parts = left.unionByName(right).groupBy("x", "y").applyInArrow(compare, "a long, sums array<double>")
-    long = parts.select("a", F.posexplode("sums").alias("k", "s")).groupBy("a", "k").agg(F.sum("s").alias("s"))
-    whole = long.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("s"))  # a row's columns
-    return whole.select(F.col("a").alias(key), F.col("s")[0].alias("d"), F.slice("s", 2, len(features)).alias("kx"))
+
+def kernel_sums(df: DataFrame, key: str, features: Sequence[str], gamma: float) -> DataFrame:
+    """key, d (row sum of the kernel exp(-gamma * d2), itself included) and kx (kernel times columns, an array)."""
+    v = F.array(*(F.col(c).cast("double") for c in features))
+    rows = df.select(F.col(key).alias("a"), v.alias("v"), F.concat(F.array(F.lit(1.0)), v).alias("y"))
+    found = kernel_product(rows, gamma, len(features) + 1)
+    return found.select(F.col("a").alias(key), F.col("s")[0].alias("d"), F.slice("s", 2, len(features)).alias("kx"))
 
 
 def spec(df: DataFrame, key: str, features: Sequence[str], k: int, gamma: float = 1.0, style: int = 0, standardize: bool = False) -> Ranking:
     """Spectral ranking over the kernel of all rows, larger scores first.
 
     style -1 is q = z'Lz / z'Dz and style 0 divides it by what is left of z beside the constant direction: both come from sums,
-    without eigenvectors (all pairs of rows are met, in blocks).  Columns without mass score -inf."""
-    if style not in (-1, 0):
-        raise ParameterError("style -1 and 0 are sums over all pairs; other styles need a dense spectrum")
+    without eigenvectors (all pairs of rows are met, in blocks).  style m of 2 or more weighs the share of z along each of the m - 1
+    smoothest directions beside the constant one by 2 less its eigenvalue, and turns the sign, since less is better there.  Columns
+    without mass score -inf."""
+    if style < -1 or style == 1:
+        raise ParameterError("style: -1, 0, or 2 and more")
     z = scaling.mean_sd(df, features).apply(df) if standardize else df.select(key, *(F.col(c).cast("double").alias(c) for c in features))
+    if style >= 2:
+        return top_k(features, smoothness(z, key, features, gamma, style), k)
     met = z.join(kernel_sums(z, key, features, gamma), key)
     aggs = [F.sum("d").alias("total")]
     for i, c in enumerate(features):
@@ -133,62 +141,43 @@ def spec(df: DataFrame, key: str, features: Sequence[str], k: int, gamma: float
     return top_k(features, scores, k)
 
 
-def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = 30, seed: int = 0, tolerance: float = 1e-9) -> tuple[np.ndarray, DataFrame]:
-    """Values and vectors (a, y: an array) of the ``count`` smallest eigenvalues of I - D^-1/2 W D^-1/2 of a graph (a, b, w).
-
-    Subspace iteration on 2I - L with a few spare vectors.  The vectors stay a table; a round is four joins with the edges
-    and a product of the table with itself (count + spare numbers square) that orthogonalises and rotates it."""
-    spare = count + max(4, count)
+def smoothness(z: DataFrame, key: str, features: Sequence[str], gamma: float, most: int) -> list[float]:
+    """Scores of spectral style ``most``: eigenpairs of the scaled kernel, which is multiplied in blocks and never stored."""
+    v = F.array(*(F.col(c) for c in features))
+    rows = z.select(F.col(key).alias("a"), v.alias("v")).persist()
+    n = rows.count()
+    degree = kernel_product(rows.select("a", "v", F.array(F.lit(1.0)).alias("y")), gamma, 1).select("a", F.col("s")[0].alias("d"))
+    placed = kept(rows.join(degree, "a").withColumn("root", F.sqrt(F.greatest("d", F.lit(EPS)))))
+    rows.unpersist()
+    roots = placed.select("a", "root")
+
+    def apply(y: DataFrame) -> DataFrame:
+        width = min(most, n) + 2
+        scaled = F.transform("y", lambda x: x / F.col("root"))
+        found = kernel_product(placed.join(y, "a").select("a", "v", scaled.alias("y")), gamma, width)
+        return found.join(roots, "a").select("a", F.filter(F.transform("s", lambda x: x / F.col("root")), lambda x: x.isNotNull()).alias("z"))
+
+    values, y = spectra.leading(apply, placed.select("a"), min(max(most, 2), n))
+    weighted = placed.join(y, "a").select("y", F.transform("v", lambda x: x * F.col("root")).alias("f"))
+    along = spectra.products(weighted, "y", "f", len(values), len(features))
+    mass = arrays.column_sums(weighted, "f", len(features), lambda f: f * f)
+    scores = -(along[1:] ** 2 * (1 + values[1:])[:, None]).sum(0)  # 2 - (1 - value)
+    return [float(s / m) if m > 1e-28 else float("-inf") for s, m in zip(scores, mass, strict=True)]
+
+
+def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = spectra.STEPS, seed: int = 0, tolerance: float = spectra.TOLERANCE) -> tuple[np.ndarray, DataFrame]:
+    """Values, rising, and vectors (a, y: an array) of the ``count`` smallest eigenvalues of I - D^-1/2 W D^-1/2 of a graph (a, b, w): a step
+    is one join of the edges with the current block of vectors."""
     degree = graph.groupBy("a").agg(F.sum("w").alias("d"))
     scaled = graph.join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
-    edges = scaled.select("a", "b", (F.col("w") / F.sqrt(F.greatest(F.col("da") * F.col("db"), F.lit(EPS * EPS)))).alias("w")).persist()
-    start = lambda k: F.sin(F.xxhash64(F.lit(seed), F.lit(k), "a") / F.lit(1e15))
-    y = degree.select("a", F.array(*(start(k) for k in range(spare))).alias("y"))
-    before = np.full(count, np.inf)
-    values = before
-    for _ in range(rounds):
-        for _ in range(4):  # (2I - L)y = y + Sy
-            sums = edges.join(y.select(F.col("a").alias("b"), "y"), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.col("y")[k]).alias(f"s{k}") for k in range(spare)))
-            y = y.join(sums, "a", "left").select("a", F.array(*(F.col("y")[k] + F.coalesce(f"s{k}", F.lit(0.0)) for k in range(spare))).alias("y"))
-        y = kept(y)
-        gram = _products(y, spare)
-        sizes, turn = np.linalg.eigh(gram)
-        basis = turn / np.sqrt(np.maximum(sizes, 1e-300))
-        y = _rotated(y, basis)
-        sy = edges.join(y.select(F.col("a").alias("b"), "y"), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.col("y")[k]).alias(f"s{k}") for k in range(spare)))
-        both = y.join(sy, "a").select("y", F.array(*(f"s{k}" for k in range(spare))).alias("z"))
-        ritz, turn = np.linalg.eigh(-_products(both, spare, "z"))
-        y = _rotated(y, turn)
-        values = 1 + ritz[:count]
-        if np.abs(values - before).max() <= tolerance:
-            break
-        before = values
-    return values, y.select("a", F.slice("y", 1, count).alias("y"))
-
-
-def _products(y: DataFrame, width: int, other: str = "y") -> np.ndarray:
-    def run(batches):
-        total = np.zeros((width, width))
-        for batch in batches:
-            if batch.num_rows:
-                total += np.stack(batch.column("y").to_numpy(zero_copy_only=False)).T @ np.stack(batch.column(other).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["g"])
-
-    long = y.mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g"))
-    out = np.zeros(width * width)
-    for r in long.collect():  # width * width numbers
-        out[r.k] = r.g
-    out = out.reshape(width, width)
-    return (out + out.T) / 2
-
+    edges = kept(scaled.select("a", "b", (F.col("w") / F.sqrt(F.greatest(F.col("da") * F.col("db"), F.lit(EPS * EPS)))).alias("w")))
 
-def _rotated(y: DataFrame, turn: np.ndarray) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(list(np.stack(batch.column("y").to_numpy(zero_copy_only=False)) @ turn), pa.list_(pa.float64()))], ["a", "y"])
+    def apply(y: DataFrame) -> DataFrame:
+        sums = edges.join(y.select(F.col("a").alias("b"), "y"), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.get("y", F.lit(k))).alias(f"s{k}") for k in range(count + 2)))
+        return sums.select("a", F.filter(F.array(*(f"s{k}" for k in range(count + 2))), lambda x: x.isNotNull()).alias("z"))
 
-    return y.mapInArrow(run, "a long, y array<double>")
+    values, y = spectra.leading(apply, degree.select("a"), count, rounds, tolerance, seed)
+    return 1 - values, y
 
 
 def eigengap(values: Sequence[float], least: int, most: int) -> int:
@@ -197,7 +186,7 @@ def eigengap(values: Sequence[float], least: int, most: int) -> int:
     return max(places, key=lambda k: (values[k] - values[k - 1], -k)) if len(places) else 2
 
 
-def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10, rounds: int = 30) -> int:
+def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10, rounds: int = spectra.STEPS) -> int:
     """Estimated from the columns alone, so that no label count is needed."""
     n = df.count()
     upper = min(most, n - 2)
@@ -224,7 +213,7 @@ def lasso(gram: np.ndarray, cross: np.ndarray, alpha: float, sweeps: int = 5000,
     return b
 
 
-def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int | None = None, n_neighbors: int = 5, alpha: float = 0.01, most: int = 10, rounds: int = 30) -> Ranking:
+def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int | None = None, n_neighbors: int = 5, alpha: float = 0.01, most: int = 10, rounds: int = spectra.STEPS) -> Ranking:
     """Columns that explain the leading spectral coordinates sparsely: the largest absolute lasso weight over the
     coordinates.  ``clusters``: their number, or None for the eigengap's."""
     if clusters is not None and clusters < 2:
@@ -238,7 +227,7 @@ def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int
     p = len(features)
     wide = p + len(used)
     sums = joined.select(F.concat("z").alias("y"), F.col("z"))
-    products = _products(sums, wide) / n
+    products = spectra.products(sums, "y", "z", wide, wide) / n
     means = np.array(joined.agg(*(F.avg(F.col("z")[i]) for i in range(wide))).first())
     centred = products - np.outer(means, means)
     weights = [np.abs(lasso(centred[:p, :p], centred[:p, p + c], alpha)) for c in range(len(used))]

@@ -84,19 +84,23 @@ def engine_label(engine: str, width: int, pairs: int) -> str:
     return "batched_cd" if width >= 50 or pairs >= 15_000 else "nnls"
 
 
-def residuals(h: np.ndarray, chosen: Sequence[int], rest: Sequence[int], engine: str = "nnls") -> np.ndarray:
+def _block(h, a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    return h[np.ix_(a, b)] if isinstance(h, np.ndarray) else h.block(a, b)
+
+
+def residuals(h, chosen: Sequence[int], rest: Sequence[int], engine: str = "nnls") -> np.ndarray:
     """Share of each remaining unit profile that no non-negative mix of the chosen explains, in [0, 1]; 1 if none is
-    chosen.  h: Gram matrix of unit profiles."""
+    chosen.  h: Gram matrix of unit profiles, or a ``tiles.Gram`` that has its columns when they are needed."""
     chosen, rest = list(chosen), list(rest)
     if not chosen:
         return np.ones(len(rest))
-    basis, cross, own = h[np.ix_(chosen, chosen)], h[np.ix_(chosen, rest)], np.diag(h)[rest]
+    basis, cross, own = _block(h, chosen, chosen), _block(h, chosen, rest), (np.diag(h) if isinstance(h, np.ndarray) else h.diagonal)[rest]
     a = descent_gram(basis, cross) if engine == "batched_cd" else np.stack([nnls_gram(basis, c) for c in cross.T], 1) if rest else np.zeros((len(chosen), 0))
     left = own - 2 * (a * cross).sum(0) + np.einsum("ik,ij,jk->k", a, basis, a)
     return np.clip(np.maximum(left, 0) / (own + EPS), 0, 1)
 
 
-def substitution(h: np.ndarray, chosen: Sequence[int], r: int, j: int) -> float:
+def substitution(h, chosen: Sequence[int], r: int, j: int) -> float:
     """How well j can stand in for r among the chosen: 1 less the worse of what each leaves unexplained."""
     if r not in chosen:
         raise ValueError("the representative must be selected")

@@ -7,14 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import order
 from .governance import implementation_kind
 
 SOURCE_COLUMNS = ("implementation_source", "external_source", "source_kind")
 
 
+def results_of(source: DataFrame | str) -> DataFrame:
+    """A results table, or that of a CSV file with a header (of a path that Spark reads)."""
+    if isinstance(source, DataFrame):
+        return source
+    df = SparkSession.builder.getOrCreate().read.csv(source, header=True, inferSchema=True)
+    return df.withColumn("error", F.col("error").cast("string")) if "error" in df.columns else df
+
+
 def failed(df: DataFrame) -> Column:
     return F.trim(F.coalesce(F.col("error").cast("string"), F.lit(""))) != "" if "error" in df.columns else F.lit(False)
 
@@ -100,7 +110,11 @@ def pivoted(df: DataFrame, index: str, column: str, value: str, columns: Sequenc
 def null_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """by, n, mean, q95 (interpolated), positive_share and any_positive of counts from null runs."""
     x = F.col(value)
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.95)).alias("q95"), F.avg((x > 0).cast("double")).alias("positive_share"), (F.count_if(x > 0) > 0).alias("any_positive"))
+    plain = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("positive_share"), (F.count_if(x > 0) > 0).alias("any_positive"))
+    series = order.Groups(df, by, value)
+    tails = [None if np.isnan(q) else float(q) for q in order.quantiles(series, (0.95,))[:, 0]]
+    q95 = df.sparkSession.createDataFrame(list(zip(series.names, tails, strict=True)), "_by string, q95 double")  # a row for each group
+    return plain.join(F.broadcast(q95), F.col(by).cast("string").eqNullSafe(F.col("_by"))).select(by, "n", "mean", "q95", "positive_share", "any_positive")
 
 
 def counts(df: DataFrame) -> DataFrame:

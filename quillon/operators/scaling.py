@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+from ..functions.order import Components, quantiles
+
 EPS = 1e-12
 
 
@@ -33,21 +37,44 @@ class Scaling:
         return df.select(*(c for c in df.columns if c not in own), *self.columns())
 
 
-def _quartiles(c: str) -> Column:
-    return F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    def apply_vectors(self, df: DataFrame, column: str = "v") -> DataFrame:
+        """To an array column of all features; other columns are kept."""
+        at, by, clip = np.array(self.location), np.array(self.scale), self.clip
+
+        def run(batches):
+            for batch in batches:
+                x = (arrays.stacked(batch.column(column)) - at) / by
+                if clip is not None:
+                    x = np.clip(x, -clip, clip)
+                place = batch.schema.get_field_index(column)
+                yield batch.set_column(place, column, arrays.listed(x))
+
+        return df.mapInArrow(run, df.schema)
 
 
 def robust(df: DataFrame, features: Sequence[str], clip: float = 4.5, eps: float = EPS) -> Scaling:
     """Median, and 1.4826 MAD, else IQR / 1.349, else population deviation, else 1: each if above eps."""
-    first = df.agg(*(_quartiles(c).alias(f"q{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features))).first()
-    median = [first[f"q{i}"][1] for i in range(len(features))]
-    second = df.agg(*(F.median(F.abs(F.col(c) - F.lit(m))).alias(f"m{i}") for i, (c, m) in enumerate(zip(features, median, strict=True)))).first()
-    scale = []
-    for i in range(len(features)):
-        q = first[f"q{i}"]
-        choices = (1.4826 * second[f"m{i}"], (q[2] - q[0]) / 1.349, first[f"s{i}"])
-        scale.append(next((x for x in choices if x > eps), 1.0))
-    return Scaling(tuple(features), tuple(median), tuple(scale), clip)
+    return robust_vectors(df.select(F.array(*(F.col(c).cast("double") for c in features)).alias("v")), features, clip, eps)
+
+
+def robust_vectors(df: DataFrame, features: Sequence[str], clip: float = 4.5, eps: float = EPS) -> Scaling:
+    """Of the components of v.  Order statistics of all features come from the same few passes; no task holds a column."""
+    width = len(features)
+    low, median, high = quantiles(Components(df, "v", width), (0.25, 0.5, 0.75)).T
+    mad = quantiles(Components(df, "v", width, median), (0.5,))[:, 0]
+    scale = np.where(1.4826 * mad > eps, 1.4826 * mad, (high - low) / 1.349)
+    if (flat := np.flatnonzero(~(scale > eps))).size:
+        got = df.agg(*(F.stddev_pop(F.col("v")[int(k)]).alias(f"s{k}") for k in flat)).first()
+        for k in flat:
+            scale[k] = got[f"s{k}"] if got[f"s{k}"] > eps else 1.0
+    return Scaling(tuple(features), tuple(median.tolist()), tuple(scale.tolist()), clip)
+
+
+def mean_sd_vectors(df: DataFrame, features: Sequence[str], eps: float = EPS) -> Scaling:
+    """As ``mean_sd``, of the components of v."""
+    mean = arrays.column_sums(df, "v", len(features), lambda x: x) / max(1, df.count())
+    spread = np.sqrt(arrays.column_sums(df, "v", len(features), lambda x: (x - mean) ** 2) / max(1, df.count()))
+    return Scaling(tuple(features), tuple(mean.tolist()), tuple(np.where(spread > eps, spread, 1.0).tolist()))
 
 
 def mean_sd(df: DataFrame, features: Sequence[str], eps: float = EPS) -> Scaling:

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.matrix import Matrix, matrix
+from ..sources.matrix import Matrix, columns_of, matrix
 from . import pairs as pairing
-from . import residual, scaling
+from . import residual, scaling, tiles
 from . import support as supports
 
 PATH_SCHEMA = """step int, feature_index int, feature_name string, support_z double, sample_coverage double, effective_support double,
@@ -25,24 +25,37 @@ class ParameterError(ValueError):
 
 @dataclass
 class Geometry:
-    """What a fit computes once: scaled rows, pairs, their profiles and the Gram matrix of unit profiles."""
+    """What a fit computes once: scaled rows (key, pos, v), and pairs with their profiles (pair_id, i, j, g), all features in one
+    array.  ``scaled`` and ``profiles`` show them with a column for each feature."""
 
     source: Matrix
-    scaled: DataFrame
-    pairs: DataFrame
-    profiles: DataFrame
+    z: DataFrame
+    table: DataFrame
     n_pairs: int
-    _gram: np.ndarray | None = None
+    _gram: tiles.Gram | None = None
 
     @property
-    def unit_gram(self) -> np.ndarray:
+    def pairs(self) -> DataFrame:
+        return self.table.select("pair_id", "i", "j")
+
+    @property
+    def scaled(self) -> DataFrame:
+        return columns_of(self.z, "v", self.source.features)
+
+    @property
+    def profiles(self) -> DataFrame:
+        return columns_of(self.table, "g", self.source.features)
+
+    @property
+    def gram(self) -> tiles.Gram:
+        """Of unit profiles, a column at a time."""
         if self._gram is None:
-            self._gram = residual.unit_gram(residual.gram(self.profiles, self.source.features))
+            self._gram = tiles.Gram(self.table, self.source.width)
         return self._gram
 
     def release(self) -> None:
-        self.profiles.unpersist()
-        self.scaled.unpersist()
+        self.table.unpersist()
+        self.z.unpersist()
 
 
 @dataclass
@@ -86,6 +99,14 @@ class Model:
         names = [x.split()[0] for x in PATH_SCHEMA.replace("\n", " ").split(", ")]
         return spark.createDataFrame([tuple(p.get(k) for k in names) for p in self.path], PATH_SCHEMA)
 
+    def summary(self) -> dict:
+        """What was selected from what, with the parameters, for a JSON report.  (Names of entries are those of the format.)"""
+        fit = self.info.get("parameters", {})
+        return {
+            "method": "geometry selection", "selection_used_y": False, "n_samples": self.geometry.source.rows, "n_features_in": len(self.features), "n_features_selected": len(self.selected),
+            "selected_indices": self.selected, "selected_features": self.get_feature_names_out(), "parameters": fit,
+        }
+
     def report(self, spark: SparkSession) -> DataFrame:
         """A row for each feature, selected first."""
         steps = {p["feature_index"]: p for p in self.path}
@@ -103,8 +124,8 @@ class GeometrySelector:
 
     n_features: a number, or "auto" to stop below the null threshold.  support_mode: "calibrated",
     "calibrated_no_coverage", "raw_affinity" or "raw_affinity_coverage" (the raw ones have no
-    threshold and need a number).  engine: "relational", "arrow" or "auto"; the last two take the
-    relational one where what the Arrow engine collects doesn't fit."""
+    threshold and need a number).  engine: "tiles" (blocks of draws, rows and features; "auto" is the same), "relational", or
+    "arrow", which hands a task one feature and takes the tiles where what it collects doesn't fit."""
 
     n_features: int | str = "auto"
     n_permutations: int = 200
@@ -135,34 +156,43 @@ class GeometrySelector:
             (self.coverage_power >= 0 and self.residual_power >= 0, "powers must not be negative"),
             (self.support_mode in ("calibrated", "calibrated_no_coverage", "raw_affinity", "raw_affinity_coverage"), "no such support_mode"),
             (not (auto and self.support_mode.startswith("raw")), "raw support modes need a fixed n_features"),
-            (self.engine in ("auto", "relational", "arrow"), "engine: auto, relational or arrow"),
+            (self.engine in ("auto", "tiles", "relational", "arrow"), "engine: auto, tiles, relational or arrow"),
             (self.residual_engine in ("auto", "nnls", "batched_cd"), "residual_engine: auto, nnls or batched_cd"),
         ]
         for good, message in rules:
             if not good:
                 raise ParameterError(message)
 
+    def parameters(self) -> dict:
+        """Those of a report, by the names of its format."""
+        named = {"n_features": "n_features", "n_permutations": "n_permutations", "alpha": "alpha", "max_pairs": "max_pairs", "pair_sampler": "pair_sampling", "residual_power": "residual_power", "random_state": "seed"}
+        return {name: getattr(self, own) for name, own in named.items()}
+
     def geometry(self, source: Matrix) -> Geometry:
-        fitted = scaling.robust(source.data, source.features, self.clip_z) if self.scale == "robust" else scaling.mean_sd(source.data, source.features)
-        scaled = fitted.apply(source.data).persist()  # read for pairs and for every permutation
-        drawn = pairing.sample_pairs(source.data.select(source.key, "pos"), source.rows, self.max_pairs, self.seed, self.pair_sampling)
-        profiles = pairing.geometry(drawn, scaled, source.features).persist()
-        return Geometry(source, scaled, profiles.select("pair_id", "i", "j"), profiles, min(self.max_pairs, source.rows * (source.rows - 1) // 2))
+        fitted = scaling.robust_vectors(source.table, source.features, self.clip_z) if self.scale == "robust" else scaling.mean_sd_vectors(source.table, source.features)
+        z = fitted.apply_vectors(source.table).persist()  # read for pairs and for every permutation
+        drawn = pairing.sample_pairs(source.table.select(source.key, "pos"), source.rows, self.max_pairs, self.seed, self.pair_sampling)
+        return Geometry(source, z, tiles.profiles(drawn, z).persist(), min(self.max_pairs, source.rows * (source.rows - 1) // 2))
 
     def supports(self, g: Geometry) -> supports.Support:
-        bank = pairing.permutation_bank(g.source.data.select(g.source.key, "pos"), self.n_permutations, self.seed)
+        bank = pairing.permutation_bank(g.source.table.select(g.source.key, "pos"), self.n_permutations, self.seed)
         power = 0.0 if self.support_mode == "calibrated_no_coverage" else self.coverage_power
-        arrow = self.engine != "relational" and supports.fits_arrow(g.source.rows, g.n_pairs, self.n_permutations)
-        if arrow:
-            found = supports.support_arrow(g.profiles, g.scaled, bank, g.source.features, g.source.rows, power)
+        features, n = g.source.features, g.source.rows
+        if self.engine == "relational":
+            found = supports.support_relational(g.profiles, g.pairs, g.scaled, bank, features, n, power)
+        elif self.engine == "arrow" and supports.fits_arrow(n, g.n_pairs, self.n_permutations):
+            found = supports.support_arrow(g.profiles, g.scaled, bank, features, n, power)
         else:
-            found = supports.support_relational(g.profiles, g.pairs, g.scaled, bank, g.source.features, g.source.rows, power)
+            found = tiles.support_tiles(g.table, g.z, bank, len(features), n, self.n_permutations, power)
         if self.support_mode.startswith("raw"):
             found.effective = found.affinity * (found.coverage**self.coverage_power if self.support_mode.endswith("coverage") else 1.0)
         return found
 
     def fit(self, df: DataFrame, key: str, features: Sequence[str] | None = None) -> Model:
-        source = matrix(df, key, features)
+        return self.fit_matrix(matrix(df, key, features))
+
+    def fit_matrix(self, source: Matrix) -> Model:
+        """Of a matrix that has been read, as by ``vector_matrix`` from an array column."""
         self.validate(source.width)
         g = self.geometry(source)
         found = self.supports(g)
@@ -172,7 +202,7 @@ class GeometrySelector:
         tail = lambda s: float((1 + (max_null >= s).sum()) / (len(max_null) + 1))
         adjusted = np.array([tail(s) for s in found.effective])
         label = residual.engine_label(self.residual_engine, source.width, g.n_pairs)
-        novelty = (lambda chosen, rest: residual.residuals(g.unit_gram, chosen, rest, label)) if self.use_residual else None
+        novelty = (lambda chosen, rest: residual.residuals(g.gram, chosen, rest, label)) if self.use_residual else None
         path = greedy(found.effective, novelty, self.residual_power, None if self.n_features == "auto" else int(self.n_features), limit)
         forced = not path and self.n_features == "auto" and not self.allow_empty
         if forced:
@@ -186,7 +216,7 @@ class GeometrySelector:
             }
             for k, (j, r, s) in enumerate(path, 1)
         ]
-        return Model(source.features, [j for j, _, _ in path], steps, found, adjusted, limit, g, {"residual_engine": label, "n_pairs": g.n_pairs})
+        return Model(source.features, [j for j, _, _ in path], steps, found, adjusted, limit, g, {"residual_engine": label, "n_pairs": g.n_pairs, "parameters": self.parameters()})
 
     def fit_transform(self, df: DataFrame, key: str, features: Sequence[str] | None = None) -> DataFrame:
         return self.fit(df, key, features).transform(df, key)

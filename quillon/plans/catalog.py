@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, governance, groups, neighbours, pairs, prepare, ranks, residual, scaling
-from ..operators import support as supports
+from ..functions import arrays
+from ..operators import evidence, governance, groups, neighbours, pairs, prepare, ranks, residual, scaling, tiles
 from ..operators.selector import GeometrySelector
-from ..sources.matrix import Matrix, array_columns, matrix
+from ..sources.matrix import Matrix, array_columns, columns_of, vector_matrix
 from . import oracle
 
 #: Components of embeddings in the SQL; pairs and draws of queries that permute, and pairs of those that don't.
@@ -83,7 +83,7 @@ def vectors(spark: SparkSession, sf_dir: str, size: Size) -> DataFrame:
 
 
 def source(spark: SparkSession, sf_dir: str, size: Size) -> Matrix:
-    return matrix(vectors(spark, sf_dir, size), "vec_id", size.features)
+    return vector_matrix(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", size.features)
 
 
 def selector(size: Size, **more) -> GeometrySelector:
@@ -95,7 +95,7 @@ def geometry(spark: SparkSession, sf_dir: str, size: Size):
 
 
 def fitted(spark: SparkSession, sf_dir: str, size: Size, **more):
-    return selector(size, **more).fit(vectors(spark, sf_dir, size), "vec_id", size.features)
+    return selector(size, **more).fit_matrix(source(spark, sf_dir, size))
 
 
 def wide(expression: str) -> str:
@@ -108,7 +108,8 @@ def wide(expression: str) -> str:
 @embedded(f"WITH {oracle.matrix()}, {oracle.robust()} SELECT vec_id, {wide('round(f{k}, 6) AS f{k}')} FROM z")
 def scale_robust(spark, sf_dir, size):
     x = source(spark, sf_dir, size)
-    return rounded(scaling.robust(x.data, size.features).apply(x.data).select("vec_id", *size.features), *size.features)
+    z = scaling.robust_vectors(x.table, size.features).apply_vectors(x.table).select("vec_id", "v")
+    return rounded(columns_of(z, "v", size.features), *size.features)
 
 
 @query("""SELECT p_partkey, round((p_size - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END, 6) AS p_size, round((p_retailprice - b) / CASE WHEN t > 1e-12 THEN t ELSE 1 END, 6) AS p_retailprice
@@ -166,16 +167,15 @@ def pair_geometry(spark, sf_dir, size):
 @embedded(f"WITH {oracle.base(MANY_PAIRS)}, {oracle.profiles()}, {oracle.observed()} SELECT feature, round(aff.v, 6) AS affinity, round(cov.v, 6) AS coverage FROM aff JOIN cov USING (feature)", MANY_PAIRS)
 def affinity_coverage(spark, sf_dir, size):
     g = geometry(spark, sf_dir, size)
-    rest = supports.rest_profiles(g.profiles, size.features)
-    aff = supports.unpivoted(supports.affinities(g.profiles, rest, size.features), size.features, "affinity")
-    cov = supports.unpivoted(supports.coverages(g.profiles, size.features, g.source.rows), size.features, "coverage")
-    return rounded(aff.join(cov, "feature"), "affinity", "coverage")
+    found = tiles.statistics(g.table, g.z, None, size.width, g.source.rows, 0)
+    return rounded(found.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("feature"), "affinity", "coverage"), "affinity", "coverage")
 
 
 @embedded(f"WITH {oracle.base(MANY_PAIRS)}, {oracle.profiles()} SELECT pair_id, {wide('round(r{k} * 1000, 6) AS f{k}')} FROM rest", MANY_PAIRS)
 def leave_one_out(spark, sf_dir, size):
-    rest = supports.rest_profiles(geometry(spark, sf_dir, size).profiles, size.features)
-    return rest.select("pair_id", *(r6(F.col(c) * 1000).alias(c) for c in size.features))
+    g = geometry(spark, sf_dir, size)
+    rest = tiles.rest_profiles(g.table, arrays.column_sums(g.table, "g", size.width, lambda x: x))
+    return rest.select("pair_id", *(r6(F.col("r")[k] * 1000).alias(c) for k, c in enumerate(size.features)))
 
 
 @embedded(f"WITH {oracle.matrix()}, {oracle.bank(DRAWS)} SELECT CAST(b AS INT) AS b, pos, src FROM bank")
@@ -188,8 +188,8 @@ def permutation_bank(spark, sf_dir, size):
 def null_statistics(spark, sf_dir, size):
     g = geometry(spark, sf_dir, size)
     bank = pairs.permutation_bank(g.source.data.select("vec_id", "pos"), size.draws, 0)
-    rest = supports.rest_profiles(g.profiles, size.features)
-    return rounded(supports.null_statistics(bank, g.pairs, g.scaled, rest, size.features, g.source.rows), "affinity", "coverage")
+    found = tiles.statistics(g.table, g.z, bank, size.width, g.source.rows, size.draws).where("b >= 0")
+    return rounded(found.select("b", F.concat(F.lit("f"), F.col("k").cast("string")).alias("feature"), "affinity", "coverage"), "affinity", "coverage")
 
 
 SUPPORT = "feature, round(aff, 6) AS affinity, round(cov, 6) AS coverage, round(med, 6) AS null_median, round(scale, 6) AS null_scale, round(zr, 4) AS robust_z, round(eff, 4) AS effective_support, round(p, 6) AS adjusted_p"
@@ -210,7 +210,7 @@ def effective_support(spark, sf_dir, size):
 
 @embedded(f"WITH {oracle.full(PAIRS, DRAWS)} SELECT {SUPPORT} FROM sup JOIN adj USING (feature)")
 def effective_support_arrow(spark, sf_dir, size):
-    """The Arrow engine: the same numbers."""
+    """The Arrow engine, a feature in each task: the same numbers."""
     return support_frame(spark, fitted(spark, sf_dir, size, engine="arrow"))
 
 
@@ -224,8 +224,8 @@ def max_null_threshold(spark, sf_dir, size):
 
 @embedded(f"WITH {oracle.base(MANY_PAIRS)}, {oracle.unit_gram()} SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(c, 6) AS c FROM h", MANY_PAIRS)
 def unit_gram(spark, sf_dir, size):
-    h = geometry(spark, sf_dir, size).unit_gram
-    return spark.createDataFrame([(a, b, float(h[a, b])) for a in range(size.width) for b in range(size.width)], "a int, b int, c double").withColumn("c", r6("c"))
+    found = tiles.unit_gram_table(geometry(spark, sf_dir, size).table, size.width)
+    return found.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), r6("c").alias("c"))
 
 
 @embedded(f"""WITH {oracle.base(MANY_PAIRS)}, {oracle.unit_gram()}
@@ -234,7 +234,7 @@ FROM h JOIN h d ON d.a = h.b AND d.b = h.b JOIN h q ON q.a = 0 AND q.b = 0 WHERE
 def residual_one(spark, sf_dir, size):
     """What the first feature's profile leaves unexplained of each other one."""
     rest = list(range(1, size.width))
-    found = residual.residuals(geometry(spark, sf_dir, size).unit_gram, [0], rest)
+    found = residual.residuals(geometry(spark, sf_dir, size).gram, [0], rest)
     return spark.createDataFrame([(j, float(r)) for j, r in zip(rest, found, strict=True)], "feature int, residual double").withColumn("residual", r6("residual"))
 
 
@@ -423,10 +423,10 @@ def impute_median(spark, sf_dir):
     return rounded(prepare.impute_median(df, ["value"]), "value")
 
 
-KINDS = ("author_code:x", "scikit-feature:mcfs", "canonical:spec", "gsr", None)
+KINDS = ("author_code:x", "scikit-feature:mcfs", "canonical:spec", "own", None)
 
 
-@query("""WITH s AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'author_code:x' WHEN 1 THEN 'scikit-feature:mcfs' WHEN 2 THEN 'canonical:spec' WHEN 3 THEN 'gsr' END AS src FROM customer)
+@query("""WITH s AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'author_code:x' WHEN 1 THEN 'scikit-feature:mcfs' WHEN 2 THEN 'canonical:spec' WHEN 3 THEN 'own' END AS src FROM customer)
 SELECT c_custkey, CASE WHEN lower(src) LIKE '%author%' THEN 'author_code' WHEN lower(src) LIKE '%scikit-feature%' OR lower(src) LIKE 'canonical:%' THEN 'canonical' ELSE 'native_or_local' END AS kind FROM s""")
 def source_kind(spark, sf_dir):
     source = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("c_custkey") % 5 + 1).cast("int"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import concordance, downstream, evidence, gates, groups, metrics, prepare, rankers, records, results, stability
+from ..operators import concordance, downstream, evidence, gates, granular, groups, metrics, prepare, rankers, records, results, stability
 from . import oracle
 from .catalog import ORACLE_SQL, PAIRS, QUERIES, embedded, fitted, geometry, query, rounded, selector, source, table, vectors
 
@@ -243,6 +243,30 @@ def row_blocks(spark, sf_dir, size):
     return concordance.row_blocks(x.data.select("vec_id", "pos"), x.rows, 5, 0)
 
 
+@embedded()
+def granular_walk(spark, sf_dir, size):
+    """All columns by granular balls and the walk over features."""
+    return rounded(granular.granular_walk(vectors(spark, sf_dir, size), "vec_id", size.features, 10).frame(spark), "score")
+
+
+@embedded()
+def spec_smooth(spark, sf_dir, size):
+    """Spectral style 4: the three smoothest directions of the kernel beside the constant one."""
+    return rounded(rankers.spec(vectors(spark, sf_dir, size), "vec_id", size.features, 5, style=4).frame(spark), "score")
+
+
+@embedded()
+def eigengap_clusters(spark, sf_dir, size):
+    """The number of clusters by the widest gap of the graph's small eigenvalues."""
+    return spark.createDataFrame([(rankers.spectral_clusters(vectors(spark, sf_dir, size), "vec_id", size.features),)], "clusters int")
+
+
+@embedded()
+def mcfs(spark, sf_dir, size):
+    """Columns that explain the leading coordinates of the row graph sparsely."""
+    return rounded(rankers.mcfs(vectors(spark, sf_dir, size), "vec_id", size.features, 10).frame(spark), "score")
+
+
 KERNEL = """k AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, exp(-list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS w FROM
 (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b),
 dk AS MATERIALIZED (SELECT a, sum(w) AS d FROM k GROUP BY a)"""
@@ -329,10 +353,8 @@ def concordance_two(spark, sf_dir, size):
 
 @embedded()
 def gap_selection(spark, sf_dir, size):
-    """Fused with balanced-gap evidence, over the first columns that the plain selector takes."""
-    df = vectors(spark, sf_dir, size)
-    names = [c for c in size.features[:6]]
-    model = concordance.FusedSelector(selector(size), "gaps", 0.5).fit(df.select("vec_id", *names), "vec_id", names)
+    """Fused with balanced-gap evidence of all columns."""
+    model = concordance.FusedSelector(selector(size), "gaps", 0.5).fit(vectors(spark, sf_dir, size), "vec_id", size.features)
     return rounded(model.path_frame(spark), "structural_rank", "other_rank", "fused_relevance", "residual_novelty", "selection_score")
 
 
@@ -341,7 +363,7 @@ SELECT s1.j AS representative, CAST(rr.j AS INT) AS member, round(1 - greatest(g
 def substitution_similarity(spark, sf_dir, size):
     """How well each other column can stand in for the first one selected."""
     model = fitted(spark, sf_dir, size, n_features=1)
-    found = groups.similarities(model.geometry.unit_gram, model.selected)
+    found = groups.similarities(model.geometry.gram, model.selected)
     return rounded(spark.createDataFrame([(model.selected[0], j, float(s[0])) for j, s in found.items()], "representative int, member int, similarity double"), "similarity")
 
 

@@ -1,14 +1,19 @@
-"""Small text files in any store that Spark reaches, and NPY matrices read by row ranges on the executors."""
+"""Small text files in any store that Spark reaches, and NPY matrices read and written by row ranges on the executors."""
 
 from __future__ import annotations
 
 import ast
 import json
+import os
+import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.order import positions
 from .matrix import MatrixError
 
 
@@ -75,3 +80,37 @@ def read_npy(spark: SparkSession, path: str, rows_per_task: int = 50_000) -> Dat
     tasks = max(1, -(-n // rows_per_task))
     starts = spark.range(0, n, rows_per_task, tasks)
     return starts.mapInArrow(run, "row_id long, " + ", ".join(f"{c} double" for c in names))
+
+
+def write_npy(df: DataFrame, key: str, columns: Sequence[str], path: str, rows_per_task: int = 50_000) -> None:
+    """The columns as one two-dimensional NPY file of doubles, rows in the order of ``key``, in a folder that all executors share.
+
+    The driver writes the header and the file's full length; each task writes its rows at their own place, so a task that is run
+    again writes the same bytes.  Until all are done the file has another name; an older file of the name is replaced."""
+    rows = positions(df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)), key)
+    n, width = rows.count(), len(columns)
+    head = repr({"descr": "<f8", "fortran_order": False, "shape": (n, width)}).encode("latin1")
+    head = b"\x93NUMPY\x01\x00" + (118).to_bytes(2, "little") + head.ljust(117) + b"\n"
+    if len(head) != 128:
+        raise MatrixError("the header does not fit")
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(head)
+        f.truncate(128 + 8 * n * width)
+
+    def run(batches):
+        with open(part, "r+b") as f:
+            for batch in batches:
+                at = batch.column("pos").to_numpy()
+                x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype("<f8")
+                cuts = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # runs of neighbouring rows
+                for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                    f.seek(128 + 8 * width * int(at[a]))
+                    f.write(x[a:b].tobytes())
+            f.flush()
+            os.fsync(f.fileno())
+        yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
+
+    dealt = rows.repartitionByRange(max(1, -(-n // rows_per_task)), "pos").sortWithinPartitions("pos")
+    dealt.select("pos", *columns).mapInArrow(run, "done long").count()
+    os.replace(part, path)

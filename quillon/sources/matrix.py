@@ -18,9 +18,10 @@ class MatrixError(ValueError):
 
 @dataclass(frozen=True)
 class Matrix:
-    """``data``: key, pos (dense, in key order) and the features as doubles."""
+    """``table``: key, pos (dense, in key order) and v, the features as an array of doubles: a plan has one column for them,
+    however many they are."""
 
-    data: DataFrame
+    table: DataFrame
     key: str
     features: tuple[str, ...]
     rows: int
@@ -29,6 +30,16 @@ class Matrix:
     def width(self) -> int:
         return len(self.features)
 
+    @property
+    def data(self) -> DataFrame:
+        """The same with a column for each feature."""
+        return columns_of(self.table, "v", self.features)
+
+
+def columns_of(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """An array column as named columns behind the others."""
+    return df.select(*(c for c in df.columns if c != column), *(F.col(column)[k].alias(c) for k, c in enumerate(names)))
+
 
 def numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, (T.NumericType, T.BooleanType))
@@ -44,15 +55,32 @@ def matrix(df: DataFrame, key: str, features: Sequence[str] | None = None) -> Ma
         raise MatrixError(f"not numeric: {bad}")
     if len(set(names)) < len(names) or len(names) < 2:
         raise MatrixError("at least two different features are needed")
-    data = df.select(F.col(key), *(F.col(c).cast("double").alias(c) for c in names))
-    finite = [F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias(f"bad{i}") for i, c in enumerate(names)]
-    got = data.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), *finite).first()
+    return _checked(df.select(F.col(key), F.array(*(F.col(c).cast("double") for c in names)).alias("v")), key, names)
+
+
+def vector_matrix(df: DataFrame, key: str, column: str, names: Sequence[str] | None = None) -> Matrix:
+    """Of an array column; every array must have the same length.  ``names``: else f0, f1, ..."""
+    got = df.agg(F.min(F.size(column)).alias("least"), F.max(F.size(column)).alias("most")).first()
+    if got.least is None or got.least != got.most or got.most < 2:
+        raise MatrixError(f"{column} must hold arrays of one length, of two numbers at least")
+    names = tuple(names) if names is not None else tuple(f"f{k}" for k in range(got.most))
+    if len(names) != got.most:
+        raise MatrixError(f"{got.most} names are needed")
+    return _checked(df.select(F.col(key), F.col(column).cast("array<double>").alias("v")), key, names)
+
+
+_BAD = "exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))"
+
+
+def _checked(data: DataFrame, key: str, names: tuple[str, ...]) -> Matrix:
+    got = data.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.count_if(F.expr(_BAD)).alias("bad")).first()
     if got["rows"] < 3:
         raise MatrixError("at least three rows are needed")
     if got["keys"] < got["rows"]:
         raise MatrixError(f"{key} is not a unique key")
-    if bad := [c for i, c in enumerate(names) if got[f"bad{i}"]]:
-        raise MatrixError(f"missing or infinite values in {bad}")
+    if got["bad"]:
+        places = data.where(_BAD).select(F.posexplode("v").alias("k", "x")).where("x is null or isnan(x) or abs(x) = double('inf')").select("k").distinct().collect()
+        raise MatrixError(f"missing or infinite values in {[names[r.k] for r in sorted(places)]}")
     return Matrix(positions(data, key), key, names, got["rows"])
 
 

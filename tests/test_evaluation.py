@@ -226,7 +226,7 @@ def result_rows(spark, better=0.2):
     rows = []
     for d in range(30):
         base = rng.random()
-        for m, source, plus in (("GSR-FS", "native_or_local", better), ("A", "canonical:a", 0.0), ("B", "author_code:b", 0.0), ("C", "local", 0.0)):
+        for m, source, plus in (("geometry", "native_or_local", better), ("A", "canonical:a", 0.0), ("B", "author_code:b", 0.0), ("C", "local", 0.0)):
             rows.append((f"d{d}", m, source, float(base + plus + 0.01 * rng.random()), ""))
     return spark.createDataFrame(rows, "dataset string, method string, implementation_source string, balanced_accuracy double, error string")
 
@@ -238,14 +238,14 @@ def test_gates(spark):
     failed = {c["name"] for c in bad["checks"] if not c["passed"]}
     assert failed == {"minimum_evidence_publication_gate", "candidate_best_mean_rank", "holm_significant_canonical_wins", "no_holm_significant_canonical_losses"}
     audits = spark.createDataFrame([(f"d{i}", True) for i in range(30)], "dataset string, eligible boolean")
-    blind = spark.createDataFrame([("GSR-FS", True)], "method string, all_trials_identical boolean")
+    blind = spark.createDataFrame([("geometry", True)], "method string, all_trials_identical boolean")
     assert gates.publication_gate(result_rows(spark), audits=audits, label_audit=blind)["passed"]
     none = gates.publication_gate(result_rows(spark))
     assert {c["name"] for c in none["checks"] if not c["passed"]} == {"dataset_source_integrity_audit", "candidate_label_blindness_audit"}
     for call in (gates.publication_gate, gates.superiority_gate):
         with pytest.raises(ValueError):
             call(result_rows(spark).drop("method"))
-    post = ranks.compare_methods(result_rows(spark), "dataset", "method", "balanced_accuracy", "GSR-FS")["posthoc"]
+    post = ranks.compare_methods(result_rows(spark), "dataset", "method", "balanced_accuracy", "geometry")["posthoc"]
     assert all(r["significant_holm"] and r["mean_difference"] > 0 and r["rank_biserial"] == 1.0 for r in post)
 
 
