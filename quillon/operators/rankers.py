@@ -186,6 +186,10 @@ def eigengap(values: Sequence[float], least: int, most: int) -> int:
     return max(places, key=lambda k: (values[k] - values[k - 1], -k)) if len(places) else 2
 
 
+#: Residuals at which eigenvalues (whose error is the square of it) and vectors are good enough for a count and for weights.
+FOR_VALUES, FOR_VECTORS = 1e-3, 1e-6
+
+
 def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10, rounds: int = spectra.STEPS) -> int:
     """Estimated from the columns alone, so that no label count is needed."""
     n = df.count()
@@ -193,7 +197,7 @@ def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighb
     if n < 4 or upper < 2:
         return 2
     z = scaling.mean_sd(df, features).apply(df)
-    values, _ = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), min(upper + 1, n - 1), rounds)
+    values, _ = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), min(upper + 1, n - 1), rounds, tolerance=FOR_VALUES)
     return eigengap(values.tolist(), min(max(least, 2), upper), upper)
 
 
@@ -219,9 +223,14 @@ def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int
     if clusters is not None and clusters < 2:
         raise ParameterError("clusters must be 2 or more")
     n, z = df.count(), scaling.mean_sd(df, features).apply(df).persist()
-    found = clusters or spectral_clusters(df, key, features, n_neighbors, 2, most, rounds)
+    graph = kept(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)))
+    upper = min(most, n - 2)
+    found = clusters or 2
+    if clusters is None and n >= 4 and upper >= 2:
+        values, _ = smallest_eigenpairs(graph, min(upper + 1, n - 1), rounds, tolerance=FOR_VALUES)
+        found = eigengap(values.tolist(), 2, upper)
     width = min(max(found + 1, 2), n - 1)
-    _, y = smallest_eigenpairs(neighbours.heat_graph(neighbours.nearest(z, key, features, n_neighbors)), width, rounds)
+    _, y = smallest_eigenpairs(graph, width, rounds, tolerance=FOR_VECTORS)
     used = list(range(1, min(width, found + 1)))
     joined = z.join(y.withColumnRenamed("a", key), key).select(F.array(*features).alias("y"), F.concat(F.array(*features), F.array(*(F.col("y")[c] for c in used))).alias("z"))
     p = len(features)

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.tables import kept
+from ..functions.tables import discard, kept, written
 
 #: Vectors that the basis has at most, beside what is asked for; steps; residual at which a pair counts as found.
-MOST_WIDTH, STEPS, TOLERANCE = 48, 60, 1e-9
+MOST_WIDTH, STEPS, TOLERANCE = 128, 60, 1e-7
 
 Operator = Callable[[DataFrame], DataFrame]
 
@@ -67,7 +67,7 @@ def leading(apply: Operator, nodes: DataFrame, count: int, steps: int = STEPS, t
     live = sizes > 1e-12 * max(sizes.max(initial=0), 1e-300)
     first = turn[:, live] / np.sqrt(sizes[live])
     y = _mapped(y, lambda v: v @ first, ("y",), ("y",))
-    state, h = None, np.zeros((0, 0))
+    state, table, h = None, None, np.zeros((0, 0))
     values, turn = np.zeros(0), np.zeros((0, 0))
     added = first.shape[1]
     for _ in range(steps):
@@ -75,8 +75,12 @@ def leading(apply: Operator, nodes: DataFrame, count: int, steps: int = STEPS, t
         if state is None:
             state = met.select("a", F.col("y").alias("q"), F.col("z").alias("image"), "z")
         else:
-            state = state.drop("z").join(met, "a").select("a", F.concat("q", "y").alias("q"), F.concat("image", "z").alias("image"), "z")
-        state = kept(state)
+            state = state.select("a", "q", "image").join(met, "a").select("a", F.concat("q", "y").alias("q"), F.concat("image", "z").alias("image"), "z")
+        # A table rather than a checkpoint: that would carry the partitionings of all joins before it, twice as many each step.
+        before, state = table, written(state)
+        table = state
+        if before is not None:
+            discard(before)
         width = len(h) + added
         c = products(state, "q", "z", width, added)
         grown = np.zeros((width, width))
@@ -103,7 +107,7 @@ def leading(apply: Operator, nodes: DataFrame, count: int, steps: int = STEPS, t
             # The vectors behind y must stay as they are: they are written before the basis is turned.
             y = kept(y)
             best = turn[:, : count + block]
-            state = _mapped(state, lambda q, image, best=best: (q @ best, image @ best), ("q", "image"), ("q", "image")).withColumn("z", F.col("image"))
+            state = _mapped(state, lambda q, image, best=best: (q @ best, image @ best), ("q", "image"), ("q", "image"))
             h = np.diag(values[: count + block])
     shown = min(count, len(values))
     best = turn[:, :shown]
