@@ -249,8 +249,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rows equal in doc_id and text any one).  Rows with one doc_id and texts of different groups stay each, as
     do all rows without doc_id; of rows without words one stays for each doc_id."""
     found = near_duplicates(docs, size, percent, by_text=True)
-    stay = found.where("kept and first").groupBy("doc_id", "digest").agg(F.min("h").alias("_h")).select("doc_id", "_h").distinct()
-    named = docs.where("doc_id is not null").withColumn("_h", F.xxhash64("text"))
+    stay = found.where("kept and first").groupBy("doc_id", "digest").agg(F.min("h").alias("h")).select(F.col("doc_id").alias("d"), "h").distinct()
+    # The row is held in a struct, so that no name of its columns can meet those of the join.
+    named = docs.where("doc_id is not null").select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
     # Two sets of an id may have one text's hash each; equal rows collapse after the join, which needs no sort of the texts.
-    left = named.join(stay.hint("shuffle_hash"), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    left = named.join(stay.hint("shuffle_hash"), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    return left.select("row.*").unionByName(docs.where("doc_id is null"))

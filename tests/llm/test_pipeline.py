@@ -79,3 +79,17 @@ def test_empty_and_blank_tables(spark, stage):
     assert stage(spark, empty_docs(spark), "").count() == 0
     blank = empty_docs(spark).unionByName(spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string"), allowMissingColumns=True)
     stage(spark, blank, "").collect()
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_columns_of_every_name_stay(spark, stage):
+    """Columns named as the operators name theirs come back as they were."""
+    names = ["_h", "row", "d", "h", "new", "key", "rep", "gone", "exact", "near", "at", "spans", "digest", "first", "a.b"]
+    rows = [*long_rows(), (200, long_rows()[0][1] + " again"), (None, long_rows()[3][1])]
+    docs = spark.createDataFrame([(i, t, *(f"{c}{i}" for c in names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = stage(spark, docs, "")
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert len(found) >= 4
+    for r in found:
+        assert tuple(r)[2:] == tuple(f"{c}{r.doc_id}" for c in names)
