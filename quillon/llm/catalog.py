@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crc_of_id(modulus: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    """Of the id as text; a missing one counts as empty."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return lm.score_documents(table(spark, sf_dir, "documents"), crc % 10 == 0)
+    return lm.score_documents(table(spark, sf_dir, "documents"), crc_of_id(10) == 0)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    model = crf.learn(docs.where(crc % 4 != 2), table(spark, sf_dir, "labels"))
-    return crf.score_documents(docs, model).select("doc_id", (crc % 4 == 2).alias("held_out"), "score", "predicted")
+    model = crf.learn(docs.where(crc_of_id(4) != 2), table(spark, sf_dir, "labels"))
+    return crf.score_documents(docs, model).select("doc_id", (crc_of_id(4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

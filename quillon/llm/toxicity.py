@@ -1,11 +1,13 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
 The lexicon is learned: stems (beginnings of words) that labelled toxic texts hold far more
-often than the other labelled texts, with their log-odds as weights.  Words then become
-symbols (offence, target, negation, report, other), transducers for offence, target,
-negation and reported speech are composed into one machine, and each clause of a text
-runs through it.  The machine's output is the clause's class; a class has a weight of its own,
-again learned from the labelled texts, so a denied or reported offence counts as
+often than the other labelled texts, with their log-odds as weights; those that mostly stand right before a
+target are threats, beside a fixed list of verbs in their inflections.  Words then become
+symbols (offence, threat, target, negation, report, other), transducers for negation, reported speech, insult and
+threat are composed into one machine, and each clause of a text
+runs through it.  Negation and report act on offences and threats alike; a denied or told threat is none, and a
+threat counts only with a target at most two words behind it.  The machine's output is the clause's class; a class has a
+weight of its own, again learned from the labelled texts, so a denied or reported offence counts as
 much as the labels say.
 
 Null and empty texts have no clause and score the prior.  Repeated rows score alike, and
@@ -29,14 +31,16 @@ from pyspark.sql import functions as F
 from .text import doc_texts, slices
 
 OTHER, OFFENCE, TARGET, NEGATION, REPORT, THREAT = SYMBOLS = range(6)
-#: What machines write for an offence: denied, reported, both.
-DENIED, TOLD, DENIED_TOLD = 6, 7, 8
+#: What machines write for an offence: denied, reported, both; and for a threat that is denied, or told.
+DENIED, TOLD, DENIED_TOLD, DENIED_THREAT, TOLD_THREAT = 6, 7, 8, 9, 10
 # Second and third persons as targets, negations, verbs of reporting and of threats.
 TARGET_WORDS = "you your youre he she they them her him his du dich dir dein deine ihr euch sie er tu toi ton ta vous votre il elle ils usted tú te ti tus ellos ella".split()
 NEGATION_WORDS = "not no never isnt arent nor kein keine keinen nicht nie ne pas jamais ni nunca jamás".split()
 REPORT_WORDS = "said says say called calls call wrote sagte sagt nannte schrieb dit disait appelle dijo dice llamó escribió".split()
-THREAT_WORDS = "kill hurt burn destroy töten umbringen verletzen tuer brûler matar quemar".split()
+THREAT_STEMS = "kill hurt burn destroy shoot stab murder threat strangl töt umbring verletz erschieß tuer brûler matar quemar".split()
+THREAT_ENDINGS = ["", *"s es e d ed ing en ens ened ening bed bing te tet est et ai as a ez ons ont é ás á emos án".split()]
 
+TARGETS = set(TARGET_WORDS)
 WORD = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -71,13 +75,17 @@ def compose(first: Transducer, second: Transducer, symbols: Iterable[int] = SYMB
 
 
 def negation() -> Transducer:
-    """The first offence is denied if a negation stands before it."""
-    return Transducer({(0, NEGATION): ("n", NEGATION), (0, OFFENCE): ("end", OFFENCE), ("n", OFFENCE): ("end", DENIED)})
+    """The first offence or threat is denied if a negation stands before it."""
+    marks = {OFFENCE: DENIED, THREAT: DENIED_THREAT}
+    plain = {(0, x): ("end", x) for x in marks}
+    return Transducer({(0, NEGATION): ("n", NEGATION)} | plain | {("n", x): ("end", y) for x, y in marks.items()})
 
 
 def report() -> Transducer:
-    """The first offence, denied or not, is reported if a verb of reporting stands before it."""
-    return Transducer({(0, REPORT): ("r", REPORT), (0, OFFENCE): ("end", OFFENCE), (0, DENIED): ("end", DENIED), ("r", OFFENCE): ("end", TOLD), ("r", DENIED): ("end", DENIED_TOLD)})
+    """The first offence or threat, denied or not, is reported if a verb of reporting stands before it."""
+    marks = {OFFENCE: TOLD, DENIED: DENIED_TOLD, THREAT: TOLD_THREAT, DENIED_THREAT: TOLD_THREAT}
+    plain = {(0, x): ("end", x) for x in marks}
+    return Transducer({(0, REPORT): ("r", REPORT)} | plain | {("r", x): ("end", y) for x, y in marks.items()})
 
 
 def insult() -> Transducer:
@@ -92,9 +100,18 @@ def insult() -> Transducer:
     return Transducer(arcs, {(n, t, d, r): (n, int(n > 0 and t), d, r) for n, t, d, r in states}, (0, 0, 0, 0))
 
 
+#: Words that may stand between a threat and its target.
+BETWEEN = 2
+
+
 def threat() -> Transducer:
-    """final: a verb of threat with a target after it."""
-    return Transducer({(0, THREAT): ("v", THREAT), ("v", TARGET): ("threat", TARGET)}, {0: (0,), "v": (0,), "threat": (1,)})
+    """final: a threat that is neither denied nor told, with a target at most BETWEEN words behind it."""
+    every = (OTHER, OFFENCE, NEGATION, REPORT, DENIED, TOLD, DENIED_TOLD, DENIED_THREAT, TOLD_THREAT)
+    arcs = {(0, THREAT): (1, THREAT)}
+    for k in range(1, BETWEEN + 2):
+        arcs |= {(k, THREAT): (1, THREAT), (k, TARGET): ("threat", TARGET)}
+        arcs |= {(k, x): ((k + 1) % (BETWEEN + 2), x) for x in every}
+    return Transducer(arcs, {k: (0,) for k in range(BETWEEN + 2)} | {"threat": (1,)})
 
 
 def grammar() -> Transducer:
@@ -107,9 +124,10 @@ class Model:
     prior: float = 0.0
     stems: dict[str, float] = field(default_factory=dict)
     classes: dict[tuple, float] = field(default_factory=dict)
+    threats: set[str] = field(default_factory=set)  # stems that threaten
     shortest: int = 4
     longest: int = 10
-    threat: float = 4.0  # of a threat's class where no labelled text has it
+    threat: float = 4.0  # of a clause with a threat: the labels' odds, this where no labelled text has one
 
 
 class Scorer:
@@ -117,25 +135,31 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.machine = model, grammar()
-        self.fixed = {w: s for s, ws in ((TARGET, TARGET_WORDS), (NEGATION, NEGATION_WORDS), (REPORT, REPORT_WORDS), (THREAT, THREAT_WORDS)) for w in ws}
-        self.threats = set(THREAT_WORDS)
+        self.fixed = {w: s for s, ws in ((TARGET, TARGET_WORDS), (NEGATION, NEGATION_WORDS), (REPORT, REPORT_WORDS), (THREAT, (s + e for s in THREAT_STEMS for e in THREAT_ENDINGS))) for w in ws}
+        self.hostile = {w for w, s in self.fixed.items() if s == THREAT}
         self.clean: set[bytes] = set()
-        self.hits: set[bytes] = set()
 
-    def weight(self, word: str) -> float:
-        """That of the longest stem that the word begins with; 0: none."""
+    def stem(self, word: str) -> str | None:
+        """The longest stem that the word begins with."""
         stems = self.model.stems
         for n in range(min(len(word), self.model.longest), self.model.shortest - 1, -1):
-            if (w := stems.get(word[:n])) is not None:
-                return w
-        return 0.0
+            if word[:n] in stems:
+                return word[:n]
+        return None
+
+    def symbol(self, word: str) -> tuple[int, float]:
+        """A word's symbol, and what its stem weighs (threats weigh as clauses)."""
+        stem = self.stem(word)
+        if stem is None:
+            return self.fixed.get(word, OTHER), 0.0
+        return (THREAT, 0.0) if stem in self.model.threats else (OFFENCE, self.model.stems[stem])
 
     def hot(self, words: list[bytes]) -> bool:
         """May the text have an offence or a threat?  Verdicts on words are kept, in a store of bounded size."""
         if len(self.clean) > 400_000:
             self.clean.clear()
         for w in set(words).difference(self.clean):
-            if len(w) > 256 or any(x in self.threats or self.weight(x) for x in WORD.findall(w.decode().lower())):
+            if len(w) > 256 or any(x in self.hostile or self.stem(x) for x in WORD.findall(w.decode().lower())):
                 return True
             self.clean.add(w)
         return False
@@ -146,10 +170,8 @@ class Scorer:
         for clause in CLAUSE.split(text.lower()):
             state, total = self.machine.start, 0.0
             for word in WORD.findall(clause):
-                if w := self.weight(word):
-                    symbol, total = OFFENCE, total + w
-                else:
-                    symbol = self.fixed.get(word, OTHER)
+                symbol, weight = self.symbol(word)
+                total += weight
                 state = step[state, symbol][0]
             kind = self.machine.final[state]
             if total or kind[-1]:
@@ -174,13 +196,13 @@ def _log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_stems: int = 4096, least_texts: int = 3, least_odds: float = 2.5, sample_rows: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, least_texts: int = 3, least_odds: float = 2.5, sample_rows: int = 20_000) -> Model:
     """From the labelled rows given, or about ``sample_rows`` of them, taken by a hash of doc_id.  ``docs``: doc_id, text; ``labels``: doc_id, toxic; a
     document with several label rows counts as toxic if one of them says so.
 
     Beginnings of words are counted on the executors, once for each text that has them; those with
-    too few toxic texts or too low odds are left out there, and at most ``most_stems`` (the highest
-    odds) come to the driver."""
+    too few toxic texts or too low odds are left out there, and the others, no more than the sample's words allow, come to
+    the driver."""
     model = Model()
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, marks.count()))
@@ -209,16 +231,46 @@ def learn(docs: DataFrame, labels: DataFrame, most_stems: int = 4096, least_text
     counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(counts, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1)))
     best = counted.where(F.col("toxic") >= least_texts).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    rest = best.orderBy(F.desc("odds"), "stem").limit(most_stems).collect()
+    rest = best.collect()
     found = {r.stem: (r.toxic, r.odds) for r in rest}
     # A longer stem stays only where no beginning of it is in already: the shortest is the most general.
     for stem in sorted(found, key=lambda s: (len(s), s)):
         if not any(stem[:n] in model.stems for n in range(shortest, len(stem))):
             model.stems[stem] = found[stem][1]
+    model.threats = _threats(rows, model)
     model.classes = _class_weights(rows, model, n_toxic, n_clean)
+    plain = [w for kind, w in model.classes.items() if kind[-1] and not kind[0]]
+    model.threat = max(plain) if plain else model.threat
     return model
 
 
+#: A learned stem threatens if so many of its places, and so many times the usual share, have a target right behind.
+THREAT_PLACES, THREAT_SHARE, THREAT_LIFT = 10, 0.5, 3.0
+
+
+def _threats(rows: DataFrame, model: Model) -> set[str]:
+    """Learned stems that mostly stand before a target in toxic texts."""
+
+    def places(batches):
+        scorer, found = Scorer(model), {}
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                for text in texts:
+                    for clause in CLAUSE.split((text or b"").decode().lower()):
+                        words = WORD.findall(clause)
+                        aims = [w in TARGETS for w in words]
+                        for k, word in enumerate(words):
+                            both = found.setdefault(scorer.stem(word) or "", [0, 0])
+                            both[0] += 1
+                            both[1] += any(aims[k + 1 : k + 2 + BETWEEN])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([x[0] for x in found.values()]), pa.array([x[1] for x in found.values()])], ["stem", "n", "aimed"])
+
+    counted = rows.where("toxic = 1").select("text").mapInArrow(places, "stem string, n long, aimed long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("aimed").alias("aimed")).collect()  # a row for each stem
+    usual = sum(r.aimed for r in counted) / max(1, sum(r.n for r in counted))
+    return {r.stem for r in counted if r.stem and r.n >= THREAT_PLACES and r.aimed >= r.n * max(THREAT_SHARE, THREAT_LIFT * usual)}
+
+
 def _counted(found: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(found, pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())],

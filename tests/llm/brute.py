@@ -103,26 +103,30 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat, len(w) < 50 or 100 * repeat > 50 * len(w)
 
 
-def clause_class(symbols):
+def clause_class(symbols, between=2):
     """Offences, target, denied, reported, threat of a clause of symbols (1 offence, 2 target, 3 negation, 4 report, 5 threat)."""
-    first = symbols.index(1) if 1 in symbols else None
-    before = symbols[:first] if first is not None else []
-    threats = [i for i, s in enumerate(symbols) if s == 5]
-    return (min(symbols.count(1), 2), int(first is not None and 2 in symbols), int(3 in before), int(4 in before), int(bool(threats) and 2 in symbols[threats[0] :]))
+    hostile = next((i for i, s in enumerate(symbols) if s in (1, 5)), None)
+    before = symbols[:hostile] if hostile is not None else []
+    offence = hostile is not None and symbols[hostile] == 1
+    threats = [i for i, s in enumerate(symbols) if s == 5 and not (i == hostile and (3 in before or 4 in before))]
+    aimed = any(2 in symbols[i + 1 : i + 2 + between] for i in threats)
+    return (min(symbols.count(1), 2), int(1 in symbols and 2 in symbols), int(offence and 3 in before), int(offence and 4 in before), int(aimed))
 
 
 def toxic_score(text, model, fixed):
     """The score of a text under a model, without the operator's machine."""
     import math
 
+    def stem(word):
+        return next((word[:n] for n in range(model.longest, model.shortest - 1, -1) if len(word) >= n and word[:n] in model.stems), None)
+
     def weight(word):
-        found = [model.stems[word[:n]] for n in range(model.longest, model.shortest - 1, -1) if len(word) >= n and word[:n] in model.stems]
-        return found[0] if found else 0.0
+        return 0.0 if stem(word) is None or stem(word) in model.threats else model.stems[stem(word)]
 
     total = []
     for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
         line = re.findall(r"\w+", clause)
-        kind = clause_class([1 if weight(w) else fixed.get(w, 0) for w in line])
+        kind = clause_class([1 if weight(w) else 5 if stem(w) else fixed.get(w, 0) for w in line])
         stems = sum(map(weight, line))
         if stems:
             total.append(min(stems, model.classes.get(kind, stems)))
