@@ -95,12 +95,50 @@ def test_toxicity_scores(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    fixed = {w: s for s, ws in ((2, toxicity.TARGET_WORDS), (3, toxicity.NEGATION_WORDS), (4, toxicity.REPORT_WORDS), (5, toxicity.THREAT_WORDS)) for w in ws}
+    fixed = {w: s for s, ws in ((2, toxicity.TARGET_WORDS), (3, toxicity.NEGATION_WORDS), (4, toxicity.REPORT_WORDS), (5, [x + e for x in toxicity.THREAT_STEMS for e in toxicity.THREAT_ENDINGS])) for w in ws}
     stem = next(iter(model.stems), "")
-    extra = [(-1, f"they said you are not {stem}x. I will kill you! {stem}"), (-2, None), (-3, ""), (-4, f"you {stem}, {stem} {stem}"), (None, "quemar te")]
+    extra = [(-1, f"they said you are not {stem}x. I will kill you! {stem}"), (-2, None), (-3, ""), (-4, f"you {stem}, {stem} {stem}"), (None, "quemar te"), (-5, "he did not kill you; kill the process before you leave. she said they kill him")]
     every = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     found = {r.doc_id: r.score for r in toxicity.score_documents(every, model).collect()}
     rows = [(r.doc_id, r.text) for r in every.collect()]
     assert len(found) == len(rows) and model.stems
     for i, t in rows:
         assert found[i] == pytest.approx(brute.toxic_score(t, model, fixed), rel=1e-9), i
+
+
+def test_threats(spark):
+    """Inflected, negated, told and far from a target; and one that only the labels know."""
+    scorer = toxicity.Scorer(toxicity.Model(prior=-3.0))
+    for text in ("I am killing you", "We will threaten and stab you", "They will shoot him", "not a word, I kill and burn her"):
+        assert scorer.score(text.encode()) >= 0.7, text
+    for text in ("He did not kill you", "kill the process before you leave", "She said they will kill him", "the threat. you know", "a stable for you"):
+        assert scorer.score(text.encode()) < 0.1, text
+    rest = "while the rain goes on all day long over the hills and nothing else is heard of a word"
+    rows = [(i, f"word {i} we zorgle you {rest}", 1) for i in range(60)] + [(100 + i, f"a blarg day {i} {rest} by you", 1) for i in range(60)] + [(200 + i, f"we see you on day {i} {rest}", 0) for i in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert model.threats and all("zorgle".startswith(x) for x in model.threats) and any("blarg".startswith(x) for x in model.stems)
+    learned = toxicity.Scorer(model)
+    assert learned.score(b"we zorgle you") > 0.7 > 0.6 > learned.score(b"we never zorgle you")
+    assert learned.score(b"they said we zorgle you") == learned.score(b"") == learned.score(b"zorgle the day and then see you")
+
+
+def test_dense_group_has_few_copies(spark, monkeypatch):
+    """A third of all vectors close together: few cells for each, and every link."""
+    monkeypatch.setattr(embed, "CELL_ROWS", 20)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 64))
+    x[:300] = x[0] + 0.18 * rng.normal(size=(300, 64))
+    x[300] = x[1] * 1e200  # of any size
+    x[301] = x[2] * 1e-250
+    points = embed.unit(x)
+    margin = embed.SPREADS * np.sqrt(0.1) / 8 * np.sqrt(2)
+    centres = embed.spherical_kmeans(points, 45)
+    few = embed.merged(centres, points, margin, 2)
+    before, after = (embed.shared_cells(points[:300] @ c.T, margin).sum(1).mean() for c in (centres, few))
+    assert after <= 2 < before and 10 < len(few) < len(centres)
+    monkeypatch.setattr(embed, "COPIES", 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embed.near_duplicates(df, 0.95).collect()}
+    want = (points @ points.T >= 0.95).sum(1) - 1
+    assert sum(want) > 10_000 and [found[i] for i in range(900)] == want.tolist()
