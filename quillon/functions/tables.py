@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,17 +22,27 @@ def checkpoint_folder(spark: SparkSession) -> None:
 
 
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_inside: dict[int, list] = {}  # by session: how many threads are inside, and the setting before the first
 
 
 @contextmanager
 def freeing(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run inside go when each ends, not whenever the driver collects garbage."""
-    before = spark.conf.get(FREED, "false")
-    spark.conf.set(FREED, "true")
+    """Shuffle files of the queries run inside go when each ends, not whenever the driver collects garbage.  The last of several
+    threads to leave restores the session's setting."""
+    key = id(spark)
+    with _lock:
+        held = _inside.setdefault(key, [0, spark.conf.get(FREED, "false")])
+        held[0] += 1
+        spark.conf.set(FREED, "true")
     try:
         yield
     finally:
-        spark.conf.set(FREED, before)
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(FREED, held[1])
+                del _inside[key]
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def balanced_gap(df: DataFrame, column: str, key: str, least_share: float = 0.1,
     return each.agg(F.coalesce(F.max(score), F.lit(0.0)).alias("evidence"))
 
 
-#: Sorted values of a column that a task takes at a time.
+#: Sorted values of a column that a task takes at a time; more than the neighbours that a gap looks at.
 GAP_ROWS = 50_000
 
 

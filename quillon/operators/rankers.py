@@ -165,7 +165,11 @@ def smoothness(z: DataFrame, key: str, features: Sequence[str], gamma: float, mo
     return [float(s / m) if m > 1e-28 else float("-inf") for s, m in zip(scores, mass, strict=True)]
 
 
-def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = spectra.STEPS, seed: int = 0, tolerance: float = spectra.TOLERANCE) -> tuple[np.ndarray, DataFrame]:
+#: Rounds of four applications of a graph's operator.
+ROUNDS = spectra.STEPS // 4
+
+
+def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = ROUNDS, seed: int = 0, tolerance: float = spectra.TOLERANCE) -> tuple[np.ndarray, DataFrame]:
     """Values, rising, and vectors (a, y: an array) of the ``count`` smallest eigenvalues of I - D^-1/2 W D^-1/2 of a graph (a, b, w): a step
     is one join of the edges with the current block of vectors."""
     degree = graph.groupBy("a").agg(F.sum("w").alias("d"))
@@ -176,7 +180,7 @@ def smallest_eigenpairs(graph: DataFrame, count: int, rounds: int = spectra.STEP
         sums = edges.join(y.select(F.col("a").alias("b"), "y"), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.get("y", F.lit(k))).alias(f"s{k}") for k in range(count + 2)))
         return sums.select("a", F.filter(F.array(*(f"s{k}" for k in range(count + 2))), lambda x: x.isNotNull()).alias("z"))
 
-    values, y = spectra.leading(apply, degree.select("a"), count, rounds, tolerance, seed)
+    values, y = spectra.leading(apply, degree.select("a"), count, 4 * rounds, tolerance, seed)
     return 1 - values, y
 
 
@@ -190,7 +194,7 @@ def eigengap(values: Sequence[float], least: int, most: int) -> int:
 FOR_VALUES, FOR_VECTORS = 1e-3, 1e-6
 
 
-def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10, rounds: int = spectra.STEPS) -> int:
+def spectral_clusters(df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 7, least: int = 2, most: int = 10, rounds: int = ROUNDS) -> int:
     """Estimated from the columns alone, so that no label count is needed."""
     n = df.count()
     upper = min(most, n - 2)
@@ -217,7 +221,7 @@ def lasso(gram: np.ndarray, cross: np.ndarray, alpha: float, sweeps: int = 5000,
     return b
 
 
-def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int | None = None, n_neighbors: int = 5, alpha: float = 0.01, most: int = 10, rounds: int = spectra.STEPS) -> Ranking:
+def mcfs(df: DataFrame, key: str, features: Sequence[str], k: int, clusters: int | None = None, n_neighbors: int = 5, alpha: float = 0.01, most: int = 10, rounds: int = ROUNDS) -> Ranking:
     """Columns that explain the leading spectral coordinates sparsely: the largest absolute lasso weight over the
     coordinates.  ``clusters``: their number, or None for the eigengap's."""
     if clusters is not None and clusters < 2:

@@ -53,6 +53,17 @@ class Geometry:
             self._gram = tiles.Gram(self.table, self.source.width)
         return self._gram
 
+    @property
+    def unit_gram(self) -> np.ndarray:
+        """All of it, for few features."""
+        known = list(self.gram.columns)
+        self.gram.ensure(range(self.source.width))
+        out = np.stack([self.gram.columns[x] for x in range(self.source.width)])
+        new = [x for x in range(self.source.width) if x not in known]
+        out[np.ix_(new, known)] = out[np.ix_(known, new)].T  # the numbers that have been used
+        out[new, new] = self.gram.diagonal[new]
+        return out
+
     def release(self) -> None:
         self.table.unpersist()
         self.z.unpersist()

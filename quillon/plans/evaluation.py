@@ -410,11 +410,64 @@ def spearman(spark, sf_dir):
     return rounded(metrics.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), "rho")
 
 
+def labelled(spark, sf_dir, size) -> downstream.Dataset:
+    data = vectors(spark, sf_dir, size).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return downstream.Dataset("embeddings", data, "vec_id", "label", size.features)
+
+
 @embedded()
 def foldwise_downstream(spark, sf_dir, size):
-    """Three methods on training rows, a classifier of the vectors' labels, three folds."""
-    data = vectors(spark, sf_dir, size).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    every = downstream.development_methods(permutations=12, max_pairs=8_000)
-    methods = {m: every[m] for m in ("MaxVariance", "LaplacianScore-dev")}
-    out = downstream.foldwise(spark, [downstream.Dataset("embeddings", data, "vec_id", "label", size.features)], methods)
+    """All five methods on training rows, a classifier of the vectors' labels, three folds."""
+    out = downstream.foldwise(spark, [labelled(spark, sf_dir, size)], downstream.development_methods(permutations=12, max_pairs=8_000))
     return out.drop("selector_fit_seconds")
+
+
+@query()
+def foldwise_encoded(spark, sf_dir):
+    """Mixed columns, encoded on each fold's training rows: which priority has an order?"""
+    names = ("o_totalprice", "o_orderstatus", "month")
+    data = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus", F.month("o_orderdate").cast("string").alias("month"))
+    ds = downstream.Dataset("orders", data, "o_orderkey", "o_orderpriority", names)
+    out = downstream.foldwise(spark, [ds], {"MaxVariance": downstream.development_methods()["MaxVariance"]}, encode=True)
+    return out.drop("selector_fit_seconds")
+
+
+@embedded()
+def panel_metrics(spark, sf_dir, size):
+    """Clustering utility and label-free metrics of two methods over the grid of k."""
+    every = downstream.development_methods()
+    out = downstream.panel(spark, [labelled(spark, sf_dir, size)], {m: every[m] for m in ("MaxVariance", "SPEC-dev")}, restarts=2)
+    return out.drop("fit_seconds")
+
+
+@query("""WITH w AS (SELECT p_brand AS feature, row_number() OVER (ORDER BY sum(l_quantity) DESC, p_brand) AS rank FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)
+SELECT feature, CASE WHEN rank <= 10 THEN CAST(rank AS INT) END AS rank FROM w""")
+def external_ranking_of_table(spark, sf_dir):
+    """A ranking that tables state: brands by the quantity sold, the first ten selected."""
+    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_brand").agg(F.sum("l_quantity").alias("sum"))
+    order = [r.p_brand for r in sold.orderBy(F.desc("sum"), "p_brand").collect()]  # the ranked columns: a brand each
+    names = sorted(order)
+    return rankers.external_ranking(names, [names.index(b) for b in order], min(10, len(names)), "author_code:sales").frame(spark).select("feature", "rank")
+
+
+@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_shipdate >= (SELECT max(l_shipdate) - INTERVAL 3 YEAR FROM lineitem)) d ON l_orderkey = o_orderkey")
+def resume_orders(spark, sf_dir):
+    """Orders without a line shipped in the last three years: tasks that a run still has to do."""
+    lines = table(spark, sf_dir, "lineitem")
+    since = lines.agg((F.max("l_shipdate") - F.expr("INTERVAL '3' YEAR")).alias("since"))
+    done = lines.join(F.broadcast(since), F.col("l_shipdate") >= F.col("since")).select(F.col("l_orderkey").alias("o_orderkey"))  # one row
+    return results.not_done(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+@query("SELECT 'blind' AS method, true AS all_trials_identical, CAST(1 AS DOUBLE) AS fraction_identical UNION ALL SELECT 'peeks', false, CAST(0 AS DOUBLE)")
+def label_audit_of_two(spark, sf_dir):
+    """A ranking by variance beside one by correlation with the label, which the audit must find out."""
+    names = ("p_size", "p_retailprice", "width")
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("width"), F.col("p_size").alias("label"))
+
+    def peeks(data, seed):
+        got = data.agg(*(F.abs(F.corr(c, "label")).alias(c) for c in names)).first()
+        return [j for j in range(3) if (got[j] or 0) > 0.5]
+
+    fits = {"blind": lambda data, seed: rankers.max_variance(data, names, 2).get_support(indices=True), "peeks": peeks}
+    return stability.audit_summary(stability.label_audit(fits, df, "p_partkey", "label", 3))

@@ -60,7 +60,8 @@ def matrix(df: DataFrame, key: str, features: Sequence[str] | None = None) -> Ma
 
 def vector_matrix(df: DataFrame, key: str, column: str, names: Sequence[str] | None = None) -> Matrix:
     """Of an array column; every array must have the same length.  ``names``: else f0, f1, ..."""
-    got = df.agg(F.min(F.size(column)).alias("least"), F.max(F.size(column)).alias("most")).first()
+    size = F.coalesce(F.size(column), F.lit(-1))
+    got = df.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
     if got.least is None or got.least != got.most or got.most < 2:
         raise MatrixError(f"{column} must hold arrays of one length, of two numbers at least")
     names = tuple(names) if names is not None else tuple(f"f{k}" for k in range(got.most))
