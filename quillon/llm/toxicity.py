@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, least_texts: int = 3, least_odds:
     model = Model()
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, marks.count()))
-    rows = doc_texts(docs).join(marks.where((F.xxhash64("doc_id") / 2.0**64 + 0.5) < share), "doc_id")
+    rows = doc_texts(docs).join(F.broadcast(marks.where((F.xxhash64("doc_id") / 2.0**64 + 0.5) < share)), "doc_id")  # the sample's labels: its bound is theirs
     size = {int(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     model.prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))

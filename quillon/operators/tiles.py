@@ -71,6 +71,7 @@ class Gram:
             own = np.zeros(width)
             own[k[c == x]] = s[c == x]
             self.columns[x] = own / self.norms[x] / self.norms
+            self.columns[x][x] = self.diagonal[x]
 
     def block(self, a: Sequence[int], b: Sequence[int]) -> np.ndarray:
         a, b = list(a), list(b)
