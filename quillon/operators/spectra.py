@@ -108,7 +108,8 @@ def leading(apply: Operator, nodes: DataFrame, count: int, steps: int = STEPS, t
             y = kept(y)
             best = turn[:, : count + block]
             state = _mapped(state, lambda q, image, best=best: (q @ best, image @ best), ("q", "image"), ("q", "image"))
-            h = np.diag(values[: count + block])
+            values, turn = values[: count + block], np.eye(count + block)  # of the turned basis
+            h = np.diag(values)
     shown = min(count, len(values))
     best = turn[:, :shown]
     return values[:shown], _mapped(state, lambda q: q @ best, ("q",), ("y",))
