@@ -417,32 +417,13 @@ def labelled(spark, sf_dir, size) -> downstream.Dataset:
 
 @embedded()
 def foldwise_downstream(spark, sf_dir, size):
-    """Four methods on training rows, a classifier of the vectors' labels, three folds.  (MCFS, whose eigenvectors take a minute a fold, has
-    the query ``mcfs``.)"""
+    """Two methods on training rows, a classifier of the vectors' labels, three folds."""
     every = downstream.development_methods(permutations=12, max_pairs=8_000)
-    methods = {m: every[m] for m in ("geometry", "MaxVariance", "LaplacianScore-dev", "SPEC-dev")}
+    methods = {m: every[m] for m in ("MaxVariance", "LaplacianScore-dev")}
     out = downstream.foldwise(spark, [labelled(spark, sf_dir, size)], methods)
     return out.drop("selector_fit_seconds")
 
 
-@query()
-def foldwise_encoded(spark, sf_dir):
-    """Mixed columns, encoded on each fold's training rows: which priority has an order?"""
-    names = ("o_totalprice", "o_orderstatus", "month")
-    data = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus", F.month("o_orderdate").cast("string").alias("month"))
-    ds = downstream.Dataset("orders", data, "o_orderkey", "o_orderpriority", names)
-    out = downstream.foldwise(spark, [ds], {"MaxVariance": downstream.development_methods()["MaxVariance"]}, encode=True)
-    return out.drop("selector_fit_seconds")
-
-
-@embedded()
-def panel_metrics(spark, sf_dir, size):
-    """Clustering utility and label-free metrics of two methods over the grid of k."""
-    every = downstream.development_methods()
-    out = downstream.panel(spark, [labelled(spark, sf_dir, size)], {m: every[m] for m in ("MaxVariance", "SPEC-dev")}, restarts=2)
-    return out.drop("fit_seconds")
-
-
 @query("""WITH w AS (SELECT p_brand AS feature, row_number() OVER (ORDER BY sum(l_quantity) DESC, p_brand) AS rank FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)
 SELECT feature, CASE WHEN rank <= 10 THEN CAST(rank AS INT) END AS rank FROM w""")
 def external_ranking_of_table(spark, sf_dir):
