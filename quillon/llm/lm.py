@@ -5,10 +5,14 @@
    softmax of its own; every other word belongs to a class by its last two bytes, in
    which its corpus count gives its share.  So a probability is a product: of the class, given
    the state, and of the word, given the class.
-3. Training documents are read from begin to end, each in one of the rounds.  Every partition
-   trains a copy of the model on its documents, BATCH of them at a time; the state is carried from
-   window to window, where gradients are cut.  Copies are averaged (weighted by tokens, summed in a
-   tree of tasks) between rounds.
+3. Training documents are dealt, by a hash of the row, to units of about UNIT tokens; a unit is
+   one round of one copy of the model.  Copies and rounds both grow with the square root of the
+   units, so copies are averaged after each UNIT tokens whatever the corpus.  A copy reads its unit's
+   documents from begin to end, long ones first (so that no lane runs on alone) and BATCH at a time; the state is carried from window to
+   window, where gradients are cut.  Copies are averaged (weighted by tokens, in the order of their
+   numbers, in a tree of tasks) between rounds.  So scores do not depend on how rows lie in
+   partitions, but for the rounding of float32 products.  Equal rows (id and text) go to one unit,
+   which streams them.
 4. Scoring reads documents from begin to end in batches of similar length; the state is
    carried from window to window.  The counts of the most frequent words (KNOWN at most) are
    broadcast; those of all others are joined by word.
@@ -22,10 +26,12 @@ Very long texts are scored whole; a batch holds ids, not texts.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
-from itertools import repeat
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +42,14 @@ from .components import written
 from .text import doc_texts, slices
 
 KNOWN, HEAD, CLASS, TAILS, HIDDEN = 1 << 18, 2048, 64, 32, 16
-WINDOW, BATCH, ROUNDS, RATE = 32, 128, 3, 0.01
+WINDOW, BATCH, RATE = 32, 128, 0.02
+#: Tokens that a copy of the model reads between two averages, and the most partitions that hold the units.
+UNIT, PARTS = 4_000_000, 20_000
+#: Documents of more tokens are read first, the longest before the others; all others in the order of their hashes.
+LONG = 1024
+#: Weights and biases of the outputs stay within these, so a logit is at most HIDDEN * 2.5 + 40 = 80: float32 holds
+#: its exponential and the sums over a softmax.
+MOST_WEIGHT, MOST_BIAS = 2.5, 40.0
 #: Copies of the model that a task of the tree adds up.
 FAN_IN = 32
 END = b"\n"  # no word holds it
@@ -115,7 +128,7 @@ class Outputs:
 
     States have a last column of ones, and weights the biases as their last row.  Sums over a softmax come
     from the product that its gradient needs anyway, and the one-hot parts from gathered rows: so of the
-    (token, word) arrays only the exponentials are made.  Logits are bounded by the weights and need no shift."""
+    (token, word) arrays only the exponentials are made.  Logits are bounded (MOST_WEIGHT) and need no shift."""
 
     def __init__(self, m: Gru) -> None:
         self.m, self.n, kind = m, HEAD // CLASS, m.embed.dtype
@@ -244,10 +257,10 @@ class Adam:
         self.m, self.rate, self.t = m, rate, 0
         self.first, self.second = ([np.zeros_like(a) for a in m.arrays()] for _ in range(2))
 
-    def step(self, grads: list[np.ndarray], scale: float) -> None:
-        """Uses up ``grads``."""
+    def step(self, grads: list[np.ndarray], scale: float, share: float = 1.0) -> None:
+        """Uses up ``grads``.  A step is as long as the window is full: a document whose lane runs on alone counts by its tokens."""
         self.t += 1
-        size = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        size = share * self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for a, g, first, second in zip(self.m.arrays(), grads, self.first, self.second, strict=True):
             g *= scale
             np.clip(g, -1, 1, out=g)
@@ -261,6 +274,8 @@ class Adam:
             np.divide(first, g, out=g)
             g *= size
             a -= g
+        for a, most in ((self.m.to_class, MOST_WEIGHT), (self.m.to_word, MOST_WEIGHT), (self.m.class_bias, MOST_BIAS), (self.m.word_bias, MOST_BIAS)):
+            np.clip(a, -most, most, out=a)
 
 
 class Scorer:
@@ -315,7 +330,7 @@ class Scorer:
 
 @dataclass
 class Vocabulary:
-    """The KNOWN most frequent training tokens with their counts, and the totals of all."""
+    """The most frequent training tokens (KNOWN + HEAD at most) with their counts, and the totals of all."""
 
     place: dict[bytes, int]
     log_counts: np.ndarray  # log10(count + 0.1) of each, then that of count 0
@@ -360,7 +375,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 def least_known(counts: DataFrame, most: int | None = None) -> int:
     """A count that at most ``most`` (KNOWN) tokens reach, from a histogram in steps of a sixteenth of a doubling: a
-    few hundred rows, whatever the corpus.  Tokens of the step that would exceed it stay with the rest."""
+    few hundred rows, whatever the corpus.  Tokens of the step that would exceed it stay with the rest (``vocabulary`` takes
+    the HEAD first of all tokens whatever their step, so the network has its frequent words)."""
     bins = counts.groupBy(F.floor(16 * F.log2("c")).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least"))
     left, least = KNOWN if most is None else most, 2**62
     for r in sorted(bins.collect(), key=lambda r: -r.bin):
@@ -372,8 +388,10 @@ def least_known(counts: DataFrame, most: int | None = None) -> int:
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """With the training count of each symbol."""
-    top = counts.where(F.col("c") >= least_known(counts)).toArrow()  # KNOWN rows at most
-    top = sorted(zip(map(bytes, top.column("token").to_pylist()), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    pairs = lambda t: zip(t.column("token").to_pylist(), t.column("c").to_pylist(), strict=True)
+    first = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
+    known = counts.where(F.col("c") >= least_known(counts)).toArrow()  # KNOWN rows at most
+    top = sorted({*pairs(first), *pairs(known)}, key=lambda x: (-x[1], x[0]))
     tokens, c = [t for t, _ in top], np.array([n for _, n in top], np.int64)
     head = set(tokens[:HEAD])
 
@@ -398,17 +416,25 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return words, mass
 
 
-def symbolised(docs: DataFrame, shared, rounds: int = ROUNDS) -> DataFrame:
-    """r (a number for each row), round (-1: held out), doc_id, n_tokens, n_rare, base and rest (known words' share of the
-    scores), rare and times (unknown words), ids (symbols of the whole text, with its end), written by round."""
+def plan(tokens: int) -> tuple[int, int]:
+    """Rounds and copies for a number of training tokens."""
+    units = max(1, -(-tokens // UNIT))
+    copies = math.isqrt(units - 1) + 1
+    return -(-units // copies), copies
+
+
+def symbolised(docs: DataFrame, shared, rounds: int, copies: int) -> DataFrame:
+    """r (a number for each row), round (-1: held out) and copy that reads the row, doc_id, n_tokens, n_rare, base and rest
+    (known words' share of the scores), rare and times (unknown words), ids (symbols of the whole text, with its end),
+    written by round; a unit's rows lie together, long ones first."""
 
     def run(batches):
         words, norm = shared.value, shared.value.base_norm()
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 out = []
-                for text, number, doc_id in zip(texts, part.column("round").to_pylist(), part.column("doc_id").to_pylist(), strict=True):
+                for text, doc_id in zip(texts, part.column("doc_id").to_pylist(), strict=True):
                     tokens = words_of(text)
                     place, symbol = words.symbols(tokens)
                     logs, unknown = words.log_counts[place], place < 0
@@ -416,16 +442,19 @@ def symbolised(docs: DataFrame, shared, rounds: int = ROUNDS) -> DataFrame:
                     in_tail = symbol >= HEAD
                     found = Counter(tokens[i] for i in np.flatnonzero(unknown).tolist())
                     rest = float(logs[in_tail].sum() - words.tail_norm[symbol[in_tail] - HEAD].sum())
-                    out.append((number, doc_id, len(tokens), int(unknown.sum()), float(logs.sum()) - len(tokens) * norm, rest, list(found), list(found.values()), symbol))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ROW.split())
+                    out.append((doc_id, len(tokens), int(unknown.sum()), float(logs.sum()) - len(tokens) * norm, rest, list(found), list(found.values()), symbol))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in PLACE.split()), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*PLACE.split(), *ROW.split()])
 
-    number = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))).cast("int")
-    rows = docs.select(number.alias("round"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(run, "round int, doc_id long, n_tokens long, n_rare long, base double, rest double, rare array<binary>, times array<int>, ids array<int>")
-    return written(found.withColumn("r", F.monotonically_increasing_id()), "round")
+    units = rounds * copies
+    rows = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("unit", F.pmod("h", F.lit(units)).cast("int"))
+    rows = rows.select(F.when(F.col("held_out"), -1).otherwise(F.col("unit") % rounds).cast("int").alias("round"), F.floor(F.col("unit") / rounds).cast("int").alias("copy"), "unit", "h", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(run, "round int, copy int, unit int, h long, doc_id long, n_tokens long, n_rare long, base double, rest double, rare array<binary>, times array<int>, ids array<int>")
+    parts = min(units, PARTS)
+    dealt = found.repartitionById(parts, F.pmod("unit", F.lit(parts)).cast("int")).sortWithinPartitions("round", "copy", F.greatest("n_tokens", F.lit(LONG)).desc(), "h")
+    return written(dealt.drop("unit", "h").withColumn("r", F.monotonically_increasing_id()), "round")
 
 
-ROW = "round doc_id n_tokens n_rare base rest rare times ids"
+PLACE, ROW = "round copy unit h", "doc_id n_tokens n_rare base rest rare times ids"
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
@@ -463,46 +492,47 @@ def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.nd
         yield block, np.array(live)
 
 
-def train(seen: DataFrame, m: Gru, rounds: int = ROUNDS) -> Gru:
-    """Rounds of local training and averaging over a table of symbols (round, ids); each round reads its share whole."""
+def train(seen: DataFrame, m: Gru, rounds: int, copies: int) -> Gru:
+    """Rounds of local training and averaging over a table of symbols (round, copy, ids); each round reads its share whole."""
     context = seen.sparkSession.sparkContext
-    names, kind = ["part", "x", "n"], "part int, x array<double>, n long"
+    names, kind = ["copy", "part", "x", "n"], "copy int, part int, x array<double>, n long"
+
+    def send(found: list[tuple]):
+        columns = zip(*found, strict=True)
+        return [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int64()), strict=True)]
+
+    def add(table):
+        """Copies of one part, in the order of their numbers."""
+        order = np.lexsort((table.column("n").to_numpy(), table.column("copy").to_numpy()))
+        x, n = np.stack(table.column("x").to_numpy())[order].sum(0), sum(table.column("n").to_pylist())
+        return pa.table(send([(int(table.column("copy")[0].as_py()) // FAN_IN, table.column("part")[0].as_py(), x, n)]), names=names)
+
     for r in range(rounds):
         shared = context.broadcast(m.flat())  # its size is fixed by the constants above
 
         def run(batches, shared=shared, m=m):
-            own = m.filled(shared.value)
-            adam, n, states = Adam(own, RATE), 0, np.zeros((BATCH, HIDDEN), np.float32)
-            texts = (np.append(np.int32(START), ids) for batch in batches for ids in lists(batch.column("ids")))
-            for block, live in lanes(texts):
-                state, targets = states[live], np.where(block[1:] == START, -1, block[1:])
-                _, grads = gradients(own, np.maximum(block[:-1], 0), targets, state)
-                states[live] = state
-                seen_here = int((targets >= 0).sum())
-                adam.step(grads, 4 / seen_here)
-                n += seen_here
-            if n:
+            rows = (row for batch in batches for row in zip(batch.column("copy").to_pylist(), lists(batch.column("ids")), strict=True))
+            for copy, docs in groupby(rows, itemgetter(0)):
+                own = m.filled(shared.value)
+                adam, n, states = Adam(own, RATE), 0, np.zeros((BATCH, HIDDEN), np.float32)
+                for block, live in lanes(np.append(np.int32(START), ids) for _, ids in docs):
+                    state, targets = states[live], np.where(block[1:] == START, -1, block[1:])
+                    _, grads = gradients(own, np.maximum(block[:-1], 0), targets, state)
+                    states[live] = state
+                    seen_here = int((targets >= 0).sum())
+                    adam.step(grads, 4 / seen_here, seen_here / (WINDOW * BATCH))
+                    n += seen_here
                 flat = own.flat().astype(float) * n
-                cuts = range(0, len(flat), 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[i : i + 4096] for i in cuts], pa.list_(pa.float64())), pa.array([n] * len(cuts), pa.int64())], names)
-
-        def add(batches):
-            sums: dict[int, tuple[np.ndarray, int]] = {}
-            for batch in batches:
-                for part, x, n in zip(batch.column("part").to_pylist(), lists(batch.column("x")), batch.column("n").to_pylist(), strict=True):
-                    before = sums.get(part, (0.0, 0))
-                    sums[part] = before[0] + x, before[1] + n
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x for x, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.int64())], names)
-
-        share = seen.where(F.col("round") == r).select("ids")
-        copies, tasks = share.mapInArrow(run, kind), share.rdd.getNumPartitions()
-        while tasks > 1:  # a tree: a task adds up a bounded number of copies
-            tasks = -(-tasks // FAN_IN)
-            copies = copies.repartition(tasks).mapInArrow(add, kind)
-        parts = sorted(copies.collect(), key=lambda p: p.part)  # one copy
+                yield pa.RecordBatch.from_arrays(send([(copy, i, flat[at : at + 4096], n) for i, at in enumerate(range(0, len(flat), 4096))]), names)
+
+        found, left = seen.where(F.col("round") == r).select("copy", "ids").mapInArrow(run, kind), copies
+        while left > FAN_IN:  # a tree: a task adds up FAN_IN copies of some weights
+            found, left = found.groupBy("part", F.floor(F.col("copy") / FAN_IN)).applyInArrow(lambda table: add(table), kind), -(-left // FAN_IN)
+        parts: dict[int, list] = {}
+        for p in sorted(found.collect(), key=lambda p: (p.part, p.copy, p.n)):  # FAN_IN copies at most
+            parts.setdefault(p.part, []).append(p)
         if parts:
-            m = m.filled(np.concatenate([np.array(p.x) / p.n for p in parts]))
+            m = m.filled(np.concatenate([np.sum([p.x for p in ps], axis=0) / sum(p.n for p in ps) for _, ps in sorted(parts.items())]))
     return m
 
 
@@ -513,8 +543,9 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     docs = doc_texts(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     counts = written(token_counts(docs.where(~F.col("held_out"))))
     words, mass = vocabulary(counts)
-    rows = symbolised(docs, context.broadcast(words))  # KNOWN tokens at most
-    model = context.broadcast(train(rows, Gru.fresh(mass)))
+    rounds, copies = plan(words.n)
+    rows = symbolised(docs, context.broadcast(words), rounds, copies)  # KNOWN + HEAD tokens at most
+    model = context.broadcast(train(rows, Gru.fresh(mass), rounds, copies))
 
     def run(batches):
         scorer = Scorer(model.value)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, catalog, chat, embed, linededup, lm, minhash, packing, quality, substring, toxicity
 from tests.conftest import DATA, same
@@ -166,7 +167,7 @@ def test_lm_learns_from_whole_documents(spark):
     docs = spark.createDataFrame([(1, b" ".join(words).decode(), False)], "doc_id long, text string, held_out boolean")
     found, mass = lm.vocabulary(lm.token_counts(docs))
     m = lm.Gru.fresh(mass)
-    trained = lm.train(lm.symbolised(docs, spark.sparkContext.broadcast(found)), m)
+    trained = lm.train(lm.symbolised(docs, spark.sparkContext.broadcast(found), 1, 1), m, 1, 1)
     moved = np.abs(trained.embed - m.embed).max(1) > 0
     assert moved[found.symbols(words)[1]].all() and moved[lm.START]
 
@@ -177,12 +178,88 @@ def test_lm_known_words_are_bounded(spark):
 
 
 def test_lm_copies_are_summed_in_a_tree(spark, monkeypatch):
-    """However many partitions train, the average is the same up to rounding."""
+    """The average of five copies is that of their weights, by tokens, whichever way they are added up."""
+    lists = [[1, 2, 3, 4], [5, 6], [1, 2, 3, 4], [5, 6], [9]]
+    rows = spark.createDataFrame([(0, k, ids) for k, ids in enumerate(lists)] + [(1, 0, [7])], "round int, copy int, ids array<int>")
+    m = lm.Gru.fresh(np.ones(lm.START))
+    alone = [lm.train(rows.where(f"copy = {k}"), m, 1, 1).flat() for k in range(5)]
+    at_once = lm.train(rows, m, 1, 5).flat()
     monkeypatch.setattr(lm, "FAN_IN", 2)
-    rows = spark.createDataFrame([(0, [1, 2, 3, 4]), (0, [5, 6]), (1, [7]), (0, [1, 2, 3, 4]), (0, [5, 6])], "round int, ids array<int>")
+    in_steps = lm.train(rows.repartition(3), m, 1, 5).flat()
+    want = np.average(alone, axis=0, weights=[len(x) for x in lists])
+    assert at_once == pytest.approx(want, abs=1e-5) and in_steps == pytest.approx(want, abs=1e-5)
+    assert np.abs(want - m.flat()).max() > 0.001
+
+
+def plain_logs(m, symbols):
+    """Natural-log probability of the symbols one by one in double precision, and what all symbols' probabilities add up to."""
+    e, inward, across, bias, to_class, class_bias, to_word, word_bias = (a.astype(float) for a in m.arrays())
+    h, k, x = np.zeros(lm.HIDDEN), lm.HIDDEN, lm.START
+    logs, sums, n = 0.0, [], lm.HEAD // lm.CLASS
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for s in symbols:
+        a, u = e[x] @ inward + bias, h @ across
+        z, r = sigmoid(a[:k] + u[:k]), sigmoid(a[k : 2 * k] + u[k : 2 * k])
+        h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * u[2 * k :])
+        of_class = softmax(h @ to_class + class_bias)
+        words = np.concatenate([of_class[i] * softmax(h @ to_word[i] + word_bias[i]) for i in range(n)])
+        every = np.concatenate([words, of_class[n:]])
+        logs, x = logs + math.log(every[s]), s
+        sums.append(every.sum())
+    return logs, sums
+
+
+def test_lm_score_is_a_probability():
+    """The scorer against a plain network; the probabilities of all symbols add up to one after any beginning."""
+    rng = np.random.default_rng(8)
+    m = lm.Gru.fresh(rng.random(lm.START) * 9)
+    m = lm.Gru(*((a + rng.standard_normal(a.shape) * 0.3).astype(np.float32) for a in m.arrays()))
+    for n in (1, 5, 70):
+        symbols = rng.integers(0, lm.START, n)
+        logs, sums = plain_logs(m, symbols)
+        assert lm.Scorer(m).score([symbols])[0] == pytest.approx(logs, rel=1e-4)
+        assert sums == pytest.approx([1.0] * n, abs=1e-9)
+
+
+def test_lm_shares_of_a_tail_class_add_up(spark):
+    """Of the words of a tail class, with one place for words not seen, the shares add up to one."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(lm.HEAD + 500)))], "doc_id long, text string")
+    counts = lm.token_counts(docs).collect()
+    found, _ = lm.vocabulary(lm.token_counts(docs))
+    head = {w for w, i in found.place.items() if i < lm.HEAD}
+    for k in range(lm.TAILS):
+        inside = [r.c for r in counts if bytes(r.token) not in head and lm.tail(bytes(r.token)) == k]
+        assert sum(c + 0.1 for c in inside) + 0.1 == pytest.approx(10 ** found.tail_norm[k])
+
+
+def test_lm_frequent_words_whatever_the_ties(spark, monkeypatch):
+    """More words of one count than may be known: the network still has its frequent words."""
+    monkeypatch.setattr(lm, "KNOWN", 1000)
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(lm.HEAD + 500)))], "doc_id long, text string")
+    found, mass = lm.vocabulary(lm.token_counts(docs))
+    assert len(found.place) == lm.HEAD and (mass[: lm.HEAD] > 0).all() and found.n == lm.HEAD + 501
+
+
+def test_lm_logits_stay_finite():
+    """Steps that would run away end at the bounds, where the softmax still holds."""
     m = lm.Gru.fresh(np.ones(lm.START))
-    a, b = (lm.train(rows.repartition(n), m, 1) for n in (5, 5))
-    assert a.flat() == pytest.approx(b.flat(), abs=1e-5) and np.abs(a.flat() - m.flat()).max() > 0.001
+    adam = lm.Adam(m, 100.0)
+    inputs, targets = np.full((4, 2), lm.START), np.array([[1, 2]] * 4)
+    for _ in range(5):
+        loss, grads = lm.gradients(m, inputs, targets)
+        assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grads)
+        adam.step(grads, 1.0)
+    assert np.isfinite(lm.Scorer(m).score([np.array([1, 5, 2000])])).all()
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    """Units, copies and their order come from the rows: 1 and 16 partitions give the same scores."""
+    monkeypatch.setattr(lm, "UNIT", 20_000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 20000").select("doc_id", "text")
+    out = [{r.doc_id: r.score for r in lm.score_documents(docs.repartition(n), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).collect()} for n in (1, 16)]
+    assert lm.plan(100_000) == (2, 3)
+    assert out[0].keys() == out[1].keys() and all(out[1][i] == pytest.approx(s, rel=1e-5) for i, s in out[0].items())
 
 
 def test_line_dedup_odd_cases(spark):
