@@ -2,7 +2,8 @@
 
 Rows meet in blocks: a task has one pair of blocks and returns each row's nearest ones only, which
 are then merged.  The work is quadratic by definition; what is shuffled is rows * blocks, and no
-task holds more than two blocks."""
+task holds more than two blocks.  ``nearest_in_cells`` finds the same edges and leaves out what the triangle
+inequality allows."""
 
 from __future__ import annotations
 
@@ -13,11 +14,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import order
+from ..functions import order, tables
 from . import scaling
 
 EPS = 1e-12
-BLOCK_ROWS, ASKED = 2_000, 500
+BLOCK_ROWS, ASKED, MOST_CELLS = 2_000, 500, 1_024
+
+
+NO_EDGES = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["a", "b", "d2"])
+
+
+def nearest_of(own: np.ndarray, v: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
+    """a, b, d2: for each row of ``own`` its k nearest among ``ids`` (fewer if there are fewer; never itself)."""
+    by_id = np.argsort(ids)
+    ids, b, out = ids[by_id], b[by_id], []
+    for begin in range(0, len(own) if len(ids) else 0, ASKED):
+        some, x = own[begin : begin + ASKED], v[begin : begin + ASKED]
+        # The product says which may be among the nearest (its error is far below the slack), the differences which are.
+        near = (x * x).sum(1)[:, None] + (b * b).sum(1) - 2 * (x @ b.T)
+        near[some[:, None] == ids] = np.inf
+        reach = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        row, col = np.nonzero((near <= (reach + 1e-9 * (1 + np.abs(reach)))[:, None]) & np.isfinite(near))
+        d = ((x[row] - b[col]) ** 2).sum(1)
+        by_row = np.lexsort((col, d, row))
+        row, col, d = row[by_row], col[by_row], d[by_row]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pa.table([pa.array(some[row[best]]), pa.array(ids[col[best]]), pa.array(d[best])], names=["a", "b", "d2"]))
+    return pa.concat_tables(out) if out else NO_EDGES
+
+
+def asked_of(k: int):
+    """Of a pair of blocks: the nearest rows of the second to each row of the first, which ``asks``."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids, v = table.column("b").to_numpy(), np.stack(table.column("v").to_numpy())
+        return nearest_of(ids[asks], v[asks], ids[~asks], v[~asks], k)
+
+    return compare
+
+
+def first_k(edges: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("a").orderBy("d2", "b")
+    return edges.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
 def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFrame:
@@ -26,32 +65,62 @@ def nearest(df: DataFrame, key: str, features: Sequence[str], k: int) -> DataFra
     rows = df.select(F.col(key).alias("b"), F.array(*(F.col(c).cast("double") for c in features)).alias("v")).withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
     left = rows.select(F.col("b"), "v", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"), F.lit(True).alias("asks"))
     right = rows.select("b", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"))
+    return first_k(left.unionByName(right).groupBy("x", "y").applyInArrow(asked_of(k), "a long, b long, d2 double"), k)
 
-    def compare(table):
-        asks = table.column("asks").to_numpy()
+
+def nearest_in_cells(df: DataFrame, key: str, features: Sequence[str], k: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """As ``nearest`` (the same edges), and x, y, n: how many rows of block x were compared with block y.
+
+    Rows lie in cells around rows taken in the order of a hash (MOST_CELLS at most; a full cell is cut into blocks of about
+    ``block_rows``).  A row's own block gives a bound on its k-th distance; by the triangle inequality it need not
+    ask a cell whose centre is farther than that bound plus the cell's radius.  A row whose block has no k others asks all."""
+    n = df.count()
+    if not n:
+        return nearest(df, key, features, k), df.sparkSession.createDataFrame([], "x int, y int, n long")
+    rows = df.select(F.col(key).cast("long").alias("b"), F.array(*(F.col(c).cast("double") for c in features)).alias("v"))
+    cells = min(MOST_CELLS, -(-n // block_rows))
+    centres = np.array([r.v for r in rows.orderBy(F.xxhash64("b"), "b").limit(cells).collect()])
+
+    def away(v: np.ndarray) -> np.ndarray:
+        """Distance of each row to each centre, by differences: no cancellation."""
+        return np.sqrt(np.stack([((v - c) ** 2).sum(1) for c in centres], 1))
+
+    def place(batches):
+        for batch in batches:
+            d = away(np.stack(batch.column("v").to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("v"), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["b", "v", "cell", "r"])
+
+    placed = tables.written(rows.mapInArrow(place, "b long, v array<double>, cell int, r double"))
+    size, radius = np.zeros(cells, np.int64), np.zeros(cells)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect():  # a row for each cell
+        size[r.cell], radius[r.cell] = r.n, r.r
+    parts = np.maximum(-(-size // block_rows), 1)
+    start = np.cumsum(parts) - parts
+    blocks = df.sparkSession.createDataFrame([(c, int(start[c]), int(parts[c])) for c in range(cells)], "cell int, start int, parts int")
+    rows = placed.join(F.broadcast(blocks), "cell").select("b", "v", (F.col("start") + F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int").alias("x"))  # MOST_CELLS rows
+
+    def inside(table):
         ids, v = table.column("b").to_numpy(), np.stack(table.column("v").to_numpy())
-        qa, qb, a, b = ids[asks], ids[~asks], v[asks], v[~asks]
-        by_id = np.argsort(qb)
-        qb, b = qb[by_id], b[by_id]
-        out = []
-        for begin in range(0, len(qa), ASKED):
-            own, x = qa[begin : begin + ASKED], a[begin : begin + ASKED]
-            # The product says which may be among the nearest (its error is far below the slack), the differences which are.
-            near = (x * x).sum(1)[:, None] + (b * b).sum(1) - 2 * (x @ b.T)
-            near[own[:, None] == qb] = np.inf
-            reach = np.partition(near, min(k, len(qb)) - 1, axis=1)[:, min(k, len(qb)) - 1] if len(qb) else np.zeros(0)
-            row, col = np.nonzero((near <= (reach + 1e-9 * (1 + np.abs(reach)))[:, None]) & np.isfinite(near))
-            d = ((x[row] - b[col]) ** 2).sum(1)
-            by_row = np.lexsort((col, d, row))
-            row, col, d = row[by_row], col[by_row], d[by_row]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            best = place < k
-            out.append(pa.table([pa.array(own[row[best]]), pa.array(qb[col[best]]), pa.array(d[best])], names=["a", "b", "d2"]))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["a", "b", "d2"])
-
-    found = left.unionByName(right).groupBy("x", "y").applyInArrow(compare, "a long, b long, d2 double")
-    best = Window.partitionBy("a").orderBy("d2", "b")
-    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+        return nearest_of(ids, v, ids, v, k)
+
+    own = tables.written(rows.groupBy("x").applyInArrow(inside, "a long, b long, d2 double"))
+    bound = own.groupBy("a").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).otherwise(float("inf")).alias("bound"))
+    bounded = rows.join(bound, rows.b == bound.a, "left").select("b", "v", "x", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+    def ask(batches):
+        for batch in batches:
+            d, reach = away(np.stack(batch.column("v").to_numpy(zero_copy_only=False))), batch.column("bound").to_numpy()[:, None] + radius
+            near = d <= reach + 1e-9 * (1 + d)
+            home = batch.column("x").to_numpy()
+            wanted = [np.concatenate([np.arange(start[c], start[c] + parts[c]) for c in np.flatnonzero(row)] or [np.zeros(0, np.int64)]) for row in near]
+            wanted = [w[w != x].astype(np.int32) for w, x in zip(wanted, home, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("v"), batch.column("x"), pa.array(wanted, pa.list_(pa.int32()))], ["b", "v", "x", "ys"])
+
+    asking = tables.written(bounded.mapInArrow(ask, "b long, v array<double>, x int, ys array<int>")).select("b", "v", "x", F.explode("ys").alias("y"))
+    asked = asking.groupBy("x", "y").agg(F.count("*").alias("n"))
+    told = asked.select("x", "y").join(rows.withColumnRenamed("x", "y"), "y").select("b", "v", "x", "y", F.lit(False).alias("asks"))
+    across = asking.withColumn("asks", F.lit(True)).unionByName(told).groupBy("x", "y").applyInArrow(asked_of(k), "a long, b long, d2 double")
+    return first_k(own.unionByName(across), k), asked
 
 
 def heat_graph(edges: DataFrame, t: float | None = None) -> DataFrame:
