@@ -309,6 +309,11 @@ def knn_edges(spark, sf_dir, size):
     return rounded(neighbours.nearest(standardised(spark, sf_dir, size), "vec_id", size.features, 5), "d2")
 
 
+@embedded(f"WITH {KNN.format(k=5)} SELECT a, b, round(d2, 6) AS d2 FROM e")
+def knn_in_cells(spark, sf_dir, size):
+    return rounded(neighbours.nearest_in_cells(standardised(spark, sf_dir, size), "vec_id", size.features, 5)[0], "d2")
+
+
 @embedded(f"WITH {KNN.format(k=7)}, {HEAT} SELECT a, b, round(w, 6) AS w FROM w")
 def heat_graph(spark, sf_dir, size):
     return rounded(neighbours.heat_graph(neighbours.nearest(standardised(spark, sf_dir, size), "vec_id", size.features, 7)), "w")
