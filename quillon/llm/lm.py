@@ -13,7 +13,7 @@
    numbers, in a tree of tasks) between rounds.  So scores do not depend on how rows lie in
    partitions, but for the rounding of float32 products.  Equal rows (id and text) go to one unit,
    which streams them.
-4. Scoring reads documents from begin to end in batches of similar length; the state is
+4. Scoring reads documents from begin to end, one after another in lanes of like length; the state is
    carried from window to window.  The counts of the most frequent words (KNOWN at most) are
    broadcast; those of all others are joined by word.
 
@@ -30,7 +30,8 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
-from itertools import groupby, repeat
+from heapq import heapreplace
+from itertools import chain, groupby, pairwise, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -54,7 +55,10 @@ MOST_WEIGHT, MOST_BIAS = 2.5, 40.0
 FAN_IN = 32
 END = b"\n"  # no word holds it
 START = HEAD + TAILS
+SYMBOL = "<i2"  # a text's symbols are one binary value, which Spark moves without looking at each
 SCORE_BATCH, SCORE_WINDOW = 256, 32
+#: States of which the outputs are computed at a time, and windows of scoring that are laid out at a time.
+BLOCK, HELD = 512, 32
 
 
 def tail(word: bytes) -> int:
@@ -107,10 +111,18 @@ class Gru:
 
 
 def sigmoid_in_place(x: np.ndarray) -> None:
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
+    """Of -x (``exponents``); an exponential beyond the largest number gives 0."""
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def tanh_in_place(x: np.ndarray) -> None:
+    """Of -2x (``exponents``): NumPy's exp takes a third of the time of its tanh."""
+    np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
+    x -= 1
 
 
 def by_symbol(targets: np.ndarray) -> np.ndarray:
@@ -137,36 +149,40 @@ class Outputs:
         self.class_back, self.word_back = ones(m.to_class), ones(m.to_word)
         self.class_rows, self.word_rows = np.ascontiguousarray(self.classes.T), np.swapaxes(self.words, 1, 2).reshape(HEAD, -1)
 
+    def _softmax(self, hs: np.ndarray, weights: np.ndarray, back: np.ndarray, out: np.ndarray, to: np.ndarray | None) -> None:
+        """``out``: the exponentials times ``back``; ``to`` gets the weights' gradients.  In blocks that stay in the cache."""
+        for a in range(0, len(hs), BLOCK):
+            part, found = hs[a : a + BLOCK], out[a : a + BLOCK]
+            e = part @ weights
+            np.exp(e, out=e)
+            np.matmul(e, back, out=found)
+            if to is not None:
+                to += (part / found[:, -1:]).T @ e
+
     def __call__(self, hs: np.ndarray, ts: np.ndarray, g: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-likelihood of each symbol; with ``g``, which gets the weights' gradients, also those of the states."""
         h, n = hs.shape[1] - 1, self.n
         classes = np.where(ts < HEAD, ts // CLASS, ts - HEAD + n)
-        e = hs @ self.classes
-        np.exp(e, out=e)
-        own = self.class_rows[classes]
-        back = e @ (self.class_back if g else self.class_back[:, h:])
+        own, from_column = self.class_rows.take(classes, 0), 0 if g else h
+        back, to_class = np.empty((len(hs), h + 1 - from_column), hs.dtype), np.zeros_like(self.classes) if g else None
+        self._softmax(hs, self.classes, self.class_back[:, from_column:], back, to_class)
         total = back[:, -1:]
         logs = np.einsum("ij,ij->i", hs, own) - np.log(total[:, 0])
         top = int(np.searchsorted(ts, HEAD))
         cuts = np.searchsorted(ts[:top], np.arange(0, HEAD + 1, CLASS)).tolist()
-        word_own = self.word_rows[ts[:top]]
-        word_back = np.empty((top, h + 1 if g else 1), hs.dtype)
+        word_own = self.word_rows.take(ts[:top], 0)
+        word_back = np.empty((top, h + 1 - from_column), hs.dtype)
         to_word = np.zeros_like(self.words) if g else None
         for k in range(n):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
-                part = hs[a:b]
-                f = part @ self.words[k]
-                np.exp(f, out=f)
-                np.matmul(f, self.word_back[k] if g else self.word_back[k][:, h:], out=word_back[a:b])
-                if g:
-                    np.matmul((part / word_back[a:b, h:]).T, f, out=to_word[k])
+                self._softmax(hs[a:b], self.words[k], self.word_back[k][:, from_column:], word_back[a:b], to_word[k] if g else None)
         logs[:top] += np.einsum("ij,ij->i", hs[:top], word_own) - np.log(word_back[:, -1])
         if not g or not len(ts):
             return logs, None if not g else np.zeros((0, h), hs.dtype)
         first = run_starts(ts)
         sums, symbols = np.add.reduceat(hs, first, axis=0), ts[first]
-        to_class, of_class = (hs / total).T @ e, classes[first]
+        of_class = classes[first]
         begins = run_starts(of_class)
         to_class[:, of_class[begins]] -= np.add.reduceat(sums, begins, axis=0).T
         head = symbols < HEAD
@@ -182,6 +198,23 @@ def by_gate(weights: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.moveaxis(weights.reshape(*weights.shape[:-1], 3, -1), -2, 0))
 
 
+def exponents(weights: np.ndarray) -> np.ndarray:
+    """The same, times what the gates' exponentials take: -1 (update, reset) or -2 (candidate)."""
+    out = by_gate(weights)
+    out[:2] *= -1
+    out[2] *= -2
+    return out
+
+
+def looked_up(table: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Rows of a table by gate and symbol (below 0: some symbol's): gate, then those of ``inputs``."""
+    out = np.empty((len(table), *inputs.shape, table.shape[-1]), table.dtype)
+    for part, rows in zip(table, out, strict=True):
+        np.take(part, inputs, axis=0, out=rows, mode="clip")
+    return out
+
+
+@np.errstate(over="ignore")  # of exponentials under 1
 def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
     """Summed negative log-likelihood of targets (steps, batch; -1: none) and its gradients, by
     backpropagation through these steps from ``state`` (batch, HIDDEN; None: zero), which becomes
@@ -191,64 +224,69 @@ def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray
     if state is not None:
         hid[0] = state
     fresh = [np.flatnonzero(row) for row in inputs == START]
-    x, across = by_gate(m.embed @ m.inward + m.bias)[:, inputs], by_gate(m.across)
-    gates, c, rec, gap = np.empty((steps, 2, batch, h), kind), *(np.empty((steps, batch, h), kind) for _ in range(3))
+    x, across = looked_up(exponents(m.embed @ m.inward + m.bias), inputs), exponents(m.across)
+    u, c, gap = np.empty((3, steps, batch, h), kind), *(np.empty((steps, batch, h), kind) for _ in range(2))
     for t in range(steps):
         if len(fresh[t]):
             hid[t, fresh[t]] = 0  # the step before had no target there
-        u = np.matmul(hid[t], across)
-        np.add(x[:2, t], u[:2], out=gates[t])
-        sigmoid_in_place(gates[t])
-        rec[t] = u[2]
-        np.multiply(gates[t, 1], rec[t], out=c[t])
-        c[t] += x[2, t]
-        np.tanh(c[t], out=c[t])
-        np.subtract(hid[t], c[t], out=gap[t])
-        np.multiply(gates[t, 0], gap[t], out=hid[t + 1])
-        hid[t + 1] += c[t]
+        np.matmul(hid[t], across, out=u[:, t])
+        gates = u[:2, t]
+        gates += x[:2, t]
+        sigmoid_in_place(gates)
+        now = c[t]
+        np.multiply(u[1, t], u[2, t], out=now)
+        now += x[2, t]
+        tanh_in_place(now)
+        np.subtract(hid[t], now, out=gap[t])
+        np.multiply(u[0, t], gap[t], out=hid[t + 1])
+        hid[t + 1] += now
     if state is not None:
         state[:] = hid[-1]
     g = Gru(*(np.zeros_like(a) for a in m.arrays()))
     flat = targets.ravel()
     live = by_symbol(flat)
     hs = np.ones((len(live), h + 1), kind)
-    hs[:, :h] = hid[1:].reshape(-1, h)[live]
+    hs[:, :h] = hid[1:].reshape(-1, h).take(live, 0)
     logs, found = Outputs(m)(hs, flat[live], g)
     out = np.zeros((steps * batch, h), kind)
     out[live] = found
     out = out.reshape(steps, batch, h)
-    z, r = gates[:, 0], gates[:, 1]
-    to_c, to_z, to_r = (1 - z) * (1 - c * c), gap * z * (1 - z), rec * r * (1 - r)
-    dx, last = np.empty((3, steps, batch, h), kind), np.empty((steps, batch, h), kind)
-    carry, back = np.zeros((batch, h), kind), np.ascontiguousarray(np.swapaxes(across, 1, 2))
+    z, r, to_r = u  # to_r: from -2 times the candidate's recurrent part
+    to_z = 1 - z
+    np.multiply(c, c, out=c)
+    to_c = np.subtract(1, c, out=c)
+    to_c *= to_z
+    to_z *= z
+    to_z *= gap
+    to_r *= r
+    to_r *= np.multiply(np.subtract(1, r, out=gap), -0.5, out=gap)
+    d = np.empty((4, steps, batch, h), kind)  # of update, reset, the candidate's recurrent part, candidate
+    carry, back, three = np.zeros((batch, h), kind), np.ascontiguousarray(np.swapaxes(by_gate(m.across), 1, 2)), np.empty((3, batch, h), kind)
     for t in range(steps - 1, -1, -1):
-        o = out[t]
+        o, (dz, dr, last, dc) = out[t], d[:, t]
         o += carry
-        dz, dr, dc = dx[0, t], dx[1, t], dx[2, t]
         np.multiply(o, to_c[t], out=dc)
         np.multiply(o, to_z[t], out=dz)
         np.multiply(dc, to_r[t], out=dr)
-        np.multiply(dc, r[t], out=last[t])
-        carry = dz @ back[0]
-        carry += dr @ back[1]
-        carry += last[t] @ back[2]
+        np.multiply(dc, r[t], out=last)
+        np.matmul(d[:3, t], back, out=three)
+        carry = three[0]
+        carry += three[1]
+        carry += three[2]
         o *= z[t]
         carry += o
         if len(fresh[t]):
             carry[fresh[t]] = 0
     before = hid[:-1].reshape(-1, h).T
-    for k, d in enumerate((dx[0], dx[1], last)):
-        g.across[:, k * h : (k + 1) * h] = before @ d.reshape(-1, h)
-    seen = inputs.ravel()
-    e = m.embed[seen].T
-    de = np.zeros((steps * batch, h), kind)
     for k in range(3):
-        d, at = dx[k].reshape(-1, h), slice(k * h, (k + 1) * h)
-        g.bias[at], g.inward[:, at] = d.sum(0), e @ d
-        de += d @ m.inward[:, at].T
+        g.across[:, k * h : (k + 1) * h] = before @ d[k].reshape(-1, h)
+    # A symbol's sums come first, so the products take a row for each symbol, not for each token.
+    seen = inputs.ravel()
     order = np.argsort(seen.astype(np.int16), kind="stable")
     first = run_starts(seen[order])
-    g.embed[seen[order[first]]] = np.add.reduceat(de[order], first, axis=0)
+    symbols = seen[order[first]]
+    sums = np.add.reduceat(np.concatenate([d[k].reshape(-1, h).take(order, 0) for k in (0, 1, 3)], 1), first, axis=0)
+    g.embed[symbols], g.inward[:], g.bias[:] = sums @ m.inward.T, m.embed[symbols].T @ sums, sums.sum(0)
     return -float(logs.sum()), g.arrays()
 
 
@@ -282,50 +320,59 @@ class Scorer:
     """Natural-log probabilities of whole symbol sequences under a trained model."""
 
     def __init__(self, m: Gru) -> None:
-        self.input, self.across, self.outputs = by_gate(m.embed @ m.inward + m.bias), by_gate(m.across), Outputs(m)  # input: rows by symbol
+        self.input, self.across, self.outputs = exponents(m.embed @ m.inward + m.bias), exponents(m.across), Outputs(m)  # input: rows by symbol
 
+    @np.errstate(over="ignore")  # of exponentials under 1
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        for i in range(0, len(order), SCORE_BATCH):
-            part = order[i : i + SCORE_BATCH]
-            out[part] = self._batch([docs[k] for k in part])
-        return out
-
-    def _batch(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Longest first, so that those still running are the first rows."""
-        h, sums = HIDDEN, np.zeros(len(docs))
-        lengths = np.array([len(d) for d in docs])
-        state, before = np.zeros((len(docs), h), np.float32), np.full(len(docs), START)
-        for begin in range(0, lengths[0], SCORE_WINDOW):
-            alive = int((lengths > begin).sum())
-            steps = int(min(SCORE_WINDOW, lengths[0] - begin))
-            target = np.full((steps, alive), -1)
-            for k in range(alive):
-                piece = docs[k][begin : begin + steps]
-                target[: len(piece), k] = piece
-            state, before = state[:alive], before[:alive]
+        """Documents lie one after another in SCORE_BATCH lanes of like length, so no lane stands idle; a lane's longest is its first."""
+        h, out, lengths = HIDDEN, np.zeros(len(docs)), np.array([len(d) for d in docs], np.int64)
+        heap = [(0, k) for k in range(min(SCORE_BATCH, len(docs)))]
+        own: list[list[int]] = [[] for _ in heap]
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            total, k = heap[0]
+            own[k].append(i)
+            heapreplace(heap, (total + int(lengths[i]), k))
+        own = [own[k] for total, k in sorted(heap, reverse=True) if total]  # lanes still running are the first rows
+        if not own:
+            return out
+        doc = np.array([i for lane in own for i in lane if lengths[i]])
+        targets = np.concatenate([docs[i] for i in doc.tolist()])
+        inputs = np.append(np.int16(START), targets[:-1])
+        inputs[np.cumsum(lengths[doc])[:-1]] = START
+        streams, ends = [targets, inputs, np.repeat(doc, lengths[doc])], np.cumsum([lengths[lane].sum() for lane in own])
+        sizes = np.diff(ends, prepend=0)
+        state = np.zeros((len(own), h), np.float32)
+        for begin in range(0, int(sizes[0]), SCORE_WINDOW):
+            at = begin % (SCORE_WINDOW * HELD)
+            if not at:
+                held = [np.full((int((sizes > begin).sum()), SCORE_WINDOW * HELD), -1, x.dtype) for x in streams]
+                for k, (a, b) in enumerate(zip((ends - sizes + begin).tolist(), ends[: len(held[0])].tolist(), strict=False)):
+                    for rows, x in zip(held, streams, strict=True):
+                        piece = x[a : min(b, a + rows.shape[1])]
+                        rows[k, : len(piece)] = piece
+            alive, steps = int((sizes > begin).sum()), int(min(SCORE_WINDOW, sizes[0] - begin))
+            target, source, owner = (rows[:alive, at : at + steps].T for rows in held)
+            state = state[:alive]
             hidden = np.ones((steps, alive, h + 1), np.float32)
-            inputs = np.concatenate([before[None], target[:-1]])
-            x = self.input[:, inputs]  # a finished row reads some symbol; its states are not used
+            x, begins = looked_up(self.input, source), source == START  # a finished lane reads some symbol; its states are not used
             for t in range(steps):
+                state[begins[t]] = 0
                 u = np.matmul(state, self.across)
                 gates, c = u[:2], u[2]
                 gates += x[:2, t]
                 sigmoid_in_place(gates)
                 c *= gates[1]
                 c += x[2, t]
-                np.tanh(c, out=c)
+                tanh_in_place(c)
                 state = state - c
                 state *= gates[0]
                 state += c
                 hidden[t, :, :h] = state
-            before = target[-1]
             flat = target.ravel()
             live = by_symbol(flat)
-            found, _ = self.outputs(hidden.reshape(-1, h + 1)[live], flat[live])
-            sums[:alive] += np.bincount(live % alive, found, alive)
-        return sums
+            found, _ = self.outputs(hidden.reshape(-1, h + 1).take(live, 0), flat[live])
+            out += np.bincount(owner.ravel()[live], found, len(docs))
+        return out
 
 
 @dataclass
@@ -425,30 +472,32 @@ def plan(tokens: int) -> tuple[int, int]:
 
 def symbolised(docs: DataFrame, shared, rounds: int, copies: int) -> DataFrame:
     """r (a number for each row), round (-1: held out) and copy that reads the row, doc_id, n_tokens, n_rare, base and rest
-    (known words' share of the scores), rare and times (unknown words), ids (symbols of the whole text, with its end),
+    (known words' share of the scores), rare and times (unknown words), ids (symbols of the whole text, with its end, as bytes),
     written by round; a unit's rows lie together, long ones first."""
 
     def run(batches):
         words, norm = shared.value, shared.value.base_norm()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                out = []
-                for text, doc_id in zip(texts, part.column("doc_id").to_pylist(), strict=True):
-                    tokens = words_of(text)
-                    place, symbol = words.symbols(tokens)
-                    logs, unknown = words.log_counts[place], place < 0
-                    logs[unknown] = 0.0
-                    in_tail = symbol >= HEAD
-                    found = Counter(tokens[i] for i in np.flatnonzero(unknown).tolist())
-                    rest = float(logs[in_tail].sum() - words.tail_norm[symbol[in_tail] - HEAD].sum())
-                    out.append((doc_id, len(tokens), int(unknown.sum()), float(logs.sum()) - len(tokens) * norm, rest, list(found), list(found.values()), symbol))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in PLACE.split()), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*PLACE.split(), *ROW.split()])
+                docs = [words_of(text) for text in texts]
+                tokens = list(chain.from_iterable(docs))
+                begin = np.cumsum([0, *map(len, docs)])
+                sums, size = lambda x, at=begin[:-1]: np.add.reduceat(x, at), np.diff(begin)  # noqa: E731  (a text has its end at least)
+                place, symbol = words.symbols(tokens)
+                logs, unknown = words.log_counts[place], place < 0
+                logs[unknown] = 0.0
+                in_tail = np.where(symbol >= HEAD, logs - words.tail_norm[np.maximum(symbol - HEAD, 0)], 0.0)
+                rare, where = np.flatnonzero(unknown), np.searchsorted(np.flatnonzero(unknown), begin).tolist()
+                found = [Counter([tokens[i] for i in rare[a:b].tolist()]) for a, b in pairwise(where)]
+                ids = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(symbol.astype(SYMBOL))])
+                out = [part.column("doc_id"), size, sums(unknown.astype(np.int64)), sums(logs) - size * norm, sums(in_tail), [list(f) for f in found], [list(f.values()) for f in found], ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in PLACE.split()), *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [*PLACE.split(), *ROW.split()])
 
     units = rounds * copies
     rows = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("unit", F.pmod("h", F.lit(units)).cast("int"))
     rows = rows.select(F.when(F.col("held_out"), -1).otherwise(F.col("unit") % rounds).cast("int").alias("round"), F.floor(F.col("unit") / rounds).cast("int").alias("copy"), "unit", "h", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(run, "round int, copy int, unit int, h long, doc_id long, n_tokens long, n_rare long, base double, rest double, rare array<binary>, times array<int>, ids array<int>")
+    found = rows.mapInArrow(run, "round int, copy int, unit int, h long, doc_id long, n_tokens long, n_rare long, base double, rest double, rare array<binary>, times array<int>, ids binary")
     parts = min(units, PARTS)
     dealt = found.repartitionById(parts, F.pmod("unit", F.lit(parts)).cast("int")).sortWithinPartitions("round", "copy", F.greatest("n_tokens", F.lit(LONG)).desc(), "h")
     return written(dealt.drop("unit", "h").withColumn("r", F.monotonically_increasing_id()), "round")
@@ -458,7 +507,10 @@ PLACE, ROW = "round copy unit h", "doc_id n_tokens n_rare base rest rare times i
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
-    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+    """Symbols of each row, as bytes or as integers."""
+    if pa.types.is_list(column.type):
+        return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+    return [np.frombuffer(ids, SYMBOL) for ids in column.to_pylist()]
 
 
 def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
