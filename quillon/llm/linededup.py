@@ -75,15 +75,17 @@ def cuts(line: Column, n: Column, edits: int) -> list[tuple[int, int, int, Colum
     return out
 
 
-def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    return [F.xxhash64(n, F.lit(i), piece) for d, i, x, _, piece, _ in cuts(line, n, edits) if d == x == 0]
-
-
 def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
     """Null where a substring would leave the line."""
     return [F.when(fits, F.xxhash64(n - d, F.lit(i), piece)) for d, i, _, fits, piece, _ in cuts(line, n, edits)]
 
 
+def numbered(lines: DataFrame, edits: int) -> DataFrame:
+    """``distinct_lines`` with a number as id (their hash: ``hash``) and their keys, to be written: each key is computed once."""
+    keys = {f"key{k}": key for k, key in enumerate(probe_keys(F.col("line"), F.col("n"), edits))}
+    return lines.withColumnRenamed("id", "hash").withColumn("id", F.monotonically_increasing_id()).withColumns(keys)
+
+
 def within(ca: str, cb: str, edits: int) -> Column:
     """Is the edit distance of two columns of characters (array<string>, not empty) at most ``edits``?
 
@@ -114,16 +116,17 @@ def _sent(keys: DataFrame, n: int) -> DataFrame:
 
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """Candidates: a, b (ids)."""
+    """Candidates: a, b (ids) among ``numbered`` lines."""
     n = F.col("n")
-    index = lines.select("id", "n", F.explode(F.array(*index_keys(F.col("line"), n, edits))).alias("key"))
-    probe = lines.select("id", "n", F.explode(F.array_compact(F.array(*probe_keys(F.col("line"), n, edits)))).alias("key"))
+    codes = [(f"key{k}", d == x == 0) for k, (d, _, x, *_) in enumerate(cuts(F.col("line"), n, edits))]
+    exploded = lambda names: lines.select("id", "n", F.explode(F.array(*names)).alias("key")).where("key is not null")
+    index, probe = exploded([name for name, own in codes if own]), exploded([name for name, _ in codes])
     hot, many = _hot(index)
     cold = index.join(_sent(hot, many), "key", "left_anti") if many else index
     pairs = probe.alias("p").join(cold.alias("i"), "key").where("p.n > i.n or p.id > i.id").select(F.col("p.id").alias("a"), F.col("i.id").alias("b"))
     if not many:
         return pairs.distinct()
-    coded = lines.select("id", "first", "line", "n", F.posexplode(F.array(*probe_keys(F.col("line"), n, edits))).alias("code", "key")).where("key is not null")
+    coded = lines.select("id", "first", "line", "n", F.posexplode(F.array(*(name for name, _ in codes))).alias("code", "key")).where("key is not null")
     rows, parts = coded.join(_sent(hot, many), "key"), [pairs]
     choice = lambda value, otherwise: F.coalesce(*(F.when(F.col("code") == k, value(c)) for k, c in enumerate(cuts(F.col("line"), n, edits))), F.lit(otherwise))
     rows = rows.select("id", "first", "key", choice(lambda c: c[5], "").alias("rest"), choice(lambda c: F.lit(c[0]), 0).alias("d"), choice(lambda c: F.lit(c[0] == c[2] == 0), False).alias("own"))
@@ -181,10 +184,10 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
     """d, h, exact, near: for each text that loses lines, the numbers of its lines that equal an
     earlier one, and of those that are only near to one."""
-    lines = written(distinct_lines(docs, min_chars))
+    lines = written(numbered(distinct_lines(docs, min_chars), max_edits))
     near = kept(near_lines(lines, max_edits)).withColumn("near", F.lit(True))
     # Written, so that adaptive execution can split the places of a very common line in the join below.
-    first = kept(lines.select("id", "first", "last").join(near, "id", "left").where("first <> last or near").drop("last"))
+    first = kept(lines.select("id", "hash", "first", "last").join(near, "id", "left").where("first <> last or near").select(F.col("hash").alias("id"), "first", "near"))
     discard(lines)
     places = occurrences(docs, min_chars).select(*PLACE, "id").distinct().join(first, "id")
     not_first = F.struct(*PLACE) != F.col("first")
@@ -201,9 +204,17 @@ def with_removed(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
 
 
 def _kept_text() -> Column:
-    lines = F.split("row.text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.concat("exact", "near"))
-    return F.when(F.col("exact").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(lines, i)), "\n"))
+    def without(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.concat("exact", "near"))
+        return F.array_join(F.transform(F.sort_array(left), lambda i: F.get(lines, i)), "\n")
+
+    # The lines are an argument: named inside the inner function, they would be split anew for each line.
+    lines = F.array(F.split("row.text", "\n", -1))
+    return F.when(F.col("exact").isNull(), F.col("row.text")).otherwise(F.get(F.transform(lines, without), F.lit(0)))
+
+
+def _n_lines(text: Column) -> Column:
+    return F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 
 
 def digest(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -211,7 +222,7 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = MAX_EDI
     rows = with_removed(docs.select("doc_id", "text"), min_chars, max_edits)
     return rows.select(
         "row.doc_id",
-        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1))).cast("long").alias("n_lines"),
+        _n_lines(F.col("row.text")).cast("long").alias("n_lines"),
         F.coalesce(F.size("exact"), F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"),
         F.sha2(F.coalesce(_kept_text(), F.lit("")), 256).alias("kept_sha256"),

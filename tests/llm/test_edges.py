@@ -1,5 +1,8 @@
 """Odd cases of single operators, beside those of test_operators.py."""
 
+import hashlib
+import time
+
 import numpy as np
 import pytest
 import zstandard
@@ -142,3 +145,14 @@ def test_dense_group_has_few_copies(spark, monkeypatch):
     found = {r.vec_id: r.n_links for r in embed.near_duplicates(df, 0.95).collect()}
     want = (points @ points.T >= 0.95).sum(1) - 1
     assert sum(want) > 10_000 and [found[i] for i in range(900)] == want.tolist()
+
+
+def test_line_dedup_splits_a_text_once(spark):
+    """A document of very many lines: time grows with its lines, not with their square."""
+    lines = [f"{hashlib.md5(str(i).encode()).hexdigest()} of a long document" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join([*lines, lines[0], ""])), (2, None), (3, "")], "doc_id long, text string")
+    began = time.monotonic()
+    found = {r.doc_id: tuple(r)[1:] for r in linededup.digest(docs).collect()}
+    assert time.monotonic() - began < 40
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert found == {1: (20_002, 1, 0, digest("\n".join([*lines, ""]))), 2: (0, 0, 0, digest("")), 3: (1, 0, 0, digest(""))}
