@@ -66,6 +66,14 @@ def tail(word: bytes) -> int:
     return (word[-1] + 7 * word[-2]) % TAILS if len(word) > 1 else word[-1] % TAILS
 
 
+def tails(words: list[bytes]) -> np.ndarray:
+    """``tail`` of each word."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
+    last, before = (data[np.maximum(ends - k, 0)].astype(np.int32) for k in (1, 2))
+    return (last + np.where(sizes > 1, 7 * before, 0)) % TAILS
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split() + [END]  # bytes.lower() changes A-Z alone
 
@@ -135,6 +143,11 @@ def run_starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
 
 
+def run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows (an even number of columns); two columns are one complex number, which halves NumPy's inner loops."""
+    return np.add.reduceat(x.view(np.result_type(x.dtype, np.complex64)), first, axis=0).view(x.dtype)
+
+
 class Outputs:
     """The class-factored softmax over states and their symbols, both in order of the symbols.
 
@@ -181,7 +194,8 @@ class Outputs:
         if not g or not len(ts):
             return logs, None if not g else np.zeros((0, h), hs.dtype)
         first = run_starts(ts)
-        sums, symbols = np.add.reduceat(hs, first, axis=0), ts[first]
+        sums, symbols = np.empty((len(first), h + 1), hs.dtype), ts[first]
+        sums[:, :h], sums[:, h] = run_sums(np.ascontiguousarray(hs[:, :h]), first), np.diff(first, append=len(ts))
         of_class = classes[first]
         begins = run_starts(of_class)
         to_class[:, of_class[begins]] -= np.add.reduceat(sums, begins, axis=0).T
@@ -285,33 +299,37 @@ def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray
     order = np.argsort(seen.astype(np.int16), kind="stable")
     first = run_starts(seen[order])
     symbols = seen[order[first]]
-    sums = np.add.reduceat(np.concatenate([d[k].reshape(-1, h).take(order, 0) for k in (0, 1, 3)], 1), first, axis=0)
+    sums = run_sums(np.concatenate([d[k].reshape(-1, h).take(order, 0) for k in (0, 1, 3)], 1), first)
     g.embed[symbols], g.inward[:], g.bias[:] = sums @ m.inward.T, m.embed[symbols].T @ sums, sums.sum(0)
     return -float(logs.sum()), g.arrays()
 
 
 class Adam:
     def __init__(self, m: Gru, rate: float) -> None:
-        self.m, self.rate, self.t = m, rate, 0
-        self.first, self.second = ([np.zeros_like(a) for a in m.arrays()] for _ in range(2))
+        """The parameters of ``m`` become parts of one vector, on which a step works at once."""
+        self.m, self.rate, self.t, self.flat = m, rate, 0, m.flat()
+        self.first, self.second, at = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        for f, a in zip(fields(m), m.arrays(), strict=True):
+            setattr(m, f.name, self.flat[at : at + a.size].reshape(a.shape))
+            at += a.size
 
     def step(self, grads: list[np.ndarray], scale: float, share: float = 1.0) -> None:
-        """Uses up ``grads``.  A step is as long as the window is full: a document whose lane runs on alone counts by its tokens."""
+        """A step is as long as the window is full: a document whose lane runs on alone counts by its tokens."""
         self.t += 1
         size = share * self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for a, g, first, second in zip(self.m.arrays(), grads, self.first, self.second, strict=True):
-            g *= scale
-            np.clip(g, -1, 1, out=g)
-            first *= 0.9
-            first += 0.1 * g
-            g *= g
-            second *= 0.99
-            second += 0.01 * g
-            np.sqrt(second, out=g)
-            g += 1e-6
-            np.divide(first, g, out=g)
-            g *= size
-            a -= g
+        g, first, second = np.concatenate([x.ravel() for x in grads]), self.first, self.second
+        g *= scale
+        np.clip(g, -1, 1, out=g)
+        first *= 0.9
+        first += 0.1 * g
+        g *= g
+        second *= 0.99
+        second += 0.01 * g
+        np.sqrt(second, out=g)
+        g += 1e-6
+        np.divide(first, g, out=g)
+        g *= size
+        self.flat -= g
         for a, most in ((self.m.to_class, MOST_WEIGHT), (self.m.to_word, MOST_WEIGHT), (self.m.class_bias, MOST_BIAS), (self.m.word_bias, MOST_BIAS)):
             np.clip(a, -most, most, out=a)
 
@@ -393,8 +411,9 @@ class Vocabulary:
         """place (-1: not known) and symbol of each word."""
         place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
         symbol = self.symbol[place]
-        for i in np.flatnonzero(place < 0).tolist():
-            symbol[i] = HEAD + tail(words[i])
+        rare = np.flatnonzero(place < 0)
+        if len(rare):
+            symbol[rare] = HEAD + tails([words[i] for i in rare.tolist()])
         return place, symbol
 
 
@@ -536,9 +555,13 @@ def lanes(docs: Iterable[np.ndarray], rows: int = BATCH) -> Iterator[tuple[np.nd
         if not live:
             return
         pieces = [held[k][: WINDOW + 1] for k in live]
-        block = np.full((max(map(len, pieces)), len(live)), -1)
-        for i, piece in enumerate(pieces):
-            block[: len(piece), i] = piece
+        sizes = [*map(len, pieces)]
+        if min(sizes) == max(sizes):
+            block = np.concatenate(pieces).reshape(len(live), -1).T.astype(np.int64, order="C")
+        else:
+            block = np.full((max(sizes), len(live)), -1)
+            for i, piece in enumerate(pieces):
+                block[: len(piece), i] = piece
         for k in live:
             held[k] = held[k][WINDOW:]
         yield block, np.array(live)

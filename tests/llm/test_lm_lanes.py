@@ -17,3 +17,38 @@ def test_no_lane_stands_idle(monkeypatch):
     assert sizes == [128, 128, 128, 16]  # 400 symbols in 4 lanes of 100
     assert found[31] == 0 and found[:31] == pytest.approx([lm.Scorer(m).score([d])[0] for d in docs[:31]], rel=1e-4)
     assert len(lm.Scorer(m).score([])) == 0 and lm.Scorer(m).score([docs[31]]).tolist() == [0]
+
+
+def test_tails_of_many_words_at_once():
+    words = [b"a", b"\xff\xfe", b"word", b"\n", b"zz", b"\xff"]
+    assert lm.tails(words).tolist() == [lm.tail(w) for w in words] and len(lm.tails([])) == 0
+    known = lm.Vocabulary({b"word": 0}, np.zeros(2), np.array([0, lm.HEAD], np.int32), 0, 0, np.zeros(lm.TAILS))
+    place, symbol = known.symbols(words)
+    assert place.tolist() == [-1, -1, 0, -1, -1, -1] and symbol.tolist() == [0 if w == b"word" else lm.HEAD + lm.tail(w) for w in words]
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_sums_of_runs(kind):
+    x, first = np.random.default_rng(3).standard_normal((50, 6)).astype(kind), np.array([0, 1, 20, 49])
+    assert lm.run_sums(x, first).dtype == kind and lm.run_sums(x, first) == pytest.approx(np.stack([part.sum(0) for part in np.split(x, first[1:])]), abs=1e-5)
+
+
+def test_a_step_works_on_one_vector():
+    """The same as a step for each array, and the model's arrays are parts of the vector."""
+    rng = np.random.default_rng(4)
+    m = lm.Gru.fresh(rng.random(lm.START) * 9)
+    before, grads = m.flat(), [rng.standard_normal(a.shape).astype(np.float32) for a in m.arrays()]
+    adam = lm.Adam(m, 0.01)
+    adam.step(grads, 0.5)
+    assert all(np.shares_memory(a, adam.flat) for a in m.arrays()) and (m.flat() == adam.flat).all()
+    want = np.clip(0.5 * np.concatenate([g.ravel() for g in grads]).astype(float), -1, 1)
+    want = 0.01 * want / (np.abs(want) + 1e-5)  # the first step: moments without their decay
+    bounded = np.abs(m.to_word) < lm.MOST_WEIGHT
+    assert bounded.all() and before - m.flat() == pytest.approx(want, abs=1e-5)
+
+
+def test_full_windows_are_laid_out_at_once():
+    docs = [np.append(lm.START, np.arange(n)).astype(np.int32) for n in (70, 64, 64, 9)]
+    blocks = [(block.tolist(), live.tolist()) for block, live in lm.lanes(docs, 2)]
+    assert blocks[0] == (np.stack([docs[0][: lm.WINDOW + 1], docs[1][: lm.WINDOW + 1]], 1).tolist(), [0, 1])
+    assert blocks[0][0][-1] == blocks[1][0][0] and sum(sum(x >= 0 for row in b[1:] for x in row) for b, _ in blocks) == sum(map(len, docs)) - 2
