@@ -27,20 +27,21 @@ Very long texts are scored whole; a batch holds ids, not texts.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
+from functools import cached_property
 from heapq import heapreplace
-from itertools import chain, groupby, pairwise, repeat
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import written
-from .text import doc_texts, slices
+from .text import doc_texts
 
 KNOWN, HEAD, CLASS, TAILS, HIDDEN = 1 << 18, 2048, 64, 32, 16
 WINDOW, BATCH, RATE = 32, 128, 0.02
@@ -57,6 +58,10 @@ END = b"\n"  # no word holds it
 START = HEAD + TAILS
 SYMBOL = "<i2"  # a text's symbols are one binary value, which Spark moves without looking at each
 SCORE_BATCH, SCORE_WINDOW = 256, 32
+#: Bytes that a task keeps, below glibc's largest limit (``keep_memory``).
+KEPT = 24 << 20
+#: Bytes of rows whose words a task counts at a time, and of those that it looks up at a time.
+COUNT_BYTES, LOOK_UP_BYTES = 64 << 20, 16 << 20
 #: States of which the outputs are computed at a time, and windows of scoring that are laid out at a time.
 BLOCK, HELD = 512, 32
 
@@ -66,16 +71,37 @@ def tail(word: bytes) -> int:
     return (word[-1] + 7 * word[-2]) % TAILS if len(word) > 1 else word[-1] % TAILS
 
 
-def tails(words: list[bytes]) -> np.ndarray:
+def keep_memory() -> None:
+    """When an array made alone is freed, glibc's malloc sets its limits to the array's size: from then on smaller ones are taken from memory
+    that the process has, and each window's arrays cost no page faults.  A task holds up to twice as much unused."""
+    np.empty(KEPT, np.uint8)  # freed at once
+
+
+def as_binary(words: list[bytes] | pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
+    return pa.array(words, pa.binary()) if isinstance(words, list) else words.cast(pa.binary())
+
+
+def tails(words: list[bytes] | pa.Array) -> np.ndarray:
     """``tail`` of each word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
-    last, before = (data[np.maximum(ends - k, 0)].astype(np.int32) for k in (1, 2))
+    words = as_binary(words)
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, sizes = np.frombuffer(data, np.uint8), np.diff(ends)
+    last, before = (data[np.maximum(ends[1:] - k, 0)].astype(np.int32) for k in (1, 2))
     return (last + np.where(sizes > 1, 7 * before, 0)) % TAILS
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split() + [END]  # bytes.lower() changes A-Z alone
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts (null: none), lower-cased in A-Z, without their ends, and how many each text has.  No word is a Python object."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at U+0020 and U+0009..U+000D
+    words, sizes = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not some.all():  # Arrow gives an empty word before or behind white space at an end of a text
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+        words = words.filter(pa.array(some))
+    return words, sizes
 
 
 @dataclass
@@ -164,9 +190,10 @@ class Outputs:
 
     def _softmax(self, hs: np.ndarray, weights: np.ndarray, back: np.ndarray, out: np.ndarray, to: np.ndarray | None) -> None:
         """``out``: the exponentials times ``back``; ``to`` gets the weights' gradients.  In blocks that stay in the cache."""
+        held = np.empty((min(len(hs), BLOCK), weights.shape[1]), hs.dtype)
         for a in range(0, len(hs), BLOCK):
             part, found = hs[a : a + BLOCK], out[a : a + BLOCK]
-            e = part @ weights
+            e = np.matmul(part, weights, out=held[: len(part)])
             np.exp(e, out=e)
             np.matmul(e, back, out=found)
             if to is not None:
@@ -208,8 +235,8 @@ class Outputs:
 
 
 def by_gate(weights: np.ndarray) -> np.ndarray:
-    """(3, ..., HIDDEN): the parts for update, reset and candidate, each in one piece."""
-    return np.ascontiguousarray(np.moveaxis(weights.reshape(*weights.shape[:-1], 3, -1), -2, 0))
+    """(3, ..., HIDDEN): copies of the parts for update, reset and candidate, each in one piece."""
+    return np.array(np.moveaxis(weights.reshape(*weights.shape[:-1], 3, -1), -2, 0), order="C")
 
 
 def exponents(weights: np.ndarray) -> np.ndarray:
@@ -220,12 +247,15 @@ def exponents(weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def input_table(m: Gru) -> np.ndarray:
+    """What a symbol adds to the gates' exponents: rows by gate and symbol."""
+    return np.matmul(m.embed, exponents(m.inward)) + exponents(m.bias)[:, None]
+
+
 def looked_up(table: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    """Rows of a table by gate and symbol (below 0: some symbol's): gate, then those of ``inputs``."""
-    out = np.empty((len(table), *inputs.shape, table.shape[-1]), table.dtype)
-    for part, rows in zip(table, out, strict=True):
-        np.take(part, inputs, axis=0, out=rows, mode="clip")
-    return out
+    """Rows of a table by gate and symbol (below 0: some symbol's): step, gate, lane; so a step's lie together."""
+    gates, symbols, h = table.shape
+    return table.reshape(-1, h).take(inputs[:, None] + (np.arange(gates) * symbols)[:, None], 0, mode="clip")
 
 
 @np.errstate(over="ignore")  # of exponentials under 1
@@ -238,21 +268,20 @@ def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray
     if state is not None:
         hid[0] = state
     fresh = [np.flatnonzero(row) for row in inputs == START]
-    x, across = looked_up(exponents(m.embed @ m.inward + m.bias), inputs), exponents(m.across)
-    u, c, gap = np.empty((3, steps, batch, h), kind), *(np.empty((steps, batch, h), kind) for _ in range(2))
+    x, across = looked_up(input_table(m), inputs), exponents(m.across)
+    u, c, gap = np.empty((steps, 3, batch, h), kind), *(np.empty((steps, batch, h), kind) for _ in range(2))
     for t in range(steps):
         if len(fresh[t]):
             hid[t, fresh[t]] = 0  # the step before had no target there
-        np.matmul(hid[t], across, out=u[:, t])
-        gates = u[:2, t]
-        gates += x[:2, t]
+        (_, r, to_r), now = np.matmul(hid[t], across, out=u[t]), c[t]
+        gates = u[t, :2]
+        gates += x[t, :2]
         sigmoid_in_place(gates)
-        now = c[t]
-        np.multiply(u[1, t], u[2, t], out=now)
-        now += x[2, t]
+        np.multiply(r, to_r, out=now)
+        now += x[t, 2]
         tanh_in_place(now)
         np.subtract(hid[t], now, out=gap[t])
-        np.multiply(u[0, t], gap[t], out=hid[t + 1])
+        np.multiply(gates[0], gap[t], out=hid[t + 1])
         hid[t + 1] += now
     if state is not None:
         state[:] = hid[-1]
@@ -265,7 +294,7 @@ def gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray
     out = np.zeros((steps * batch, h), kind)
     out[live] = found
     out = out.reshape(steps, batch, h)
-    z, r, to_r = u  # to_r: from -2 times the candidate's recurrent part
+    z, r, to_r = np.moveaxis(u, 1, 0)  # to_r: from -2 times the candidate's recurrent part
     to_z = 1 - z
     np.multiply(c, c, out=c)
     to_c = np.subtract(1, c, out=c)
@@ -338,7 +367,7 @@ class Scorer:
     """Natural-log probabilities of whole symbol sequences under a trained model."""
 
     def __init__(self, m: Gru) -> None:
-        self.input, self.across, self.outputs = exponents(m.embed @ m.inward + m.bias), exponents(m.across), Outputs(m)  # input: rows by symbol
+        self.input, self.across, self.outputs = input_table(m), exponents(m.across), Outputs(m)  # input: rows by symbol
 
     @np.errstate(over="ignore")  # of exponentials under 1
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -377,10 +406,10 @@ class Scorer:
                 state[begins[t]] = 0
                 u = np.matmul(state, self.across)
                 gates, c = u[:2], u[2]
-                gates += x[:2, t]
+                gates += x[t, :2]
                 sigmoid_in_place(gates)
                 c *= gates[1]
-                c += x[2, t]
+                c += x[t, 2]
                 tanh_in_place(c)
                 state = state - c
                 state *= gates[0]
@@ -407,34 +436,48 @@ class Vocabulary:
     def base_norm(self) -> float:
         return float(np.log10(self.n + 0.1 * (self.types + 1)))
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def tokens(self) -> pa.Array:
+        """By place."""
+        return pa.array(self.place, pa.binary())
+
+    def places(self, words: list[bytes] | pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """-1: not known.  Arrow hashes all known tokens anew in each call, so a call should have many words."""
+        return pc.fill_null(pc.index_in(as_binary(words), value_set=self.tokens), -1).to_numpy()
+
+    def symbols(self, words: list[bytes] | pa.Array, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """place (-1: not known) and symbol of each word."""
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
-        symbol = self.symbol[place]
-        rare = np.flatnonzero(place < 0)
-        if len(rare):
-            symbol[rare] = HEAD + tails([words[i] for i in rare.tolist()])
+        place, words = self.places(words) if place is None else place, as_binary(words)
+        symbol, rare = self.symbol[place], place < 0
+        if rare.any():
+            symbol[rare] = HEAD + tails(words.filter(pa.array(rare)))
         return place, symbol
 
 
+def groups(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches with about ``most`` bytes (one batch at least)."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """token binary, c: over all rows given."""
 
     def run(batches):
-        found: Counter = Counter()
-
-        def send():
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], ["token", "c"])
-
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                for t in texts:
-                    found.update(words_of(t))
-                if len(found) > 500_000:
-                    yield send()
-                    found.clear()
-        if found:
-            yield send()
+        rows = 0
+        for group in groups(batches, COUNT_BYTES):
+            found = pc.value_counts(pa.chunked_array([words_of(batch.column("text"))[0] for batch in group]))
+            rows += sum(batch.num_rows for batch in group)
+            yield pa.RecordBatch.from_arrays([as_binary(found.field("values")), found.field("counts")], ["token", "c"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([rows], pa.int64())], ["token", "c"])
 
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -459,19 +502,19 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     known = counts.where(F.col("c") >= least_known(counts)).toArrow()  # KNOWN rows at most
     top = sorted({*pairs(first), *pairs(known)}, key=lambda x: (-x[1], x[0]))
     tokens, c = [t for t, _ in top], np.array([n for _, n in top], np.int64)
-    head = set(tokens[:HEAD])
+    head = pa.array(tokens[:HEAD], pa.binary())
 
-    def tails(batches):
+    def by_class(batches):
         n, v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
         for batch in batches:
-            for token, count in zip(batch.column("token").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                if token not in head:
-                    k = tail(token)
-                    n[k] += count
-                    v[k] += 1
+            others = pa.Table.from_batches([batch]).filter(pc.invert(pc.is_in(batch.column("token"), value_set=head))).combine_chunks()
+            for token, count in zip(others.column("token").chunks, others.column("c").chunks, strict=True):
+                k = tails(token)
+                np.add.at(n, k, count.to_numpy())
+                np.add.at(v, k, 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(TAILS), pa.int32()), pa.array(n), pa.array(v)], ["k", "n", "v"])
 
-    by_tail = {r.k: (r.n, r.v) for r in counts.mapInArrow(tails, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    by_tail = {r.k: (r.n, r.v) for r in counts.mapInArrow(by_class, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n = np.array([by_tail.get(k, (0, 0))[0] for k in range(TAILS)])
     v = np.array([by_tail.get(k, (0, 0))[1] for k in range(TAILS)])
     symbol = np.array([i if i < HEAD else HEAD + tail(t) for i, t in enumerate(tokens)] + [HEAD], np.int32)
@@ -489,29 +532,44 @@ def plan(tokens: int) -> tuple[int, int]:
     return -(-units // copies), copies
 
 
+def rare_words(words: pa.Array, sizes: np.ndarray, rare: np.ndarray, end: bool) -> tuple[pa.Array, pa.Array]:
+    """For texts of ``sizes`` words each, the distinct ones of those marked as rare (and the texts' ends, if ``end``), and how often each occurs."""
+    found = as_binary(words).filter(pa.array(rare)).dictionary_encode()
+    kinds, codes, owner = found.dictionary, found.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)[rare]
+    if end:
+        codes, owner = np.append(codes, np.full(len(sizes), len(kinds))), np.append(owner, np.arange(len(sizes)))
+        kinds = pa.concat_arrays([kinds, pa.array([END], pa.binary())])
+    n = max(len(kinds), 1)
+    keys, times = np.unique(owner * n + codes, return_counts=True)
+    at = pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * n), pa.int32())
+    return pa.ListArray.from_arrays(at, kinds.take(pa.array(keys % n))), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))
+
+
 def symbolised(docs: DataFrame, shared, rounds: int, copies: int) -> DataFrame:
     """r (a number for each row), round (-1: held out) and copy that reads the row, doc_id, n_tokens, n_rare, base and rest
     (known words' share of the scores), rare and times (unknown words), ids (symbols of the whole text, with its end, as bytes),
     written by round; a unit's rows lie together, long ones first."""
 
     def run(batches):
+        keep_memory()
         words, norm = shared.value, shared.value.base_norm()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                docs = [words_of(text) for text in texts]
-                tokens = list(chain.from_iterable(docs))
-                begin = np.cumsum([0, *map(len, docs)])
-                sums, size = lambda x, at=begin[:-1]: np.add.reduceat(x, at), np.diff(begin)  # noqa: E731  (a text has its end at least)
-                place, symbol = words.symbols(tokens)
+        (end,), (end_symbol,) = words.symbols([END])
+        for group in groups(batches, LOOK_UP_BYTES):
+            texts = [words_of(batch.column("text")) for batch in group]
+            places = np.split(words.places(pa.chunked_array([tokens for tokens, _ in texts])), np.cumsum([len(tokens) for tokens, _ in texts])[:-1])
+            for batch, (tokens, inside), place in zip(group, texts, places, strict=True):
+                size, ends = inside + 1, np.cumsum(inside)
+                begin = np.append(0, np.cumsum(size))
+                sums = lambda x, at=begin[:-1]: np.add.reduceat(x, at)  # noqa: E731  (a text has its end at least)
+                symbol = np.insert(words.symbols(tokens, place)[1], ends, end_symbol)
+                rare, times = rare_words(tokens, inside, place < 0, end < 0)
+                place = np.insert(place, ends, end)
                 logs, unknown = words.log_counts[place], place < 0
                 logs[unknown] = 0.0
                 in_tail = np.where(symbol >= HEAD, logs - words.tail_norm[np.maximum(symbol - HEAD, 0)], 0.0)
-                rare, where = np.flatnonzero(unknown), np.searchsorted(np.flatnonzero(unknown), begin).tolist()
-                found = [Counter([tokens[i] for i in rare[a:b].tolist()]) for a, b in pairwise(where)]
-                ids = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(symbol.astype(SYMBOL))])
-                out = [part.column("doc_id"), size, sums(unknown.astype(np.int64)), sums(logs) - size * norm, sums(in_tail), [list(f) for f in found], [list(f.values()) for f in found], ids]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in PLACE.split()), *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [*PLACE.split(), *ROW.split()])
+                ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((2 * begin).astype(np.int32)), pa.py_buffer(symbol.astype(SYMBOL))])
+                out = [pa.array(size), pa.array(sums(unknown.astype(np.int64))), pa.array(sums(logs) - size * norm), pa.array(sums(in_tail)), rare, times, ids]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*PLACE.split(), "doc_id"]), *out], [*PLACE.split(), *ROW.split()])
 
     units = rounds * copies
     rows = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("unit", F.pmod("h", F.lit(units)).cast("int"))
@@ -586,6 +644,7 @@ def train(seen: DataFrame, m: Gru, rounds: int, copies: int) -> Gru:
         shared = context.broadcast(m.flat())  # its size is fixed by the constants above
 
         def run(batches, shared=shared, m=m):
+            keep_memory()
             rows = (row for batch in batches for row in zip(batch.column("copy").to_pylist(), lists(batch.column("ids")), strict=True))
             for copy, docs in groupby(rows, itemgetter(0)):
                 own = m.filled(shared.value)
@@ -623,6 +682,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     model = context.broadcast(train(rows, Gru.fresh(mass), rounds, copies))
 
     def run(batches):
+        keep_memory()
         scorer = Scorer(model.value)
         for batch in batches:
             scores = scorer.score(lists(batch.column("ids"))) / np.log(10) + batch.column("rest").to_numpy()
