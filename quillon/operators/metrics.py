@@ -5,6 +5,7 @@ Contingency tables, sums and moments are aggregates; only the silhouette meets a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import neighbours, scaling
+from ..functions import arrays, tables
+from . import blocks, scaling
 
 EPS = 1e-12
 AGREEMENT = "ari double, nmi double"
@@ -41,35 +43,53 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return every.select(ari.alias("ari"), F.when(half <= EPS, 1.0).otherwise(F.greatest(F.lit(0.0), F.col("mi")) / half).alias("nmi"))
 
 
+class ClusterDistances(blocks.Meeting):
+    """Sums of distances to the rows of each cluster.  Rows end with the code of their cluster."""
+
+    schema = "a long, c int, s array<double>"
+
+    def __init__(self, clusters: int) -> None:
+        self.clusters = clusters
+
+    def prepare(self, block, ids, v):
+        x, c = v[:, :-1], v[:, -1].astype(np.int32)
+        square = (x * x).sum(1)
+        asks = np.column_stack([-2 * x, square, np.ones(len(x))])  # asks @ other.T are squared distances
+        return SimpleNamespace(ids=ids, c=c, asks=asks, other=np.column_stack([x, np.ones(len(x)), square]), member=(c[:, None] == np.arange(self.clusters)).astype(float))
+
+    def begin(self, own):
+        return SimpleNamespace(own=own, sums=np.zeros((len(own.ids), self.clusters)))
+
+    def meet(self, state, other, same):
+        for first in range(0, len(state.sums), blocks.ASKED):
+            some = slice(first, first + blocks.ASKED)
+            d = state.own.asks[some] @ other.other.T
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            if same:
+                d[state.own.ids[some, None] == other.ids] = 0
+            state.sums[some] += d @ other.member
+
+    def finish(self, state):
+        return pa.RecordBatch.from_arrays([pa.array(state.own.ids), pa.array(state.own.c), arrays.listed(state.sums)], ["a", "c", "s"])
+
+
 def silhouette(df: DataFrame, key: str, features: Sequence[str], cluster: str) -> float | None:
     """Mean over rows of (b - a) / max(a, b), Euclidean: a to the own cluster, b to the nearest other; 0 in a cluster of one; None
-    with a single cluster.  A task has a pair of blocks and returns each row's sums by cluster."""
+    with a single cluster.  A task keeps the sums of its blocks' rows by cluster."""
     sizes = {r[0]: r[1] for r in df.groupBy(cluster).count().collect()}  # a row for each cluster
     if len(sizes) < 2:
         return None
     names = sorted(sizes)
-    blocks = max(1, -(-sum(sizes.values()) // neighbours.BLOCK_ROWS))
-    code = F.array_position(F.array(*map(F.lit, names)), F.col(cluster)).cast("int") - 1
-    rows = df.select(F.col(key).alias("a"), code.alias("c"), F.array(*(F.col(f).cast("double") for f in features)).alias("v")).withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("a", "c", "v", F.col("block").alias("x"), others.alias("y"), F.lit(True).alias("asks"))
-    right = rows.select("a", "c", "v", others.alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"))
-
-    def compare(table):
-        asks = table.column("asks").to_numpy()
-        ids, c, v = table.column("a").to_numpy(), table.column("c").to_numpy(), np.stack(table.column("v").to_numpy())
-        own, other = v[asks], v[~asks]
-        d = np.sqrt(np.maximum((own * own).sum(1)[:, None] + (other * other).sum(1) - 2 * own @ other.T, 0))
-        sums = d @ (c[~asks][:, None] == np.arange(len(names))).astype(float)
-        return pa.table({"a": pa.array(ids[asks]), "c": pa.array(c[asks], pa.int32()), "s": pa.array(list(sums), pa.list_(pa.float64()))})
-
-    parts = left.unionByName(right).groupBy("x", "y").applyInArrow(compare, "a long, c int, s array<double>")
-    sums = parts.groupBy("a", "c").agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(len(names))))
+    code = F.array_position(F.array(*map(F.lit, names)), F.col(cluster)) - 1
+    table = blocks.packed(df.select(F.col(key).cast("long").alias("a"), F.array(*(F.col(f).cast("double") for f in features), code.cast("double")).alias("v")))
+    sums = blocks.met(table, ClusterDistances(len(names))).select("c", *(F.col("s")[k].alias(f"s{k}") for k in range(len(names))))
     own = F.coalesce(*(F.when(F.col("c") == k, F.col(f"s{k}") / F.lit(max(sizes[n] - 1, 1))) for k, n in enumerate(names)))
     nearest = F.least(*(F.when(F.col("c") != k, F.col(f"s{k}") / F.lit(sizes[n])) for k, n in enumerate(names)))
     lone = F.coalesce(*(F.when(F.col("c") == k, F.lit(sizes[n] == 1)) for k, n in enumerate(names)))
     both = sums.select(own.alias("own"), nearest.alias("near"), lone.alias("lone"))
-    return both.agg(F.avg(F.when(F.col("lone") | (F.greatest("own", "near") <= 0), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("own", "near")))).first()[0]
+    found = both.agg(F.avg(F.when(F.col("lone") | (F.greatest("own", "near") <= 0), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("own", "near")))).first()[0]
+    tables.discard(table)
+    return found
 
 
 def clusters(df: DataFrame, features: Sequence[str], k: int, seed: int = 0, restarts: int = 20) -> DataFrame:
