@@ -6,28 +6,29 @@
    that comes of it.
 2. Two features are linked by how badly one covers the other over the balls: for a row, with m the kernel of its value and the balls'
    centres, min over balls of max(1 - m_i, m_j), divided by max over balls of min(m_i, m_j); the largest over all rows counts.
-   Rows stay where they are; centres are broadcast in blocks of ``CENTRE_BYTES``, and with more than one
-   block each row's two matrices are kept between them.
+   Rows stay where they are; centres are broadcast in blocks of ``CENTRE_BYTES``.  A part of the balls bounds a row's ratio from
+   above, so a row leaves the pairs that another row has beaten, and only what is left goes on to the next block.
 3. A walk over this graph with restarts, momentum, decay of visits and a projection to the L1 ball gives the scores.  It runs on the
    driver over one matrix of features by features, whose size is checked.
 
-The farthest pair of a ball is exact.  Rows too near to the centre to end it are left out first; the others meet in blocks,
+The farthest pair of a ball is exact.  Rows too near to the centre to end it are left out first; the others meet in ``blocks``,
 which is quadratic in their number.  Ties go by the rows' positions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import order
+from ..functions import arrays, order, tables
 from ..functions.tables import kept
 from ..sources.matrix import matrix
-from . import scaling
+from . import blocks, scaling
 from .rankers import Ranking, top_k
 from .selector import ParameterError
 
@@ -35,6 +36,8 @@ EPS = 1e-12
 #: Rows of a ball that one task splits; rows of a block of a larger one; balls whose facts are broadcast; bytes of centres sent at a time;
 #: features that the walk's matrix may have.
 BALL_ROWS, BLOCK_ROWS, FEW_BALLS, CENTRE_BYTES, MOST_FEATURES = 4_000, 1_000, 10_000, 16 << 20, 4_096
+#: Balls that a row's pairs of features meet first; numbers held at a time; features whose first and last rows go first.
+FIRST_BALLS, CELLS, END_FEATURES = 16, 1 << 20, 64
 
 
 def least_rows(n: int) -> int:
@@ -120,26 +123,70 @@ def _distance(a: str, b: str):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+class Farthest(blocks.Meeting):
+    """The first two ordered pairs at the largest distance between a block and the blocks of its ball from it on.  Rows end with their
+    position; products say which pairs may be the farthest, differences which are."""
+
+    schema = "ball string, d double, i long, j long, p array<double>, q array<double>"
+
+    def __init__(self, balls: Sequence[tuple[str, int]]) -> None:
+        self.names, self.starts = [b for b, _ in balls], np.array([first for _, first in balls])  # rising
+
+    def prepare(self, block, ids, v):
+        square = (v * v).sum(1)
+        one = np.ones(len(v))
+        asks, other = np.column_stack([-2 * v, square, one]), np.column_stack([v, one, square])
+        return SimpleNamespace(block=block, ball=int(np.searchsorted(self.starts, block, "right")) - 1, ids=ids, v=v, square=square, asks=asks, other=other)
+
+    def begin(self, own):
+        return SimpleNamespace(own=own, best=[])
+
+    def meet(self, state, other, same):
+        own = state.own
+        if own.ball != other.ball or other.block < own.block:
+            return
+        slack = (own.v.shape[1] + 8) * 2.0**-50 * (np.sqrt(own.square.max()) + np.sqrt(other.square.max())) ** 2
+        for first in range(0, len(own.ids), blocks.ASKED):
+            near = own.asks[first : first + blocks.ASKED] @ other.other.T
+            least = max(near.max(), state.best[0][0] if state.best else 0.0) - slack
+            row, col = np.nonzero(near >= least)
+            for a in range(0, len(row), blocks.BLOCK_ROWS**2 // 4):
+                r, c = first + row[a : a + blocks.BLOCK_ROWS**2 // 4], col[a : a + blocks.BLOCK_ROWS**2 // 4]
+                d = np.zeros(len(r))
+                for k in range(own.v.shape[1]):  # as _distances adds them up
+                    d += (own.v[r, k] - other.v[c, k]) ** 2
+                at = np.flatnonzero(d == d.max())
+                pairs = {(int(own.ids[r[x]]), int(other.ids[c[x]])): (own.v[r[x]], other.v[c[x]]) for x in self._first(own.ids[r[at]], other.ids[c[at]], at)}
+                if not same:
+                    pairs |= {(int(other.ids[c[x]]), int(own.ids[r[x]])): (other.v[c[x]], own.v[r[x]]) for x in self._first(other.ids[c[at]], own.ids[r[at]], at)}
+                found = [*state.best, *((float(d.max()), *ids, *ends) for ids, ends in pairs.items())]
+                most = max(x[0] for x in found)
+                state.best = sorted((x for x in found if x[0] == most), key=lambda x: x[1:3])[:2]
+
+    @staticmethod
+    def _first(i: np.ndarray, j: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first two by (i, j)."""
+        return at[np.lexsort((j, i))[:2]]
+
+    def finish(self, state):
+        best = state.best
+        columns = [pa.array([self.names[state.own.ball]] * len(best), pa.string()), *(pa.array([x[k] for x in best], kind) for k, kind in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))), *(pa.array([x[k].tolist() for x in best], pa.list_(pa.float64())) for k in (3, 4))]
+        return pa.RecordBatch.from_arrays(columns, ["ball", "d", "i", "j", "p", "q"])
+
+
 def _farthest(rows: DataFrame, balls: int) -> DataFrame:
     """ball, p, q (vectors): the ends of the farthest pair of each ball of rows (ball, pos, v, d: to the centre)."""
     wide = rows.groupBy("ball").agg(F.max("d").alias("radius"), F.max_by("v", F.struct("d", -F.col("pos"))).alias("edge"))
     sighted = _facts(rows, wide, balls).withColumn("seen", _distance("v", "edge"))
     known = sighted.groupBy("ball").agg(F.max("seen").alias("known"))
-    able = _facts(sighted, known, balls).where(F.col("d") + F.col("radius") >= F.col("known") * (1 - 1e-9)).select("ball", "pos", "v")
-    blocks = able.groupBy("ball").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    placed = _facts(able, blocks, balls).withColumn("block", F.pmod(F.xxhash64("pos"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("ball", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "pos", "v")
-
-    def compare(key, table):
-        ball, lower, upper = (k.as_py() for k in key)
-        block, pos, v = table.column("block").to_numpy(), table.column("pos").to_numpy(), np.stack(table.column("v").to_numpy())
-        a, b = block == lower, block == upper
-        found = _ends(_distances(v[a], v[b]), pos[a], pos[b], lower == upper) if a.any() and b.any() else []
-        by_pos = {int(p): x for p, x in zip(pos, v, strict=True)}
-        return pa.table([pa.array([ball] * len(found), pa.string()), *(pa.array([f[k] for f in found], t) for k, t in ((0, pa.float64()), (1, pa.int64()), (2, pa.int64()))), *(pa.array([by_pos[f[k]].tolist() for f in found], pa.list_(pa.float64())) for k in (1, 2))], names=["ball", "d", "i", "j", "p", "q"])
-
-    ends = met.groupBy("ball", "lower", "upper").applyInArrow(compare, "ball string, d double, i long, j long, p array<double>, q array<double>")
-    first_two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "i", "j", "p", "q"))), 1, 2)  # two for each pair of blocks
+    able = kept(_facts(sighted, known, balls).where(F.col("d") + F.col("radius") >= F.col("known") * (1 - 1e-9)).select("ball", "pos", "v"))
+    sizes = sorted((r.ball, -(-r.n // BLOCK_ROWS)) for r in able.groupBy("ball").agg(F.count("*").alias("n")).collect())  # a row for each ball of more than BALL_ROWS
+    starts = np.cumsum([0, *(n for _, n in sizes)])[:-1].tolist()
+    numbers = rows.sparkSession.createDataFrame([(b, first, n) for (b, n), first in zip(sizes, starts, strict=True)], "ball string, start int, blocks int")
+    table = blocks.packed(_facts(able, numbers, balls).select(F.col("pos").alias("a"), "v", (F.col("start") + F.pmod(F.xxhash64("pos"), F.col("blocks"))).cast("int").alias("block")))
+    ends = tables.written(blocks.met(table, Farthest([(b, first) for (b, _), first in zip(sizes, starts, strict=True)])))
+    tables.discard(table)
+    first_two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "i", "j", "p", "q"))), 1, 2)  # two for each block
     return ends.groupBy("ball").agg(first_two.alias("two")).where("two[0].d < 0").select("ball", F.col("two")[1]["p"].alias("p"), F.col("two")[1]["q"].alias("q"))
 
 
@@ -203,63 +250,118 @@ def kernel(values: np.ndarray, centre: np.ndarray, smooth: np.ndarray, width: fl
     return np.where(smooth[:, None], np.exp(-(difference**2) / (2 * width**2 + EPS)), (difference == 0).astype(float))
 
 
-def _covering(m: np.ndarray, low: np.ndarray, high: np.ndarray, step: int = 64) -> None:
-    """Lowers ``low`` and raises ``high`` (features x features) by the balls of a kernel."""
-    for a in range(0, m.shape[1], step):
-        x = m[:, a : a + step]
-        np.minimum(low, np.maximum(1 - x[:, None, :], x[None, :, :]).min(2), out=low)
-        np.maximum(high, np.minimum(x[:, None, :], x[None, :, :]).max(2), out=high)
-
-
-def feature_graph(rows: DataFrame, centre: DataFrame, smooth: np.ndarray, width: float) -> np.ndarray:
-    """features x features: for each pair the largest ratio over rows (pos, v) of the two covering measures over all balls (ball, centre)."""
+class _Pairs:
+    """Pairs of features (i * p + j) that one row may still raise: the two covering measures over the balls so far."""
+
+    def __init__(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.at, self.low, self.high = at, low, high
+
+    def ratio(self) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return self.low / self.high
+
+    def prune(self, most: np.ndarray) -> None:
+        """More balls only lower a ratio (``low`` falls, ``high`` rises), so pairs go whose ratio is no larger than one that is known."""
+        alive = ~(self.ratio() <= most[self.at])  # stays if it is no number
+        if not alive.all():
+            self.at, self.low, self.high = self.at[alive], self.low[alive], self.high[alive]
+
+
+def _first_balls(v: np.ndarray, centre: np.ndarray, smooth: np.ndarray, width: float, most: np.ndarray) -> _Pairs:
+    """All pairs over a few balls, pruned; some features at a time."""
+    p = len(v)
+    m = kernel(v, centre, smooth, width)
+    step, parts = max(1, CELLS // (p * m.shape[1])), []
+    for a in range(0, p, step):
+        x = m[a : a + step, None, :]
+        pairs = _Pairs(np.arange(a * p, min(a + step, p) * p), np.maximum(1 - x, m).min(2).ravel(), np.minimum(x, m).max(2).ravel())
+        pairs.prune(most)
+        parts.append(pairs)
+    return _Pairs(*(np.concatenate([getattr(x, c) for x in parts]) for c in ("at", "low", "high")))
+
+
+def _covering(v: np.ndarray, centre: np.ndarray, smooth: np.ndarray, width: float, most: np.ndarray, pairs: _Pairs | None) -> _Pairs:
+    """What is left of a row's pairs after these balls; None: all pairs."""
+    p, at, step = len(v), 0, FIRST_BALLS
+    if pairs is None:
+        pairs, at = _first_balls(v, centre[:, :step], smooth, width, most), step
+    while at < centre.shape[1] and len(pairs.at):
+        step = min(4 * step, max(FIRST_BALLS, CELLS // len(pairs.at)))
+        i, j = np.divmod(pairs.at, p)
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        m = kernel(v[used], centre[used, at : at + step], smooth[used], width)
+        x, y = m[place[: len(i)]], m[place[len(i) :]]
+        np.maximum(pairs.high, np.minimum(x, y).max(1), out=pairs.high)
+        np.minimum(pairs.low, np.maximum(np.subtract(1, x, out=x), y, out=x).min(1), out=pairs.low)
+        pairs.prune(most)
+        at += step
+    return pairs
+
+
+def _ratios(rows: DataFrame, placed: DataFrame, count: int, smooth: np.ndarray, width: float, known: np.ndarray) -> np.ndarray:
+    """features x features: the largest ratio of rows (pos, v) over balls in ``count`` blocks (centre, block), where it exceeds ``known``."""
     p = len(smooth)
-    blocks = max(1, -(-centre.count() * 8 * p // CENTRE_BYTES))
-    placed = kept(centre.select("centre", F.pmod(F.xxhash64("ball"), F.lit(blocks)).alias("block")))
     context = rows.sparkSession.sparkContext
+    most_sent = context.broadcast(known.ravel())
 
     def part(block: int):
-        return context.broadcast(np.array([r.centre for r in placed.where(F.col("block") == block).select("centre").collect()], float).reshape(-1, p).T)  # CENTRE_BYTES, about
+        got = placed.where(F.col("block") == block).orderBy("ball").select("centre").collect()  # CENTRE_BYTES, about
+        centre = np.array([r.centre for r in got], float).reshape(-1, p)
+        return context.broadcast(np.ascontiguousarray(np.random.default_rng(0).permutation(centre).T))
 
-    def measures(batch, sent):
-        for k, v in enumerate(batch.column("v").to_numpy(zero_copy_only=False)):
-            if "low" in batch.schema.names:
-                low, high = (np.frombuffer(batch.column(c)[k].as_py()).reshape(p, p).copy() for c in ("low", "high"))
-            else:
-                low, high = np.full((p, p), np.inf), np.full((p, p), -np.inf)
-            _covering(kernel(v, sent.value, smooth, width), low, high)
-            yield low, high
+    def left(batch, sent, most):
+        carried = "at" in batch.schema.names
+        for k, v in enumerate(arrays.stacked(batch.column("v"))):
+            pairs = _Pairs(*(np.frombuffer(batch.column(c)[k].as_py(), kind).copy() for c, kind in (("at", np.int64), ("low", float), ("high", float)))) if carried else None
+            yield k, _covering(v, sent.value, smooth, width, most, pairs)
 
     def carried(sent):
         def run(batches):
+            most = most_sent.value
             for batch in batches:
-                found = list(measures(batch, sent))
-                yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("v"), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], ["pos", "v", "low", "high"])
+                found = [(k, pairs) for k, pairs in left(batch, sent, most) if len(pairs.at)]
+                some = batch.select(["pos", "v"]).take(pa.array([k for k, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array([getattr(x, c).tobytes() for _, x in found], pa.binary()) for c in ("at", "low", "high"))], ["pos", "v", "at", "low", "high"])
 
         return run
 
     def ratios(sent):
         def run(batches):
-            most = np.zeros((p, p))
+            most = most_sent.value.copy()
             for batch in batches:
-                for low, high in measures(batch, sent):
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        ratio = low / high
-                    np.maximum(most, np.where(np.isfinite(ratio), ratio, 0.0), out=most)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p, dtype=np.int32)), pa.array(list(most), pa.list_(pa.float64()))], ["i", "row"])
+                for _, pairs in left(batch, sent, most):
+                    ratio = pairs.ratio()
+                    most[pairs.at] = np.maximum(most[pairs.at], np.where(np.isfinite(ratio), ratio, 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p, dtype=np.int32)), pa.array(list(most.reshape(p, p)), pa.list_(pa.float64()))], ["i", "row"])
 
         return run
 
     state = rows.select("pos", "v")
-    for block in range(blocks - 1):
-        state = kept(state.mapInArrow(carried(part(block)), "pos long, v array<double>, low binary, high binary"))
-    parts = state.mapInArrow(ratios(part(blocks - 1)), "i int, row array<double>")
+    for block in range(count - 1):
+        sent = part(block)
+        state = tables.written(state.mapInArrow(carried(sent), "pos long, v array<double>, at binary, low binary, high binary"))
+        sent.unpersist()
+    parts = state.mapInArrow(ratios(part(count - 1)), "i int, row array<double>")
     found = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.max("x").alias("x")).toArrow()  # features x features
-    out = np.zeros((p, p))
+    out = known.copy()
     out[found.column("i").to_numpy(), found.column("j").to_numpy()] = found.column("x").to_numpy()
     return out
 
 
+def feature_graph(rows: DataFrame, centre: DataFrame, smooth: np.ndarray, width: float) -> np.ndarray:
+    """features x features: for each pair the largest ratio over rows (pos, v) of the two covering measures over all balls (ball, centre).
+
+    Rows at the ends of features have most of the largest ratios: they go first, and other rows need look at pairs only until
+    some balls show that they have no larger one."""
+    p = len(smooth)
+    count = max(1, -(-centre.count() * 8 * p // CENTRE_BYTES))
+    placed = kept(centre.select("ball", "centre", F.pmod(F.xxhash64("ball"), F.lit(count)).alias("block")))
+    ends = rows.agg(*(f("pos", F.col("v")[k]) for k in range(min(p, END_FEATURES)) for f in (F.min_by, F.max_by))).first()
+    first = rows.where(F.col("pos").isin(sorted({x for x in ends if x is not None}))).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    known = _ratios(first, placed, count, smooth, width, np.zeros((p, p)))
+    return _ratios(rows, placed, count, smooth, width, known)
+
+
 def to_l1(x: np.ndarray, size: float) -> np.ndarray:
     """The nearest point whose absolute values sum to ``size`` at most."""
     if np.abs(x).sum() <= size:
